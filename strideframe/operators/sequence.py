@@ -40,7 +40,8 @@ def axis(df: DataFrame, name: str) -> Column:
 
 def with_blocks(df: DataFrame, order: Sequence[str], width: float | None) -> DataFrame:
     """Add the block number of each row."""
-    block = F.lit(0).cast("long") if width is None else F.floor(axis(df, order[0]) / F.lit(float(width)))
+    zero = F.lit(0).cast("long")
+    block = zero if width is None else F.coalesce(F.floor(axis(df, order[0]) / F.lit(float(width))), zero)
     return df.withColumn(_BLOCK, block)
 
 

@@ -110,7 +110,8 @@ def samples(t: Tables) -> DataFrame:
 
 def label_runs(t: Tables) -> DataFrame:
     """Runs of equal labels; a run ends where the next one starts."""
-    indexed = index_rows(samples(t), ["recording_id"], ["t_rel", "row_id"], label="label", lead=["t_rel"])
+    rows = samples(t).select("recording_id", "row_id", "t_rel", "label", "k")
+    indexed = index_rows(rows, ["recording_id"], ["t_rel", "row_id"], label="label", lead=["t_rel"])
     return indexed.groupBy("recording_id", "run_id", "label").agg(
         F.min("t_rel").alias("start_sec"),
         F.max(F.coalesce("lead_t_rel", "t_rel")).alias("end_sec"),
