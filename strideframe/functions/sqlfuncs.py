@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, types as T
 from pyspark.sql.functions import udtf
 
 _FUNCTIONS = {
@@ -28,7 +28,11 @@ _FUNCTIONS = {
 }
 
 
-@udtf(returnType="k: bigint, start_sec: double, end_sec: double")
+@udtf(
+    returnType=T.StructType(
+        [T.StructField("k", T.LongType()), T.StructField("start_sec", T.DoubleType()), T.StructField("end_sec", T.DoubleType())]
+    )
+)
 class Windows:
     """``windows(total, size, overlap)``: overlapping windows that cover a duration."""
 

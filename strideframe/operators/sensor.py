@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from strideframe.functions.ladders import ACC_STD, AZ_POSTURE, FLOW, GYRO, ladder
 from strideframe.functions.mathx import circular_distance, clip, magnitude
@@ -270,7 +270,7 @@ def _rhythm(x: np.ndarray, fs: float, least: float, min_freq: float = 0.2, max_f
     return float(freqs[band][best]), float(np.clip(0.55 * echo + 0.45 * min(1.0, share * 3.0), 0.0, 1.0))
 
 
-@F.pandas_udf("freq double, score double")
+@F.pandas_udf(T.StructType([T.StructField("freq", T.DoubleType()), T.StructField("score", T.DoubleType())]))
 def periodicity(signal: pd.Series, fs: pd.Series, floor: pd.Series, factor: pd.Series) -> pd.DataFrame:
     """Dominant frequency and periodic score of one window's samples (an array, a few
     hundred values).  Windows shorter than max(floor, int(factor * fs)) give zeros."""
@@ -294,7 +294,7 @@ def _steps(x: np.ndarray, seconds: float) -> float:
     return 0.0 if ac[lo + best] < 0.25 else round(fs / (lo + best), 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def step_frequency(signal: pd.Series, seconds: pd.Series) -> pd.Series:
     """Steps per second from the autocorrelation of one window's magnitudes; 0 without rhythm."""
     return pd.Series([_steps(x, s) for x, s in zip(signal, seconds)])
