@@ -22,7 +22,8 @@ def magnitude(*xs: Column) -> Column:
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c))
+    """NULL stays NULL (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c)))
 
 
 def wrap180(deg: Column) -> Column:

@@ -74,6 +74,9 @@ class Query:
 QUERIES: dict[str, Query] = {}
 _MODULES = (
     "q_load",
+    "q_vectors",
+    "q_scalar",
+    "q_catalog",
     "q_evaluation",
     "q_sensor",
     "q_labels",
