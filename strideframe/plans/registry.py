@@ -74,6 +74,7 @@ class Query:
 QUERIES: dict[str, Query] = {}
 _MODULES = (
     "q_load",
+    "q_frames",
     "q_vectors",
     "q_scalar",
     "q_catalog",
