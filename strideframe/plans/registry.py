@@ -74,6 +74,8 @@ class Query:
 QUERIES: dict[str, Query] = {}
 _MODULES = (
     "q_load",
+    "q_sources",
+    "q_streams",
     "q_frames",
     "q_vectors",
     "q_scalar",
