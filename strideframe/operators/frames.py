@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from strideframe.functions.mathx import box_area, box_center, box_distance, box_inside, box_iou, clip
+from strideframe.operators.chains import settle_chains
 from strideframe.operators.intervals import asof_nearest
 from strideframe.operators.keyed import pick_first, top_k
 from strideframe.operators.sequence import ROWS, index_rows, running
@@ -69,33 +70,36 @@ def score_hands(frames: DataFrame, keys: Sequence[str], p: FrameParams = FramePa
     ).withColumn("_own", F.transform(F.filter("hands", lambda h: h["score"] > p.own_hand), lambda h: h["bbox"]))
     slim = index_rows(first.select(*keys, "frame", "hands", "_open", "_own"), keys, ["frame"], lag=["_open", "_own"], lead=["_own"], total=True, width=ROWS)
     cut = (~F.coalesce("lag__open", F.lit(False))).cast("long")
-    chained = running(slim.withColumn("_cut", cut), keys, ["pos"], {"_chain": ("sum", "_cut")}, width=ROWS)
+    marked = slim.withColumn("_cut", cut).drop("lag__open", "_open", "_own")
+    chained = running(marked, keys, ["pos"], {"_chain": ("sum", "_cut")}, width=ROWS)
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
+    def settle(rows: list[dict]) -> list[dict]:
         before, out = None, []
-        for row in pdf.itertuples(index=False):
-            prev = before if before is not None else row.lag__own
-            around = [b for side in (prev, row.lead__own) if side is not None for b in side]
-            ends = row.pos == 1 or row.pos == row.n_rows
+        for row in rows:
+            around = [*_boxes(row["lag__own"] if before is None else before), *_boxes(row["lead__own"])]
+            fixed = row["pos"] in (1, row["n_rows"])
             hands = []
-            for h in row.hands:
+            for h in row["hands"]:
                 score = h["score"]
-                if not ends and score <= p.own_hand and any(_apart(h["bbox"], b) < p.height * p.boost_reach for b in around):
+                if not fixed and score <= p.own_hand and any(_apart(h["bbox"], box) < p.height * p.boost_reach for box in around):
                     score = min(1.0, score + p.boost)
                 hands.append({"bbox": list(h["bbox"]), "confidence": h["confidence"], "score": score})
             before = [h["bbox"] for h in hands if h["score"] > p.own_hand]
-            out.append(hands)
-        return pdf[[*keys, "frame"]].assign(hands=out)
+            out.append({**{k: row[k] for k in keys}, "frame": row["frame"], "hands": hands})
+        return out
 
     schema = T.StructType([*[frames.schema[k] for k in keys], frames.schema["frame"], first.schema["hands"]])
-    settled = chained.drop("_cut", "_open", "_own").groupBy(*keys, "_chain").applyInPandas(settle, schema)
+    settled = settle_chains(chained.drop("_cut"), [*keys, "_chain"], ["pos"], settle, schema)
     flagged = settled.withColumn(
         "hands", F.transform("hands", lambda h: F.struct(h["bbox"].alias("bbox"), h["confidence"].alias("confidence"), h["score"].alias("score"), (h["score"] > p.own_hand).alias("own")))
     )
     return frames.drop("hands").join(flagged, [*keys, "frame"])
 
 
+def _boxes(boxes) -> list:
+    return [] if boxes is None else list(boxes)
+
+
 def _apart(a, b) -> float:
     return float(np.hypot((a[0] + a[2]) / 2 - (b[0] + b[2]) / 2, (a[1] + a[3]) / 2 - (b[1] + b[3]) / 2))
 

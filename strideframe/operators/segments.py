@@ -2,19 +2,20 @@
 
 Each step below depends on earlier decisions, but only between segments that touch
 or overlap.  The rows are first split into such chains with window operators; a
-chain (a few segments of one recording) is then settled by a short loop inside
-``applyInPandas``.  No task sees a whole recording unless all of it is one chain.
+chain (a few segments of one recording) is then settled by a short loop in
+:func:`settle_chains`.  No task holds a whole recording unless all of it is one chain.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from strideframe.functions.timex import sec_to_clock
+from strideframe.operators.chains import settle_chains
 from strideframe.operators.sequence import ROWS, gap_islands, index_rows, running
+from strideframe.session import checkpointed
 
 
 def _plus(schema: T.StructType, *fields: T.StructField) -> T.StructType:
@@ -26,20 +27,19 @@ def keep_first_overlaps(segments: DataFrame, keys: Sequence[str], order: Sequenc
     length (at least 1 s).  With ``prefer_confident`` the newcomer's values replace the
     kept ones when its confidence is higher.  ``order`` is the arrival order."""
     chained = gap_islands(segments, keys, "start_sec", "end_sec", 0.0, tie=order, out="_chain")
-    names = segments.columns
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    def settle(rows: list[dict]) -> list[dict]:
         kept: list[dict] = []
-        for row in pdf.sort_values(list(order)).to_dict("records"):
+        for row in rows:
             length = max(row["end_sec"] - row["start_sec"], 1.0)
             clash = next((k for k in kept if (min(row["end_sec"], k["end_sec"]) - max(row["start_sec"], k["start_sec"])) / length > share), None)
             if clash is None:
                 kept.append(row)
             elif prefer_confident and row["confidence"] > clash["confidence"]:
                 clash.update(row)
-        return pd.DataFrame(kept, columns=pdf.columns)[names]
+        return kept
 
-    return chained.groupBy(*keys, "_chain").applyInPandas(settle, segments.schema)
+    return settle_chains(chained, [*keys, "_chain"], order, settle, segments.schema)
 
 
 def snap_gaps(segments: DataFrame, keys: Sequence[str], tie: str, max_gap: float = 5.0, *, overlaps: bool = True) -> DataFrame:
@@ -59,10 +59,12 @@ def merge_chunks(segments: DataFrame, keys: Sequence[str], order: Sequence[str],
 def merge_windows(segments: DataFrame, keys: Sequence[str], order: Sequence[str], tie: str, max_gap: float = 5.0) -> DataFrame:
     """Join window results: the more confident wins, then neighbours of equal state and
     equipment at most ``max_gap`` apart become one (lowest confidence), then gaps are snapped."""
-    kept = keep_first_overlaps(segments, keys, order, prefer_confident=True).withColumn("_same", F.struct(F.upper("state").alias("s"), F.coalesce("equipment", F.lit("")).alias("e")))
+    # Written once here: the three ordered steps that follow would triple the plan before it.
+    kept = checkpointed(keep_first_overlaps(segments, keys, order, prefer_confident=True)).withColumn("_same", F.struct(F.upper("state").alias("s"), F.coalesce("equipment", F.lit("")).alias("e")))
     rows = index_rows(kept, keys, ["start_sec", tie], lag=["_same", "end_sec"])
     opens = ~F.coalesce((F.col("_same") == F.col("lag__same")) & (F.col("start_sec") - F.col("lag_end_sec") <= max_gap), F.lit(False))
-    grouped = running(rows.withColumn("_open", opens.cast("long")), keys, ["pos"], {"_seg": ("sum", "_open")}, width=ROWS)
+    marked = rows.select(*segments.columns, "pos", opens.cast("long").alias("_open"))
+    grouped = running(marked, keys, ["pos"], {"_seg": ("sum", "_open")}, width=ROWS)
     first = [F.min_by(c, "pos").alias(c) for c in segments.columns if c not in {*keys, "end_sec", "confidence"}]
     merged = grouped.groupBy(*keys, "_seg").agg(*first, F.max_by("end_sec", "pos").alias("end_sec"), F.min("confidence").alias("confidence"))
     return snap_gaps(merged.select(*segments.columns), keys, tie, max_gap, overlaps=False)
@@ -76,58 +78,58 @@ def expand_boundaries(segments: DataFrame, keys: Sequence[str], order: Sequence[
     segment can change, so the list is cut between any two that do not grow.  The first
     start and last end are clipped to [0, ``total_sec``].
     """
-    names = segments.columns
     grow = (F.upper("state") == "EXERCISE") & ((F.coalesce("before_sec", F.lit(0.0)) > 0) | (F.coalesce("after_sec", F.lit(0.0)) > 0))
     rows = index_rows(segments.withColumn("_grow", F.coalesce(grow, F.lit(False))), keys, order, lag=["_grow"], total=True)
     cut = (~F.col("_grow") & ~F.coalesce("lag__grow", F.lit(False))).cast("long")
-    chained = running(rows.withColumn("_cut", cut), keys, ["pos"], {"_chain": ("sum", "_cut")}, width=ROWS)
+    marked = rows.withColumn("_cut", cut).drop("lag__grow")
+    chained = running(marked, keys, ["pos"], {"_chain": ("sum", "_cut")}, width=ROWS)
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        start, end = pdf["start_sec"].to_numpy(copy=True), pdf["end_sec"].to_numpy(copy=True)
-        for i in range(len(pdf)):
-            if not pdf["_grow"].iat[i]:
+    def settle(rows: list[dict]) -> list[dict]:
+        for i, seg in enumerate(rows):
+            if not seg["_grow"]:
                 continue
-            before, after = pdf["before_sec"].iat[i], pdf["after_sec"].iat[i]
+            before, after = seg["before_sec"] or 0.0, seg["after_sec"] or 0.0
             if before > 0 and i > 0:
-                wanted = max(start[i - 1], start[i] - before)
-                if wanted < end[i] and wanted < start[i]:
-                    start[i] = wanted
-                    end[i - 1] = min(end[i - 1], wanted)
-            if after > 0 and i + 1 < len(pdf):
-                wanted = min(end[i + 1], end[i] + after)
-                if wanted > start[i] and wanted > end[i]:
-                    end[i] = wanted
-                    start[i + 1] = max(start[i + 1], wanted)
-        return pdf.assign(start_sec=start, end_sec=end)[[*names, "pos", "n_rows"]]
+                left = rows[i - 1]
+                start = max(left["start_sec"], seg["start_sec"] - before)
+                if start < min(seg["start_sec"], seg["end_sec"]):
+                    seg["start_sec"] = start
+                    left["end_sec"] = min(left["end_sec"], start)
+            if after > 0 and i + 1 < len(rows):
+                right = rows[i + 1]
+                end = min(right["end_sec"], seg["end_sec"] + after)
+                if end > max(seg["start_sec"], seg["end_sec"]):
+                    seg["end_sec"] = end
+                    right["start_sec"] = max(right["start_sec"], end)
+        return rows
 
     schema = _plus(segments.schema, T.StructField("pos", T.LongType()), T.StructField("n_rows", T.LongType()))
-    settled = chained.groupBy(*keys, "_chain").applyInPandas(settle, schema).join(totals, list(keys))
+    settled = settle_chains(chained, [*keys, "_chain"], ["pos"], settle, schema).join(totals, list(keys))
     return settled.withColumns(
         {
             "start_sec": F.when(F.col("pos") == 1, F.greatest(F.lit(0.0), F.col("start_sec"))).otherwise(F.col("start_sec")),
             "end_sec": F.when(F.col("pos") == F.col("n_rows"), F.least(F.col("total_sec"), F.col("end_sec"))).otherwise(F.col("end_sec")),
         }
-    ).select(*names)
+    ).select(*segments.columns)
 
 
 def merge_steps(hits: DataFrame, keys: Sequence[str], at: str, kind: str, size: str, apart: float = 3.0) -> DataFrame:
     """Of same-kind hits closer than ``apart`` to the last kept one, keep the largest."""
     rows = index_rows(hits, keys, [at], lag=[at, kind])
     opens = ~F.coalesce((F.col(kind) == F.col(f"lag_{kind}")) & (F.col(at) - F.col(f"lag_{at}") < apart), F.lit(False))
-    chained = running(rows.withColumn("_open", opens.cast("long")), keys, ["pos"], {"_chain": ("sum", "_open")}, width=ROWS)
-    names = hits.columns
+    marked = rows.select(*hits.columns, "pos", opens.cast("long").alias("_open"))
+    chained = running(marked, keys, ["pos"], {"_chain": ("sum", "_open")}, width=ROWS)
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    def settle(rows: list[dict]) -> list[dict]:
         kept: list[dict] = []
-        for row in pdf.sort_values(at).to_dict("records"):
+        for row in rows:
             if not kept or row[at] - kept[-1][at] >= apart:
                 kept.append(row)
             elif abs(row[size]) > abs(kept[-1][size]):
                 kept[-1] = row
-        return pd.DataFrame(kept, columns=pdf.columns)[names]
+        return kept
 
-    return chained.groupBy(*keys, "_chain").applyInPandas(settle, hits.schema)
+    return settle_chains(chained, [*keys, "_chain"], ["pos"], settle, hits.schema)
 
 
 def segment_kind(state):

@@ -10,7 +10,8 @@ has 6,000 rows and a month has 43,200 blocks.
 
 The row branch and the block branch read the same shuffle: the block branch also
 digests the columns it does not need, so both need the same columns, Spark sees
-equal exchanges and runs the input once.
+equal exchanges and runs the input once.  Pass only the columns that are used later:
+an unused one is pruned from the row branch alone and the input runs twice.
 
 Key columns and the first order column are not NULL, and the order is total.
 ``width=None`` keeps each key whole, for groups that are bounded by nature (the
@@ -228,5 +229,5 @@ def gap_islands(
         within = [*keys, "_run"]
     reach = running(staged, within, order, {"_reach": ("max", end)}, inclusive=False, width=width)
     opened = (F.col("_reach").isNull() | (F.col(start) - F.col("_reach") > gap)).cast("long")
-    numbered = running(reach.withColumn("_open", opened), keys, order, {out: ("sum", "_open")}, width=width)
+    numbered = running(reach.withColumn("_open", opened).drop("_reach"), within, order, {out: ("sum", "_open")}, width=width)
     return numbered.select(*df.columns, out)

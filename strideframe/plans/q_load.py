@@ -151,8 +151,8 @@ def _balance_sql() -> str:
     n = len(b.SHARE_TARGETS)
     e = " + ".join(f"e{i}" for i in range(n))
     c = " + ".join(f"c{i}" for i in range(n))
-    body = f"""SELECT user_id, ref_day, strength_days, covered, {fx('g')} AS score_g, {fx('s')} AS score_s, {fx('e')} AS score_e, {fx('c')} AS score_c,
-      {fx('least(score, 100)')} AS score, CASE WHEN score > 0 THEN 'active' ELSE 'insufficient_data' END AS status
+    body = f"""SELECT user_id, ref_day, strength_days, covered, {fx('g', 8)} AS score_g, {fx('s', 8)} AS score_s, {fx('e', 8)} AS score_e, {fx('c', 8)} AS score_c,
+      {fx('least(score, 100)', 8)} AS score, CASE WHEN score > 0 THEN 'active' ELSE 'insufficient_data' END AS status
     FROM (SELECT *, CASE WHEN strength_days = 0 THEN 0 ELSE g * 0.15::DOUBLE + s * 0.4::DOUBLE + e * 0.2::DOUBLE + c * 0.25::DOUBLE END AS score FROM (
       SELECT user_id, ref_day, strength_days, covered, least(strength_days / 2, 1.0::DOUBLE, covered / {n}) * 100 AS g,
         CASE WHEN ex > 0 THEN greatest(1.0::DOUBLE - ({' + '.join(dev)}) * 0.5::DOUBLE, 0) * 100 ELSE 0 END AS s,
@@ -172,7 +172,7 @@ def _balance_sql() -> str:
 @query("l10_balance_score", _balance_sql())
 def l10(t):
     out = load.balance(b.sessions(t), b.executions(t), b.exercises(t), b.SHARE_TARGETS)
-    return out.withColumns({c: fix(F.col(c)) for c in ("score_g", "score_s", "score_e", "score_c", "score")})
+    return out.withColumns({c: fix(F.col(c), 8) for c in ("score_g", "score_s", "score_e", "score_c", "score")})
 
 
 _DAYS = """SELECT user_id, day, count(*) AS sessions, CAST(sum(coalesce(x, 0)) AS BIGINT) AS sets, sum(calories) AS kcal, CAST(sum(minutes) AS BIGINT) AS minutes
@@ -360,7 +360,7 @@ def l19e(t):
     return heart.fatigue_point(_hr(t), ["recording_id"], "t_rel", "hr", "row_id", 5, 0.2)
 
 
-@query("l19_load_trend", sql(f"""SELECT user_id, count(*) AS n, {fx('regr_slope(minutes, d)', 6)} AS slope FROM (SELECT *, CAST(day - DATE '1970-01-01' AS DOUBLE) AS d FROM sessions) GROUP BY ALL""", "sessions"))
+@query("l19_load_trend", sql(f"""SELECT user_id, count(*) AS n, CASE WHEN NOT isnan(regr_slope(minutes, d)) THEN {fx('regr_slope(minutes, d)', 6)} END AS slope FROM (SELECT *, CAST(day - DATE '1970-01-01' AS DOUBLE) AS d FROM sessions) GROUP BY ALL""", "sessions"))
 def l19f(t):
     s = b.sessions(t).withColumn("d", F.unix_date("day").cast("double"))
     return heart.load_trend(s, ["user_id"], "d", "minutes").withColumn("slope", fix(F.col("slope"), 6))

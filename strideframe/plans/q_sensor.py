@@ -14,6 +14,7 @@ from strideframe.operators.stats import circular_mean
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, HOUR, fx, sql
 from strideframe.plans.registry import query
+from strideframe.session import checkpointed
 
 K = ["recording_id"]
 O = ["t_rel", "row_id"]
@@ -142,7 +143,7 @@ def i09(t):
     sets="SELECT * FROM (SELECT recording_id, seg, row_number() OVER w AS set_no, until AS set_start, lead(cut) OVER w AS set_end FROM edges WINDOW w AS (PARTITION BY recording_id, seg ORDER BY cut, until)) WHERE set_end > set_start",
     y="SELECT s.recording_id, s.row_id, s.t_rel, s.acc, g.seg, g.set_no FROM samples s JOIN sets g ON g.recording_id = s.recording_id AND s.t_rel >= g.set_start AND s.t_rel < g.set_end", p=_peaks_sql("y", "recording_id, seg, set_no")))
 def i10(t):
-    return sensor.split_sets(b.samples(t), _segments(t), _rests(t), K, "seg", "t_rel", "row_id", DAY)
+    return sensor.split_sets(b.samples(t), _segments(t), checkpointed(_rests(t)), K, "seg", "t_rel", "row_id", DAY)
 
 
 _W11 = f"""SELECT recording_id, w.k, count(*) AS n, avg(acc) AS acc_mean, stddev_samp(acc) AS acc_std, avg(gyro) AS gyro_mean, max(gyro) AS gyro_max, avg(az) AS az_mean, stddev_samp(az) AS az_std, avg(ax) AS ax_mean, avg(ay) AS ay_mean, avg(abs(ay)) AS ay_abs_mean,
