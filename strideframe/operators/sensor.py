@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from strideframe.functions.ladders import ACC_STD, AZ_POSTURE, FLOW, GYRO, ladder
 from strideframe.functions.mathx import circular_distance, clip, magnitude
@@ -84,24 +84,20 @@ def step_hits(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     return hit.withColumn("kind", F.when(F.col("delta") > 0, "rise").otherwise("drop")).drop("n_rows", "pos")
 
 
-def mark_peaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, prominence: float = 0.15, bounded: bool = True) -> DataFrame:
+def mark_peaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, prominence: float = 0.15) -> DataFrame:
     """``peak``: a local maximum over five rows, ``prominence`` above the group mean.
 
-    ``bounded`` groups (fixed windows) are sorted whole; others are cut into blocks.
+    Neighbours come from position blocks and the mean from an aggregate joined back, so a
+    crowded group (window, segment, recording) is spread over tasks.
     """
-    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("_cnt"))
-
-    def around(w) -> dict:
-        o = w
-        return {"_p1": F.lag(value, 1).over(o), "_p2": F.lag(value, 2).over(o), "_n1": F.lead(value, 1).over(o), "_n2": F.lead(value, 2).over(o)}
-
-    if bounded:
-        near = df.withColumns(around(Window.partitionBy(*keys).orderBy(*order)))
-    else:
-        near = frame(index_rows(df, keys, order), keys, "pos", 2, 2, around).drop("pos")
+    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    near = frame(
+        index_rows(df, keys, order), keys, "pos", 2, 2,
+        lambda w: {"_p1": F.lag(value, 1).over(w), "_p2": F.lag(value, 2).over(w), "_n1": F.lead(value, 1).over(w), "_n2": F.lead(value, 2).over(w)},
+    ).drop("pos")
     v = F.col(value)
     top = (v > F.col("_mean") + prominence) & (v >= F.col("_p1")) & (v >= F.col("_n1")) & (v > F.col("_p2")) & (v > F.col("_n2"))
-    return near.join(means, list(keys)).withColumn("peak", F.coalesce(top, F.lit(False)).cast("int")).drop("_p1", "_p2", "_n1", "_n2", "_mean", "_cnt")
+    return near.join(means, list(keys)).withColumn("peak", F.coalesce(top, F.lit(False)).cast("int")).drop("_p1", "_p2", "_n1", "_n2", "_mean")
 
 
 def _hint(std: Column, posture: Column, peaks: Column) -> Column:
@@ -139,7 +135,7 @@ def segment_summary(df: DataFrame, segments: DataFrame, keys: Sequence[str], seg
     mean = rows.groupBy(*group).agg(F.avg("gyro").alias("_g"))
     sided = rows.join(mean, group).withColumn("_above", (F.col("gyro") > F.col("_g")).cast("int")).drop("_g")
     flips = index_rows(sided, group, [at, tie], lag=["_above"]).drop("pos")
-    peaks = mark_peaks(flips, group, [at, tie], "acc", bounded=False)
+    peaks = mark_peaks(flips, group, [at, tie], "acc")
     out = peaks.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.any_value("start_sec").alias("start_sec"), F.any_value("end_sec").alias("end_sec"),
         F.avg("gyro").alias("gyro_mean"), F.max("gyro").alias("gyro_max"), F.avg("acc").alias("acc_mean"), F.max("acc").alias("acc_max"),
@@ -197,7 +193,7 @@ def split_sets(df: DataFrame, segments: DataFrame, rests: DataFrame, keys: Seque
     ordered = index_rows(edges, group, ["_cut", "_until"], lead=["_cut"])
     sets = ordered.select(*group, F.col("pos").alias("set_no"), F.col("_until").alias("set_start"), F.col("lead__cut").alias("set_end")).filter(F.col("set_end") > F.col("set_start"))
     rows = points_in(df.select(*keys, at, tie, "acc"), sets, keys, at, ("set_start", "set_end"), width, closed=False)
-    reps = mark_peaks(rows, [*group, "set_no"], [at, tie], "acc", bounded=False).groupBy(*group, "set_no").agg(F.sum("peak").alias("reps"))
+    reps = mark_peaks(rows, [*group, "set_no"], [at, tie], "acc").groupBy(*group, "set_no").agg(F.sum("peak").alias("reps"))
     return sets.join(reps, [*group, "set_no"], "left").withColumn("reps", F.coalesce("reps", F.lit(0)))
 
 
@@ -220,17 +216,19 @@ def window_features(df: DataFrame, keys: Sequence[str], at: str, tie: str, total
     ``totals`` has (keys, total_sec, fs).  A window needs max(5, fs // 2) rows.  With
     ``frequency`` the dominant frequency and the periodic score are added.
     """
+    # Neighbours are taken once per row, before rows are copied into their windows; one that
+    # lies outside a window does not count there.
+    near = index_rows(df, keys, [at, tie], lag=["angle_x", "acc", at], lead=["acc", at])
     inside = F.col("k") * stride + F.lit(float(size)) <= F.col("total_sec") + slack
-    wins = into_windows(df, at, size, stride).join(totals, list(keys)).filter(inside)
-    w = Window.partitionBy(*keys, "k")
-    o = w.orderBy(at, tie)
-    rows = wins.withColumns(
-        {
-            "_z": circular_distance(F.col("angle_z"), 180.0), "_dx": F.abs(F.col("angle_x") - F.lag("angle_x").over(o)),
-            "_m": F.avg("acc").over(w), "_sd": F.stddev_pop("acc").over(w), "_l": F.lag("acc").over(o), "_r": F.lead("acc").over(o),
-        }
+    wins = into_windows(near, at, size, stride).join(totals, list(keys)).filter(inside)
+    before = F.col(f"lag_{at}") >= F.col("k") * stride
+    after = F.col(f"lead_{at}") < F.col("k") * stride + F.lit(float(size))
+    level = wins.groupBy(*keys, "k").agg(F.avg("acc").alias("_m"), F.stddev_pop("acc").alias("_sd"))
+    rows = wins.join(level, [*keys, "k"]).withColumns(
+        {"_z": circular_distance(F.col("angle_z"), 180.0), "_dx": F.when(before, F.abs(F.col("angle_x") - F.col("lag_angle_x")))}
     )
-    top = (F.col("acc") - F.col("_m") > F.col("_sd") * 0.3) & (F.col("acc") > F.col("_l")) & (F.col("acc") > F.col("_r"))
+    higher = before & after & (F.col("acc") > F.col("lag_acc")) & (F.col("acc") > F.col("lead_acc"))
+    top = (F.col("acc") - F.col("_m") > F.col("_sd") * 0.3) & higher
     aggs = [
         F.count(F.lit(1)).alias("n"), F.avg("_z").alias("tilt_mean"), F.stddev_pop("_z").alias("tilt_std"), (F.max("_z") - F.min("_z")).alias("tilt_range"),
         F.coalesce(F.avg("_dx"), F.lit(0.0)).alias("drift_mean"),

@@ -25,11 +25,11 @@ def circular_mean(deg: Column) -> Column:
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count and share of each value in its group."""
+    if not keys:
+        return distribution(df.withColumn("_all", F.lit(1)), ["_all"], value).drop("_all")
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    if keys:
-        totals = counts.groupBy(*keys).agg(F.sum("n").alias("_t"))
-        return counts.join(totals, list(keys)).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_t"))
+    return counts.join(totals, list(keys)).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
 
 
 def mode_first(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:

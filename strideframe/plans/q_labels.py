@@ -74,7 +74,7 @@ def e07(t):
 @query("e07_peaks_whole_recording", sql(_PEAK5.replace("recording_id, k,", "recording_id,").replace("CAST(floor(t_rel / 864000.0::DOUBLE) AS BIGINT)", "0").replace("PARTITION BY recording_id, k", "PARTITION BY recording_id"), "samples"))
 def e07b(t):
     rows = b.samples(t).select("recording_id", "row_id", "t_rel", "value")
-    return sensor.mark_peaks(rows, K, O, "value", 5.0, bounded=False).groupBy("recording_id").agg(F.sum("peak").alias("peaks"))
+    return sensor.mark_peaks(rows, K, O, "value", 5.0).groupBy("recording_id").agg(F.sum("peak").alias("peaks"))
 
 
 @query("e08_three_point_peaks", sql(f"""SELECT recording_id, k, count(*) FILTER (acc - m > sd * 0.3::DOUBLE AND acc > l AND acc > r) AS peak_count FROM (
@@ -224,11 +224,13 @@ def j16(t):
     return b.samples(t).groupBy("label", segments.segment_kind(state).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j17_result_to_segment", sql("""SELECT session_id, CAST(count(*) AS INT) AS sets_count, CAST(round_even(sum(CAST(reps AS DOUBLE)) / count(*), 0) AS BIGINT) AS reps_estimate, CASE WHEN session_id % 2 = 0 THEN 'lift' ELSE 'bench' END AS exercise_name FROM executions GROUP BY ALL""", "executions"))
+@query("j17_result_to_segment", sql("""SELECT session_id, line, CASE WHEN line % 3 = 0 THEN 1 ELSE 2 END AS sets_count, CAST(CASE WHEN line % 3 = 0 THEN 0 ELSE round_even((reps + reps + 3) / 2, 0) END AS BIGINT) AS reps_estimate, CASE WHEN session_id % 2 = 0 THEN 'lift' ELSE 'bench' END AS exercise_name, count(*) AS n FROM executions GROUP BY ALL""", "executions"))
 def j17(t):
-    e = b.executions(t).groupBy("session_id").agg(F.collect_list(F.struct("reps")).alias("sets"))
-    res = F.struct("sets", F.when(F.col("session_id") % 2 == 0, "lift").otherwise("").alias("exercise"), F.lit("bench").alias("equipment"))
-    return e.withColumn("_r", res).select("session_id", *[v.alias(k) for k, v in segments.result_fields(F.col("_r")).items()])
+    two = F.array(F.struct("reps"), F.struct((F.col("reps") + 3).alias("reps")))
+    sets = F.when(F.col("line") % 3 != 0, two).otherwise(F.slice(two, 1, 0))
+    res = F.struct(sets.alias("sets"), F.when(F.col("session_id") % 2 == 0, "lift").otherwise("").alias("exercise"), F.lit("bench").alias("equipment"))
+    rows = b.executions(t).withColumn("_r", res).select("session_id", "line", *[v.alias(k) for k, v in segments.result_fields(F.col("_r")).items()])
+    return rows.groupBy("session_id", "line", "sets_count", "reps_estimate", "exercise_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 _WINLAB = """SELECT recording_id, k, gt, pred FROM (SELECT w.recording_id, w.k, r.gt_action AS gt, w.pred, row_number() OVER (PARTITION BY w.recording_id, w.k ORDER BY least(we, gt_end) - greatest(ws, gt_start) DESC, gt_id) AS rn, least(we, gt_end) - greatest(ws, gt_start) AS ov

@@ -310,7 +310,7 @@ def i24(t):
 
 @query("i24_peak_rhythm", sql(f"""SELECT recording_id, count(*) AS peaks, {fx('avg(g)', 4)} AS mean_gap, {fx('stddev_pop(g)', 4)} AS std_gap FROM (SELECT recording_id, t_rel - lag(t_rel) OVER (PARTITION BY recording_id ORDER BY t_rel, row_id) AS g FROM p WHERE peak = 1) GROUP BY ALL""", "samples", p=_peaks_sql("samples", "recording_id")))
 def i24b(t):
-    rows = sensor.mark_peaks(b.samples(t).select("recording_id", "row_id", "t_rel", "acc"), K, O, "acc", bounded=False)
+    rows = sensor.mark_peaks(b.samples(t).select("recording_id", "row_id", "t_rel", "acc"), K, O, "acc")
     return _fixed(sensor.peak_rhythm(rows.filter("peak = 1"), K, "t_rel", "row_id"), "mean_gap", "std_gap", digits=4)
 
 

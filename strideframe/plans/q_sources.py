@@ -44,9 +44,9 @@ def a04(t):
     two = F.to_json(F.array(F.struct(F.lit(1).alias("set_number"), F.col("reps").alias("reps")), F.struct(F.lit(2).alias("set_number"), F.lit(4).alias("reps"))))
     sets = F.when(F.col("line") % 3 == 0, F.concat(F.col("sets").cast("string"), F.lit(',"reps":'), F.col("reps").cast("string"))).otherwise(two)
     item = F.concat(F.lit('{"seg_idx":'), F.col("line").cast("string"), F.lit(',"startTime":0,"endTime":9,"result":{"exercise":"x","confidence":"0.9","sets":'), sets, F.lit("}}"))
-    packed = e.select("session_id", (F.col("line") % 2).alias("side"), item.alias("item")).groupBy("session_id", "side").agg(F.concat_ws(",", F.collect_list("item")).alias("items"))
-    value = F.when(F.col("side") == 0, F.concat(F.lit("["), "items", F.lit("]"))).otherwise(F.concat(F.lit('{"results":['), "items", F.lit("]}")))
-    rows = readers.parse_recognition(packed.withColumn("value", value), "session_id", "side")
+    side = F.col("line") % 2
+    value = F.when(side == 0, F.concat(F.lit("["), item, F.lit("]"))).otherwise(F.concat(F.lit('{"results":['), item, F.lit("]}")))
+    rows = readers.parse_recognition(e.select("session_id", side.alias("side"), value.alias("value")), "session_id", "side")
     return rows.groupBy("session_id", "side").agg(F.count(F.lit(1)).alias("results"), F.sum("total_sets").alias("total_sets"), F.sum("total_reps").alias("total_reps"))
 
 
@@ -95,7 +95,7 @@ def a08(t):
 @query("a10_plan_documents", sql("SELECT session_id, count(DISTINCT line % 3) AS days, count(*) AS entries, CAST(sum(sets) AS BIGINT) AS sets FROM executions GROUP BY ALL", "executions"))
 def a10(t):
     item = F.struct(F.col("exercise_id").cast("string").alias("exercise_id"), F.lit("main").alias("phase"), F.col("sets").alias("sets"))
-    days = b.executions(t).groupBy("session_id", (F.col("line") % 3).alias("day")).agg(F.collect_list(item).alias("exercises"))
+    days = b.executions(t).select("session_id", (F.col("line") % 3).alias("day"), F.array(item).alias("exercises"))
     plan = F.struct(F.lit("2024-01-01").alias("generated_at"), F.struct(F.array(F.struct("day", "exercises")).alias("weekly_schedule")).alias("plan"))
     rows = readers.parse_plans(days.select("session_id", F.to_json(plan).alias("value")), "session_id")
     return rows.groupBy("session_id").agg(F.count_distinct("day").alias("days"), F.count(F.lit(1)).alias("entries"), F.sum("sets").alias("sets"))

@@ -159,10 +159,14 @@ def test_nearest_equals_all_pairs_over_blocks(spark):
         assert [got[q][k] for k in (1, 2, 3, 4)] == list(np.argsort(-score[q], kind="stable")[:4])
 
 
-def test_lsh_only_returns_near_pairs(spark):
-    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.99, 0.05]), (2, [0.0, 1.0])], "id long, v array<double>")
-    got = {(r.q, r.id) for r in vec.approximate_pairs(df.withColumnRenamed("id", "q"), df, "q", "id", "v", 0.3).collect()}
-    assert got >= {(0, 0), (1, 1), (2, 2)} and (0, 2) not in got
+def test_lsh_ranks_near_items_and_copies(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.99, 0.05]), (2, [0.0, 1.0])] + [(10 + i, [0.0, 1.0]) for i in range(20)], "id long, v array<double>")
+    out = vec.approximate_nearest(df.withColumnRenamed("id", "q"), df, 3, "q", "id", "v", 0.3).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got.setdefault(r.q, []).append(r.id)
+    assert got[0][0] == 0 and got[1][0] == 1 and set(got[0]) <= {0, 1}
+    assert all(got[q] == [2, 10, 11] for q in [2, *range(10, 30)])
 
 
 def test_near_duplicate_frames(spark):
