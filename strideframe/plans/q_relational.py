@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from strideframe.functions import text
@@ -13,7 +15,7 @@ from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, HOUR, fx, sql
 from strideframe.plans.registry import query
 
-_DAYS = (F.lit("1997-01-01").cast("date"), F.lit("1997-12-31").cast("date"))
+_DAYS = (date(1997, 1, 1), date(1997, 12, 31))
 
 
 @query("a11_table_source", "SELECT count(*) AS n, count(DISTINCT p_brand) AS brands FROM part")
