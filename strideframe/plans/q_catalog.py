@@ -34,7 +34,7 @@ def n01(t):
     return _resolved(t).select("seen", "matched", "stage")
 
 
-@query("c14_edit_distance_join", sql("SELECT seen, name, levenshtein(seen, name) AS dist FROM seen, cat WHERE levenshtein(seen, name) <= 2", seen=_SEEN, cat=_CAT))
+@query("c14_edit_distance_join", sql("SELECT seen, name, CAST(levenshtein(seen, name) AS INT) AS dist FROM seen, cat WHERE levenshtein(seen, name) <= 2", seen=_SEEN, cat=_CAT))
 def c14(t):
     left = _seen(t).withColumn("_d", F.explode(names.deletions(F.col("seen"))))
     cat = t.part.filter("p_partkey % 3 <> 0 OR p_partkey < 40").select(F.col("p_name").alias("name")).distinct()

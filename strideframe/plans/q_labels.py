@@ -43,7 +43,7 @@ def e04(t):
     return b.label_runs(t)
 
 
-@query("e05_gap_islands", sql(f"""SELECT recording_id, label, island, min(t_rel) AS start_sec, max(e) AS end_sec, count(*) AS n FROM (
+@query("e05_gap_islands", sql(f"""SELECT recording_id, label, CAST(island AS BIGINT) AS island, min(t_rel) AS start_sec, max(e) AS end_sec, count(*) AS n FROM (
       SELECT *, sum(CASE WHEN reach IS NULL OR t_rel - reach > {DAY / 2} THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id, run_id ORDER BY t_rel, row_id) AS island FROM (
         SELECT *, max(e) OVER (PARTITION BY recording_id, run_id ORDER BY t_rel, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT *, t_rel + k * 600 AS e FROM run_rows)))
     GROUP BY recording_id, label, run_id, island""", "run_rows"))

@@ -385,7 +385,7 @@ def l21(t):
 
 
 @query("l22_activity_weeks", sql(f"""SELECT user_id, week_start, minutes, {fx('minutes / 7')} AS day_mean, best_day, goal_days, {fx('CASE WHEN follows AND pm > 0 THEN (minutes - pm) / pm * 100 ELSE 0 END')} AS change_pct,
-      row_number() OVER (PARTITION BY user_id, grp ORDER BY week_start) AS streak
+      CAST(row_number() OVER (PARTITION BY user_id, grp ORDER BY week_start) AS INT) AS streak
     FROM (SELECT *, sum(CASE WHEN follows THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY week_start) AS grp FROM (
       SELECT *, coalesce(week_start - lag(week_start) OVER w = 7, false) AS follows, lag(minutes) OVER w AS pm FROM (
         SELECT user_id, {_WEEK} AS week_start, CAST(sum(minutes) AS BIGINT) AS minutes, arg_min(day, (-minutes, day)) AS best_day, count(*) FILTER (minutes >= 60) AS goal_days FROM days GROUP BY ALL)

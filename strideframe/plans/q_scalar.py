@@ -24,7 +24,7 @@ def hs02(t):
     return t.part.select("p_partkey", text.drop_brackets(F.concat("p_name", F.lit("（"), "p_brand", F.lit("）"))).alias("bare"))
 
 
-@query("h_s03_strip_dirty", "SELECT doc_id, length(regexp_replace(text, '[?\\n\\r\\t\\x00-\\x1f]', '', 'g')) AS n, contains(regexp_replace(text, '[?\\n\\r\\t\\x00-\\x1f]', '', 'g'), '?') AS dirty FROM documents")
+@query("h_s03_strip_dirty", "SELECT doc_id, length(regexp_replace(text, '[?\\n\\r\\t\\x00-\\x1f]', '', 'g'))::INT AS n, contains(regexp_replace(text, '[?\\n\\r\\t\\x00-\\x1f]', '', 'g'), '?') AS dirty FROM documents")
 def hs03(t):
     clean = F.regexp_replace("text", text.DIRTY_ID, "")
     return t.documents.select("doc_id", F.length(clean).alias("n"), clean.contains("?").alias("dirty"))
@@ -55,7 +55,7 @@ def hs07(t):
     return b.exercises(t).select("exercise_id", F.concat_ws(" ", "name", F.lit("主要肌群:"), "primary_muscle", F.lit("器械:"), "equipment", F.lit("难度:"), "difficulty").alias("record"))
 
 
-@query("h_s08_edit_distance", "SELECT p_partkey, levenshtein(p_name, p_type) AS d, CASE WHEN levenshtein(p_name, 'red bolt') <= 4 THEN levenshtein(p_name, 'red bolt') ELSE -1 END AS near FROM part")
+@query("h_s08_edit_distance", "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INT) AS d, CAST(CASE WHEN levenshtein(p_name, 'red bolt') <= 4 THEN levenshtein(p_name, 'red bolt') ELSE -1 END AS INT) AS near FROM part")
 def hs08(t):
     return t.part.select("p_partkey", F.levenshtein("p_name", "p_type").alias("d"), F.levenshtein("p_name", F.lit("red bolt"), 4).alias("near"))
 
@@ -173,7 +173,7 @@ def ha03(t):
     return t.part.select("p_partkey", F.array_join(text.keep_members(F.split("p_name", " "), F.array(*[F.lit(v) for v in _VALID])), ",").alias("kept"))
 
 
-@query("h_a04_reps_text", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 2 END AS sets, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size + 12 END AS reps FROM part")
+@query("h_a04_reps_text", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 2 END AS sets, CAST(CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size + 12 END AS BIGINT) AS reps FROM part")
 def ha04(t):
     raw = F.when(F.col("p_size") % 3 == 0, "max effort").otherwise(F.concat(F.lit(" 12 x "), F.col("p_size").cast("string"), F.lit("  ")))
     return t.part.select("p_partkey", text.reps_sets(raw).alias("sets"), text.reps_sum(raw).alias("reps"))

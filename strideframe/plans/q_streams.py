@@ -10,6 +10,7 @@ from strideframe.functions.mathx import fix, magnitude
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, fx, sql
 from strideframe.plans.registry import query
+from strideframe.session import shared_folder
 from strideframe.streaming import monitors as mon
 
 _IDLE = """SELECT recording_id, min(t_rel) AS since, min(t_rel) FILTER (t_rel - s0 > 86400) AS alert_at FROM (SELECT *, min(t_rel) OVER (PARTITION BY recording_id, run) AS s0 FROM (
@@ -25,8 +26,7 @@ def p01(t):
 
 def _folder(t) -> str:
     """The shared folder of the cluster; a temporary one only when none is set."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return shared or tempfile.mkdtemp(prefix="strideframe-stream-")
+    return shared_folder(t.spark) or tempfile.mkdtemp(prefix="strideframe-stream-")
 
 
 def _stream(t):

@@ -24,14 +24,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "str
     )
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``, if any."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative job with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
-    session without that setting (tests, a laptop) gets a temporary folder.
+    It goes to the context's checkpoint folder, or to :func:`shared_folder`.  Only a session
+    that names neither (tests, a laptop) gets a temporary folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strideframe-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="strideframe-checkpoint-"))
     return df.checkpoint(eager=True)
