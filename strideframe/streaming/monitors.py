@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,6 +49,8 @@ def idle_alert_stream(stream: DataFrame, key: str, motion: str, threshold: float
     """One alert per user and low-motion run, with a three-value state per user.
 
     A silent user's state is dropped ``forget_sec`` of event time after the last reading.
+    A task holds one user's readings of one micro-batch; bound it at the source (files or
+    offsets per trigger).
     """
 
     def follow(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -131,22 +134,35 @@ def late_split(batch: DataFrame, watermark: float | None) -> tuple[DataFrame, Da
     return batch.filter(~late), batch.filter(late)
 
 
+def _mark_before(rows: DataFrame, folder: str, batch_id: int) -> float | None:
+    """The largest watermark written by an earlier batch."""
+    try:
+        marks = rows.sparkSession.read.schema("mark double, batch_id long").json(folder)
+    except AnalysisException:
+        return None
+    return marks.filter(F.col("batch_id") < batch_id).agg(F.max("mark")).first()[0]
+
+
 def append_biometrics(path: str, quarantine: str, delay_sec: float, replace: Callable[[DataFrame, str], None]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: rows on time go to ``replace`` (user-day replacement),
-    late ones to a quarantine folder named by batch, so a repeated batch overwrites itself."""
-    seen: dict[str, float] = {}
+    """A ``foreachBatch`` function: rows on time go to ``replace`` (user-day replacement), late
+    ones to a quarantine folder.
+
+    Late rows and the watermark are written under the batch number, and a batch only reads
+    marks of earlier ones, so a batch that runs again after a failure does the same again.
+    """
+    marks = f"{quarantine}/_marks"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = checkpointed(batch.dropDuplicates(["user_id", "ts"]))
-        mark = seen.get("mark")
+        mark = _mark_before(rows, f"{marks}/*", batch_id)
         fine, late = late_split(rows, mark)
         if not fine.isEmpty():
             replace(fine, path)
         if not late.isEmpty():
             late.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
-        top = rows.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
-        if top is not None:
-            seen["mark"] = max(mark or float("-inf"), top / 1e6 - delay_sec)
+        top = F.max(F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6 - delay_sec
+        mark_row = rows.agg(F.greatest(top, F.lit(mark)).alias("mark")).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        mark_row.write.mode("overwrite").json(f"{marks}/b{batch_id}")
 
     return handle
 
