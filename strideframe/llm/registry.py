@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("bytebpe", "decontaminate")
+MODULES = ("near_vectors", "toxicity", "substring", "bytebpe", "decontaminate", "minhash")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
