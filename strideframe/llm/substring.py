@@ -138,10 +138,10 @@ def deep_leaves(group: np.ndarray, words: np.ndarray, start: np.ndarray, owner:
         live, node = live[keep], node[keep]
         if not len(live):
             return found
-    low, high = (f(len(live)) for f in (lambda n: np.full(n, np.iinfo(np.int64).max), lambda n: np.full(n, -1)))
+    nodes = int(node.max()) + 1
+    low, high, twice = np.full(nodes, np.iinfo(np.int64).max), np.full(nodes, -1), np.zeros(nodes, bool)
     np.minimum.at(low, node, owner[live])
     np.maximum.at(high, node, owner[live])
-    twice = np.zeros(len(live), bool)
     np.logical_or.at(twice, node, many[live])
     found[live] = ((low != high) | twice)[node]
     return found
