@@ -193,10 +193,10 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts."""
+    """doc_id, ids, n_tokens, ids_sha256, decoded_sha256 of whole texts."""
     decoded = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
     return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
     )
 
 
@@ -205,4 +205,4 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     """All documents through the public 50k vocabulary."""
     import public_tokenizers
 
-    return round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")

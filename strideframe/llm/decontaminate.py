@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.llm.registry import query, table
-from strideframe.llm.scratch import run_folder, settled
+from strideframe.llm.scratch import run_folder, settled, without_keys
 
 WINDOW, LITERAL, SHARE, RUN = 5, 3, 0.8, 13
 #: Benchmark windows up to this number are broadcast; more are joined by a shuffle.
@@ -119,6 +119,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     )
 
 
+def without_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns."""
+    leaks = settled(alignments(docs, bench).select("doc_id", "h_text").distinct(), run_folder(docs.sparkSession), "leaks")
+    return without_keys(docs, leaks)
+
+
 _SQL_MARK = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(1) || chr(2) || chr(3), '   '), '{after}', '\\1' || chr(2) || '\\2', 'g'), '{after}', '\\1' || chr(2) || '\\2', 'g'), '{unit}', '\\1 ' || chr(3) || '\\2\\3', 'g'), '({number})', chr(1) || '\\1', 'g')".format(after=_AFTER, unit=_UNIT, number=_NUMBER)
 _SQL_TEMPLATE = "regexp_extract_all(lower(regexp_replace(regexp_replace(mark, chr(1) || '{number}', chr(1), 'g'), '([' || chr(2) || chr(3) || ']){word}', '\\1', 'g')), '[' || chr(1) || chr(2) || chr(3) || ']|{word}')".format(number=_NUMBER, word=_WORD)
 _SQL_SURFACE = "regexp_extract_all(mark, chr(1) || '{number}|[' || chr(2) || chr(3) || ']?{word}')".format(number=_NUMBER, word=_WORD)

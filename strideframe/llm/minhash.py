@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strideframe.llm.components import components
 from strideframe.llm.registry import query, table
-from strideframe.llm.scratch import run_folder, settled
+from strideframe.llm.scratch import run_folder, settled, without_keys
 from strideframe.llm.textkit import U64, mixed, run_hashes, signed, slices, words_of
 
 SHINGLE, BUCKETS, MANTISSA, BANDS, ROWS, SLICE, MARGIN = 5, 128, 10, 24, 5, 256, 5.0
@@ -165,7 +165,7 @@ def _links(pairs: DataFrame, classes: DataFrame, source: DataFrame, least_percen
 
 
 def near_duplicates(docs: DataFrame, least_percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, h_text, n_shingles, component_id, kept. Links have at least ``least_percent`` hundredths of Jaccard similarity."""
+    """One row per document: doc_id, h_text, n_shingles, component_id, kept and group, the component as a number. Links have at least ``least_percent`` hundredths of Jaccard similarity."""
     folder = run_folder(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("h_text"), F.col(text).cast("string").alias("text"))
     kind = next(t for c, t in source.dtypes if c == "doc_id")
@@ -197,16 +197,31 @@ def near_duplicates(docs: DataFrame, least_percent: int = 85, doc_id: str = "doc
         labels = components(links.unionByName(_links(rest, classes, source, least_percent, folder, "more")), folder, "second")
     named = classes.select("set_id", "least_id").join(labels, F.col("set_id") == F.col("id"), "left").select("set_id", "least_id", F.coalesce("comp", "set_id").alias("comp"))
     heads = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of_class = named.join(heads, "comp").select("set_id", "component_id")
+    of_class = named.join(heads, "comp").select("set_id", "component_id", F.col("comp").alias("group"))
     out = sketches.select("doc_id", "h_text", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(of_class, "set_id", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "h_text", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "h_text", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"), "group")
+
+
+def one_of_each(docs: DataFrame, least_percent: int = 80) -> DataFrame:
+    """One document of each group of near-duplicates (the least id), and all without words; with all their columns.
+
+    Of rows that repeat a document's id and text one stays.
+    """
+    judged = settled(near_duplicates(docs, least_percent).where("group is not null"), run_folder(docs.sparkSession), "judged")
+    rank = lambda: F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h_text")
+    heads = judged.groupBy("group").agg(F.min(rank()).alias("head"))
+    losers = judged.join(heads, "group").where(~F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h_text").eqNullSafe(F.col("head"))).select("doc_id", "h_text").distinct()
+    out = without_keys(docs, settled(losers, run_folder(docs.sparkSession), "losers"))
+    if judged.groupBy("doc_id", "h_text").count().where("count > 1").isEmpty():
+        return out
+    return out.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
 @query("op10_minhash")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """All documents at Jaccard 0.85."""
-    return near_duplicates(table(spark, folder, "documents"), 85).drop("h_text")
+    return near_duplicates(table(spark, folder, "documents"), 85).drop("h_text", "group")
 
 
 def brute_force(rows: list[tuple[int, str | None]], least_percent: int = 85) -> dict[int, tuple[int, int]]:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strideframe.session import shared_folder
 
@@ -37,3 +38,19 @@ def settled(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Keys up to this number are broadcast (a few tens of MB); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def without_keys(docs: DataFrame, keys: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, h_text) is not in the settled table ``keys``.
+
+    Broadcasting a counted, small table of keys spares the texts a shuffle.
+    """
+    few = keys.select(F.col("doc_id").alias("_id"), F.col("h_text").alias("_hash"))
+    if few.count() <= BROADCAST_KEYS:
+        few = F.broadcast(few)
+    same = [F.col(doc_id).eqNullSafe(F.col("_id")), F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0)) == F.coalesce("_hash", F.lit(0))]
+    return docs.join(few, same, "left_anti")

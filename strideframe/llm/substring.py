@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strideframe.llm.registry import query, table
 from strideframe.llm.scratch import run_folder, settled
@@ -208,39 +209,49 @@ def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return hits.groupBy("doc_id", "h_text").agg(F.collect_list(F.struct("head", "mask")).alias("spots"))
 
 
-def _strip(batches: Batches) -> Batches:
-    for batch in (part for whole in batches for part in slices(whole, "text")):
-        words = words_of(batch.column("text"))
-        change = np.zeros(len(words.code) + 1, np.int64)
-        spots = batch.column("spots")
-        lists = spots.combine_chunks() if isinstance(spots, pa.ChunkedArray) else spots
-        flat = lists.flatten()
-        owner = np.repeat(np.arange(batch.num_rows), [len(x) if x.is_valid else 0 for x in lists])
-        head, mask = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-        for k in range(WIDTH - PREFIX + 1):
-            on = (mask >> k) & 1 == 1
-            at = words.first[owner[on]] + head[on] + k
-            np.add.at(change, at, 1)
-            np.add.at(change, at + WIDTH, -1)
-        keep = np.cumsum(change[:-1]) == 0
-        removed = np.bincount(words.owner()[~keep], minlength=batch.num_rows).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h_text"), pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(words.joined(keep), pa.binary()).cast(pa.string())], ["doc_id", "h_text", "n_words", "n_removed", "kept"])
+def _strip(text: str):
+    def run(batches: Batches) -> Batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
+            words = words_of(batch.column(text))
+            change = np.zeros(len(words.code) + 1, np.int64)
+            lists = batch.column("_spots")
+            flat = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), [len(x) if x.is_valid else 0 for x in lists])
+            head, mask = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            for k in range(WIDTH - PREFIX + 1):
+                on = (mask >> k) & 1 == 1
+                at = words.first[owner[on]] + head[on] + k
+                np.add.at(change, at, 1)
+                np.add.at(change, at + WIDTH, -1)
+            keep = np.cumsum(change[:-1]) == 0
+            removed = np.bincount(words.owner()[~keep], minlength=batch.num_rows).astype(np.int64)
+            own = [c for c in batch.schema.names if c != "_spots"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(words.joined(keep), pa.binary()).cast(pa.string())], [*own, "_n_words", "_n_removed", "_kept"])
+
+    return run
 
 
 def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, h_text, n_words, n_removed and kept, the words that stay joined by one space."""
-    source = _source(docs, doc_id, text)
-    kind = next(t for c, t in source.dtypes if c == "doc_id")
+    """All rows and columns, and _n_words, _n_removed and _kept, the words that stay joined by one space."""
     places = repeated_places(docs, doc_id, text)
-    same = [F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("d.h_text") == F.col("p.h_text")]
-    joined = source.alias("d").join(places.alias("p"), same, "left").select("d.doc_id", "d.h_text", "d.text", "p.spots")
-    return joined.mapInArrow(_strip, f"doc_id {kind}, h_text long, n_words long, n_removed long, kept string")
+    same = [F.col(f"d.{doc_id}").eqNullSafe(F.col("p.doc_id")), F.xxhash64(F.col(f"d.{text}").cast("string")) == F.col("p.h_text")]
+    joined = docs.alias("d").join(places.alias("p"), same, "left").select("d.*", F.col("p.spots").alias("_spots"))
+    more = [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept", T.StringType())]
+    return joined.mapInArrow(_strip(text), T.StructType([*docs.schema.fields, *more]))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with repeated passages cut out; a text that loses nothing stays as it is."""
+    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
+    changed = {"text": text} | ({"n_chars": F.when(F.col("_n_removed") > 0, F.length("_kept")).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {})
+    return strip_repeats(docs).withColumns(changed).select(docs.columns)
 
 
 @query("op3_substring")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """All documents; the digest of the words that stay."""
-    return strip_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    out = strip_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def brute_force(texts: list[str | None]) -> list[tuple[int, int, str]]:

@@ -23,6 +23,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Lower case, with every ASCII sign that is neither letter nor digit as white space.
+PLAIN = np.array([_LOWER[b] if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)], np.uint8)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -104,9 +106,9 @@ class Words:
         return [raw[size[i] : size[i + 1] - 1] if n_words[i] else b"" for i in range(len(n_words))]
 
 
-def _scan(data: np.ndarray, edges: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if lower:
-        data = _LOWER[data]
+def _scan(data: np.ndarray, edges: np.ndarray, fold: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if fold is not None:
+        data = fold[data]
     solid = ~_SPACE[data]
     before = np.concatenate([[False], solid[:-1]])
     before[edges[edges < len(data)]] = False
@@ -131,8 +133,9 @@ def _cuts(data: np.ndarray) -> list[int]:
     return [*cuts, len(data)]
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """The words of an Arrow string array; a null is an empty text. ``lower``: A-Z as a-z."""
+def words_of(texts: pa.Array, lower: bool = False, fold: np.ndarray | None = None) -> Words:
+    """The words of an Arrow string array; a null is an empty text. ``lower``: A-Z as a-z; ``fold``: another table of bytes."""
+    fold = _LOWER if lower else fold
     texts = texts.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     body = texts.buffers()[2]
@@ -140,10 +143,10 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     edges = offsets - offsets[0]
     if len(data) > 2 * SLICE_BYTES and len(texts) == 1:
         cuts = _cuts(data)
-        parts = [(_scan(data[a:b], np.array([0, b - a]), lower), a) for a, b in zip(cuts, cuts[1:])]
+        parts = [(_scan(data[a:b], np.array([0, b - a]), fold), a) for a, b in zip(cuts, cuts[1:])]
         start, stop, code = (np.concatenate([p[i] + (a if i < 2 else U64(0)) for p, a in parts]) for i in range(3))
     else:
-        start, stop, code = _scan(data, edges, lower) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))
+        start, stop, code = _scan(data, edges, fold) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))
     return Words(data, code, start, stop, np.searchsorted(start, edges))
 
 

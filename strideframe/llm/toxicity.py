@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strideframe.llm.registry import query, table
 from strideframe.llm.scratch import run_folder, settled
@@ -165,29 +166,28 @@ def _gather(model):
     return run
 
 
-def _scorer(model, wanted, id_kind: str, hits_only: bool):
-    """Per text the indexes of wanted features, or the score."""
+def _hits(restorer: Restorer, index: dict[str, int], known: dict[str, tuple], texts: list[str | None]) -> list[list[int]]:
+    """The indexes of the features in each text."""
+    rows = []
+    for text in texts:
+        found: set[int] = set()
+        for t in restorer.tokens(text):
+            ids = known.get(t)
+            if ids is None:
+                ids = known[t] = tuple(index[f] for w in restorer[t] for f in features(w) if f in index)
+            found.update(ids)
+        rows.append(sorted(found))
+        if len(known) > CACHE:
+            known.clear()
+    return rows
 
+
+def _matrix(model, wanted):
     def run(batches: Batches) -> Batches:
-        index, weights, intercept = wanted.value
         restorer, known = Restorer(model.value), {}
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            rows = []
-            for text in batch.column("text").to_pylist():
-                found: set[int] = set()
-                for t in restorer.tokens(text):
-                    ids = known.get(t)
-                    if ids is None:
-                        ids = known[t] = tuple(index[f] for w in restorer[t] for f in features(w) if f in index)
-                    found.update(ids)
-                rows.append(sorted(found))
-                if len(known) > CACHE:
-                    known.clear()
-            if hits_only:
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "hits"])
-            else:
-                raw = np.array([intercept + weights[r].sum() if r else intercept for r in rows], float)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-raw)))], ["doc_id", "score"])
+            rows = _hits(restorer, wanted.value, known, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "hits"])
 
     return run
 
@@ -216,31 +216,57 @@ def held_out(doc_id: str):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+class Scorer:
+    """A fitted model: the trigrams, the features with their weights, and the intercept."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic"):
+        spark, folder = docs.sparkSession, run_folder(docs.sparkSession)
+        source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+        self.model = spark.sparkContext.broadcast(trigram_model(source))
+        known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+        share = SAMPLE / max(1, known.count())
+        sample = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < int(share * 2**63)) if share < 1 else known
+        # about SAMPLE narrow rows, whatever the size of the tables
+        fitted = source.join(F.broadcast(sample), "doc_id").where("text is not null").groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("text", "toxic")
+        fitted = settled(fitted, folder, "fitted")
+        total, toxic = fitted.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        n, t = F.col("n"), F.col("toxic")
+        odds = F.log((t + 0.5) / (toxic - t + 0.5)) - F.log((n - t + 0.5) / (total - toxic - n + t + 0.5))
+        error = F.sqrt(1 / (t + 0.5) + 1 / (toxic - t + 0.5) + 1 / (n - t + 0.5) + 1 / (total - toxic - n + t + 0.5))
+        counts = fitted.mapInArrow(_gather(self.model), "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+        chosen = counts.select("feature", odds.alias("odds"), (odds / error).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "feature").limit(FEATURES).toPandas()
+        index = {f: i for i, f in enumerate(chosen["feature"])}
+        matrix = fitted.mapInArrow(_matrix(self.model, spark.sparkContext.broadcast(index)), "toxic int, hits array<int>").toPandas()
+        weights, intercept = np.zeros(len(index)), 0.0
+        if len(matrix):
+            weights, intercept = fit_logistic([list(h) for h in matrix["hits"]], matrix["toxic"].to_numpy(float), len(index))
+        self.fitted = spark.sparkContext.broadcast((index, weights, intercept))
+
+    def add(self, docs: DataFrame, column: str, text: str = "text") -> DataFrame:
+        """All rows and columns of ``docs``, with the score as ``column``."""
+        model, fitted = self.model, self.fitted
+
+        def run(batches: Batches) -> Batches:
+            index, weights, intercept = fitted.value
+            restorer, known = Restorer(model.value), {}
+            for batch in (part for whole in batches for part in slices(whole, text)):
+                rows = _hits(restorer, index, known, batch.column(text).to_pylist())
+                raw = np.array([intercept + weights[r].sum() if r else intercept for r in rows], float)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-raw)))], [*batch.schema.names, column])
+
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    spark, folder = docs.sparkSession, run_folder(docs.sparkSession)
+    scorer = Scorer(docs, labels, doc_id, text, label)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    id_kind = next(t for c, t in source.dtypes if c == "doc_id")
-    model = spark.sparkContext.broadcast(trigram_model(source))
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    share = SAMPLE / max(1, known.count())
-    sample = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < int(min(1.0, share) * (2**63 - 1))) if share < 1 else known
-    # about SAMPLE narrow rows, whatever the size of the tables
-    fitted = source.join(F.broadcast(sample), "doc_id").where("text is not null").groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("text", "toxic")
-    fitted = settled(fitted, folder, "fitted")
-    total, toxic = fitted.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    n, t = F.col("n"), F.col("toxic")
-    odds = F.log((t + 0.5) / (toxic - t + 0.5)) - F.log((n - t + 0.5) / (total - toxic - n + t + 0.5))
-    error = F.sqrt(1 / (t + 0.5) + 1 / (toxic - t + 0.5) + 1 / (n - t + 0.5) + 1 / (total - toxic - n + t + 0.5))
-    counts = fitted.mapInArrow(_gather(model), "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    chosen = counts.select("feature", odds.alias("odds"), (odds / error).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "feature").limit(FEATURES).toPandas()
-    index = {f: i for i, f in enumerate(chosen["feature"])}
-    draft = spark.sparkContext.broadcast((index, np.zeros(len(index)), 0.0))
-    matrix = fitted.mapInArrow(_scorer(model, draft, id_kind, True), "toxic int, hits array<int>").toPandas()
-    weights, intercept = fit_logistic([list(h) for h in matrix["hits"]], matrix["toxic"].to_numpy(float), len(index)) if len(matrix) else (np.zeros(len(index)), math.log(0.5 / 0.5))
-    final = spark.sparkContext.broadcast((index, weights, intercept))
-    scored = source.mapInArrow(_scorer(model, final, id_kind, False), f"doc_id {id_kind}, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scorer.add(source, "score").select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score below one half, with all their columns."""
+    return Scorer(docs, labels).add(docs, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
 @query("op2_toxicity")
