@@ -10,8 +10,10 @@ collision probability of long ones.  ``BANDS`` bands of ``ROWS`` registers give
 * In each band bucket every class is compared with one pivot, the class that shares most buckets
   with others.  Pairs whose Jaccard estimate, corrected for chance collisions of registers, lies
   ``MARGIN`` standard errors below the threshold are dropped; the rest is confirmed on full sets.
-* Classes of one bucket that are still in different components are then compared pair by pair under
-  the same estimate, so nothing rests on the choice of the pivot.  Pairs inside a component need no comparison.
+* Classes of one bucket that are still in different components are then compared with each other, so
+  nothing rests on the choice of the pivot; pairs inside a component need no comparison.  Up to ``SMALL`` classes meet pair by
+  pair under the same estimate.  Larger buckets are dealt in tiles of two blocks of about ``BLOCK`` classes, which compare
+  full sets by matrix products and give a spanning forest of the links, never the pairs.
 * A pivot's partners are dealt over tasks in slices of ``SLICE``; no task holds a group.
 
 A pair at the threshold misses all bands with probability 8e-7 and the estimate with 1e-6.
@@ -32,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm.components import components
+from strideframe.llm.components import components, roots
 from strideframe.llm.registry import query, table
 from strideframe.llm.scratch import run_folder, settled, without_keys
 from strideframe.llm.textkit import U64, mixed, run_hashes, signed, slices, words_of
 
-SHINGLE, BUCKETS, MANTISSA, BANDS, ROWS, SLICE, MARGIN = 5, 128, 10, 24, 5, 256, 5.0
+SHINGLE, BUCKETS, MANTISSA, BANDS, ROWS, SLICE, MARGIN, SMALL, BLOCK = 5, 128, 10, 24, 5, 256, 5.0, 32, 400
 Batches = Iterator[pa.RecordBatch]
 _DONORS = np.random.default_rng(20_011).integers(0, BUCKETS, (4096, BUCKETS))
 
@@ -144,6 +146,51 @@ def _confirm(least_percent: int):
     return run
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all pairwise intersections."""
+    owner, flat = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    owner, column = owner[common], np.unique(column[common], return_inverse=True)[1]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, 4096):
+        part = (column >= at) & (column < at + 4096)
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[owner[part], column[part] - at] = 1
+        out += held @ held.T
+    return out.astype(np.int64)
+
+
+def _tiles(least_percent: int):
+    """Rows come sorted by (band, tile): the classes of two blocks with their texts."""
+
+    def links(ids: list[int], comps: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        both, size = _shared(sets), np.array([len(x) for x in sets])
+        comp, ids = np.array(comps), np.array(ids)
+        good = (100 * both >= least_percent * (size[:, None] + size[None] - both)) & (comp[:, None] != comp[None])
+        i, j = np.nonzero(good)
+        root = ids[roots(len(ids), i, j)]
+        return ids[root != ids], root[root != ids]
+
+    def run(batches: Batches) -> Batches:
+        key, held = None, ([], [], [])
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            code, first = _sets(batch.column("text"))
+            out = []
+            for i, (band, tile, ident, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("band", "tile", "set_id", "comp")))):
+                if key != (band, tile):
+                    if held[0]:
+                        out.append(links(*held))
+                    key, held = (band, tile), ([], [], [])
+                for column, value in zip(held, (ident, comp, code[first[i] : first[i + 1]])):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64)) for k in (0, 1)], ["a", "b"])
+        if held[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links(*held)], ["a", "b"])
+
+    return run
+
+
 def _likely(left: Column, right: Column, least_percent: int) -> Column:
     """The corrected Jaccard estimate is not ``MARGIN`` standard errors below the threshold."""
     j, c = least_percent / 100, chance()
@@ -151,12 +198,17 @@ def _likely(left: Column, right: Column, least_percent: int) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) >= least
 
 
+def _texts(ids: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
+    """set_id, text of the named classes."""
+    spots = classes.join(ids, "set_id", "left_semi").select("set_id", F.col("spot.doc_id").alias("doc_id"), F.col("spot.h_text").alias("h_text"))
+    same = [F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), F.col("d.h_text") == F.col("s.h_text")]
+    return source.alias("d").join(spots.alias("s"), same).select("s.set_id", "d.text")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, source: DataFrame, least_percent: int, folder: str, name: str) -> DataFrame:
     """The pairs (a, b) of classes whose full sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-    spots = classes.join(ids, "set_id", "left_semi").select("set_id", F.col("spot.doc_id").alias("doc_id"), F.col("spot.h_text").alias("h_text"))
-    same = [F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), F.col("d.h_text") == F.col("s.h_text")]
-    texts = settled(source.alias("d").join(spots.alias("s"), same).select("s.set_id", "d.text"), folder, f"{name}_texts")
+    texts = settled(_texts(ids, classes, source), folder, f"{name}_texts")
     sliced = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).alias("n"))
     partners = pairs.join(sliced, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n").cast("long")).alias("slice"), F.lit(1).alias("role")).join(texts, F.col("b") == F.col("set_id")).drop("set_id")
     pivots = sliced.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("slice"), F.lit(0).alias("role")).join(texts, F.col("a") == F.col("set_id")).drop("set_id")
@@ -186,15 +238,23 @@ def near_duplicates(docs: DataFrame, least_percent: int = 85, doc_id: str = "doc
     links = _links(star, classes, source, least_percent, folder, "links")
     labels = components(links, folder, "first")
     marked = shared.join(labels, F.col("set_id") == F.col("id"), "left").select("band", "set_id", "n", F.coalesce("comp", "set_id").alias("comp"))
-    split = marked.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    side = settled(marked.join(split, "band", "left_semi").join(classes.select("set_id", "regs"), "set_id"), folder, "split")
+    split = marked.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
+    open_ = settled(marked.join(split, "band"), folder, "open")
+    side = open_.where(F.col("size") <= SMALL).join(classes.select("set_id", "regs"), "set_id")
     x, y = side.alias("x"), side.alias("y")
     rest = x.join(y, [F.col("x.band") == F.col("y.band"), F.col("x.set_id") < F.col("y.set_id"), F.col("x.comp") != F.col("y.comp"), fits(F.col("x.n"), F.col("y.n")), _likely(F.col("x.regs"), F.col("y.regs"), least_percent)])
     rest = rest.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = settled(rest.join(tried, ["a", "b"], "left_anti"), folder, "rest")
-    if not rest.isEmpty():
-        labels = components(links.unionByName(_links(rest, classes, source, least_percent, folder, "more")), folder, "second")
+    more = _links(settled(rest.join(tried, ["a", "b"], "left_anti"), folder, "rest"), classes, source, least_percent, folder, "more")
+    large = open_.where(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
+    # a tile is a pair of blocks, named by both; a bucket of one block is one tile
+    partners = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: (F.col("blocks") == 1) | (k != F.col("block")))
+    tiles = large.select("band", "set_id", "comp", "blocks", "block", F.explode(partners).alias("k")).select("band", "set_id", "comp", (F.least("block", "k") * F.col("blocks") + F.greatest("block", "k")).alias("tile"))
+    dealt = tiles.join(_texts(large.select("set_id").distinct(), classes, source), "set_id").repartition("band", "tile").sortWithinPartitions("band", "tile", "set_id")
+    forest = settled(dealt.mapInArrow(_tiles(least_percent), "a long, b long").distinct(), folder, "forest")
+    more = more.unionByName(forest)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more), folder, "second")
     named = classes.select("set_id", "least_id").join(labels, F.col("set_id") == F.col("id"), "left").select("set_id", "least_id", F.coalesce("comp", "set_id").alias("comp"))
     heads = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     of_class = named.join(heads, "comp").select("set_id", "component_id", F.col("comp").alias("group"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm.components import components
+from strideframe.llm.components import components, roots
 from strideframe.llm.registry import query, table
 from strideframe.llm.scratch import run_folder, settled
 
@@ -106,20 +106,6 @@ def _cells(kind: type, tau: float, axes: int):
     return run
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least reachable node of each of n nodes under links i-j."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _tile(kind: type, least: float, tau: float):
     """Rows come sorted by (cell, salt, role): homes (0), probes of the own cell (1) and of neighbours (2)."""
 
@@ -171,7 +157,7 @@ def _tile(kind: type, least: float, tau: float):
                         n = to - at
                         ids = np.concatenate([cid[at:to], homes[0]])
                         links = np.concatenate([np.bincount(i, weights=weight[j], minlength=n), np.bincount(j, weights=many[at:to][i], minlength=len(homes[0]))]).astype(np.int64)
-                        root = ids[_roots(len(ids), i, j + n)]
+                        root = ids[roots(len(ids), i, j + n)]
                         some = links > 0
                         out.append((ids[some], links[some], root[some]))
             columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
