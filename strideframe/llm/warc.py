@@ -126,7 +126,7 @@ def response_records(source: DataFrame) -> DataFrame:
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
     """One WARC file per task below ``path``, through Spark's own writer."""
-    records.select(F.concat("header", F.lit("\r\n\r\n"), "block", F.lit("\r\n\r\n")).alias("value")).write.option("lineSep", "\r\n\r\n\r\n").option("compression", compression).text(path)
+    records.select(F.concat("header", F.lit("\r\n\r\n"), "block").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -135,11 +135,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Files are cut where a version line follows an empty line, so a block that holds such a line is read as not intact.
     """
     rows = spark.read.option("lineSep", "\r\n\r\nWARC/1.1\r\n").text(path)
-    whole = F.regexp_replace(F.regexp_replace(F.col("value"), r"\A(?:\s*WARC/1\.1\r\n)?", "WARC/1.1\r\n"), r"(?:\r\n)+\z", "")
+    whole = F.regexp_replace(F.col("value"), r"\A(?:\s*WARC/1\.1\r\n)?", "WARC/1.1\r\n")
     cut = rows.select(whole.alias("value"), F.instr(whole, "\r\n\r\n").alias("at"))
     header = F.when(F.col("at") > 0, F.substring("value", F.lit(1), F.col("at") - 1)).otherwise(F.col("value"))
-    block = F.when(F.col("at") > 0, F.substring("value", F.col("at") + 4, F.length("value"))).otherwise(F.lit(""))
-    return cut.select(header.alias("header"), block.alias("block")).withColumn("intact", F.regexp_extract("header", r"(?m)^Content-Length: (\d+)\r?$", 1).try_cast("long") == F.octet_length("block"))
+    rest = F.when(F.col("at") > 0, F.substring("value", F.col("at") + 4, F.length("value"))).otherwise(F.lit(""))
+    size = F.regexp_extract("header", r"(?m)^Content-Length: (\d+)\r?$", 1).try_cast("long")
+    parts = cut.select(header.alias("header"), rest.alias("rest")).select("header", "rest", size.alias("size"))
+    # the last record of a file still has its end
+    last = (F.octet_length("rest") == F.col("size") + 4) & F.endswith("rest", F.lit("\r\n\r\n"))
+    block = F.when(last, F.substring("rest", F.lit(1), F.length("rest") - 4)).otherwise(F.col("rest"))
+    return parts.select("header", block.alias("block"), F.coalesce(F.octet_length(block) == F.col("size"), F.lit(False)).alias("intact"))
 
 
 def _sql_entities(text: str) -> str:
