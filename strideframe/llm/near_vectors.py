@@ -11,7 +11,7 @@ block that admits it and is confirmed by its cosine in double precision on the s
 * Cells are dealt in tiles of about ``TILE`` vectors; probes visit all tiles of a cell.  Tiles compare with matrix
   products and give one row per vector that has links: the number of its links and a tile-wide root.
   Pairs are never written, however many there are in a group.
-* The number of grid coordinates grows with the logarithm of the number of classes.
+* The number of grid coordinates is 2 up to a million classes, then grows with their logarithm to at most 4.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing,
 have no links and keep their own id; vectors of different lengths never link; repeated rows are linked
@@ -176,7 +176,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, vec_id: str = "vec_id"
     rows = settled(source.mapInArrow(_identify(kind), f"vec_id {id_kind}, raw binary, cid long, cid2 long"), folder, "rows")
     classes = rows.where("cid is not null").groupBy("cid", "cid2").agg(F.count("*").alias("many"), F.min("vec_id").alias("least_id"), F.first("raw").alias("raw"))
     classes = settled(classes, folder, "classes")
-    axes = min(4, max(1, math.ceil(math.log(max(1, classes.count() / (2 * TILE)), 5))))
+    axes = min(4, max(2, math.ceil((math.log10(max(1, classes.count())) - 2) / 2)))
     cells = settled(classes.select("cid", "raw").mapInArrow(_cells(kind, tau, axes), "cid long, homes array<long>, probes array<long>"), folder, "cells")
     homes = cells.select("cid", F.explode("homes").alias("cell"))
     tiles = homes.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("long").alias("n"))
