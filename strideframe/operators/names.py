@@ -8,9 +8,12 @@ short (titles, not texts); the work per name is quadratic in its length.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strideframe.operators.keyed import pick_first
+from strideframe.operators.sequence import index_rows
 
 
 def substrings(s: Column, shortest: Column) -> Column:
@@ -114,3 +117,9 @@ def resolve_alias(names: DataFrame, aliases: DataFrame, name: str, key: str, tit
     return names.join(best, name, "left").withColumns(
         {key: F.col(f"_b.{key}"), "standard_name": F.coalesce(F.col(f"_b.{title}"), F.col(name))}
     ).drop("_b")
+
+
+def numbered(df: DataFrame, name: str, order: Sequence[str], out: str, digits: int = 3, width: int = 50_000) -> DataFrame:
+    """``out``: the name, an underscore and the row's number among equal names, with at least ``digits`` digits and never cut."""
+    rows = index_rows(df, [name], order, width=width)
+    return rows.withColumn(out, F.concat(name, F.lit("_"), F.format_string(f"%0{digits}d", "pos"))).drop("pos")

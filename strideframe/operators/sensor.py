@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strideframe.functions.ladders import ACC_STD, AZ_POSTURE, FLOW, GYRO, ladder
-from strideframe.functions.mathx import circular_distance, clip, magnitude
+from strideframe.functions.mathx import circular_delta, circular_distance, clip, magnitude, unit_axis
 from strideframe.operators.intervals import into_windows, points_in
 from strideframe.operators.keyed import pick_first
+from strideframe.operators.posture import tilt_posture
+from strideframe.operators.rhythm import periodicity
 from strideframe.operators.sequence import ROWS, SECONDS, fill_last, frame, index_rows
 from strideframe.operators.stats import circular_mean, exact_quantiles, mode_first, ratio
 
@@ -240,70 +240,61 @@ def window_features(df: DataFrame, keys: Sequence[str], at: str, tie: str, total
         aggs.append(F.transform(F.array_sort(F.collect_list(F.struct(at, tie, "acc"))), lambda s: s["acc"]).alias("_signal"))
     out = rows.groupBy(*keys, "k").agg(*aggs).filter(F.col("n") >= F.greatest(F.lit(5), F.floor(F.col("fs") / 2)))
     if frequency:
-        out = out.withColumn("_f", periodicity(F.col("_signal"), F.col("fs"), F.lit(8), F.lit(1.0))).withColumns(
+        out = out.withColumn("_f", periodicity(F.col("_signal"), F.col("fs"), 8, 1.0)).withColumns(
             {"dominant_freq": F.col("_f.freq"), "periodic_score": F.col("_f.score")}
         ).drop("_f", "_signal")
     return out.drop("fs")
 
 
-def _rhythm(x: np.ndarray, fs: float, least: float, min_freq: float = 0.2, max_freq: float = 3.0) -> tuple[float, float]:
-    x = np.asarray(x, dtype=float)
-    n = len(x)
-    if n < least:
-        return 0.0, 0.0
-    x = x - x.mean()
-    spread = x.std()
-    if spread < 1e-8:
-        return 0.0, 0.0
-    x = x / spread
-    freqs, power = np.fft.rfftfreq(n, 1.0 / fs), np.abs(np.fft.rfft(x * np.hanning(n))) ** 2
-    band = (freqs >= min_freq) & (freqs <= max_freq)
-    if not band.any():
-        return 0.0, 0.0
-    best = int(np.argmax(power[band]))
-    share = power[band][best] / (power[band].sum() + 1e-8)
-    ac = np.correlate(x, x, "full")[n - 1 :]
-    lo, hi = max(1, int(fs / max_freq)), min(n - 1, int(fs / min_freq))
-    echo = float(np.max(ac[lo:hi]) / (ac[0] + 1e-8)) if hi > lo else 0.0
-    return float(freqs[band][best]), float(np.clip(0.55 * echo + 0.45 * min(1.0, share * 3.0), 0.0, 1.0))
-
-
-@F.pandas_udf(T.StructType([T.StructField("freq", T.DoubleType()), T.StructField("score", T.DoubleType())]))
-def periodicity(signal: pd.Series, fs: pd.Series, floor: pd.Series, factor: pd.Series) -> pd.DataFrame:
-    """Dominant frequency and periodic score of one window's samples (an array, a few
-    hundred values).  Windows shorter than max(floor, int(factor * fs)) give zeros."""
-    rows = [_rhythm(x, f, max(a, int(b * f))) for x, f, a, b in zip(signal, fs, floor, factor)]
-    return pd.DataFrame(rows, columns=["freq", "score"])
-
-
-def _steps(x: np.ndarray, seconds: float) -> float:
-    x = np.asarray(x, dtype=float)
-    n = len(x)
-    if n < 10:
-        return 0.0
-    x = x - x.mean()
-    ac = np.correlate(x, x, "full")[n - 1 :]
-    ac = ac / (ac[0] + 1e-9)
-    fs = n / max(seconds, 0.01)
-    lo, hi = max(1, int(0.30 * fs)), min(n - 1, int(1.50 * fs))
-    if lo >= hi:
-        return 0.0
-    best = int(np.argmax(ac[lo:hi]))
-    return 0.0 if ac[lo + best] < 0.25 else round(fs / (lo + best), 2)
-
-
-@F.pandas_udf(T.DoubleType())
-def step_frequency(signal: pd.Series, seconds: pd.Series) -> pd.Series:
-    """Steps per second from the autocorrelation of one window's magnitudes; 0 without rhythm."""
-    return pd.Series([_steps(x, s) for x, s in zip(signal, seconds)])
-
-
 def window_signal(df: DataFrame, keys: Sequence[str], at: str, tie: str, value: str, size: float, stride: float) -> DataFrame:
     """The ordered samples of each sliding window as an array (bounded by rate times size)."""
     wins = into_windows(df.select(*keys, at, tie, value), at, size, stride)
     return wins.groupBy(*keys, "k").agg(F.transform(F.array_sort(F.collect_list(F.struct(at, tie, value))), lambda s: s[value]).alias("signal"))
 
 
+def posture_windows(
+    df: DataFrame, keys: Sequence[str], at: str, tie: str, baseline: DataFrame, rate: float, size: float = 2.0, stride: float = 0.5, low_pass: float = 0.6, forward: str | None = None, right: str | None = None, lead_in: float = 2.0, width: float = SECONDS
+) -> DataFrame:
+    """Posture of each sliding window by the torso's tilt against the upright ``baseline`` (keys, baseline).
+
+    Gravity is the centred mean of the acceleration over ``low_pass`` seconds; motion is the spread of what is left.
+    The rhythm is that of 0.55 z(linear acceleration) + 0.45 z(tilt) within the window.  Chest and
+    side scores are the direction of gravity along the body axes, NULL where an axis is not given; the drift of angle_x
+    counts from its circular mean over the first ``lead_in`` seconds.  Only windows that end inside the recording are rated.
+    """
+    axes = ("ax", "ay", "az")
+    rows = moving_average(df.select(*keys, at, tie, *axes, "gyro", "angle_z", "angle_x"), keys, [at, tie], axes, max(3, int(low_pass * rate)), width=width)
+    start = rows.filter(F.col(at) < lead_in).groupBy(*keys).agg(circular_mean(F.col("angle_x")).alias("_x0"))
+    ends = rows.groupBy(*keys).agg(F.max(at).alias("_end"))
+    rows = rows.join(baseline.select(*keys, "baseline"), list(keys)).select(
+        *keys, at, tie, "gyro", "angle_z", "angle_x", "g_ax", "g_ay", "g_az", "baseline", magnitude(*[F.col(a) - F.col(f"g_{a}") for a in axes]).alias("_lin"), circular_distance(F.col("angle_z"), F.col("baseline")).alias("_tilt")
+    )
+    wins = into_windows(rows, at, size, stride).groupBy(*keys, "k").agg(
+        F.count(F.lit(1)).alias("n"), F.first("baseline").alias("baseline"), circular_mean(F.col("angle_z")).alias("_z"), circular_mean(F.col("angle_x")).alias("_x"), *[F.avg(f"g_{a}").alias(f"_{a}") for a in axes],
+        F.stddev_pop("_lin").alias("motion"), F.coalesce(F.avg("gyro"), F.lit(0.0)).alias("gyro_mean"), F.avg("_lin").alias("_lm"), F.avg("_tilt").alias("_tm"), F.stddev_pop("_tilt").alias("_ts"),
+        F.array_sort(F.collect_list(F.struct(F.col(at), F.col(tie), F.col("_lin"), F.col("_tilt")))).alias("_rows"),
+    )
+
+    def z(x: Column, mean: str, sd: str) -> Column:
+        return F.when(F.col(sd) < 1e-6, 0.0).otherwise((x - F.col(mean)) / F.col(sd))
+
+    wins = wins.join(start, list(keys), "left").join(ends, list(keys)).filter((F.col("n") >= 5) & (F.col("k") * stride + F.lit(float(size)) <= F.col("_end") + 1.0 / rate))
+    signal = F.transform("_rows", lambda r: 0.55 * z(r["_lin"], "_lm", "motion") + 0.45 * z(r["_tilt"], "_tm", "_ts"))
+    wins = wins.withColumn("_f", periodicity(signal, F.lit(float(rate))))
+    norm = F.sqrt(F.col("_ax") ** 2 + F.col("_ay") ** 2 + F.col("_az") ** 2)
+
+    def along(axis: str | None) -> Column:
+        if axis is None:
+            return F.lit(None).cast("double")
+        return sum((unit_axis(F.lit(axis))[i] * F.col(f"_{a}") / norm for i, a in enumerate(axes)), F.lit(0.0))
+
+    tilt, drift = circular_distance(F.col("_z"), F.col("baseline")), F.abs(circular_delta(F.col("_x"), F.col("_x0")))
+    label, conf, rule = tilt_posture(tilt, along(forward), along(right), F.col("motion"), F.col("gyro_mean"), F.col("_f.score"), F.col("_f.freq"), drift)
+    return wins.select(
+        *keys, "k", label.alias("posture"), conf.alias("confidence"), rule.alias("rule"), tilt.alias("tilt"), drift.alias("drift"), "motion", "gyro_mean", F.col("_f.freq").alias("freq"), F.col("_f.score").alias("score"), F.col("_f.period").alias("period"), F.col("_f.reps").alias("reps")
+    )
+
+
 def flow_periodicity(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, size: int = 20, min_lag: int = 2, width: float = SECONDS) -> DataFrame:
     """Autocorrelation per window of ``size`` rows, half overlapping: period in rows and strength."""
     step = max(1, size // 2)

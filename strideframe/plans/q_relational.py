@@ -146,12 +146,12 @@ def c06(t):
 
 
 def _windows(t):
-    k = F.explode(F.sequence(F.lit(0), F.lit(29)))
+    k = F.explode(F.sequence(F.lit(0), F.floor(F.col("total") / DAY).cast("int")))
     w = b.samples(t).groupBy("recording_id").agg(F.max("t_rel").alias("total")).withColumn("k", k)
     return w.filter(F.col("k") * DAY < F.col("total")).select("recording_id", "k", (F.col("k") * DAY).alias("ws"), (F.col("k") * DAY + DAY).alias("we"))
 
 
-_WIN = f"SELECT recording_id, k, k * {DAY}::DOUBLE AS ws, k * {DAY}::DOUBLE + {DAY}::DOUBLE AS we FROM (SELECT recording_id, max(t_rel) AS total FROM samples GROUP BY ALL), (SELECT CAST(range AS INT) AS k FROM range(30)) WHERE k * {DAY} < total"
+_WIN = f"SELECT recording_id, k, k * {DAY}::DOUBLE AS ws, k * {DAY}::DOUBLE + {DAY}::DOUBLE AS we FROM (SELECT *, CAST(unnest(generate_series(0, CAST(floor(total / {DAY}::DOUBLE) AS BIGINT))) AS INT) AS k FROM (SELECT recording_id, max(t_rel) AS total FROM samples GROUP BY ALL)) WHERE k * {DAY} < total"
 
 
 @query("c07_window_label_by_overlap", sql("""SELECT recording_id, k, label FROM (

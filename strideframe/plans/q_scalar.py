@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strideframe.functions import mathx, text, timex
 from strideframe.functions.mathx import fix
 from strideframe.functions.sqlfuncs import register_sql
-from strideframe.operators.sequence import index_rows
+from strideframe.operators.names import numbered
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import fx, sql
 from strideframe.plans.registry import query
@@ -30,11 +30,10 @@ def hs03(t):
     return t.documents.select("doc_id", F.length(clean).alias("n"), clean.contains("?").alias("dirty"))
 
 
-@query("h_s04_unique_slug", "SELECT p_partkey, slug || '_' || lpad(CAST(row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS VARCHAR), 3, '0') AS slug_id FROM (SELECT p_partkey, left(regexp_replace(regexp_replace(lower(p_name || ' #' || p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 60) AS slug FROM part)")
+@query("h_s04_unique_slug", "SELECT p_partkey, slug || '_' || printf('%03d', row_number() OVER (PARTITION BY slug ORDER BY p_partkey)) AS slug_id FROM (SELECT p_partkey, left(regexp_replace(regexp_replace(lower(p_name || ' #' || p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 60) AS slug FROM part)")
 def hs04(t):
     rows = t.part.select("p_partkey", text.slug(F.concat("p_name", F.lit(" #"), "p_brand")).alias("slug"))
-    n = index_rows(rows, ["slug"], ["p_partkey"], width=50_000)
-    return n.select("p_partkey", F.concat("slug", F.lit("_"), F.lpad(F.col("pos").cast("string"), 3, "0")).alias("slug_id"))
+    return numbered(rows, "slug", ["p_partkey"], "slug_id").select("p_partkey", "slug_id")
 
 
 _TAGS = [("ring", "R"), ("red", "C"), ("blue", "C"), ("gear", "G"), ("small", "S")]

@@ -7,10 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.functions.mathx import circular_delta, circular_distance, fix, unit_axis
-from strideframe.operators import intervals, labels, posture, sensor
+from strideframe.functions.mathx import fix
+from strideframe.operators import intervals, labels, posture, rhythm, sensor
 from strideframe.operators.segments import merge_steps
-from strideframe.operators.stats import circular_mean
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, HOUR, fx, sql
 from strideframe.plans.registry import query
@@ -81,10 +80,20 @@ def i05(t):
     return _fixed(out.withColumns(cols).select("row_id", *names), *names)
 
 
-_TUMBLE = f"""SELECT t.recording_id, w.k, s.n, {fx('s.acc_std')} AS acc_std, {fx('s.gyro_mean')} AS gyro_mean, s.gyro_max, s.peaks, CASE WHEN s.n IS NULL THEN NULL ELSE {_posture_sql('s.az_mean')} END AS posture,
+def _grid(step: float) -> str:
+    """SQL: the recordings with every step k up to their end."""
+    return f"(SELECT *, CAST(unnest(generate_series(0, CAST(floor(total / {step}::DOUBLE) AS BIGINT))) AS INT) AS k FROM tot)"
+
+
+def _windowed(rows: str, size: float, stride: float, at: str = "t_rel", name: str = "k") -> str:
+    """SQL: the rows with every window of (size, stride) that holds them."""
+    return f"(SELECT *, unnest(generate_series(greatest(0, CAST(floor(({at} - {size}::DOUBLE) / {stride}::DOUBLE) AS BIGINT)), CAST(floor({at} / {stride}::DOUBLE) AS BIGINT))) AS {name} FROM {rows})"
+
+
+_TUMBLE = f"""SELECT t.recording_id, t.k, s.n, {fx('s.acc_std')} AS acc_std, {fx('s.gyro_mean')} AS gyro_mean, s.gyro_max, s.peaks, CASE WHEN s.n IS NULL THEN NULL ELSE {_posture_sql('s.az_mean')} END AS posture,
       CASE WHEN s.n IS NULL THEN 'no data' ELSE {_intensity_sql('s.acc_std')} END AS intensity, CASE WHEN s.n IS NULL THEN NULL WHEN s.acc_std > 0.15 AND s.peaks >= 3 THEN 'strength' WHEN s.acc_std > 0.05 AND {_posture_sql('s.az_mean')} = '站姿' THEN 'walking' WHEN s.acc_std <= 0.05 THEN 'resting' ELSE '' END AS hint
-    FROM tot t JOIN (SELECT range AS k FROM range(40)) w ON w.k * {DAY} < t.total LEFT JOIN (SELECT recording_id, k, count(*) AS n, stddev_pop(acc) AS acc_std, avg(az) AS az_mean, avg(gyro) AS gyro_mean, max(gyro) AS gyro_max, CAST(sum(peak) AS BIGINT) AS peaks FROM p GROUP BY ALL) s
-      ON s.recording_id = t.recording_id AND s.k = w.k"""
+    FROM (SELECT * FROM {_grid(DAY)} WHERE k * {DAY} < total) t LEFT JOIN (SELECT recording_id, k, count(*) AS n, stddev_pop(acc) AS acc_std, avg(az) AS az_mean, avg(gyro) AS gyro_mean, max(gyro) AS gyro_max, CAST(sum(peak) AS BIGINT) AS peaks FROM p GROUP BY ALL) s
+      ON s.recording_id = t.recording_id AND s.k = t.k"""
 
 
 @query("i06_tumbling_summary", sql(_TUMBLE, "samples", tot=_TOT, q=f"SELECT * EXCLUDE (k), CAST(floor(t_rel / {DAY}::DOUBLE) AS BIGINT) AS k FROM samples", p=_peaks_sql("q", "recording_id, k")))
@@ -93,11 +102,11 @@ def i06(t):
     return _fixed(out.drop("az_mean"), "acc_std", "gyro_mean")
 
 
-_SEG3 = f"SELECT recording_id, k AS seg, k * {3 * DAY}::DOUBLE AS start_sec, k * {3 * DAY}::DOUBLE + {2.5 * DAY}::DOUBLE AS end_sec FROM tot, (SELECT CAST(range AS INT) AS k FROM range(10)) WHERE k * {3 * DAY} < total"
+_SEG3 = f"SELECT recording_id, k AS seg, k * {3 * DAY}::DOUBLE AS start_sec, k * {3 * DAY}::DOUBLE + {2.5 * DAY}::DOUBLE AS end_sec FROM {_grid(3 * DAY)} WHERE k * {3 * DAY} < total"
 
 
 def _segments(t):
-    k = F.explode(F.sequence(F.lit(0), F.lit(9)))
+    k = F.explode(F.sequence(F.lit(0), F.floor(F.col("total_sec") / (3 * DAY)).cast("int")))
     out = _totals(t).withColumn("seg", k).filter(F.col("seg") * (3 * DAY) < F.col("total_sec"))
     return out.select("recording_id", "seg", (F.col("seg") * (3 * DAY)).alias("start_sec"), (F.col("seg") * (3 * DAY) + 2.5 * DAY).alias("end_sec"))
 
@@ -122,8 +131,8 @@ def i08(t):
 
 _REST = f"""SELECT recording_id, seg, start_sec + min(k) * {DAY / 4}::DOUBLE AS rest_start, start_sec + max(k) * {DAY / 4}::DOUBLE + {DAY}::DOUBLE AS rest_end FROM (
       SELECT *, sum(c) OVER (PARTITION BY recording_id, seg ORDER BY k) AS run FROM (SELECT *, CASE WHEN still = lag(still) OVER (PARTITION BY recording_id, seg ORDER BY k) THEN 0 ELSE 1 END AS c FROM (
-        SELECT recording_id, seg, start_sec, w.k, stddev_pop(acc) < 0.3 AS still FROM x JOIN (SELECT range AS k FROM range(12)) w ON x.rel >= w.k * {DAY / 4} AND x.rel < w.k * {DAY / 4} + {DAY} AND w.k * {DAY / 4} + {DAY} <= end_sec - start_sec
-        WHERE c >= 4 GROUP BY recording_id, seg, start_sec, w.k HAVING count(*) >= 2)))
+        SELECT recording_id, seg, start_sec, w.k, stddev_pop(acc) < 0.3 AS still FROM {_windowed('x', DAY, DAY / 4, 'rel')} w WHERE w.rel >= w.k * {DAY / 4} AND w.rel < w.k * {DAY / 4} + {DAY} AND w.k * {DAY / 4} + {DAY} <= end_sec - start_sec
+        AND c >= 4 GROUP BY recording_id, seg, start_sec, w.k HAVING count(*) >= 2)))
     WHERE still GROUP BY recording_id, seg, start_sec, run HAVING (start_sec + max(k) * {DAY / 4}::DOUBLE + {DAY}::DOUBLE) - (start_sec + min(k) * {DAY / 4}::DOUBLE) >= {1.25 * DAY}"""
 _RESTX = "SELECT s.recording_id, s.row_id, s.t_rel, s.acc, g.seg, g.start_sec, g.end_sec, s.t_rel - g.start_sec AS rel, count(*) OVER (PARTITION BY s.recording_id, g.seg) AS c FROM samples s JOIN seg g ON g.recording_id = s.recording_id AND s.t_rel >= g.start_sec AND s.t_rel <= g.end_sec"
 
@@ -148,8 +157,8 @@ def i10(t):
 
 _W11 = f"""SELECT recording_id, w.k, count(*) AS n, avg(acc) AS acc_mean, stddev_samp(acc) AS acc_std, avg(gyro) AS gyro_mean, max(gyro) AS gyro_max, avg(az) AS az_mean, stddev_samp(az) AS az_std, avg(ax) AS ax_mean, avg(ay) AS ay_mean, avg(abs(ay)) AS ay_abs_mean,
       avg(sqrt(ax * ax + ay * ay)) AS horiz_g_mean, stddev_samp(angle_x) AS angle_x_std, stddev_samp(angle_y) AS angle_y_std, avg(angle_y) AS angle_y_mean, avg(jerk) AS jerk_mean
-    FROM (SELECT s.*, total, coalesce(abs(acc - lag(acc) OVER (PARTITION BY recording_id ORDER BY t_rel, row_id)), 0) AS jerk FROM s JOIN tot USING (recording_id)) JOIN (SELECT range AS k FROM range(60)) w
-      ON t_rel >= w.k * {DAY}::DOUBLE AND t_rel < w.k * {DAY}::DOUBLE + {2 * DAY}::DOUBLE AND w.k * {DAY} < total GROUP BY ALL HAVING count(*) >= 3"""
+    FROM {_windowed('(SELECT s.*, total, coalesce(abs(acc - lag(acc) OVER (PARTITION BY recording_id ORDER BY t_rel, row_id)), 0) AS jerk FROM s JOIN tot USING (recording_id))', 2 * DAY, DAY)} w
+      WHERE t_rel >= w.k * {DAY}::DOUBLE AND t_rel < w.k * {DAY}::DOUBLE + {2 * DAY}::DOUBLE AND w.k * {DAY} < total GROUP BY ALL HAVING count(*) >= 3"""
 _M11 = ("acc_mean", "acc_std", "gyro_mean", "az_mean", "az_std", "ax_mean", "ay_mean", "ay_abs_mean", "horiz_g_mean", "angle_x_std", "angle_y_std", "angle_y_mean", "jerk_mean")
 
 # az moves in steps of 1/40000, whose means tie at six digits.
@@ -169,7 +178,7 @@ _F12 = ("tilt_mean", "tilt_std", "tilt_range", "drift_mean", "turn", "acc_mean",
 _W12 = f"""SELECT recording_id, k, count(*) AS n, avg(z) AS tilt_mean, stddev_pop(z) AS tilt_std, max(z) - min(z) AS tilt_range, coalesce(avg(dx), 0) AS drift_mean, abs(arg_max(angle_y, (t_rel, row_id)) - arg_min(angle_y, (t_rel, row_id))) AS turn,
       avg(acc) AS acc_mean, stddev_pop(acc) AS acc_std, avg(gyro) AS gyro_mean, stddev_pop(gyro) AS gyro_std, var_pop(az) AS vertical_energy, count(*) FILTER (acc - m > sd * 0.3::DOUBLE AND acc > l AND acc > r) AS peak_count
     FROM (SELECT *, abs(((angle_z - 180 + 180) % 360 + 360) % 360 - 180) AS z, abs(angle_x - lag(angle_x) OVER w) AS dx, avg(acc) OVER (PARTITION BY recording_id, k) AS m, stddev_pop(acc) OVER (PARTITION BY recording_id, k) AS sd, lag(acc) OVER w AS l, lead(acc) OVER w AS r
-      FROM (SELECT s.*, q.k FROM s JOIN tot USING (recording_id) JOIN (SELECT range AS k FROM range(60)) q ON t_rel >= q.k * {DAY}::DOUBLE AND t_rel < q.k * {DAY}::DOUBLE + {3 * DAY}::DOUBLE AND q.k * {DAY}::DOUBLE + {3 * DAY}::DOUBLE <= total + 0.01::DOUBLE)
+      FROM (SELECT * FROM {_windowed('(SELECT s.*, total FROM s JOIN tot USING (recording_id))', 3 * DAY, DAY)} q WHERE t_rel >= q.k * {DAY}::DOUBLE AND t_rel < q.k * {DAY}::DOUBLE + {3 * DAY}::DOUBLE AND q.k * {DAY}::DOUBLE + {3 * DAY}::DOUBLE <= total + 0.01::DOUBLE)
       WINDOW w AS (PARTITION BY recording_id, k ORDER BY t_rel, row_id)) GROUP BY ALL HAVING count(*) >= 5"""
 
 
@@ -184,11 +193,20 @@ def i12(t):
     return _fixed(_w12(t), *_F12)
 
 
-@query("i13_periodicity")
+_SIG = "SELECT recording_id, k, list(acc ORDER BY t_rel, row_id) AS x, count(*) AS n, avg(acc) AS m, stddev_pop(acc) AS sd FROM {} WHERE t_rel >= k * {}::DOUBLE AND t_rel < k * {}::DOUBLE + {}::DOUBLE GROUP BY ALL"
+_POINTS = "SELECT recording_id, k, n, i, (x[i + 1] - m) / DIV AS z FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM sig)"
+_R13 = f"""SELECT s.recording_id, s.k, {fx('coalesce(p.freq, 0)')} AS freq, {fx('CASE WHEN p.freq IS NULL THEN 0 ELSE greatest(0, least(1, 0.55 * e.echo + 0.45 * least(1, 3 * p.share))) END')} AS score, {fx('1 / p.freq')} AS period, {fx('coalesce(s.n / 4.0 * p.freq, 0)')} AS reps FROM sig s
+    LEFT JOIN (SELECT recording_id, k, arg_max(f * 4.0 / n, p) AS freq, max(p) / (sum(p) + 1e-8) AS share FROM (
+      SELECT recording_id, k, n, f, pow(sum(h * cos(2 * pi() * f * i / n)), 2) + pow(sum(h * sin(2 * pi() * f * i / n)), 2) AS p
+      FROM (SELECT *, z * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS h, unnest(generate_series(1, n // 2)) AS f FROM pts WHERE n >= 16) WHERE f * 4.0 / n BETWEEN 0.2 AND 3 GROUP BY ALL) GROUP BY ALL) p USING (recording_id, k)
+    LEFT JOIN (SELECT recording_id, k, max(v) AS echo FROM (SELECT a.recording_id, a.k, l, sum(a.z * b.z) / (any_value(a.n) + 1e-8) AS v FROM (SELECT *, unnest(generate_series(1, least(n - 1, 20) - 1)) AS l FROM pts) a JOIN pts b ON b.recording_id = a.recording_id AND b.k = a.k AND b.i = a.i + a.l GROUP BY ALL) GROUP BY ALL) e USING (recording_id, k)"""
+
+
+@query("i13_periodicity", sql(_R13, "samples", sig=_SIG.format(_windowed("(SELECT * EXCLUDE (k) FROM samples)", 12 * DAY, 3 * DAY), 3 * DAY, 3 * DAY, 12 * DAY), pts=_POINTS.replace("DIV", "sd").replace("FROM sig", "FROM sig WHERE n >= 16 AND sd >= 1e-6")))
 def i13(t):
-    sig = sensor.window_signal(b.samples(t), K, "t_rel", "row_id", "acc", 5 * DAY, DAY)
-    p = sensor.periodicity(F.col("signal"), F.lit(4.0), F.lit(8), F.lit(1.0))
-    return sig.select("recording_id", "k", p.alias("p")).select("recording_id", "k", "p.freq", "p.score")
+    sig = sensor.window_signal(b.samples(t), K, "t_rel", "row_id", "acc", 12 * DAY, 3 * DAY)
+    p = rhythm.periodicity(F.col("signal"), F.lit(4.0))
+    return _fixed(sig.select("recording_id", "k", p.alias("p")).select("recording_id", "k", "p.*"), "freq", "score", "period", "reps")
 
 
 def _ac_sql() -> str:
@@ -196,8 +214,8 @@ def _ac_sql() -> str:
     return f"""SELECT recording_id, w, first_row, NOT flat AND top.v > 0.3 AS periodic, CASE WHEN NOT flat AND top.v > 0.3 THEN -top.l END AS period_rows, {fx('CASE WHEN flat THEN 0 ELSE top.v END')} AS strength
       FROM (SELECT *, sd < 0.1 AS flat, list_sort([{lags}], 'DESC')[1] AS top FROM (SELECT *, list_sum(list_transform(c, lambda x: x * x)) + 1e-8 AS z FROM (
         SELECT recording_id, w, w * 10 AS first_row, list_transform(list(value ORDER BY pos), lambda x: x - avg(value)) AS c, stddev_pop(value) AS sd
-        FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t_rel, row_id) - 1 AS pos, count(*) OVER (PARTITION BY recording_id) AS n FROM samples) x JOIN (SELECT range AS w FROM range(1000)) q
-          ON pos >= w * 10 AND pos < w * 10 + 20 AND w * 10 < n - 20 GROUP BY recording_id, w)))"""
+        FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t_rel, row_id) - 1 AS pos, count(*) OVER (PARTITION BY recording_id) AS n FROM samples) x, unnest(generate_series(greatest(0, (pos - 20) // 10), pos // 10)) AS q(w)
+          WHERE pos >= w * 10 AND pos < w * 10 + 20 AND w * 10 < n - 20 GROUP BY recording_id, w)))"""
 
 
 @query("i14_flow_periodicity", sql(_ac_sql(), "samples"))
@@ -205,10 +223,16 @@ def i14(t):
     return _fixed(sensor.flow_periodicity(b.samples(t), K, O, "value"), "strength")
 
 
-@query("i15_step_frequency")
+_R15 = """SELECT s.recording_id, s.k, CASE WHEN best.v >= 0.25 THEN round_even((s.n / 2.0) / best.l, 2) ELSE 0 END AS step_freq FROM sig s LEFT JOIN (
+      SELECT recording_id, k, arg_max({'v': v, 'l': l}, v) AS best FROM (SELECT a.recording_id, a.k, a.l, sum(a.z * b.z) / (any_value(e.ac0) + 1e-9) AS v
+        FROM (SELECT *, unnest(generate_series(greatest(1, CAST(floor(0.3 * (n / 2.0)) AS BIGINT)), least(n - 1, CAST(floor(1.5 * (n / 2.0)) AS BIGINT)) - 1)) AS l FROM pts WHERE n >= 10) a
+        JOIN pts b ON b.recording_id = a.recording_id AND b.k = a.k AND b.i = a.i + a.l JOIN (SELECT recording_id, k, sum(z * z) AS ac0 FROM pts GROUP BY ALL) e ON e.recording_id = a.recording_id AND e.k = a.k GROUP BY ALL) GROUP BY ALL) USING (recording_id, k)"""
+
+
+@query("i15_step_frequency", sql(_R15, "samples", sig=_SIG.format(_windowed("(SELECT * EXCLUDE (k) FROM samples)", 10 * DAY, 5 * DAY), 5 * DAY, 5 * DAY, 10 * DAY), pts=_POINTS.replace("DIV", "1")))
 def i15(t):
     sig = sensor.window_signal(b.samples(t), K, "t_rel", "row_id", "acc", 10 * DAY, 5 * DAY)
-    return sig.select("recording_id", "k", sensor.step_frequency("signal", F.lit(2.0)).alias("step_freq"))
+    return sig.select("recording_id", "k", rhythm.step_frequency("signal", F.lit(2.0)).alias("step_freq"))
 
 
 @query("i16_step_changes")
@@ -243,8 +267,8 @@ _B19 = f"""SELECT recording_id, candidates, CASE WHEN candidates >= 3 THEN b ELS
       SELECT recording_id, count(*) FILTER (st) AS candidates, degrees(atan2(avg(sin(radians(z))) FILTER (st), avg(cos(radians(z))) FILTER (st))) AS b FROM (
         SELECT *, abs(a - 1) < 0.15 AND sd < 0.1 AND g < 25 AND abs(((z - 180 + 180) % 360 + 360) % 360 - 180) < 25 AS st FROM (
           SELECT recording_id, w, avg(acc / 1.1) AS a, stddev_pop(acc) / 5 AS sd, avg(gyro) / 4 AS g, degrees(atan2(avg(sin(radians(angle_z))), avg(cos(radians(angle_z))))) AS z FROM (
-            SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t_rel, row_id) - 1 AS pos, count(*) OVER (PARTITION BY recording_id) AS n FROM samples) x
-            JOIN (SELECT range AS w FROM range(2000)) q ON pos >= w * 2 AND pos < w * 2 + 6 AND (w = 0 OR w * 2 + 6 <= n) GROUP BY recording_id, w)) GROUP BY ALL)"""
+            SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t_rel, row_id) - 1 AS pos, count(*) OVER (PARTITION BY recording_id) AS n FROM samples) x, unnest(generate_series(greatest(0, (pos - 6) // 2), pos // 2)) AS q(w)
+            WHERE pos >= w * 2 AND pos < w * 2 + 6 AND (w = 0 OR w * 2 + 6 <= n) GROUP BY recording_id, w)) GROUP BY ALL)"""
 
 
 def _base(t):
@@ -260,18 +284,9 @@ def i19(t):
 
 @query("i20_posture_windows")
 def i20(t):
-    wins = _w12(t, frequency=True)
-    z = intervals.into_windows(b.samples(t).select("recording_id", "t_rel", "angle_z", "angle_x", "ax", "ay", "az"), "t_rel", 3 * DAY, DAY).groupBy("recording_id", "k").agg(
-        circular_mean(F.col("angle_z")).alias("z"), circular_mean(F.col("angle_x")).alias("x"), F.avg("ax").alias("gx"), F.avg("ay").alias("gy"), F.avg("az").alias("gz"))
-    rows = wins.join(z, ["recording_id", "k"]).join(_base(t).select("recording_id", "baseline"), "recording_id")
-    norm = F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2 + F.col("gz") ** 2)
-    chest = (unit_axis(F.lit("+Z"))[2] * F.col("gz")) / norm
-    side = (unit_axis(F.lit("+X"))[0] * F.col("gx")) / norm
-    tilt = circular_distance(F.col("z"), F.col("baseline"))
-    drift = F.abs(circular_delta(F.col("x"), F.lit(0.0))) / 10
-    label, conf, rule = posture.tilt_posture(tilt, chest, side, F.col("acc_std"), F.col("gyro_mean"), F.col("periodic_score"), F.col("dominant_freq"), drift)
-    out = rows.select("recording_id", "k", label.alias("posture"), conf.alias("confidence"), rule.alias("rule"))
-    return labels.fill_short_runs(out, K, ["k"], "posture", 2, width=50_000)
+    rows = b.samples(t).select("recording_id", "row_id", "t_rel", "ax", "ay", "az", "gyro", "angle_z", "angle_x")
+    out = sensor.posture_windows(rows, K, "t_rel", "row_id", _base(t), 10.0, 3 * DAY, DAY, forward="+Z", right="+X", lead_in=2 * DAY)
+    return labels.fill_short_runs(out.select("recording_id", "k", "posture", "confidence", "rule"), K, ["k"], "posture", 2, width=50_000)
 
 
 @query("i21_clock_offset", sql("SELECT recording_id, v - s AS offset_sec FROM (SELECT recording_id, max(t_rel) AS s FROM samples GROUP BY ALL) JOIN (SELECT recording_id, max(pred_end) AS v FROM predictions WHERE version = 'v1' GROUP BY ALL) USING (recording_id)", "samples", "predictions"))
@@ -290,15 +305,15 @@ def i22(t):
     return _fixed(out, "gyro_mean", "acc_std")
 
 
-@query("i23_truth_seconds", sql("""SELECT row_id, start_sec, end_sec FROM (SELECT row_id, greatest(0, least(CASE row_id % 3 WHEN 0 THEN t_rel WHEN 1 THEN t_rel ELSE k END, 2000000)) AS start_sec, greatest(0, least(t_rel + 60, 2000000)) AS end_sec
-      FROM (SELECT s.row_id, s.k, CASE WHEN row_id % 3 = 1 THEN CAST(epoch_us(s.ts) - epoch_us(f.first) AS DOUBLE) / 1e6 ELSE t_rel END AS t_rel FROM samples s JOIN (SELECT recording_id, min(ts) AS first FROM samples GROUP BY ALL) f USING (recording_id))) WHERE end_sec > start_sec""", "samples"))
+@query("i23_truth_seconds", sql("""SELECT row_id, start_sec, end_sec FROM (SELECT row_id, greatest(0, least(CASE row_id % 3 WHEN 0 THEN t_rel WHEN 1 THEN t_rel ELSE k END, total)) AS start_sec, greatest(0, least(t_rel + 60, total)) AS end_sec
+      FROM (SELECT s.row_id, s.k, CASE WHEN row_id % 3 = 1 THEN CAST(epoch_us(s.ts) - epoch_us(f.first) AS DOUBLE) / 1e6 ELSE t_rel END AS t_rel, total FROM samples s JOIN (SELECT recording_id, min(ts) AS first, max(t_rel) AS total FROM samples GROUP BY ALL) f USING (recording_id))) WHERE end_sec > start_sec""", "samples"))
 def i23(t):
-    s = b.samples(t).join(b.samples(t).groupBy("recording_id").agg(F.min("ts").alias("first")), "recording_id")
+    s = b.samples(t).join(b.samples(t).groupBy("recording_id").agg(F.min("ts").alias("first"), F.max("t_rel").alias("total")), "recording_id")
     m = F.col("row_id") % 3
     iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+08:00"))
     value = F.when(m == 0, F.col("t_rel").cast("string")).when(m == 1, iso).otherwise("n/a")
     start = sensor.truth_seconds(value, F.col("first"), F.col("k").cast("double"))
-    a, z = sensor.clip_interval(start, F.col("t_rel") + 60, F.lit(2000000.0))
+    a, z = sensor.clip_interval(start, F.col("t_rel") + 60, F.col("total"))
     return s.select("row_id", a.alias("start_sec"), z.alias("end_sec")).filter("end_sec > start_sec")
 
 
@@ -314,7 +329,7 @@ def i24b(t):
     return _fixed(sensor.peak_rhythm(rows.filter("peak = 1"), K, "t_rel", "row_id"), "mean_gap", "std_gap", digits=4)
 
 
-@query("i25_cover_windows", sql(f"""SELECT recording_id, k, k * {4 * DAY}::DOUBLE AS ws, least(k * {4 * DAY}::DOUBLE + {5 * DAY}::DOUBLE, total) AS we FROM tot, (SELECT range AS k FROM range(100)) WHERE k * {4 * DAY} < total AND (k = 0 OR (k - 1) * {4 * DAY} + {5 * DAY} < total)""", "samples", tot=_TOT))
+@query("i25_cover_windows", sql(f"""SELECT recording_id, k, k * {4 * DAY}::DOUBLE AS ws, least(k * {4 * DAY}::DOUBLE + {5 * DAY}::DOUBLE, total) AS we FROM {_grid(4 * DAY)} WHERE k * {4 * DAY} < total AND (k = 0 OR (k - 1) * {4 * DAY} + {5 * DAY} < total)""", "samples", tot=_TOT))
 def i25(t):
     w = _totals(t).withColumn("k", F.explode(intervals.cover_windows(F.col("total_sec"), 5 * DAY, DAY)))
     return w.select("recording_id", "k", (F.col("k") * (4 * DAY)).alias("ws"), F.least(F.col("k") * (4 * DAY) + 5 * DAY, F.col("total_sec")).alias("we"))

@@ -103,6 +103,6 @@ def a10(t):
 
 @query("a12_numbered_frames", 'SELECT recording_id, "index" FROM (SELECT recording_id, "index", row_number() OVER (PARTITION BY recording_id ORDER BY "index") AS rn FROM (SELECT DISTINCT user_id AS recording_id, event_id // 2 AS "index" FROM events)) WHERE (rn - 1) % 3 = 0')
 def a12(t):
-    path = F.concat(F.lit("/frames/"), F.col("user_id").cast("string"), F.lit("/frame_"), F.lpad(F.floor(F.col("event_id") / 2).cast("string"), 8, "0"), F.when(F.col("event_id") % 2 == 0, ".jpg").otherwise("_copy.jpg"))
+    path = F.concat(F.lit("/frames/"), F.col("user_id").cast("string"), F.lit("/frame_"), F.format_string("%08d", F.floor(F.col("event_id") / 2)), F.when(F.col("event_id") % 2 == 0, ".jpg").otherwise("_copy.jpg"))
     names = t.events.select(F.col("user_id").alias("recording_id"), path.alias("path"))
     return readers.numbered_frames(names, ["recording_id"], "path", 3).select("recording_id", "index")

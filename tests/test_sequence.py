@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strideframe.operators import sensor
+from strideframe.operators import rhythm, sensor
 from strideframe.operators.intervals import asof_nearest, overlap_join, points_in
 from strideframe.operators.labels import smooth_mode
 from strideframe.operators.sequence import fill_last, frame, gap_islands, index_rows, running
@@ -156,8 +157,59 @@ def test_moving_average_is_zero_padded(spark, size):
 def test_rhythm_finds_the_frequency(spark):
     t = np.arange(0, 8, 0.1)
     sig = spark.createDataFrame([(np.sin(2 * np.pi * 1.25 * t).tolist(),), ([0.5] * 80,), ([1.0, 2.0],)], "s array<double>")
-    got = [r.p for r in sig.select(sensor.periodicity("s", F.lit(10.0), F.lit(8), F.lit(1.0)).alias("p")).collect()]
+    got = [r.p for r in sig.select(rhythm.periodicity(F.col("s"), F.lit(10.0), 8, 1.0).alias("p")).collect()]
     assert got[0].freq == pytest.approx(1.25) and got[0].score > 0.8
     assert (got[1].freq, got[1].score, got[2].score) == (0.0, 0.0, 0.0)
-    steps = [r[0] for r in sig.select(sensor.step_frequency("s", F.lit(8.0))).collect()]
+    assert got[0].period == pytest.approx(0.8) and got[0].reps == pytest.approx(10.0) and got[1].period is None
+    steps = [r[0] for r in sig.select(rhythm.step_frequency("s", F.lit(8.0))).collect()]
     assert steps[0] == pytest.approx(1.25, abs=0.01) and steps[1:] == [0.0, 0.0]
+
+
+def test_rhythm_equals_direct_sums():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=40) + 2 * np.sin(np.arange(40) * 0.9)
+    gaps = [None if i in (0, 7, 8, 39) else float(v) for i, v in enumerate(x)]
+    full = rhythm.filled(gaps)
+    assert full[0] == x[1] and full[7] == pytest.approx(x[6] + (x[9] - x[6]) / 3) and full[39] == x[38]
+    got = rhythm.rhythm(pd.Series([gaps, gaps[:12], [None] * 20]), pd.Series([10.0] * 3), 16, 1.5)
+    z = (full - full.mean()) / full.std()
+    i = np.arange(40)
+    power = {k: abs(sum(z * (0.5 - 0.5 * np.cos(2 * np.pi * i / 39)) * np.exp(-2j * np.pi * k * i / 40))) ** 2 for k in range(1, 13)}
+    best = max(power, key=power.get)
+    echo = max(sum(z[: 40 - lag] * z[lag:]) for lag in range(3, 39)) / sum(z * z)
+    want = (best / 4, min(1, 0.55 * echo + 0.45 * min(1, 3 * power[best] / sum(power.values()))), 4 / best, float(best))
+    assert got.loc[0].tolist() == pytest.approx(want, rel=1e-6)
+    assert got.loc[1].tolist() == [0, 0, None, 0] == got.loc[2].tolist()
+
+
+def test_posture_windows_use_gravity_and_tilt(spark):
+    rows = [("a", i, i * 0.1, 0.0, 0.0, 1.0 + 0.3 * np.sin(2 * np.pi * i / 10), 5.0, 180.0, 10.0) for i in range(100)]
+    rows += [("b", i, i * 0.1, 0.0, 0.0, -1.0, 0.0, 90.0, 10.0 + i) for i in range(100)]
+    df = spark.createDataFrame([tuple(float(v) if isinstance(v, np.floating) else v for v in r) for r in rows], "rec string, row_id int, t double, ax double, ay double, az double, gyro double, angle_z double, angle_x double")
+    base = spark.createDataFrame([("a", 180.0), ("b", 180.0)], "rec string, baseline double")
+    out = sensor.posture_windows(df, ["rec"], "t", "row_id", base, 10.0, 4.0, 2.0, forward="+Z").orderBy("rec", "k").collect()
+    a, b = [r for r in out if r.rec == "a"], [r for r in out if r.rec == "b"]
+    assert len(a) == len(b) == 4
+    # a swing on one axis has two maxima of its magnitude
+    assert a[1].freq == pytest.approx(2.0) and a[1].score > 0.5 and a[1].tilt == 0 and a[1].motion > 0 and a[1].reps == pytest.approx(8.0)
+    assert b[1].rule == "supine" and b[1].tilt == 90 and b[1].score == 0 and b[2].drift > b[1].drift > 15
+
+
+def test_nothing_is_cut_after_many_rows(spark):
+    from strideframe.operators.names import numbered
+    from strideframe.plans.q_relational import _windows
+    from strideframe.plans.q_sensor import _segments
+    from strideframe.sources.readers import numbered_frames
+
+    names = spark.range(1001).select(F.lit("x").alias("slug"), "id")
+    ids = [r[0] for r in numbered(names, "slug", ["id"], "out", width=100).select("out").collect()]
+    assert len(set(ids)) == 1001 and "x_001" in ids and "x_1001" in ids
+    path = F.format_string("/frames/1/frame_%08d.jpg", F.col("id") + 123_456_780)
+    assert numbered_frames(spark.range(30).select(F.lit(1).alias("rec"), path.alias("path")), ["rec"], "path", 1).select("index").distinct().count() == 30
+
+    class Long:
+        """A recording of 45 days."""
+
+        events = spark.range(46).selectExpr("id AS event_id", "1L AS user_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, int(id)) AS ts", "'a' AS event_type", "1.0D AS value", "'{\"k\": 1}' AS props")
+
+    assert _windows(Long).count() == 45 and _segments(Long).count() == 15
