@@ -21,6 +21,7 @@ from strideframe.operators.intervals import asof_nearest
 from strideframe.operators.keyed import pick_first, top_k
 from strideframe.operators.sequence import ROWS, index_rows, running
 from strideframe.operators.stats import ratio
+from strideframe.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -188,16 +189,28 @@ def window_top(frames: DataFrame, keys: Sequence[str], size: float = 2.0, k: int
     return top_k(placed, [*keys, "_w"], [F.desc("info_score"), "t", "frame"], k).drop("_w", "_t0")
 
 
+def mean_height(boxes: Column) -> Column:
+    """Mean height of the centres of boxes; NULL without a box."""
+    return F.when(F.size(boxes) > 0, F.aggregate(boxes, F.lit(0.0), lambda a, x: a + box_center(x["bbox"])[1]) / F.size(boxes))
+
+
+def endpoint_metrics(frames: DataFrame) -> DataFrame:
+    """Adds ``hand_y``, ``equipment_y`` (mean heights of own hands and of active equipment) and ``hand_distance`` (between the first two own hands) to scored frames."""
+    own, active = own_hands(), F.filter("equipment", lambda e: e["active"])
+    apart = F.when(F.size(own) > 1, box_distance(F.get(own, F.lit(0))["bbox"], F.get(own, F.lit(1))["bbox"]))
+    return frames.withColumns({"hand_y": mean_height(own), "equipment_y": mean_height(active), "hand_distance": apart})
+
+
 def extremes(frames: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """For each metric, the first frame at its maximum and at its minimum, with the reason."""
-    parts = None
+    """For each metric, the first frame at its maximum and at its minimum, with the reason: one aggregate for all."""
+    ends = []
     for m in metrics:
-        held = frames.filter(F.col(m).isNotNull())
         for name, value in (("max", F.col(m)), ("min", -F.col(m))):
-            rank = F.struct(value.alias("v"), (-F.col("t")).alias("t"), (-F.col("frame")).alias("f"))
-            one = held.groupBy(*keys).agg(F.max_by("frame", rank).alias("frame")).withColumn("reason", F.lit(f"{m}_{name}"))
-            parts = one if parts is None else parts.unionByName(one)
-    return parts
+            rank = F.when(F.col(m).isNotNull(), F.struct(value.alias("v"), (-F.col("t")).alias("t"), (-F.col("frame")).alias("f")))
+            ends.append((f"{m}_{name}", F.max_by("frame", rank)))
+    found = frames.groupBy(*keys).agg(*[chosen.alias(f"_{name}") for name, chosen in ends])
+    rows = F.inline(F.array(*[F.struct(F.col(f"_{name}").alias("frame"), F.lit(name).alias("reason")) for name, _ in ends]))
+    return found.select(*keys, rows).filter(F.col("frame").isNotNull())
 
 
 def anchors(frames: DataFrame, keys: Sequence[str], positions: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
@@ -241,7 +254,8 @@ def assemble(frames: DataFrame, keys: Sequence[str], metrics: Sequence[str], *,
     keeps the last reason), near-duplicates dropped, the best ``most`` kept, and filled up
     with the best other unfiltered frames when fewer than ``least``."""
     useful = frames.filter(F.col("filter_reason").isNull())
-    slim = useful.select(*keys, "frame", "t", "phash", "info_score", *metrics)
+    # read by every step below, and it stands for the whole scoring: settled once
+    slim = checkpointed(useful.select(*keys, "frame", "t", "phash", "info_score", *metrics))
     won = window_top(slim, keys, size, k).select(*keys, "frame", F.lit("window_topk").alias("reason"), F.lit(0).alias("_src"))
     ends = extremes(slim, keys, metrics).withColumn("_src", F.lit(1))
     spots = anchors(slim, keys).withColumn("_src", F.lit(2))
@@ -260,8 +274,7 @@ def assemble(frames: DataFrame, keys: Sequence[str], metrics: Sequence[str], *,
 def summarize(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Visibility, noise and hand-motion figures of each segment."""
     own = own_hands()
-    mean_y = F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, h: a + box_center(h["bbox"])[1]) / F.size(own))
-    rows = frames.withColumn("_y", mean_y)
+    rows = frames.withColumn("_y", mean_height(own))
     span = F.max("_y") - F.min("_y")
     visible = F.avg((F.col("hand_score") > 0.3).cast("double"))
     return rows.groupBy(*keys).agg(

@@ -19,6 +19,11 @@ def _box(x, y, w, h):
     return F.array(x.cast("int"), y.cast("int"), (x + w).cast("int"), (y + h).cast("int"))
 
 
+def _hash60(text):
+    """The first 60 bits of the MD5 digest: the same number in SQL."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _frames(t):
     """Every event as a picture with up to two hands, two machines and one person."""
     k, v, i = F.col("k"), F.floor("value").cast("int"), F.col("row_id")
@@ -34,7 +39,7 @@ def _frames(t):
         F.when(i % 7 == 0, none).when(i % 2 == 0, F.array(hand1, hand2)).otherwise(F.array(hand1)).alias("hands"),
         F.when(i % 5 == 0, none).when(i % 3 == 0, F.array(eq1, eq2)).otherwise(F.array(eq1)).alias("equipment"),
         F.when(i % 4 == 0, F.array(person)).otherwise(none).alias("persons"),
-        (k / 100).alias("sharpness"), F.least(F.lit(1.0), F.col("value") / 200).alias("motion"), F.xxhash64((k % 17).cast("string"), (v % 5).cast("string")).alias("phash"))
+        (k / 100).alias("sharpness"), F.least(F.lit(1.0), F.col("value") / 200).alias("motion"), _hash60(F.concat_ws(" ", k % 17, v % 5)).alias("phash"))
 
 
 def _hand(t):
@@ -42,7 +47,7 @@ def _hand(t):
 
 
 def _plain_hands(t):
-    """Hands scored from their own picture only; cheap, for the steps that follow."""
+    """Hands scored from their own picture only, before their neighbours lift them."""
     f = _frames(t)
     made = F.transform("hands", lambda h: fr.hand_score(h["bbox"], F.col("equipment"), F.col("persons"), P))
     return f.withColumn("_s", made).withColumn(
@@ -50,12 +55,7 @@ def _plain_hands(t):
 
 
 def _scored(t):
-    return fr.score_frames(fr.score_equipment(_plain_hands(t), K, P), P).withColumn("filter_reason", fr.filter_reason(P))
-
-
-@query("o01_hand_scores")
-def o01(t):
-    return _hand(t).select("recording_id", "frame", F.posexplode("hands").alias("i", "h")).select("recording_id", "frame", "i", "h.score", "h.own")
+    return fr.score_frames(fr.score_equipment(_hand(t), K, P), P).withColumn("filter_reason", fr.filter_reason(P))
 
 
 _FR = """SELECT recording_id, row_id AS frame, t_rel AS t, k, v, label, k / 100 AS sharpness, least(1.0::DOUBLE, value / 200) AS motion,
@@ -68,7 +68,23 @@ _HROW = f"""SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.25::DOUBLE * gr
       + 0.2::DOUBLE * coalesce(greatest(0, 1 - list_min(list_transform(eqs, lambda e: {_DIST.format(a='h', b='e.b')})) / ({_DIAG} * 0.3::DOUBLE)), 0) + 0.075::DOUBLE
       + 0.1::DOUBLE * CASE WHEN (h[1] + h[3]) / 2 / 200 < 0.1 OR (h[1] + h[3]) / 2 / 200 > 0.9 OR (h[2] + h[4]) / 2 / 100 > 0.9 THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END + 0.05::DOUBLE
       - 0.3::DOUBLE * CASE WHEN person IS NOT NULL AND greatest(0, least(h[3], person[3]) - greatest(h[1], 0)) * greatest(0, least(h[4], person[4]) - greatest(h[2], 0)) / ((h[3] - h[1]) * (h[4] - h[2])) >= 0.5 THEN 1 ELSE 0 END)) AS score
-    FROM (SELECT *, unnest(hands) AS h FROM fr)"""
+    FROM (SELECT *, unnest(hands) AS h, generate_subscripts(hands, 1) AS i FROM fr)"""
+
+
+_BOOST = f"""WITH RECURSIVE q AS MATERIALIZED (SELECT recording_id, frame, row_number() OVER w AS pos, count(*) OVER (PARTITION BY recording_id) AS n, hs, own, coalesce(lead(own) OVER w, []) AS nxt FROM (
+      SELECT f.recording_id, f.frame, coalesce(p.hs, []) AS hs, list_transform(list_filter(coalesce(p.hs, []), lambda x: x.s > 0.55), lambda x: x.h) AS own FROM fr f LEFT JOIN (SELECT recording_id, frame, list({{'h': h, 's': score}} ORDER BY i) AS hs FROM hr0 GROUP BY ALL) p USING (recording_id, frame))
+      WINDOW w AS (PARTITION BY recording_id ORDER BY frame)),
+    r AS (SELECT recording_id, frame, pos, hs, own FROM q WHERE pos = 1 UNION ALL SELECT recording_id, frame, pos, hs, list_transform(list_filter(hs, lambda x: x.s > 0.55), lambda x: x.h) FROM (
+      SELECT q.recording_id, q.frame, q.pos, list_transform(q.hs, lambda x: {{'h': x.h, 's': CASE WHEN q.pos < q.n AND x.s <= 0.55 AND len(list_filter(list_concat(r.own, q.nxt), lambda e: {_DIST.format(a='x.h', b='e')} < 20)) > 0 THEN least(1.0::DOUBLE, x.s + 0.15::DOUBLE) ELSE x.s END}}) AS hs
+      FROM r JOIN q ON q.recording_id = r.recording_id AND q.pos = r.pos + 1)) SELECT * FROM r"""
+_HR = "SELECT f.*, x.h AS h, x.s AS score, i FROM fr f JOIN (SELECT recording_id, frame, unnest(hs) AS x, generate_subscripts(hs, 1) AS i FROM boost) USING (recording_id, frame)"
+_HANDS = dict(fr=_FR, hr0=_HROW, boost=_BOOST, hr=_HR)
+
+
+@query("o01_hand_scores", sql(f"SELECT recording_id, frame, i - 1 AS i, {fx('score')} AS score, score > 0.55 AS own FROM hr", "samples", **_HANDS))
+def o01(t):
+    rows = _hand(t).select("recording_id", "frame", F.posexplode("hands").alias("i", "h"))
+    return rows.select("recording_id", "frame", F.col("i").cast("long").alias("i"), fix(F.col("h.score")).alias("score"), "h.own")
 
 
 @query("o01_single_frame_scores", sql(f"SELECT recording_id, frame, count(*) AS hands, {fx('max(score)')} AS best, count(*) FILTER (score > 0.55) AS own FROM hr GROUP BY ALL", "samples", fr=_FR, hr=_HROW))
@@ -77,7 +93,7 @@ def o01b(t):
     return h.groupBy("recording_id", "frame").agg(F.count(F.lit(1)).alias("hands"), fix(F.max("h.score")).alias("best"), F.count_if(F.col("h.own")).alias("own"))
 
 
-_OWN = "SELECT f.*, coalesce(o.own, []) AS own, coalesce(o.hs, 0) AS hand_score FROM fr f LEFT JOIN (SELECT recording_id, frame, list(h) AS own, max(score) AS hs FROM hr WHERE score > 0.55 GROUP BY ALL) o USING (recording_id, frame)"
+_OWN = "SELECT f.*, coalesce(o.own, []) AS own, coalesce(o.hs, 0) AS hand_score FROM fr f LEFT JOIN (SELECT recording_id, frame, list(h ORDER BY i) AS own, max(score) AS hs FROM hr WHERE score > 0.55 GROUP BY ALL) o USING (recording_id, frame)"
 _EROW = f"""SELECT recording_id, frame, e, least(1.0::DOUBLE, base + least(0.15::DOUBLE, n / total * 0.2::DOUBLE)) AS score FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.3::DOUBLE * e.c
       + 0.25::DOUBLE * coalesce(greatest(0, 1 - list_min(list_transform(own, lambda h: {_DIST.format(a='e.b', b='h')})) / ({_DIAG} * 0.25::DOUBLE)), 0) + 0.1::DOUBLE + 0.075::DOUBLE
       + 0.1::DOUBLE * greatest(0, 1 - (abs((e.b[1] + e.b[3]) / 2 / 200 - 0.5::DOUBLE) * 2 + abs((e.b[2] + e.b[4]) / 2 / 100 - 0.5::DOUBLE) * 2) / 2)
@@ -86,9 +102,9 @@ _EROW = f"""SELECT recording_id, frame, e, least(1.0::DOUBLE, base + least(0.15:
     JOIN (SELECT recording_id, count(*) AS total FROM fr GROUP BY ALL) USING (recording_id))"""
 
 
-@query("o02_equipment_scores", sql(f"SELECT recording_id, frame, e.l AS label, {fx('score')} AS score, score > 0.55 AS active FROM er", "samples", fr=_FR, hr=_HROW, own=_OWN, er=_EROW))
+@query("o02_equipment_scores", sql(f"SELECT recording_id, frame, e.l AS label, {fx('score')} AS score, score > 0.55 AS active FROM er", "samples", **_HANDS, own=_OWN, er=_EROW))
 def o02(t):
-    e = fr.score_equipment(_plain_hands(t), K, P).select("recording_id", "frame", F.explode("equipment").alias("e"))
+    e = fr.score_equipment(_hand(t), K, P).select("recording_id", "frame", F.explode("equipment").alias("e"))
     return e.select("recording_id", "frame", "e.label", fix(F.col("e.score")).alias("score"), "e.active")
 
 
@@ -100,7 +116,7 @@ _INT2 = f"""SELECT *, CASE WHEN len(own) = 0 OR len(act) = 0 THEN 0 WHEN list_ma
 _INFO = """SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, hand_score * 0.3::DOUBLE + equipment_score * 0.25::DOUBLE + interaction * 0.2::DOUBLE + motion * 0.1::DOUBLE + sharpness * 0.1::DOUBLE + 0.025::DOUBLE - pn * 0.25::DOUBLE - bn * 0.15::DOUBLE)) AS info_score,
       CASE WHEN person_area > 0.45 AND hand_score < 0.2 THEN 'person_dominant_hard' WHEN person_area > 0.25 AND hand_score < 0.3 AND equipment_score < 0.3 THEN 'person_dominant_soft' WHEN person_area > 0.25 AND hand_score < 0.1 AND equipment_score < 0.1 THEN 'coach_demo' WHEN sharpness < 0.15 THEN 'blur' END AS filter_reason
     FROM (SELECT *, CASE WHEN hand_score > 0.5 THEN person_area * 0.3::DOUBLE ELSE person_area END AS pn, CASE WHEN equipment_score > 0.5 THEN idle * 0.3::DOUBLE ELSE idle END AS bn FROM i2)"""
-_ALL = dict(fr=_FR, hr=_HROW, own=_OWN, er=_EROW, i1=_INT, i2=_INT2, info=_INFO)
+_ALL = _HANDS | dict(own=_OWN, er=_EROW, i1=_INT, i2=_INT2, info=_INFO)
 
 
 @query("o03_filter_reasons", sql("SELECT recording_id, frame, filter_reason FROM info", "samples", **_ALL))
@@ -132,38 +148,57 @@ def o06b(t):
     return out.withColumns({c: fix(F.col(c)) for c in ("mean_score", "visible_share")})
 
 
-def _flat(t):
-    s = b.samples(t)
-    return s.select("recording_id", F.col("row_id").alias("frame"), F.col("t_rel").alias("t"), F.col("value").alias("info_score"), F.when(F.col("k") > 20, F.col("angle_z")).alias("hand_y"), F.xxhash64((F.col("k") % 40).cast("string")).alias("phash"),
-                    F.when(F.col("k") < 5, "blur").alias("filter_reason"))
+_METRICS = ["hand_y", "equipment_y", "hand_distance"]
+
+
+def _useful(t):
+    """Scored frames that no filter drops; scores are fixed, so that both engines order them alike."""
+    rows = fr.endpoint_metrics(_scored(t)).filter("filter_reason IS NULL")
+    return rows.select("recording_id", "frame", "t", "phash", "filter_reason", *[fix(F.col(c)).alias(c) for c in ("info_score", *_METRICS)])
+
+
+_USE = f"""SELECT recording_id, frame, t, {fx('info_score')} AS info_score, CAST('0x' || substring(md5(concat_ws(' ', k % 17, v % 5)), 1, 15) AS BIGINT) AS phash,
+      {fx('CASE WHEN len(own) > 0 THEN list_avg(list_transform(own, lambda h: (h[2] + h[4]) / 2)) END')} AS hand_y, {fx('CASE WHEN len(act) > 0 THEN list_avg(list_transform(act, lambda h: (h[2] + h[4]) / 2)) END')} AS equipment_y,
+      {fx(f"CASE WHEN len(own) > 1 THEN {_DIST.format(a='own[1]', b='own[2]')} END")} AS hand_distance FROM info WHERE filter_reason IS NULL"""
+_TOP = "SELECT recording_id, frame, t, phash FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, floor((t - t0) / {0}::DOUBLE) ORDER BY info_score DESC, t, frame) AS rn FROM (SELECT *, min(t) OVER (PARTITION BY recording_id) AS t0 FROM useful)) WHERE rn <= 2"
 
 
-@query("f06_window_top_k", sql(f"SELECT recording_id, row_id AS frame FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, floor(t_rel / {DAY}::DOUBLE) ORDER BY value DESC, t_rel, row_id) AS rn FROM samples) WHERE rn <= 2", "samples"))
+@query("f06_window_top_k", sql("SELECT recording_id, frame FROM top", "samples", **_ALL, useful=_USE, top=_TOP.format(DAY)))
 def f06(t):
-    return fr.window_top(_flat(t), K, DAY, 2).select("recording_id", "frame")
+    return fr.window_top(_useful(t), K, DAY, 2).select("recording_id", "frame")
 
 
-@query("f07_extremes", sql("""SELECT recording_id, row_id AS frame, 'hand_y_max' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY angle_z DESC, t_rel, row_id) AS rn FROM samples WHERE k > 20) WHERE rn = 1
-    UNION ALL SELECT recording_id, row_id, 'hand_y_min' FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY angle_z, t_rel, row_id) AS rn FROM samples WHERE k > 20) WHERE rn = 1""", "samples"))
+_ENDS = " UNION ALL ".join(
+    f"SELECT recording_id, frame, '{m}_{end}' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY {m} {way}, t, frame) AS rn FROM useful WHERE {m} IS NOT NULL) WHERE rn = 1" for m in _METRICS for end, way in (("max", "DESC"), ("min", "ASC"))
+)
+
+
+@query("f07_extremes", sql(_ENDS, "samples", **_ALL, useful=_USE))
 def f07(t):
-    return fr.extremes(_flat(t), K, ["hand_y"])
+    return fr.extremes(_useful(t), K, _METRICS)
 
 
-@query("f08_anchor_frames", sql("""SELECT recording_id, frame, 'anchor_' || CAST(round(p * 100) AS INT) || '%' AS reason FROM (SELECT s.recording_id, s.row_id AS frame, p, row_number() OVER (PARTITION BY s.recording_id, p ORDER BY abs(s.t_rel - z.total * p), s.t_rel, s.row_id) AS rn
-    FROM samples s JOIN (SELECT recording_id, max(t_rel) AS total FROM samples GROUP BY ALL) z USING (recording_id), (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) v(p)) WHERE rn = 1""", "samples"))
+@query("f08_anchor_frames", sql("""SELECT recording_id, frame, 'anchor_' || CAST(round(p * 100) AS INT) || '%' AS reason FROM (SELECT s.recording_id, s.frame, p, row_number() OVER (PARTITION BY s.recording_id, p ORDER BY abs(s.t - (z.a + (z.b - z.a) * p)), s.t, s.frame) AS rn
+    FROM useful s JOIN (SELECT recording_id, min(t) AS a, max(t) AS b FROM useful GROUP BY ALL) z USING (recording_id), (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) v(p)) WHERE rn = 1""", "samples", **_ALL, useful=_USE))
 def f08(t):
-    return fr.anchors(_flat(t), K)
+    return fr.anchors(_useful(t), K)
+
+
+_GREEDY = f"""WITH RECURSIVE q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t, frame) AS pos FROM top),
+    r AS (SELECT recording_id, pos, frame, true AS good, [{{'t': t, 'h': phash}}] AS kept FROM q WHERE pos = 1 UNION ALL SELECT recording_id, pos, frame, good, CASE WHEN good THEN list_append(kept, me) ELSE kept END FROM (
+      SELECT q.recording_id, q.pos, q.frame, r.kept, {{'t': q.t, 'h': q.phash}} AS me, len(list_filter(r.kept, lambda x: abs(x.t - q.t) < {HOUR} OR bit_count(xor(x.h, q.phash)) < 6)) = 0 AS good FROM r JOIN q ON q.recording_id = r.recording_id AND q.pos = r.pos + 1))
+    SELECT recording_id, frame FROM r WHERE good"""
 
 
-@query("f10_near_duplicates")
+@query("f10_near_duplicates", sql("SELECT recording_id, frame FROM greedy", "samples", **_ALL, useful=_USE, top=_TOP.format(6 * HOUR), greedy=_GREEDY))
 def f10(t):
-    chosen = fr.window_top(_flat(t), K, 6 * HOUR, 2)
-    return fr.drop_near_duplicates(chosen.select("recording_id", "frame", "t", "phash"), K, HOUR, 6)
+    chosen = fr.window_top(_useful(t), K, 6 * HOUR, 2)
+    return fr.drop_near_duplicates(chosen.select("recording_id", "frame", "t", "phash"), K, HOUR, 6).select("recording_id", "frame")
 
 
 @query("o12_key_frames")
 def o12(t):
-    return fr.assemble(_flat(t), K, ["hand_y"], size=DAY, min_gap=HOUR)
+    return fr.assemble(_useful(t), K, _METRICS, size=DAY, min_gap=HOUR)
 
 
 _FEATS = ["tilt_mean", "tilt_std", "tilt_range", "drift_mean", "turn", "acc_mean", "acc_std", "gyro_mean", "gyro_std", "vertical_energy", "dominant_freq", "periodic_score", "peak_count"]
@@ -188,10 +223,10 @@ def o11(t):
 
 def _vectors(t):
     e = F.col("embedding")
-    return t.embeddings.select("vec_id", F.col("label").cast("string").alias("label"), *[e[i].cast("double").alias(f"x{i}") for i in range(16)])
+    return t.embeddings.select("vec_id", F.col("label").cast("string").alias("label"), *[e[i].cast("double").alias(f"x{i}") for i in range(64)])
 
 
-_X = [f"x{i}" for i in range(16)]
+_X = [f"x{i}" for i in range(64)]
 
 
 @query("o08_stratified_folds")
