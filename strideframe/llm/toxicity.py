@@ -34,7 +34,7 @@ from strideframe.llm.registry import query, table
 from strideframe.llm.scratch import run_folder, settled
 from strideframe.llm.textkit import slices
 
-SAMPLE, LEAST_Z, LEAST_ODDS, FEATURES, LONGEST, CACHE = 20_000, 3.0, 1.5, 4096, 64, 400_000
+SAMPLE, LEAST_Z, LEAST_ODDS, FEATURES, LONGEST, CACHE = 20_000, 3.0, 1.5, 4096, 64, 200_000
 Batches = Iterator[pa.RecordBatch]
 # The letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -119,10 +119,10 @@ def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray) -> str:
 
 
 class Restorer(dict):
-    """raw token -> restored words; bounded."""
+    """raw token -> restored words; remembers up to ``most`` tokens."""
 
-    def __init__(self, model: np.ndarray):
-        self.model = model
+    def __init__(self, model: np.ndarray, most: int = 0):
+        self.model, self.most = model, most
 
     def __missing__(self, token: str) -> tuple[str, ...]:
         core = _JUNK.sub("", token.strip(_EDGES)).strip(_EDGES)
@@ -132,9 +132,10 @@ class Restorer(dict):
             words = tuple(viterbi(lattice(core), self.model).split())
         else:
             words = tuple(re.findall(r"[^\W\d_]+", core))
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.clear()
-        self[token] = words
+        if self.most:
+            self[token] = words
         return words
 
     def tokens(self, text: str | None) -> set[str]:
@@ -154,7 +155,7 @@ def features(word: str) -> list[str]:
 
 def _gather(model):
     def run(batches: Batches) -> Batches:
-        restorer, n, toxic = Restorer(model.value), Counter(), Counter()
+        restorer, n, toxic = Restorer(model.value, CACHE), Counter(), Counter()
         for batch in (part for whole in batches for part in slices(whole, "text")):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 found = {f for w in restorer.words(text) for f in features(w)}
