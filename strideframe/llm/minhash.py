@@ -226,10 +226,12 @@ def near_duplicates(docs: DataFrame, least_percent: int = 85, doc_id: str = "doc
         sketches.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "h_text")).alias("spot"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), folder, "classes"
     )
     rows = classes.select("set_id", "n", F.explode("bands").alias("band"))
-    crowds = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    # settled before the join: then both its sides are plain shuffles, whose hot keys Spark splits
+    crowds = settled(rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), folder, "crowds")
     shared = settled(rows.join(crowds, "band"), folder, "shared")
     known = shared.groupBy("set_id").agg(F.sum("size").alias("met"))
     pivots = shared.join(known, "set_id").groupBy("band").agg(F.max(F.struct("met", "set_id", "n")).alias("p")).select("band", F.col("p.set_id").alias("a"), F.col("p.n").alias("n_a"))
+    pivots = settled(pivots, folder, "pivots")
     fits = lambda x, y: 100 * F.least(x, y) >= least_percent * F.greatest(x, y)
     star = shared.join(pivots, "band").where("set_id <> a").where(fits(F.col("n"), F.col("n_a"))).select("a", F.col("set_id").alias("b")).distinct()
     regs = lambda end: classes.select(F.col("set_id").alias(end), F.col("regs").alias(f"regs_{end}"))

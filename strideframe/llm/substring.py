@@ -188,10 +188,11 @@ def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     folder = run_folder(docs.sparkSession)
     texts = source.select("text").where("text is not null")
     anchors = texts.mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    anchors = settled(anchors, folder, "anchors")  # so that both sides of the join are plain shuffles, whose hot keys Spark splits
     places = source.where("text is not null").mapInArrow(_places, f"doc_id {kind}, h_text long, place long, anchor long, stretch long")
     places = settled(places.join(anchors, "anchor", "left_semi"), folder, "places")
     stretches = settled(places.groupBy("anchor", "stretch").agg((F.count("*") > 1).alias("many"), F.min(F.struct("doc_id", "h_text", "place")).alias("spot")), folder, "stretches")
-    crowd = stretches.groupBy("anchor").agg(F.count("*").alias("n"))
+    crowd = settled(stretches.groupBy("anchor").agg(F.count("*").alias("n")), folder, "crowds")
     sized = stretches.join(crowd, "anchor")
     lone = sized.where("n = 1").select("anchor", "stretch", F.expr(f"shiftleft(1L, cast(spot.place % {_PLACE} + 1 as int)) - 1").alias("mask"))
     wanted = sized.where("n > 1").groupBy(F.col("spot.doc_id").alias("doc_id"), F.col("spot.h_text").alias("h_text")).agg(
