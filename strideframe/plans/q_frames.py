@@ -236,9 +236,9 @@ def o08(t):
 
 @query("o07_forest_predictions")
 def o07(t):
-    rows = _vectors(t)
-    model = learn.train(rows, _X, "label", learn.forest(trees=20, depth=6))
-    return learn.score(model, rows, _X).select("vec_id", "label", "predicted", "confidence")
+    rows = learn.stratified_folds(_vectors(t), "label", ["vec_id"], 5)
+    model = learn.train(rows.filter("fold <> 0").drop("fold"), _X, "label", learn.forest(trees=100, depth=8))
+    return learn.score(model, rows.filter("fold = 0"), _X).select("vec_id", "label", "predicted", "confidence")
 
 
 @query("o09_scored_segments")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from strideframe.functions.mathx import fix, magnitude
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, fx, sql
 from strideframe.plans.registry import query
-from strideframe.session import shared_folder
+from strideframe.session import scratch_root
 from strideframe.streaming import monitors as mon
 
 _IDLE = """SELECT recording_id, min(t_rel) AS since, min(t_rel) FILTER (t_rel - s0 > 86400) AS alert_at FROM (SELECT *, min(t_rel) OVER (PARTITION BY recording_id, run) AS s0 FROM (
@@ -24,14 +22,9 @@ def p01(t):
     return mon.idle_alerts(s, ["recording_id"], "t_rel", "row_id", "motion", 0.2, DAY)
 
 
-def _folder(t) -> str:
-    """The shared folder of the cluster; a temporary one only when none is set."""
-    return shared_folder(t.spark) or tempfile.mkdtemp(prefix="strideframe-stream-")
-
-
 def _stream(t):
     """The event table as a stream, with its times as timestamps."""
-    reader = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet")
+    reader = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 16)
     k = F.get_json_object("props", "$.k").cast("int")
     v = F.col("value")
     return reader.parquet(t.folder).select(
@@ -40,7 +33,7 @@ def _stream(t):
 
 @query("p01_idle_alert_stream", sql("SELECT recording_id AS user_id, CAST(count(*) AS BIGINT) AS alerts FROM (" + _IDLE + ") GROUP BY ALL", "samples"))
 def p01s(t):
-    out = mon.run_available(mon.idle_alert_stream(_stream(t), "user_id", "motion", 0.2, DAY, forget_sec=90 * DAY), _folder(t))
+    out = mon.run_available(mon.idle_alert_stream(_stream(t), "user_id", "motion", 0.2, DAY, forget_sec=90 * DAY), scratch_root(t.spark))
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("alerts"))
 
 
@@ -93,7 +86,7 @@ def p05(t):
 
 @query("p05_tumbling_stream", sql(_P05 + " WHERE start < (SELECT date_trunc('day', max(ts) - INTERVAL 1 HOUR) FROM samples)", "samples"))
 def p05s(t):
-    return _shown(mon.run_available(_p05(_stream(t)), _folder(t)))
+    return _shown(mon.run_available(_p05(_stream(t)), scratch_root(t.spark)))
 
 
 @query("p06_rest_monitor", sql("""SELECT user_id, CAST(min(ws) AS VARCHAR) AS rest_start, CAST(max(we) AS VARCHAR) AS rest_end FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ws) AS s FROM (

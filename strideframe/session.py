@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +30,22 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job with a reliable checkpoint.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder for intermediate data: :func:`shared_folder`, or a temporary one if the master is local.
 
-    It goes to the context's checkpoint folder, or to :func:`shared_folder`.  Only a session
-    that names neither (tests, a laptop) gets a temporary folder.
+    A cluster without that setting is an error: its executors would not see each other's files.
     """
+    root = shared_folder(spark)
+    if root is not None:
+        return root
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-scratch-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative job with a reliable checkpoint in the context's checkpoint folder, or below :func:`scratch_root`."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="strideframe-checkpoint-"))
+        context.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint(eager=True)
