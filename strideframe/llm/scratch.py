@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.session import shared_folder
+from strideframe.session import scratch_root
 
 
 def run_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, deleted when the application ends.
 
-    Without that setting only a local master gets a temporary folder; a cluster must name one.
+    Without that setting a local master gets a temporary folder; on a cluster it is an error.
     """
-    root = shared_folder(spark)
-    if root is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-scratch-")
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
