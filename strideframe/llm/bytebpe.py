@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from strideframe.llm.registry import query, table
 from strideframe.llm.textkit import slices
 
-PIECE, CHUNKS = 1 << 16, 400_000
+PIECE, CHUNKS = 1 << 16, 250_000
 _CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
 
@@ -136,14 +136,8 @@ class _Chunks(dict):
         return [b"".join([self[c] for c in row]) for row in rows]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
-    """doc_id, ids; with ``offsets`` also first and last, each token's range of characters of the text."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(model_json(ranks_path, pattern))
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = next(t for c, t in source.dtypes if c == "doc_id")
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoder(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Chunks(_loaded(model.value)[0])
         for batch in (part for whole in batches for part in slices(whole, "text")):
             rows = [b"".join(held.codes([p])[0] for p in _pieces(t)) if t and len(t) > 2 * PIECE else t for t in batch.column("text").to_pylist()]
@@ -152,6 +146,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
             ends = pa.array(np.concatenate([[0], np.cumsum([len(c) // 4 for c in codes])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(codes), np.int32)))], ["doc_id", "ids"])
 
+    return run
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
+    """doc_id, ids; with ``offsets`` also first and last, each token's range of characters of the text."""
+    model = docs.sparkSession.sparkContext.broadcast(model_json(ranks_path, pattern))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = dict(source.dtypes)["doc_id"]
+
     def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, _ = _loaded(model.value)
         for batch in (part for whole in batches for part in slices(whole, "text")):
@@ -170,16 +173,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
 
     if offsets:
         return source.mapInArrow(spanned, f"doc_id {kind}, ids array<int>, first array<long>, last array<long>")
-    return source.mapInArrow(plain, f"doc_id {kind}, ids array<int>")
-
+    return source.mapInArrow(_encoder(model), f"doc_id {kind}, ids array<int>")
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """doc_id, ids, bytes, text: the ids back through the reversed byte table."""
-    spark = encoded.sparkSession
-    model = spark.sparkContext.broadcast(model_json(ranks_path, pattern))
-    source = encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
-    kind = next(t for c, t in source.dtypes if c == "doc_id")
 
+def _decoder(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, tokens = _loaded(model.value)
         for whole in batches:
@@ -189,12 +186,26 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc
                 raw = [b"".join([tokens[i] for i in column[k].values.to_numpy().tolist()]) if column[k].is_valid else b"" for k in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, pa.array(raw, pa.binary())], ["doc_id", "ids", "bytes"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, ids array<int>, bytes binary").withColumn("text", F.expr("make_valid_utf8(cast(bytes as string))"))
+    return run
+
+
+def decode(encoded: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """doc_id, ids, bytes, text: the ids back through the reversed byte table."""
+    model = encoded.sparkSession.sparkContext.broadcast(model_json(ranks_path, pattern))
+    source = encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
+    out = source.mapInArrow(_decoder(model), f"doc_id {dict(source.dtypes)['doc_id']}, ids array<int>, bytes binary")
+    return out.withColumn("text", F.expr("make_valid_utf8(cast(bytes as string))"))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids, n_tokens, ids_sha256, decoded_sha256 of whole texts."""
-    decoded = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
+    """doc_id, ids, n_tokens, ids_sha256, decoded_sha256 of whole texts.
+
+    Encoder and decoder run in one Python pass, so that a task has one worker and one model.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(model_json(ranks_path, pattern))
+    source = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    there, back = _encoder(model), _decoder(model)
+    decoded = source.mapInArrow(lambda batches: back(there(batches)), f"doc_id {dict(source.dtypes)['doc_id']}, ids array<int>, bytes binary")
     return decoded.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
     )

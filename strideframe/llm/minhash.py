@@ -280,7 +280,19 @@ def one_of_each(docs: DataFrame, least_percent: int = 80) -> DataFrame:
     return out.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
-@query("op10_minhash")
+ORACLE = rf"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - {SHINGLE - 1}))) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+meet AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM meet JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)),
+closed(a, b) AS (SELECT a, b FROM link UNION SELECT c.a, l.b FROM closed c JOIN link l ON l.a = c.b),
+least_id AS (SELECT a AS doc_id, min(b) AS m FROM closed GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_id USING (doc_id)
+"""
+
+
+@query("op10_minhash", ORACLE)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """All documents at Jaccard 0.85."""
     return near_duplicates(table(spark, folder, "documents"), 85).drop("h_text", "group")

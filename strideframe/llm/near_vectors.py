@@ -197,7 +197,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, vec_id: str = "vec_id"
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
 
 
-@query("op1_near_vectors")
+ORACLE = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+link AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND x.norm > 0 AND y.norm > 0 AND list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.95),
+closed(a, b) AS (SELECT a, b FROM link UNION SELECT c.a, l.b FROM closed c JOIN link l ON l.a = c.b),
+least_id AS (SELECT a AS vec_id, min(b) AS m FROM closed GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN least_id USING (vec_id)
+"""
+
+
+@query("op1_near_vectors", ORACLE)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """All vectors at cosine 0.95."""
     return near_vectors(table(spark, folder, "embeddings"))

@@ -248,7 +248,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return strip_repeats(docs).withColumns(changed).select(docs.columns)
 
 
-@query("op3_substring")
+ORACLE = rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(ws[i:i + {WIDTH - 1}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - {WIDTH - 1})) AS i FROM w)),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + {WIDTH - 1})) AS p FROM win SEMI JOIN (SELECT h FROM win GROUP BY h HAVING count(*) > 1) USING (h)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op3_substring", ORACLE)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """All documents; the digest of the words that stay."""
     out = strip_repeats(table(spark, folder, "documents").select("doc_id", "text"))

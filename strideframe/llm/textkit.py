@@ -3,7 +3,7 @@
 A word is a maximal run of bytes other than space and TAB..CR, the pattern ``[^\\x20\\x09-\\x0D]+``
 (these bytes never occur inside a UTF-8 character).  Words and word runs get 64-bit
 polynomial hashes from prefix sums, so that any run costs the same whatever its length.  Texts
-are taken in slices of about a megabyte; one long text is cut at white space, so that memory
+are taken in slices of about half a megabyte; one long text is cut at white space, so that memory
 follows the number of its words, not its bytes.
 """
 
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 _BYTE_BASE, _WORD_BASE, _SECOND_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1, 0xA0761D6478BD642F | 1
 
@@ -46,7 +46,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if held is None or len(held[0]) < n:
         size = max(n, 1 << 17)
         held = tuple(np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, b, U64))]) for b in (base, pow(base, -1, 1 << 64)))
-        if size <= 1 << 21:
+        if size <= 2 * SLICE_BYTES:
             _POWERS[base] = held
     return held[0][:n], held[1][:n]
 
@@ -151,7 +151,7 @@ def words_of(texts: pa.Array, lower: bool = False, fold: np.ndarray | None = Non
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts hold about a megabyte; at least one row each."""
+    """Runs of rows whose texts hold about ``SLICE_BYTES``; at least one row each."""
     import pyarrow.compute as pc
 
     size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
