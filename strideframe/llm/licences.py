@@ -201,7 +201,7 @@ def licence_notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     id_kind = dict(source.dtypes)["doc_id"]
     share = min(1.0, NEGATIVE_DOCS / max(1, source.count()))
     sample = source.where(F.col("text").isNotNull() & (F.shiftrightunsigned(F.xxhash64("text"), 1) <= min(int(share * 2**63), 2**63 - 1)))
-    lines = [r[0] for r in sample.select(F.explode(F.split(F.substring("text", 1, 20_000), "\n")).alias("line")).limit(NEGATIVE_LINES).collect()]
+    lines = [r[0] for r in sample.select(F.explode(F.split("text", "\n")).alias("line")).limit(NEGATIVE_LINES).collect()]
     model = spark.sparkContext.broadcast(Model(lines))
     notices = "array<struct<paragraph:long,family:string,likeliest:string,probability:double,similarity:double>>"
     out = source.mapInArrow(_judge(model), f"doc_id {id_kind}, n_paragraphs long, notices {notices}")
