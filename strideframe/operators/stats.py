@@ -78,13 +78,10 @@ def exact_quantiles(
         .select(*keys, "_slot", "_before", F.col("_w.q").alias("_q"), F.col("_w.side").alias("_side"), F.col("_w.rank").alias("_rank"))
     )
     slots = targets.select(*keys, "_slot", "_before").distinct()
-    values = placed.groupBy(*keys, "_slot", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # only rows of wanted slots are counted and shuffled
+    values = placed.select(*keys, "_slot", "_v").join(slots, [*keys, "_slot"]).groupBy(*keys, "_slot", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
     inner = Window.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    inside = (
-        values.join(slots, [*keys, "_slot"])
-        .withColumn("_from", F.col("_before") + F.coalesce(F.sum("_c").over(inner), F.lit(0)))
-        .drop("_before")
-    )
+    inside = values.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_c").over(inner), F.lit(0))).drop("_before")
     hit = inside.join(targets.drop("_before"), [*keys, "_slot"]).filter(
         (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_c"))
     )
