@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Tables:
-    """Lazy readers of one data folder; every table is read at most once per query."""
+    """Lazy readers of one data folder; each table is one DataFrame per query, though a plan may scan it more than once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
