@@ -14,7 +14,8 @@
 Labels, lang, source and doc_id are no features.  Defined cases: null and empty texts score by the intercept;
 rows with crc32(doc_id) mod 5 = 0 are held out and never fitted on; a null id is not held out; null labels
 are not fitted on; without labelled rows of both classes all texts score as the (smoothed) share of toxic ones; repeated rows
-are scored alike and count once in the fit; tokens over ``LONGEST`` characters are taken as they stand.
+are scored alike and count once in the fit; spaced runs and tokens of any length are decoded in one pass, those over
+``LONGEST`` characters are not remembered.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,38 +74,41 @@ def trigram_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log((n3 + 5 * p2[None]) / (n3.sum(2, keepdims=True) + 5)).astype(np.float32)
 
 
-_SUSPECT = re.compile(r"(.)\1\1|\w[^\w\s]+\w|[0-9@$!|+(€£].*[^\W\d_]|[^\W\d_].*[0-9@$!|+(€£]")
+_SUSPECT = re.compile(r"(.)\1\1|\w[^\w\s]+\w")
+_SIGN, _LETTER = re.compile(r"[0-9@$!|+(€£]"), re.compile(r"[^\W\d_]")
 _EDGES = "\"'()[]{}<>«»“”„.,;:?…"
 _JUNK = re.compile(r"([^\w\s])\1+$")
 _SPACED = re.compile(r"(?<![\w@$])[\w@$](?:[ .\-_*/]{1,2}[\w@$]){3,}(?![\w@$])")
 
 
+@lru_cache(CACHE)
+def _readings(c: str, n: int) -> list[tuple[str, float]]:
+    """The readings of one character that stands ``n`` times, three for more."""
+    if c in LOOKALIKES:
+        options = [(x, -0.5) for x in LOOKALIKES[c]] + [(" ", -9.0)] + ([("", -3.0)] if not c.isdigit() else [])
+        options += [(x + x, -1.0) for x in LOOKALIKES[c]] * (n > 1)
+    elif c in WILD:
+        options = [("", -4.0), (" ", -3.0)] + [(x, -3.0) for x in _LETTERS[:26]] * (n == 1)
+    elif c.isalpha():
+        options = [(c, 0.0)] if n == 1 else [(c + c, -0.1), (c, -6.0)] if n == 2 else [(c, -0.7), (c + c, -0.7)]
+    elif c in SEPARATORS or c.isspace():
+        options = [(" ", -0.7), ("", -1.4)]
+    else:
+        options = [(" ", 0.0)]
+    return options
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each run of equal characters its readings and their log probabilities in the channel."""
-    out = []
-    for match in re.finditer(r"(.)\1*", token):
-        c, n = match.group(1), match.end() - match.start()
-        if c in LOOKALIKES:
-            options = [(x, -0.5) for x in LOOKALIKES[c]] + [(" ", -9.0)] + ([("", -3.0)] if not c.isdigit() else [])
-            options += [(x + x, -1.0) for x in LOOKALIKES[c]] * (n > 1)
-        elif c in WILD:
-            options = [("", -4.0), (" ", -3.0)] + [(x, -3.0) for x in _LETTERS[:26]] * (n == 1)
-        elif c.isalpha():
-            options = [(c, 0.0)] if n == 1 else [(c + c, -0.1), (c, -6.0)] if n == 2 else [(c, -0.7), (c + c, -0.7)]
-        elif c in SEPARATORS or c.isspace():
-            options = [(" ", -0.7), ("", -1.4)]
-        else:
-            options = [(" ", 0.0)]
-        out.append(options)
-    return out
+    return [_readings(m.group(1), min(m.end() - m.start(), 3)) for m in re.finditer(r"(.)\1*", token)]
 
 
 def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     """The likeliest reading of a lattice between two word boundaries."""
-    states = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*columns, [(" ", 0.0)]]:
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
             for piece, cost in options:
                 x, y, s = a, b, score + cost
                 for c in piece:
@@ -113,9 +118,14 @@ def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray) -> str:
                         x, y = y, z
                 held = ahead.get((x, y))
                 if held is None or s > held[0]:
-                    ahead[x, y] = (s, text + piece)
+                    ahead[x, y] = (s, (path, piece) if piece else path)
         states = ahead
-    return max(states.values())[1].strip()
+    # shared path cells keep time and memory linear in the length
+    pieces, path = [], max(states.values(), key=lambda v: v[0])[1]
+    while path:
+        path, piece = path
+        pieces.append(piece)
+    return "".join(reversed(pieces)).strip()
 
 
 class Restorer(dict):
@@ -128,13 +138,13 @@ class Restorer(dict):
         core = _JUNK.sub("", token.strip(_EDGES)).strip(_EDGES)
         if core.isalpha() and not re.search(r"(.)\1\1", core):
             words: tuple[str, ...] = (core,)
-        elif len(core) <= LONGEST and (" " in core or _SUSPECT.search(core)):
+        elif " " in core or _SUSPECT.search(core) or (_SIGN.search(core) and _LETTER.search(core)):
             words = tuple(viterbi(lattice(core), self.model).split())
         else:
             words = tuple(re.findall(r"[^\W\d_]+", core))
         if len(self) > self.most:
             self.clear()
-        if self.most:
+        if self.most and len(token) <= LONGEST:
             self[token] = words
         return words
 
@@ -143,7 +153,7 @@ class Restorer(dict):
         if not text:
             return set()
         low = text.lower()
-        return {*low.split(), *(m.group().strip() for m in _SPACED.finditer(low) if len(m.group()) <= 2 * LONGEST)}
+        return {*low.split(), *(m.group().strip() for m in _SPACED.finditer(low))}
 
     def words(self, text: str | None) -> set[str]:
         return {w for t in self.tokens(text) for w in self[t]}
@@ -175,7 +185,9 @@ def _hits(restorer: Restorer, index: dict[str, int], known: dict[str, tuple], te
         for t in restorer.tokens(text):
             ids = known.get(t)
             if ids is None:
-                ids = known[t] = tuple(index[f] for w in restorer[t] for f in features(w) if f in index)
+                ids = tuple({index[f]: None for w in restorer[t] for f in features(w) if f in index})
+                if len(t) <= LONGEST:
+                    known[t] = ids
             found.update(ids)
         rows.append(sorted(found))
         if len(known) > CACHE:

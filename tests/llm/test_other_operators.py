@@ -208,3 +208,24 @@ def test_warc_derivatives_link_and_round_trip(spark, tmp_path):
     assert back.count() == 12 and back.where("not intact").count() == 0
     assert {r.header for r in back.where("header like '%conversion%'").collect()} == {r.header for r in got if r.warc_type == "conversion"}
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def _english():
+    """A trigram model of a few plain sentences, as one task counts it."""
+    import pyarrow as pa
+
+    text = " ".join(["you are a stupid worthless idiot now and they will go home in the morning", "it is still a good book about the little old school on the hill", "an idiot said so", "keep the dog away from the kid and hug the cat"] * 50)
+    n3 = np.zeros(toxicity.SIZE**3)
+    for part in toxicity._count_trigrams(iter([pa.RecordBatch.from_pydict({"text": [text]})])):
+        n3[part.column("trigram").to_numpy()] += part.column("n").to_numpy()
+    n3 = n3.reshape((toxicity.SIZE,) * 3)
+    return np.log((n3 + 0.01) / (n3 + 0.01).sum(2, keepdims=True))
+
+
+@pytest.mark.parametrize("between", [" ", ".", "-"])
+def test_long_spaced_runs_are_decoded(between):
+    restorer, plain = toxicity.Restorer(_english()), "youareastupidworthlessidiotnow"
+    for times in (1, 3, 2000):
+        words = restorer.words(between.join(plain * times))
+        assert {"stupid", "worthless", "idiot"} <= words
+    assert {"stupid", "worthless"} <= restorer.words("y0u.are.a.stup1d.w0rthless.id1ot." * 20)
