@@ -2,10 +2,12 @@
 
 * **Language model.** Character trigrams of all documents, counted inside the tasks and summed by a
   group-by; the table is bounded by the alphabet (letters up to U+00FF, one class for all others, one boundary).
-* **Channel.** A token with look-alike signs between letters, three equal letters in a row, or letters that are
-  parted by blanks or signs is a lattice: each sign may stand for some letters, for nothing or for a word end, each
+* **Channel.** A token with look-alike signs between letters, three equal letters in a row, letters that are
+  parted by blanks, signs or underscores (three letters or more), or a doubled letter in a word that is rare in the
+  corpus is a lattice: each sign may stand for some letters, for nothing or for a word end, each
   run for one or two letters.  Viterbi decoding under the model picks the reading.  Other tokens have one
-  reading, themselves in lower case.
+  reading, themselves in lower case.  A word is rare below ``LEAST_COUNT`` occurrences or a share of ``1 / COMMON`` of
+  all words with a doubled letter, so at most ``COMMON`` words count as common.
 * **Classifier.** Features are the restored words and their prefixes of 4 to 6 letters.  Document
   frequencies by label over distinct labelled texts give the candidates (log odds at least ``LEAST_Z`` standard
   errors); a logistic regression with an L2 penalty weighs them.  It is fitted on at most ``SAMPLE`` labelled
@@ -37,6 +39,7 @@ from strideframe.llm.scratch import run_folder, settled
 from strideframe.llm.textkit import slices
 
 SAMPLE, LEAST_Z, LEAST_ODDS, FEATURES, LONGEST, CACHE = 20_000, 3.0, 1.5, 4096, 64, 200_000
+COMMON, LEAST_COUNT = 50_000, 3
 Batches = Iterator[pa.RecordBatch]
 # The letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -53,32 +56,55 @@ _TABLE[256] = OTHER
 
 
 def _count_trigrams(batches: Batches) -> Batches:
-    total = np.zeros(SIZE**3, np.int64)
+    """Trigram numbers with their counts, and words with a doubled letter with theirs."""
+    total, words = np.zeros(SIZE**3, np.int64), Counter()
+
+    def counted():
+        return pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["trigram", "word", "n"])
+
     for batch in (part for whole in batches for part in slices(whole, "text")):
         text = "\n\n".join(["", *[t for t in batch.column("text").to_pylist() if t], ""]).lower()
         code = _TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 256)]
         total += np.bincount((code[:-2] * SIZE + code[1:-1]) * SIZE + code[2:], minlength=SIZE**3)
+        for token, n in Counter(text.split()).items():
+            if _TWICE.search(token) and (core := bare(token)).isalpha() and len(core) <= LONGEST and not _THRICE.search(core):
+                words[core] += n
+        if len(words) > CACHE:
+            yield counted()
+            words.clear()
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["trigram", "n"])
-
-
-def trigram_model(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """log P(c | a, b) over all documents, interpolated with shorter contexts."""
-    rows = docs.select(F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(_count_trigrams, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).toPandas()
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.string()), pa.array(total[some])], ["trigram", "word", "n"])
+    yield counted()
+
+
+def trigram_model(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, frozenset[str]]:
+    """log P(c | a, b) over all documents, interpolated with shorter contexts, and the common words with a doubled letter."""
+    counts = docs.select(F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(_count_trigrams, "trigram long, word string, n long").groupBy("trigram", "word").agg(F.sum("n").alias("n"))
+    counts = settled(counts, run_folder(docs.sparkSession), "counts")
+    doubled = counts.where("word is not null")
+    least = max(LEAST_COUNT, (doubled.agg(F.sum("n")).first()[0] or 0) / COMMON)
+    common = frozenset(r.word for r in doubled.where(F.col("n") >= least).select("word").collect())
+    rows = counts.where("word is null").select("trigram", "n").toPandas()
     n3 = np.zeros(SIZE**3)
     n3[rows["trigram"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     n3 = n3.reshape(SIZE, SIZE, SIZE)
     n2, n1 = n3.sum(0), n3.sum((0, 1))
     p1 = (n1 + 1) / (n1 + 1).sum()
     p2 = (n2 + 5 * p1) / (n2.sum(1, keepdims=True) + 5)
-    return np.log((n3 + 5 * p2[None]) / (n3.sum(2, keepdims=True) + 5)).astype(np.float32)
+    return np.log((n3 + 5 * p2[None]) / (n3.sum(2, keepdims=True) + 5)).astype(np.float32), common
 
 
-_SUSPECT = re.compile(r"(.)\1\1|\w[^\w\s]+\w")
+_SUSPECT = re.compile(r"(.)\1\1|\w[^\w\s]+\w|[^\W_]_+[^\W_]")
+_TWICE, _THRICE = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1\1")
 _SIGN, _LETTER = re.compile(r"[0-9@$!|+(€£]"), re.compile(r"[^\W\d_]")
 _EDGES = "\"'()[]{}<>«»“”„.,;:?…"
 _JUNK = re.compile(r"([^\w\s])\1+$")
-_SPACED = re.compile(r"(?<![\w@$])[\w@$](?:[ .\-_*/]{1,2}[\w@$]){3,}(?![\w@$])")
+_SPACED = re.compile(r"(?<![\w@$])[\w@$](?:[ .\-_*/]{1,2}[\w@$]){2,}(?![\w@$])")
+
+
+def bare(token: str) -> str:
+    """The token without signs at its ends."""
+    return _JUNK.sub("", token.strip(_EDGES)).strip(_EDGES)
 
 
 @lru_cache(CACHE)
@@ -98,9 +124,9 @@ def _readings(c: str, n: int) -> list[tuple[str, float]]:
     return options
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters its readings and their log probabilities in the channel."""
-    return [_readings(m.group(1), min(m.end() - m.start(), 3)) for m in re.finditer(r"(.)\1*", token)]
+def lattice(token: str, stretched: bool = False) -> list[list[tuple[str, float]]]:
+    """For each run of equal characters its readings and their log probabilities in the channel; in a stretched token two are like more."""
+    return [_readings(m.group(1), 3 if stretched and m.group(1).isalpha() and m.end() - m.start() == 2 else min(m.end() - m.start(), 3)) for m in re.finditer(r"(.)\1*", token)]
 
 
 def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray) -> str:
@@ -131,13 +157,15 @@ def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray) -> str:
 class Restorer(dict):
     """raw token -> restored words; remembers up to ``most`` tokens."""
 
-    def __init__(self, model: np.ndarray, most: int = 0):
-        self.model, self.most = model, most
+    def __init__(self, model: np.ndarray, most: int = 0, common: frozenset[str] = frozenset()):
+        self.model, self.most, self.common = model, most, common
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        core = _JUNK.sub("", token.strip(_EDGES)).strip(_EDGES)
-        if core.isalpha() and not re.search(r"(.)\1\1", core):
+        core = bare(token)
+        if core.isalpha() and (core in self.common or not _TWICE.search(core)):
             words: tuple[str, ...] = (core,)
+        elif core.isalpha():
+            words = tuple(viterbi(lattice(core, stretched=True), self.model).split())
         elif " " in core or _SUSPECT.search(core) or (_SIGN.search(core) and _LETTER.search(core)):
             words = tuple(viterbi(lattice(core), self.model).split())
         else:
@@ -165,7 +193,7 @@ def features(word: str) -> list[str]:
 
 def _gather(model):
     def run(batches: Batches) -> Batches:
-        restorer, n, toxic = Restorer(model.value, CACHE), Counter(), Counter()
+        restorer, n, toxic = Restorer(model.value[0], CACHE, model.value[1]), Counter(), Counter()
         for batch in (part for whole in batches for part in slices(whole, "text")):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 found = {f for w in restorer.words(text) for f in features(w)}
@@ -197,7 +225,7 @@ def _hits(restorer: Restorer, index: dict[str, int], known: dict[str, tuple], te
 
 def _matrix(model, wanted):
     def run(batches: Batches) -> Batches:
-        restorer, known = Restorer(model.value), {}
+        restorer, known = Restorer(model.value[0], 0, model.value[1]), {}
         for batch in (part for whole in batches for part in slices(whole, "text")):
             rows = _hits(restorer, wanted.value, known, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "hits"])
@@ -230,7 +258,7 @@ def held_out(doc_id: str):
 
 
 class Scorer:
-    """A fitted model: the trigrams, the features with their weights, and the intercept."""
+    """A fitted model: the trigrams with the common doubled words, the features with their weights, and the intercept."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic"):
         spark, folder = docs.sparkSession, run_folder(docs.sparkSession)
@@ -261,7 +289,7 @@ class Scorer:
 
         def run(batches: Batches) -> Batches:
             index, weights, intercept = fitted.value
-            restorer, known = Restorer(model.value), {}
+            restorer, known = Restorer(model.value[0], 0, model.value[1]), {}
             for batch in (part for whole in batches for part in slices(whole, text)):
                 rows = _hits(restorer, index, known, batch.column(text).to_pylist())
                 raw = np.array([intercept + weights[r].sum() if r else intercept for r in rows], float)

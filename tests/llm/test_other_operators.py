@@ -217,7 +217,8 @@ def _english():
     text = " ".join(["you are a stupid worthless idiot now and they will go home in the morning", "it is still a good book about the little old school on the hill", "an idiot said so", "keep the dog away from the kid and hug the cat"] * 50)
     n3 = np.zeros(toxicity.SIZE**3)
     for part in toxicity._count_trigrams(iter([pa.RecordBatch.from_pydict({"text": [text]})])):
-        n3[part.column("trigram").to_numpy()] += part.column("n").to_numpy()
+        known = part.filter(part.column("trigram").is_valid())
+        n3[known.column("trigram").to_numpy()] += known.column("n").to_numpy()
     n3 = n3.reshape((toxicity.SIZE,) * 3)
     return np.log((n3 + 0.01) / (n3 + 0.01).sum(2, keepdims=True))
 
@@ -229,3 +230,13 @@ def test_long_spaced_runs_are_decoded(between):
         words = restorer.words(between.join(plain * times))
         assert {"stupid", "worthless", "idiot"} <= words
     assert {"stupid", "worthless"} <= restorer.words("y0u.are.a.stup1d.w0rthless.id1ot." * 20)
+
+
+@pytest.mark.parametrize(("token", "word"), [("i_d_i_o_t", "idiot"), ("stu_pid", "stupid"), ("iiddiioott", "idiot"), ("stuupid", "stupid"), ("d o g", "dog"), ("k.i.d", "kid"), ("hug, h-u-g", "hug")])
+def test_each_form_of_the_lattice_is_decoded(token, word):
+    assert word in toxicity.Restorer(_english()).words(f"now {token} now")
+
+
+def test_common_doubled_words_stay(spark):
+    model, common = toxicity.trigram_model(documents(spark, [(i, "a vacuum, a book and a Vacuum!" if i < 5 else "iiddiioott", None, None, None) for i in range(6)]))
+    assert common == {"vacuum", "book"} and toxicity.Restorer(model, 0, common).words("vacuum") == {"vacuum"}
