@@ -7,6 +7,11 @@ A fifth of the rows calibrates the probabilities by a temperature.  A paragraph
 the templates of its likeliest family: at least ``CONFIRMED`` of one template's ``SHINGLE``-word runs
 confirm it.  Otherwise, or below the probability ``SURE``, it is ``unknown``; without a single run of any template it is none.
 
+Notices of the listed families are also sought in the words of the whole text, whatever its line breaks and comment
+marks: where a stretch of at most ``STRETCH`` times a template's words holds ``CONFIRMED`` of its runs, it is a notice of
+that family, without regard to the classifier; of overlapping stretches the best covered one counts.  Such a notice has
+the number of its first line, and replaces what was found on its lines.
+
 All texts are scored whole, with numpy over Arrow batches, and no shuffle.  Defined cases: null and empty texts have no
 paragraph and no family; a document may hold several families; repeated rows are judged alike; without
 documents the classifier is fitted on the templates alone; only the named columns are read.
@@ -14,6 +19,7 @@ documents the classifier is fitted on the templates alone; only the named column
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 from strideframe.llm.registry import query, table
 from strideframe.llm.textkit import PLAIN, U64, run_hashes, slices, words_of
 
-SIZE, SHINGLE, CONFIRMED, SURE, NEGATIVE_DOCS, NEGATIVE_LINES = 1 << 15, 5, 0.8, 0.6, 500, 4000
+SIZE, SHINGLE, CONFIRMED, SURE, STRETCH, NEGATIVE_DOCS, NEGATIVE_LINES = 1 << 15, 5, 0.8, 0.6, 1.5, 500, 4000
 Batches = Iterator[pa.RecordBatch]
 
 # Phrases of public licence notices, by family.
@@ -113,6 +119,12 @@ class Model:
                     labels.append(k)
         self.shingles = {f: [self._runs(t) for t in ts] for f, ts in TEMPLATES.items()}
         known = set().union(*(s for runs in self.shingles.values() for s in runs))
+        self.known = np.array(sorted(known), np.uint64)
+        self.holders: dict[int, list[tuple[str, int]]] = {}
+        for f, all_runs in self.shingles.items():
+            for i, runs in enumerate(all_runs):
+                for h in runs:
+                    self.holders.setdefault(h, []).append((f, i))
         rest = [t for t in none if t.split() and not self._runs(t) & known] + ["filler"]
         texts += rest
         labels += [len(CLASSES) - 1] * len(rest)
@@ -169,6 +181,40 @@ class Model:
         return best
 
 
+    def stretches(self, code: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, str, float]]:
+        """First word, end, family and coverage of the template stretches in the words of all texts; none overlap."""
+        at = np.arange(max(0, len(code) - SHINGLE + 1))
+        at = at[owner[at] == owner[at + SHINGLE - 1]]
+        if not len(at):
+            return []
+        runs = run_hashes(code, at, at + SHINGLE)
+        hit = np.isin(runs, self.known)
+        places: dict[tuple[int, str, int], list[tuple[int, int]]] = {}
+        for i, h in zip(at[hit].tolist(), runs[hit].tolist()):
+            for holder in self.holders[h]:
+                places.setdefault((int(owner[i]), *holder), []).append((i, h))
+        found = []
+        for (_, family, which), marks in places.items():
+            of = len(self.shingles[family][which])
+            most, left, held = STRETCH * (of + SHINGLE - 1) + SHINGLE, 0, {}
+            for i, h in marks:
+                held[h] = held.get(h, 0) + 1
+                while i + SHINGLE - marks[left][0] > most or held[marks[left][1]] > 1:
+                    gone = marks[left][1]
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                    left += 1
+                if len(held) >= CONFIRMED * of:
+                    found.append((-len(held) / of, -len(held), marks[left][0], i + SHINGLE, family))
+        kept: list[tuple[int, int, str, float]] = []
+        for share, _, start, stop, family in sorted(found):
+            k = bisect_left(kept, (start,))
+            if (k == 0 or kept[k - 1][1] <= start) and (k == len(kept) or kept[k][0] >= stop):
+                insort(kept, (start, stop, family, -share))
+        return kept
+
+
 def _judge(model):
     def run(batches: Batches) -> Batches:
         m: Model = model.value
@@ -187,6 +233,13 @@ def _judge(model):
                     # a family's share among the licence classes; ``none`` has been ruled out
                     sure = float(p[i, k] / (1 - p[i, -1]))
                     found[owner[i]].append({"paragraph": int(line[i]), "family": CLASSES[k] if alike >= CONFIRMED and sure >= SURE else "unknown", "likeliest": CLASSES[k], "probability": float(p[i, k]), "similarity": alike})
+                of_word, line_of = (np.repeat(x, ends - first) for x in (owner, line))
+                for start, stop, family, share in m.stretches(code, of_word):
+                    text, a, z = int(of_word[start]), int(line_of[start]), int(line_of[stop - 1])
+                    p_family = float(m.probabilities(code[start:stop], np.zeros(1, np.int64))[0, CLASSES.index(family)])
+                    kept = [x for x in found[text] if x.get("stretch") or not a <= x["paragraph"] <= z]
+                    found[text] = [*kept, {"paragraph": a, "family": family, "likeliest": family, "probability": p_family, "similarity": share, "stretch": True}]
+                found = [sorted(({k: v for k, v in x.items() if k != "stretch"} for x in some), key=lambda x: x["paragraph"]) for some in found]
             n = np.bincount(owner, minlength=batch.num_rows).astype(np.int64)
             kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("likeliest", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(found, kind)], ["doc_id", "n_paragraphs", "notices"])

@@ -240,3 +240,17 @@ def test_each_form_of_the_lattice_is_decoded(token, word):
 def test_common_doubled_words_stay(spark):
     model, common = toxicity.trigram_model(documents(spark, [(i, "a vacuum, a book and a Vacuum!" if i < 5 else "iiddiioott", None, None, None) for i in range(6)]))
     assert common == {"vacuum", "book"} and toxicity.Restorer(model, 0, common).words("vacuum") == {"vacuum"}
+
+
+def test_wrapped_and_embedded_licence_notices(spark):
+    import textwrap
+
+    def wrapped(family, which, mark=""):
+        return "\n".join(mark + x for x in textwrap.wrap(licences.TEMPLATES[family][which], 60))
+
+    cases = [("gpl-2.0", wrapped("gpl-2.0", 1, "# ")), ("gpl-3.0", wrapped("gpl-3.0", 1, " * ")), ("isc", wrapped("isc", 0)), ("bsd", wrapped("bsd", 1, "// ")), ("mit", licences.TEMPLATES["mit"][1])]
+    texts = [f"{prose(i, 20)}\n{t}\n{prose(50 + i, 20)}" for i, (_, t) in enumerate(cases)]
+    texts += [f"{prose(90 + i, 3000)} {' '.join(t.split())} {prose(150 + i, 3000)}" for i, (_, t) in enumerate(cases)]
+    out = {r.doc_id: r for r in licences.licence_notices(documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    assert [out[i].families for i in range(len(texts))] == [[f] for f, _ in cases] * 2
+    assert all(out[i].notices[0].paragraph == 1 and out[i].n_unknown == 0 for i in range(len(cases)))
