@@ -169,6 +169,20 @@ def test_lsh_ranks_near_items_and_copies(spark):
     assert all(got[q] == [2, 10, 11] for q in [2, *range(10, 30)])
 
 
+def test_filled_lsh_keeps_every_query(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(200, 64)).astype(np.float32)
+    v[7] = v[8]
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(200)], "id long, v array<float>")
+    got = {}
+    for r in vec.approximate_nearest(df.withColumnRenamed("id", "q"), df, 5, "q", "id", "v", 1.2, fill=True).collect():
+        got.setdefault(r.q, []).append(r.id)
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1)[:, None]
+    best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :5]
+    assert set(got) == set(range(200)) and all(len(x) == 5 for x in got.values())
+    assert sum(len(set(got[q]) & set(best[q].tolist())) for q in range(200)) >= 0.9 * 1000
+
+
 def test_near_duplicate_frames(spark):
     rng = random.Random(6)
     rows = [(1, i, i * 0.2, rng.choice([0, 7, -1, 2**40, 2**40 + 3, 255 << 20])) for i in range(40)]
