@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("near_vectors", "toxicity", "substring", "warc", "licences", "urls", "bytebpe", "quality", "decontaminate", "minhash")
+MODULES = ("near_vectors", "toxicity", "substring", "warc", "licences", "urls", "bytebpe", "quality", "decontaminate", "minhash", "mainhtml", "whitening", "ranked")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
