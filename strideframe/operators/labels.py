@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strideframe.operators.ranges import scan_rows
 from strideframe.operators.sequence import ROWS, SECONDS, frame, index_rows
 from strideframe.operators.stats import exact_quantiles, ratio
 
@@ -26,12 +27,19 @@ def first_mode(values: Column) -> Column:
     return F.array_max(scored)["v"]
 
 
-def smooth_mode(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, k: int, out: str = "smooth", width: float | None = SECONDS) -> DataFrame:
+def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None, label: str | None = None) -> DataFrame:
+    """Positions (and run numbers) over sampled ranges, or over blocks of ``width`` where the caller knows the density."""
+    return scan_rows(df, keys, order, label=label) if width is None else index_rows(df, keys, order, label=label, width=width)
+
+
+def smooth_mode(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, k: int, out: str = "smooth", width: float | None = None) -> DataFrame:
     """Majority label of the ``k`` rows on either side; the first and last ``k`` rows stay."""
-    placed = index_rows(df, keys, order, total=True, width=width)
-    voted = frame(placed, keys, "pos", k, k, lambda w: {"_near": F.collect_list(label).over(w.rowsBetween(-k, k))})
-    inner = (F.col("pos") > k) & (F.col("pos") <= F.col("n_rows") - k)
-    return voted.withColumn(out, F.when(inner, first_mode(F.col("_near"))).otherwise(F.col(label))).drop("_near", "n_rows", "pos")
+    voted = frame(
+        _placed(df, keys, order, width), keys, "pos", k, k,
+        lambda w: {"_near": F.collect_list(label).over(w.rowsBetween(-k, k)), "_n": F.count(F.lit(1)).over(w.rowsBetween(-k, k))},
+    )
+    inner = F.col("_n") == 2 * k + 1
+    return voted.withColumn(out, F.when(inner, first_mode(F.col("_near"))).otherwise(F.col(label))).drop("_near", "_n", "pos")
 
 
 def _run_table(indexed: DataFrame, keys: Sequence[str], label: str, *aggs: Column) -> DataFrame:
@@ -40,10 +48,10 @@ def _run_table(indexed: DataFrame, keys: Sequence[str], label: str, *aggs: Colum
     )
 
 
-def fill_short_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, min_run: int = 2, out: str = "filled", width: float | None = SECONDS) -> DataFrame:
+def fill_short_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, min_run: int = 2, out: str = "filled", width: float | None = None) -> DataFrame:
     """A run shorter than ``min_run`` takes its neighbours' common label, else the longer
     neighbour's (the earlier on a tie), else the only neighbour's.  Neighbours are original runs."""
-    indexed = index_rows(df, keys, order, label=label, width=width)
+    indexed = _placed(df, keys, order, width, label)
     runs = _run_table(indexed, keys, label)
     near = index_rows(runs.select(*keys, "run_id", label, "run_len"), keys, ["run_id"], lag=[label, "run_len"], lead=[label, "run_len"], width=ROWS)
     prev, nxt = F.col(f"lag_{label}"), F.col(f"lead_{label}")

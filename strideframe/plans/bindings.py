@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from strideframe.functions.mathx import magnitude
-from strideframe.operators.sequence import index_rows
+from strideframe.operators.ranges import scan_rows
 from strideframe.plans.registry import Tables
 
 DAY = 86_400.0
@@ -111,7 +111,7 @@ def samples(t: Tables) -> DataFrame:
 def label_runs(t: Tables) -> DataFrame:
     """Runs of equal labels; a run ends where the next one starts."""
     rows = samples(t).select("recording_id", "row_id", "t_rel", "label", "k")
-    indexed = index_rows(rows, ["recording_id"], ["t_rel", "row_id"], label="label", lead=["t_rel"])
+    indexed = t.once("_label_rows", lambda: scan_rows(rows, ["recording_id"], ["t_rel", "row_id"], label="label", lead=["t_rel"]))
     return indexed.groupBy("recording_id", "run_id", "label").agg(
         F.min("t_rel").alias("start_sec"),
         F.max(F.coalesce("lead_t_rel", "t_rel")).alias("end_sec"),

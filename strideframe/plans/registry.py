@@ -16,6 +16,12 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that a plan uses more than once, made at its first use."""
+        if name not in self.__dict__:
+            self.__dict__[name] = make()
+        return self.__dict__[name]
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
