@@ -11,10 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strideframe.functions.text import drop_brackets
+from strideframe.operators import decisions
 from strideframe.operators.intervals import overlap_join, overlap_seconds
-from strideframe.operators.sequence import gap_islands
+from strideframe.operators.ranges import scan_islands
 from strideframe.operators.stats import ratio
-from strideframe.session import checkpointed
+from strideframe.session import written
 
 GT, PRED = ["recording_id", "gt_id"], ["recording_id", "pred_id"]
 
@@ -38,13 +39,10 @@ def normalize_actions(df: DataFrame, name: str, aliases: DataFrame, out: str = "
     return found.withColumn(out, F.coalesce("_c1", "_c2", "_bare", F.lit(""))).drop("_full", "_bare", "_a1", "_a2", "_c1", "_c2")
 
 
-def merge_predictions(pred: DataFrame, gap: float = 120.0, width: float = 60.0) -> DataFrame:
+def merge_predictions(pred: DataFrame, gap: float = 120.0) -> DataFrame:
     """Join consecutive predictions of one action at most ``gap`` seconds apart."""
     keys = ["version", "recording_id"]
-    from strideframe.operators.sequence import index_rows
-
-    runs = index_rows(pred, keys, ["pred_start", "pred_id"], label="pred_action", width=width).drop("pos")
-    parts = gap_islands(runs, [*keys, "run_id"], "pred_start", "pred_end", gap, tie=["pred_id"], out="_part", width=width)
+    parts = scan_islands(pred, keys, "pred_start", "pred_end", gap, tie=["pred_id"], label="pred_action", out="_part")
     return parts.groupBy(*keys, "run_id", "_part").agg(
         F.min_by("pred_id", F.struct("pred_start", "pred_id")).alias("pred_id"), F.min("pred_start").alias("pred_start"), F.max("pred_end").alias("pred_end"),
         F.any_value("pred_action").alias("pred_action"), F.sum("pred_sets").alias("pred_sets"), F.sum(F.coalesce("pred_reps", F.lit(0))).alias("pred_reps"),
@@ -66,27 +64,40 @@ def candidates(truth: DataFrame, pred: DataFrame, width: float, p: MatchParams =
     return overlap_measures(pairs).filter((F.col("iou") >= p.iou) | (F.col("coverage") >= p.coverage))
 
 
-def match_greedy(pairs: DataFrame) -> DataFrame:
+def match_greedy(pairs: DataFrame, most: int = decisions.MOST) -> DataFrame:
     """One-to-one matching by falling IoU, ties by (gt_id, pred_id).
 
+    Pairs that share a truth or a prediction overlap in time.  Islands of overlapping pairs are
+    matched in arrays; one of more than ``most`` pairs by rounds, and so are pairs that come without their
+    four ends (:func:`candidates` gives them).
+    """
+    ids = ["version", "recording_id", "gt_id", "pred_id"]
+    if not {"pred_start", "pred_end", "gt_start", "gt_end"} <= set(pairs.columns):
+        return _match_by_rounds(pairs.select(*ids, "iou"))
+    spans = pairs.select(*ids, "iou", F.least("pred_start", "gt_start").alias("_s"), F.greatest("pred_end", "gt_end").alias("_e"))
+    small, large, name = decisions.islands(spans, ["version", "recording_id"], "_s", "_e", tie=["gt_id", "pred_id"], most=most)
+    same = lambda k, x: (k["gt_id"] == x["gt_id"]) | (k["pred_id"] == x["pred_id"])
+    out = decisions.first_kept(small, name, [-F.col("iou"), F.col("gt_id"), F.col("pred_id")], [*ids, "iou"], same)
+    return out if large is None else out.unionByName(_match_by_rounds(large.select(*ids, "iou")))
+
+
+def _match_by_rounds(pairs: DataFrame) -> DataFrame:
+    """The same matching for islands of any size.
+
     A pair that is the best of both its truth and its prediction is what the greedy order
     would take, so all of those are taken at once and their rivals removed, until none is
-    left.  Rounds are joins and aggregates over all recordings; nothing is grouped into one
-    task.  Each round settles at least the best pair of every connected group; a handful
-    of rounds is usual.
+    left.  Each round settles at least the best pair of every connected group.
     """
     ids = ["version", "recording_id", "gt_id", "pred_id"]
     g, q = ["version", *GT], ["version", *PRED]
     rank = F.struct(F.col("iou").alias("i"), (-F.col("gt_id")).alias("g"), (-F.col("pred_id")).alias("p"))
-    open_pairs = checkpointed(pairs.select(*ids, "iou"))
-    taken = None
+    open_pairs, taken = written(pairs), None
     while not open_pairs.isEmpty():
         best_g = open_pairs.groupBy(*g).agg(F.max_by("pred_id", rank).alias("pred_id"))
         best_p = open_pairs.groupBy(*q).agg(F.max_by("gt_id", rank).alias("gt_id"))
-        won = open_pairs.join(best_g, [*g, "pred_id"]).join(best_p, [*q, "gt_id"]).select(*ids, "iou")
-        won = checkpointed(won)
+        won = written(open_pairs.join(best_g, [*g, "pred_id"]).join(best_p, [*q, "gt_id"]).select(*ids, "iou"))
         taken = won if taken is None else taken.unionByName(won)
-        open_pairs = checkpointed(open_pairs.join(won.select(*g), g, "left_anti").join(won.select(*q), q, "left_anti"))
+        open_pairs = written(open_pairs.join(won.select(*g), g, "left_anti").join(won.select(*q), q, "left_anti"))
     return open_pairs if taken is None else taken
 
 

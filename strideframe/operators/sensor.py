@@ -359,11 +359,11 @@ def upright_baseline(wins: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.select(*keys, "candidates", F.when(enough, F.col("_b")).otherwise(180.0).alias("baseline"), F.when(enough, "stable_windows_near_180").otherwise("default_180").alias("source"))
 
 
-def clock_offset(samples: DataFrame, truth: DataFrame, keys: Sequence[str], at: str, end: str) -> DataFrame:
-    """Video end minus sensor duration, per recording."""
+def clock_offset(samples: DataFrame, truth: DataFrame, keys: Sequence[str], at: str, end: str, per: Sequence[str] = ()) -> DataFrame:
+    """Video end minus sensor duration, per recording and, if the videos have more keys, per those."""
     a = samples.groupBy(*keys).agg(F.max(at).alias("_s"))
-    b = truth.groupBy(*keys).agg(F.max(end).alias("_v"))
-    return a.join(b, list(keys)).select(*keys, (F.col("_v") - F.col("_s")).alias("offset_sec"))
+    b = truth.groupBy(*keys, *per).agg(F.max(end).alias("_v"))
+    return a.join(b, list(keys)).select(*per, *keys, (F.col("_v") - F.col("_s")).alias("offset_sec"))
 
 
 def shifted_stats(samples: DataFrame, segments: DataFrame, offsets: DataFrame, keys: Sequence[str], seg_id: str, at: str, width: float) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.mathx import fix
 from strideframe.operators import evaluation as ev
-from strideframe.operators.sequence import index_rows
+from strideframe.operators.ranges import scan_rows
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, fx, sql
 from strideframe.plans.registry import query
-from strideframe.session import checkpointed
+from strideframe.session import written
 
 _W = DAY / 2
 
@@ -23,11 +23,12 @@ def k01(t):
     return ev.normalize_actions(t.part.select(F.concat("p_name", tag).alias("name")).distinct(), "name", aliases)
 
 
-def _sparse(t):
-    return b.predictions(t).filter(F.col("pred_action").isin("view", "click", "error"))
+def _coarse(t):
+    """Every prediction; rare actions share one name, so that neighbours meet."""
+    return b.predictions(t).withColumn("pred_action", F.when(F.col("pred_action").isin("view", "click"), F.col("pred_action")).otherwise("rest"))
 
 
-_SPARSE = "SELECT * FROM predictions WHERE pred_action IN ('view', 'click', 'error')"
+_COARSE = "SELECT * REPLACE (CASE WHEN pred_action IN ('view', 'click') THEN pred_action ELSE 'rest' END AS pred_action) FROM predictions"
 _MERGE = f"""SELECT version, recording_id, arg_min(pred_id, (pred_start, pred_id)) AS pred_id, min(pred_start) AS pred_start, max(pred_end) AS pred_end, any_value(pred_action) AS pred_action, CAST(sum(pred_sets) AS BIGINT) AS pred_sets, CAST(sum(pred_reps) AS BIGINT) AS pred_reps FROM (
       SELECT *, sum(o) OVER (PARTITION BY version, recording_id, run ORDER BY pred_start, pred_id) AS part FROM (
         SELECT *, CASE WHEN pred_start - max(pred_end) OVER (PARTITION BY version, recording_id, run ORDER BY pred_start, pred_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {DAY} THEN 0 ELSE 1 END AS o FROM (
@@ -35,9 +36,9 @@ _MERGE = f"""SELECT version, recording_id, arg_min(pred_id, (pred_start, pred_id
     GROUP BY version, recording_id, run, part"""
 
 
-@query("k02_merge_predictions", sql(_MERGE, "predictions", sp=_SPARSE))
+@query("k02_merge_predictions", sql(_MERGE, "predictions", sp=_COARSE))
 def k02(t):
-    return ev.merge_predictions(_sparse(t), DAY)
+    return ev.merge_predictions(_coarse(t), DAY)
 
 
 _PAIRS = """SELECT *, CASE WHEN u <= 0 THEN 0 ELSE overlap / u END AS iou, CASE WHEN g <= 0 THEN 0 ELSE overlap / g END AS coverage, overlap / p AS purity FROM (SELECT *, p + g - overlap AS u FROM (
@@ -61,7 +62,7 @@ def c08(t):
 
 def _inputs(t):
     """Truth and predictions are read many times below, so they are written once."""
-    return checkpointed(b.truth(t)), checkpointed(b.predictions(t))
+    return written(b.truth(t)), written(b.predictions(t))
 
 
 def _judged(t):
@@ -191,11 +192,12 @@ def k12(t):
     return out.select("row_id", fix(F.col("z"), 5).alias("z"), "out_of_range")
 
 
-@query("k13_side_by_side", sql("""SELECT coalesce(a.recording_id, z.recording_id) AS recording_id, coalesce(a.pos, z.pos) AS pos, a.gt_id, z.pred_id FROM (SELECT recording_id, gt_id, row_number() OVER (PARTITION BY recording_id ORDER BY gt_start, gt_id) AS pos FROM truth WHERE gt_action IN ('view', 'click')) a
-    FULL OUTER JOIN (SELECT recording_id, pred_id, row_number() OVER (PARTITION BY recording_id ORDER BY pred_start, pred_id) AS pos FROM predictions WHERE version = 'v1' AND pred_action IN ('view', 'click')) z ON a.recording_id = z.recording_id AND a.pos = z.pos""", "truth", "predictions"))
+@query("k13_side_by_side", sql("""SELECT coalesce(a.version, z.version) AS version, coalesce(a.recording_id, z.recording_id) AS recording_id, coalesce(a.pos, z.pos) AS pos, a.gt_id, z.pred_id
+    FROM (SELECT version, recording_id, gt_id, row_number() OVER (PARTITION BY version, recording_id ORDER BY gt_start, gt_id) AS pos FROM truth JOIN (SELECT DISTINCT version, recording_id FROM predictions) USING (recording_id)) a
+    FULL OUTER JOIN (SELECT version, recording_id, pred_id, row_number() OVER (PARTITION BY version, recording_id ORDER BY pred_start, pred_id) AS pos FROM predictions) z ON a.version = z.version AND a.recording_id = z.recording_id AND a.pos = z.pos""", "truth", "predictions"))
 def k13(t):
-    a = b.truth(t).filter(F.col("gt_action").isin("view", "click")).select("recording_id", "gt_id", "gt_start")
-    z = b.predictions(t).filter(F.col("pred_action").isin("view", "click") & (F.col("version") == "v1")).select("recording_id", "pred_id", "pred_start")
-    left = index_rows(a, ["recording_id"], ["gt_start", "gt_id"]).select("recording_id", "pos", "gt_id")
-    right = index_rows(z, ["recording_id"], ["pred_start", "pred_id"]).select("recording_id", "pos", "pred_id")
-    return left.join(right, ["recording_id", "pos"], "full_outer")
+    pred, keys = b.predictions(t).select("version", "recording_id", "pred_id", "pred_start"), ["version", "recording_id"]
+    truth = b.truth(t).select("recording_id", "gt_id", "gt_start").join(pred.select(*keys).distinct(), "recording_id")
+    left = scan_rows(truth, keys, ["gt_start", "gt_id"]).select(*keys, "pos", "gt_id")
+    right = scan_rows(pred, keys, ["pred_start", "pred_id"]).select(*keys, "pos", "pred_id")
+    return left.join(right, [*keys, "pos"], "full_outer")

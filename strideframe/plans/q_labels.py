@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.mathx import fix
 from strideframe.operators import intervals, labels, load, segments, sensor
-from strideframe.operators.sequence import gap_islands, index_rows
+from strideframe.operators.ranges import scan_islands, scan_rows
+from strideframe.operators.sequence import index_rows
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, HOUR, fx, sql
 from strideframe.plans.registry import query
@@ -21,7 +22,7 @@ def _rows(t, *extra):
 
 @query("e01_lag_difference", sql("SELECT row_id, value - lag(value) OVER w AS diff, coalesce(abs(value - lag(value) OVER w), 0) AS jerk FROM samples WINDOW w AS (PARTITION BY recording_id ORDER BY t_rel, row_id)", "samples"))
 def e01(t):
-    rows = index_rows(b.samples(t).select("recording_id", "row_id", "t_rel", "value"), K, O, lag=["value"])
+    rows = scan_rows(b.samples(t).select("recording_id", "row_id", "t_rel", "value"), K, O, lag=["value"])
     d = F.col("value") - F.col("lag_value")
     return rows.select("row_id", d.alias("diff"), F.coalesce(F.abs(d), F.lit(0.0)).alias("jerk"))
 
@@ -49,8 +50,7 @@ def e04(t):
     GROUP BY recording_id, label, run_id, island""", "run_rows"))
 def e05(t):
     rows = _rows(t, (F.col("t_rel") + F.col("k") * 600).alias("e"))
-    lab = index_rows(rows, K, O, label="label").drop("pos")
-    out = gap_islands(lab, ["recording_id", "run_id"], "t_rel", "e", DAY / 2, tie=["row_id"], out="island")
+    out = scan_islands(rows, K, "t_rel", "e", DAY / 2, tie=["row_id"], label="label", out="island")
     return out.groupBy("recording_id", "label", "run_id", "island").agg(F.min("t_rel").alias("start_sec"), F.max("e").alias("end_sec"), F.count(F.lit(1)).alias("n")).drop("run_id")
 
 
@@ -100,7 +100,7 @@ def e10(t):
 
 @query("e11_row_numbers", sql("SELECT row_id, row_number() OVER (PARTITION BY recording_id ORDER BY t_rel, row_id) AS pos FROM samples", "samples"))
 def e11(t):
-    return index_rows(b.samples(t).select("recording_id", "row_id", "t_rel"), K, O).select("row_id", "pos")
+    return scan_rows(b.samples(t).select("recording_id", "row_id", "t_rel"), K, O).select("row_id", "pos")
 
 
 def _mode_sql(k: int) -> str:
@@ -198,17 +198,50 @@ def _chunked(t):
         F.when(F.col("label").isin("purchase", "click"), "EXERCISE").otherwise("REST").alias("state"), F.col("label").alias("equipment"), ((F.col("run_id") * 37 + F.col("_c.chunk") * 11) % 100 / 100).alias("confidence"))
 
 
-@query("j13_chunk_merge")
+_CHUNKED = """SELECT recording_id, c.chunk, run_id AS seg, start_sec + c.shift AS start_sec, end_sec + c.shift AS end_sec, CASE WHEN label IN ('purchase', 'click') THEN 'EXERCISE' ELSE 'REST' END AS state, label AS equipment,
+      CAST((run_id * 37 + c.chunk * 11) % 100 AS DOUBLE) / 100 AS confidence FROM label_runs, (VALUES (0, 0.0::DOUBLE), (1, 1800.0::DOUBLE)) c(chunk, shift) WHERE end_sec > start_sec"""
+_ARRIVAL = "SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY chunk, seg) AS i FROM chunked"
+_ROW = "{'chunk': o.chunk, 'seg': o.seg, 'start_sec': o.start_sec, 'end_sec': o.end_sec, 'state': o.state, 'equipment': o.equipment, 'confidence': o.confidence}"
+_CLASH = "(least(y.end_sec, o.end_sec) - greatest(y.start_sec, o.start_sec)) / greatest(o.end_sec - o.start_sec, 1) > 0.5"
+
+
+def _kept(step: str, body: str, **more: str) -> str:
+    """One segment a step, in the order of arrival, into the list of kept ones."""
+    k = f"SELECT recording_id, i, [{_ROW}] AS kept FROM o WHERE i = 1 UNION ALL SELECT o.recording_id, o.i, {step} FROM k JOIN o ON o.recording_id = k.recording_id AND o.i = k.i + 1"
+    rows = "SELECT recording_id, r.* FROM (SELECT recording_id, unnest(arg_max(kept, i)) AS r FROM k GROUP BY recording_id)"
+    return sql(body, "label_runs", chunked=_CHUNKED, o=_ARRIVAL, k=k, kept_rows=rows, **more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_FIRST_WINS = f"CASE WHEN len(list_filter(k.kept, lambda y: {_CLASH})) > 0 THEN k.kept ELSE list_append(k.kept, {_ROW}) END"
+_CONFIDENT_WINS = f"""CASE WHEN len(list_filter(k.kept, lambda y: {_CLASH})) = 0 THEN list_append(k.kept, {_ROW})
+      ELSE list_transform(k.kept, lambda y, j: CASE WHEN j = list_position(list_transform(k.kept, lambda y: {_CLASH}), true) AND o.confidence > y.confidence THEN {_ROW} ELSE y END) END"""
+
+
+@query("j13_chunk_merge", _kept(_FIRST_WINS, """SELECT * REPLACE (CASE WHEN abs(start_sec - lag(end_sec) OVER w) <= 5 THEN lag(end_sec) OVER w ELSE start_sec END AS start_sec) FROM kept_rows WINDOW w AS (PARTITION BY recording_id ORDER BY start_sec, seg)"""))
 def j13(t):
     return segments.merge_chunks(_chunked(t), K, ["chunk", "seg"], "seg")
 
 
-@query("j14_window_merge")
+@query("j14_window_merge", _kept(_CONFIDENT_WINS, """SELECT * REPLACE (CASE WHEN start_sec - lag(end_sec) OVER w > 0 AND start_sec - lag(end_sec) OVER w <= 5 THEN lag(end_sec) OVER w ELSE start_sec END AS start_sec) FROM merged WINDOW w AS (PARTITION BY recording_id ORDER BY start_sec, seg)""",
+    opened="SELECT *, CASE WHEN upper(state) = lag(upper(state)) OVER w AND coalesce(equipment, '') = lag(coalesce(equipment, '')) OVER w AND start_sec - lag(end_sec) OVER w <= 5 THEN 0 ELSE 1 END AS o, row_number() OVER w AS pos FROM kept_rows WINDOW w AS (PARTITION BY recording_id ORDER BY start_sec, seg)",
+    grouped="SELECT *, sum(o) OVER (PARTITION BY recording_id ORDER BY pos) AS g FROM opened",
+    merged="SELECT recording_id, arg_min(chunk, pos) AS chunk, arg_min(seg, pos) AS seg, arg_min(start_sec, pos) AS start_sec, arg_max(end_sec, pos) AS end_sec, arg_min(state, pos) AS state, arg_min(equipment, pos) AS equipment, min(confidence) AS confidence FROM grouped GROUP BY recording_id, g"))
 def j14(t):
     return segments.merge_windows(_chunked(t), K, ["chunk", "seg"], "seg")
 
 
-@query("j15_boundary_expansion")
+_GROWING = """SELECT recording_id, run_id, start_sec, end_sec, CASE WHEN label IN ('purchase', 'click') THEN 'EXERCISE' ELSE 'REST' END AS state, CASE WHEN run_id % 2 = 0 THEN 1200.0::DOUBLE ELSE 0.0::DOUBLE END AS before_sec, CASE WHEN run_id % 3 = 0 THEN 2400.0::DOUBLE ELSE 0.0::DOUBLE END AS after_sec,
+      row_number() OVER w AS i, lead(start_sec) OVER w AS rs, lead(end_sec) OVER w AS re, (SELECT max(t_rel) FROM samples s WHERE s.recording_id = label_runs.recording_id) AS total FROM label_runs WHERE end_sec > start_sec WINDOW w AS (PARTITION BY recording_id ORDER BY start_sec, run_id)"""
+# One segment a step: s and e are its settled start and its end so far, pe the final end of the one before, ns the start that the next one is pushed to.
+_GROW = "state = 'EXERCISE' AND after_sec > 0 AND re IS NOT NULL AND least(re, end_sec + after_sec) > greatest(s, end_sec)"
+_STEP = f"""SELECT recording_id, i, s, CASE WHEN {_GROW} THEN least(re, end_sec + after_sec) ELSE end_sec END AS e, pe, CASE WHEN {_GROW} THEN greatest(rs, least(re, end_sec + after_sec)) ELSE rs END AS ns FROM"""
+_WALK = f"""{_STEP} (SELECT *, start_sec AS s, NULL::DOUBLE AS pe FROM g WHERE i = 1) UNION ALL
+      {_STEP} (SELECT *, CASE WHEN moved THEN greatest(ls, cs - before_sec) ELSE cs END AS s, CASE WHEN moved THEN least(le, greatest(ls, cs - before_sec)) ELSE le END AS pe FROM (
+        SELECT g.*, w.s AS ls, w.e AS le, w.ns AS cs, g.state = 'EXERCISE' AND g.before_sec > 0 AND greatest(w.s, w.ns - g.before_sec) < least(w.ns, g.end_sec) AS moved FROM w JOIN g ON g.recording_id = w.recording_id AND g.i = w.i + 1))"""
+
+
+@query("j15_boundary_expansion", sql("""SELECT recording_id, run_id, CASE WHEN i = 1 THEN greatest(0, s) ELSE s END AS start_sec, CASE WHEN fe IS NULL THEN least(total, e) ELSE fe END AS end_sec, state, before_sec, after_sec
+    FROM (SELECT w.*, lead(pe) OVER (PARTITION BY recording_id ORDER BY i) AS fe FROM w) JOIN g USING (recording_id, i)""", "label_runs", "samples", g=_GROWING, w=_WALK).replace("WITH ", "WITH RECURSIVE ", 1))
 def j15(t):
     rid = F.col("run_id")
     segs = b.label_runs(t).filter("end_sec > start_sec").select(

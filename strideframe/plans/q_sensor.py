@@ -235,14 +235,23 @@ def i15(t):
     return sig.select("recording_id", "k", rhythm.step_frequency("signal", F.lit(2.0)).alias("step_freq"))
 
 
-@query("i16_step_changes")
+_HITS = """SELECT recording_id, row_id, t_rel, CASE WHEN d > 0 THEN 'rise' ELSE 'drop' END AS kind, d AS delta FROM (SELECT *, avg(value) OVER (PARTITION BY recording_id ORDER BY t_rel, row_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)
+      - avg(value) OVER (PARTITION BY recording_id ORDER BY t_rel, row_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS d, row_number() OVER (PARTITION BY recording_id ORDER BY t_rel, row_id) AS pos, count(*) OVER (PARTITION BY recording_id) AS n FROM samples) WHERE pos > 3 AND pos < n AND abs(d) >= 60"""
+# One hit a step: a new one is kept after a change of kind or enough time, a larger one takes the place of the last.
+_STEPS = sql(f"""SELECT recording_id, kt AS t_rel, kind, {fx('kd')} AS delta FROM (SELECT *, lead(fresh) OVER (PARTITION BY recording_id ORDER BY i) AS then_fresh FROM st) WHERE coalesce(then_fresh, true)""", "samples", hits=_HITS,
+    h="SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t_rel, kind, delta) AS i FROM hits",
+    st=f"""SELECT recording_id, i, kind, t_rel AS kt, delta AS kd, true AS fresh FROM h WHERE i = 1 UNION ALL
+      SELECT recording_id, i, kind, CASE WHEN f OR abs(delta) > abs(kd) THEN t_rel ELSE kt END, CASE WHEN f OR abs(delta) > abs(kd) THEN delta ELSE kd END, f
+      FROM (SELECT h.*, kt, kd, h.kind <> st.kind OR h.t_rel - kt >= {DAY} AS f FROM st JOIN h ON h.recording_id = st.recording_id AND h.i = st.i + 1)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("i16_step_changes", _STEPS)
 def i16(t):
     hits = sensor.step_hits(b.samples(t).select("recording_id", "row_id", "t_rel", "value"), K, O, "value", 3, 60.0)
-    return merge_steps(hits.select("recording_id", "t_rel", "kind", "delta"), K, "t_rel", "kind", "delta", DAY)
+    return merge_steps(hits.select("recording_id", "t_rel", "kind", "delta"), K, "t_rel", "kind", "delta", DAY).withColumn("delta", fix(F.col("delta")))
 
 
-@query("i16_step_hits", sql(f"""SELECT row_id, CASE WHEN d > 0 THEN 'rise' ELSE 'drop' END AS kind, {fx('d')} AS delta FROM (SELECT *, avg(value) OVER (PARTITION BY recording_id ORDER BY t_rel, row_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)
-      - avg(value) OVER (PARTITION BY recording_id ORDER BY t_rel, row_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS d, row_number() OVER (PARTITION BY recording_id ORDER BY t_rel, row_id) AS pos, count(*) OVER (PARTITION BY recording_id) AS n FROM samples) WHERE pos > 3 AND pos < n AND abs(d) >= 60""", "samples"))
+@query("i16_step_hits", sql(f"SELECT row_id, kind, {fx('delta')} AS delta FROM hits", "samples", hits=_HITS))
 def i16b(t):
     hits = sensor.step_hits(b.samples(t).select("recording_id", "row_id", "t_rel", "value"), K, O, "value", 3, 60.0)
     return hits.select("row_id", "kind", fix(F.col("delta")).alias("delta"))
@@ -289,10 +298,10 @@ def i20(t):
     return labels.fill_short_runs(out.select("recording_id", "k", "posture", "confidence", "rule"), K, ["k"], "posture", 2, width=50_000)
 
 
-@query("i21_clock_offset", sql("SELECT recording_id, v - s AS offset_sec FROM (SELECT recording_id, max(t_rel) AS s FROM samples GROUP BY ALL) JOIN (SELECT recording_id, max(pred_end) AS v FROM predictions WHERE version = 'v1' GROUP BY ALL) USING (recording_id)", "samples", "predictions"))
+@query("i21_clock_offset", sql("SELECT version, recording_id, v - s AS offset_sec FROM (SELECT recording_id, max(t_rel) AS s FROM samples GROUP BY ALL) JOIN (SELECT version, recording_id, max(pred_end) AS v FROM predictions GROUP BY ALL) USING (recording_id)", "samples", "predictions"))
 def i21(t):
-    p = b.predictions(t).filter("version = 'v1'").select("recording_id", "pred_end")
-    return sensor.clock_offset(b.samples(t), p, K, "t_rel", "pred_end")
+    p = b.predictions(t).select("version", "recording_id", "pred_end")
+    return sensor.clock_offset(b.samples(t), p, K, "t_rel", "pred_end", ["version"])
 
 
 @query("i22_shifted_segment_stats", sql(f"""SELECT g.recording_id, g.run_id, start_sec + 4.5::DOUBLE AS video_start, end_sec + 4.5::DOUBLE AS video_end, {fx('coalesce(avg(gyro), 0)')} AS gyro_mean, {fx('coalesce(avg(az), 0)', 9)} AS az_mean, {fx('stddev_samp(acc)')} AS acc_std
