@@ -3,7 +3,8 @@
 Each response gives one ``metadata`` record (fields of its HTTP headers, title, language and counts of links) and one
 ``conversion`` record (its text).  Both name the response in WARC-Refers-To and keep its target URI,
 date and payload digest; their own blocks are digested, and identifiers are name-based, so a second run
-gives the same records.  All of it is column expressions: one pass over the input, no shuffle.
+gives the same records.  One pass over the input: pages are read in Arrow batches, records and digests are column
+expressions; no shuffle.
 
 Text: comments, scripts, styles and the head go; block elements end a line; other tags go; entities
 (the names below and all numeric ones) are decoded; white space is closed up.
@@ -15,6 +16,10 @@ equal records; an empty table gives no records; only the named columns are read.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,49 +34,62 @@ _DROPPED = [r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<s
 _BLOCK = rf"(?i)</?(?:{'|'.join(BLOCKS.split())})\b[^>]*>"
 _TAG = r"</?[a-zA-Z!?][^>]*>"
 _SPACES = r"[ \t\x0B\f\r\x{00A0}]+"
-_RUNS = r"[ \t\x0B\f\r\x{00A0}]{2,}|[\t\x0B\f\r\x{00A0}]"
+_BLANKS = "\t\x0b\f\r\xa0"
+_NUMERIC = (r"&#([0-9]{1,7});", r"&#[xX]([0-9a-fA-F]{1,6});")
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 _LANG = r"""(?i)<html\b[^>]*\blang=["']?([a-zA-Z-]+)"""
-
-
-def _referenced(text: str, pattern: str, base: int) -> Column:
-    """A text column with its numeric character references of one base as characters, up to U+10FFFF."""
-
-    def put(t: Column, ref: Column) -> Column:
-        code = F.conv(F.regexp_extract(ref, "([0-9a-fA-F]+);$", 1), base, 10).cast("int")
-        good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(good, F.replace(t, ref, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(t)
-
-    return F.aggregate(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))), F.col(text), put)
-
-
-_REFERENCES = ((r"&#([0-9]{1,7});", 10), (r"&#[xX]([0-9a-fA-F]{1,6});", 16))
-
-
-def with_decoded(df: DataFrame, *columns: str) -> DataFrame:
-    """Entities as characters; the ampersand comes last, so that nothing is decoded twice. Each step is a column of its own, computed once."""
-    for c in columns:
-        named = F.col(c)
-        for name, char in ENTITIES.items():
-            named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-        df = df.withColumn(c, named)
-        for pattern, base in _REFERENCES:
-            df = df.withColumn(c, _referenced(c, pattern, base))
-        df = df.withColumn(c, F.replace(F.col(c), F.lit("&amp;"), F.lit("&")))
-    return df
-
-
-def closed_up(text: Column) -> Column:
-    """One blank for each run of blanks, no blanks at line ends, no empty lines. A lone blank is no match, which spares most of the work."""
-    text = F.regexp_replace(text, _RUNS, " ")
-    text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
-    return F.trim(F.regexp_replace(text, "\n{2,}", "\n"), F.lit(" \n"))
-
-
-def without_tags(html: Column) -> Column:
-    for pattern in _DROPPED:
-        html = F.regexp_replace(html, pattern, " ")
-    return F.regexp_replace(F.regexp_replace(html, _BLOCK, "\n"), _TAG, "")
+_LINK = r"(?i)<a\s[^>]*href="
+_DROP, (_BLOCK_TAG, _ANY_TAG, _TITLE_TAG, _LANG_TAG, _LINK_TAG) = ([re.compile(p, re.A) for p in x] for x in (_DROPPED, (_BLOCK, _TAG, _TITLE, _LANG, _LINK)))
+_REFERENCES = tuple((re.compile(p.replace("(", "").replace(")", "")), base) for p, base in zip(_NUMERIC, (10, 16)))
+SLICE = 256
+
+
+def _closed_up(text: str) -> str:
+    """One blank for each run of blanks, no blanks at line ends, no empty lines."""
+    for blank in _BLANKS:
+        text = text.replace(blank, " ")
+    for run, one in (("  ", " "), (" \n", "\n"), ("\n ", "\n"), ("\n\n", "\n")):
+        while run in text:
+            text = text.replace(run, one)
+    return text.strip(" \n")
+
+
+def _decoded(text: str) -> str:
+    """Entities as characters; the ampersand comes last, so that nothing is decoded twice."""
+    if "&" not in text:
+        return text
+    for name, char in ENTITIES.items():
+        text = text.replace(f"&{name};", char)
+    for pattern, base in _REFERENCES:
+        for ref in dict.fromkeys(pattern.findall(text)) if "&#" in text else ():
+            code = int(ref.strip("&#xX;"), base)
+            if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF:
+                text = text.replace(ref, chr(code))
+    return text.replace("&amp;", "&")
+
+
+def _without_tags(html: str) -> str:
+    for pattern in _DROP:
+        html = pattern.sub(" ", html)
+    return _ANY_TAG.sub("", _BLOCK_TAG.sub("\n", html))
+
+
+def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The other columns of each response with its text, title, language and number of links."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            texts, titles, langs, links = [], [], [], []
+            for html in batch.column("payload").to_pylist():
+                html = html or ""
+                title, lang = _TITLE_TAG.search(html), _LANG_TAG.search(html)
+                texts.append(_closed_up(_decoded(_without_tags(html))))
+                titles.append(_closed_up(_decoded(title[1].replace("\n", " "))) if title else "")
+                langs.append(lang[1] if lang else "")
+                links.append(len(_LINK_TAG.findall(html)))
+            kept = batch.select([n for n in batch.schema.names if n != "payload"])
+            made = [pa.array(x, pa.string()) for x in (texts, titles, langs)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *made, pa.array(links, pa.int64())], [*kept.schema.names, "text", "title", "lang", "links"])
 
 
 def record_uuid(*parts: Column) -> Column:
@@ -96,13 +114,11 @@ def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
 
 def derivatives(source: DataFrame) -> DataFrame:
     """Two records for each response: source_id, warc_type, record_id, refers_to, target_uri, warc_date, content_type, content_length, block_digest, payload_digest, header, block."""
-    bare = source.select(
-        "source_id", "record_id", "target_uri", "warc_date", "http_headers", "payload", "payload_digest", without_tags(F.col("payload")).alias("text"),
-        F.regexp_replace(F.regexp_extract("payload", _TITLE, 1), "\n", " ").alias("title"), F.regexp_extract("payload", _LANG, 1).alias("lang"),
-    )
-    text = with_decoded(bare, "text", "title").withColumns({c: closed_up(F.col(c)) for c in ("text", "title")})
+    named = ["source_id", "record_id", "target_uri", "warc_date", "http_headers", "payload_digest"]
+    kinds = dict(source.dtypes)
+    text = source.select(*named, "payload").mapInArrow(_read_pages, ", ".join(f"{c} {kinds[c]}" for c in named) + ", text string, title string, lang string, links long")
     fields = F.concat(
-        F.lit("title: "), F.col("title"), F.lit("\r\nlanguage: "), F.col("lang"), F.lit("\r\nlinks: "), F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href=")).cast("string"),
+        F.lit("title: "), F.col("title"), F.lit("\r\nlanguage: "), F.col("lang"), F.lit("\r\nlinks: "), F.col("links").cast("string"),
         F.lit("\r\ncharacters: "), F.length("text").cast("string"), F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\nsource-http-headers: "),
         F.regexp_replace("http_headers", "\r\n", "\r\n\t"), F.lit("\r\n"),
     )
@@ -162,7 +178,7 @@ def _sql_closed(text: str) -> str:
 
 def _sql_decoded(text: str) -> str:
     out = _sql_entities(text)
-    for (pattern, _), value in zip(_REFERENCES, ("try_cast({} AS INT)", "try_cast('0x' || {} AS INT)")):
+    for pattern, value in zip(_NUMERIC, ("try_cast({} AS INT)", "try_cast('0x' || {} AS INT)")):
         code = value.format("regexp_extract(r, '([0-9a-fA-F]+);$', 1)")
         out = f"list_reduce(list_distinct(regexp_extract_all({out}, '{pattern}')), lambda t, r: CASE WHEN {code} BETWEEN 1 AND 1114111 AND {code} NOT BETWEEN 55296 AND 57343 THEN replace(t, r, chr({code})) ELSE t END, {out})"
     return f"replace({out}, '&amp;', '&')"
