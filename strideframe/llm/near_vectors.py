@@ -3,15 +3,15 @@
 Unit vectors with cosine >= c have a squared distance of at most 2 - 2c.  A randomised Hadamard rotation
 spreads it over all coordinates, which are split into ``BLOCKS`` blocks; a pair within the distance is
 within a proportional share of it in at least one block.  Each block is range-joined on a grid as
-wide as its radius over its first coordinates: a vector lives in one cell and probes that cell and the
-later half of its neighbours, so two vectors meet once per block.  A pair counts in the first
+wide as its radius over its first coordinates: a vector lives in one cell and probes that cell and, of the
+later half of its neighbours, those that the ball of the block's budget reaches, so two vectors meet once per block.  A pair counts in the first
 block that admits it and is confirmed by its cosine in double precision on the stored components.
 
 * Equal vectors are one class first, by a pre-aggregated group-by.
 * Cells are dealt in tiles of about ``TILE`` vectors; probes visit all tiles of a cell.  Tiles compare with matrix
   products and give one row per vector that has links: the number of its links and a tile-wide root.
   Pairs are never written, however many there are in a group.
-* The number of grid coordinates is 2 up to a million classes, then grows with their logarithm to at most 4.
+* The number of grid coordinates grows with the logarithm of the number of classes, from 2 to at most 5.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing,
 have no links and keep their own id; vectors of different lengths never link; repeated rows are linked
@@ -35,7 +35,7 @@ from strideframe.llm.components import components, roots
 from strideframe.llm.registry import query, table
 from strideframe.llm.scratch import run_folder, settled
 
-BLOCKS, TILE, PAIRS, SLACK = 4, 1024, 50_000, 1e-9
+BLOCKS, TILE, PROBES, PAIRS, SLACK, MARGIN = 4, 4096, 1024, 50_000, 1e-9, 1e-5
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -80,51 +80,81 @@ def _identify(kind: type):
     return run
 
 
+def _lists(owner: list[np.ndarray], code: list[np.ndarray], n: int) -> pa.Array:
+    """One list of codes per row."""
+    rows, codes = np.concatenate([*owner, np.zeros(0, np.int64)]), np.concatenate([*code, np.zeros(0, np.int64)])
+    order = np.argsort(rows, kind="stable")
+    ends = np.append(0, np.cumsum(np.bincount(rows, minlength=n)))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(codes[order]))
+
+
 def _cells(kind: type, tau: float, axes: int):
-    """The home cell of each vector and the cells that it probes, for each block."""
+    """The home cell of each vector, and the later neighbour cells that the ball of its block's budget reaches."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             raw = batch.column("raw").to_pylist()
-            homes, probes = [[] for _ in raw], [[] for _ in raw]
+            homes, probes = ([], []), ([], [])
             for length in {len(r) for r in raw}:
-                rows = [i for i, r in enumerate(raw) if len(r) == length]
+                rows = np.array([i for i, r in enumerate(raw) if len(r) == length])
                 turned = rotated(_units([raw[i] for i in rows], kind))
                 for b, (part, budget) in enumerate(_blocks(turned.shape[1], tau)):
-                    g = min(axes, part.stop - part.start)
-                    at = np.floor(turned[:, part.start : part.start + g] / math.sqrt(budget + SLACK)).astype(np.int64)
+                    g, width = min(axes, part.stop - part.start), math.sqrt(budget + SLACK)
+                    scaled = turned[:, part.start : part.start + g] / width
+                    at = np.floor(scaled).astype(np.int64)
+                    below = (scaled - at) ** 2
+                    above = (1 - scaled + at) ** 2
                     head = (length * BLOCKS + b) << 40
                     code = lambda x: head + ((x + 128) << (8 * np.arange(x.shape[1]))).sum(1)  # noqa: B023, E731
-                    for i, c in zip(rows, code(at).tolist()):
-                        homes[i].append(c)
+                    homes[0].append(rows)
+                    homes[1].append(code(at))
                     for step in itertools.product((-1, 0, 1), repeat=g):
                         if step > (0,) * g:
-                            for i, c in zip(rows, code(at + np.array(step)).tolist()):
-                                probes[i].append(c)
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(homes, pa.list_(pa.int64())), pa.array(probes, pa.list_(pa.int64()))], ["cid", "homes", "probes"])
+                            way = np.array(step)
+                            near = (below * (way < 0) + above * (way > 0)).sum(1) <= 1 + SLACK
+                            probes[0].append(rows[near])
+                            probes[1].append(code(at[near] + way))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), _lists(*homes, len(raw)), _lists(*probes, len(raw))], ["cid", "homes", "probes"])
 
     return run
 
 
 def _tile(kind: type, least: float, tau: float):
     """Rows come sorted by (cell, salt, role): homes (0), probes of the own cell (1) and of neighbours (2)."""
+    turns: dict[int, np.ndarray] = {}
+
+    def loaded(raw: list[bytes], part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors, their coordinates of a block in single precision, and the squares of these."""
+        unit = _units(raw, kind)
+        d = unit.shape[1]
+        if d not in turns:
+            turns[d] = rotated(np.eye(d)).astype(np.float32)
+        x = unit.astype(np.float32) @ turns[d][:, part]
+        return unit, x, np.einsum("ij,ij->i", x, x)
 
     def met(block: int, homes: tuple, probes: tuple, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (probe, home) of linked pairs that count in this block."""
-        (id_h, unit_h, turn_h), (id_p, unit_p, turn_p) = homes, probes
-        parts = _blocks(turn_h.shape[1], tau)
+        """Positions (probe, home) of linked pairs that count in this block.
+
+        A single-precision product with a margin finds the pairs; the budgets and the cosine of those are taken in double precision.
+        """
+        (id_h, (unit_h, h, h2)), (id_p, (unit_p, p, p2)) = homes, probes
+        parts = _blocks(1 << max(0, unit_h.shape[1] - 1).bit_length(), tau)
         part, budget = parts[block]
-        h, p = turn_h[:, part], turn_p[:, part]
-        near = (p * p).sum(1)[:, None] + (h * h).sum(1)[None] - 2 * (p @ h.T) <= budget + 2 * SLACK
+        gap = p @ h.T
+        gap *= -2
+        gap += h2
+        gap += p2[:, None]
+        x, y = np.nonzero(gap <= np.float32(budget + MARGIN))
         if own:
-            near &= id_p[:, None] < id_h[None]
-        x, y = np.nonzero(near)
+            first = id_p[x] < id_h[y]
+            x, y = x[first], y[first]
         for at in range(0, len(x), PAIRS):
             i, j = x[at : at + PAIRS], y[at : at + PAIRS]
-            gap = (turn_p[i] - turn_h[j]) ** 2
-            keep = gap[:, part].sum(1) <= budget + SLACK
+            (some_p, of_p), (some_h, of_h) = (np.unique(k, return_inverse=True) for k in (i, j))
+            gaps = (rotated(unit_p[some_p])[of_p] - rotated(unit_h[some_h])[of_h]) ** 2
+            keep = gaps[:, part].sum(1) <= budget + SLACK
             for before, share in parts[:block]:
-                keep &= gap[:, before].sum(1) > share + SLACK
+                keep &= gaps[:, before].sum(1) > share + SLACK
             i, j = i[keep], j[keep]
             keep = (unit_p[i] * unit_h[j]).sum(1) >= least
             yield i[keep], j[keep]
@@ -145,13 +175,13 @@ def _tile(kind: type, least: float, tau: float):
                     continue
                 if not parts and homes is None:
                     continue
+                block, length = int(cell[lo] >> 40) % BLOCKS, len(raw[lo]) // np.dtype(kind).itemsize
+                part = _blocks(1 << max(0, length - 1).bit_length(), tau)[block][0]
                 if homes is None:
-                    unit = _units([r for p in parts for r in p[2]], kind)
-                    homes, weight = (np.concatenate([p[0] for p in parts]), unit, rotated(unit)), np.concatenate([p[1] for p in parts])
-                for at in range(lo, hi, TILE):
-                    to = min(hi, at + TILE)
-                    unit = _units(raw[at:to], kind)
-                    found = list(met(int(cell[lo] >> 40) % BLOCKS, homes, (cid[at:to], unit, rotated(unit)), role[lo] == 1))
+                    homes, weight = (np.concatenate([p[0] for p in parts]), loaded([r for p in parts for r in p[2]], part)), np.concatenate([p[1] for p in parts])
+                for at in range(lo, hi, PROBES):
+                    to = min(hi, at + PROBES)
+                    found = list(met(block, homes, (cid[at:to], loaded(raw[at:to], part)), role[lo] == 1))
                     i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
                     if len(i):
                         n = to - at
@@ -166,6 +196,14 @@ def _tile(kind: type, least: float, tau: float):
     return run
 
 
+def _axes(n: int) -> int:
+    """Grid coordinates per block: a cell of isotropic vectors holds about 0.4**axes of them, and should hold a few tiles."""
+    axes = 2
+    while axes < 5 and n * 0.4**axes > 8 * TILE:
+        axes += 1
+    return axes
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     folder, tau = run_folder(vectors.sparkSession), 2 - 2 * least
@@ -176,7 +214,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, vec_id: str = "vec_id"
     rows = settled(source.mapInArrow(_identify(kind), f"vec_id {id_kind}, raw binary, cid long, cid2 long"), folder, "rows")
     classes = rows.where("cid is not null").groupBy("cid", "cid2").agg(F.count("*").alias("many"), F.min("vec_id").alias("least_id"), F.first("raw").alias("raw"))
     classes = settled(classes, folder, "classes")
-    axes = min(4, max(2, math.ceil((math.log10(max(1, classes.count())) - 2) / 2)))
+    axes = _axes(classes.count())
     cells = settled(classes.select("cid", "raw").mapInArrow(_cells(kind, tau, axes), "cid long, homes array<long>, probes array<long>"), folder, "cells")
     homes = cells.select("cid", F.explode("homes").alias("cell"))
     tiles = homes.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("long").alias("n"))
