@@ -7,7 +7,7 @@ higher-order functions.  Islands above ``MOST`` rows take a distributed way:
 * :func:`first_kept` decides by rounds over conflicts (a row wins if no undecided earlier
   rival is left);
 * :func:`on_path` follows next-kept links by pointer doubling, log-many joins for any length;
-* :func:`clamped` composes the transition maps of blocks, then replays the blocks.
+* :func:`composed` composes the transition maps of blocks, then replays the blocks.
 
 Intermediate tables are written, so a lost executor repeats one step.
 """
@@ -27,7 +27,7 @@ MOST, BLOCK = 128, 512
 def islands(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: float = 0.0, *, tie: Sequence[str] = (), label: str | None = None, most: int = MOST) -> tuple[DataFrame, DataFrame | None, list[str]]:
     """Rows of small islands, rows of large ones (None if there are none), and the columns that name an island."""
     name = [*keys, *(["run_id"] if label else []), "_island"]
-    numbered = written(scan_islands(rows, keys, start, end, gap, tie=tie, label=label, out="_island"))
+    numbered = scan_islands(rows, keys, start, end, gap, tie=tie, label=label, out="_island")
     large = written(numbered.groupBy(*name).count().filter(F.col("count") > most).select(*name))
     if large.isEmpty():
         return numbered, None, name
@@ -88,29 +88,61 @@ def on_path(links: DataFrame, heads: DataFrame) -> DataFrame:
     return reached
 
 
+def composed(rows: DataFrame, keys: Sequence[str], pos: str, act: str, kind: str, compose: Callable[[Column, Column], Column], apply: Callable[[Column, Column], Column], out: str, block: int = BLOCK) -> DataFrame:
+    """A value handed from row to row: ``out`` is ``apply(value ahead, act)`` over dense positions (from 1) of each key.
+
+    ``act`` is what a row does to the value, and ``compose(first, then)`` is the act of two rows in turn,
+    no larger than one of them.  A block of rows is folded to one act, the same recurrence runs over the blocks, which are
+    ``block`` times fewer, and rows are replayed from the value that enters their block.  The first row of a key must not
+    depend on the value ahead of it, which is NULL.  ``kind`` is the type of the value; ``before_<out>`` is the value ahead.
+    """
+    rest = [c for c in rows.columns if c not in {*keys, pos, act}]
+    item = F.struct(F.col(pos).alias("p"), F.col(act).alias("act"), F.struct(F.lit(True).alias("_"), *rest).alias("rest"))
+    blocks = rows.withColumn("_blk", F.floor((F.col(pos) - 1) / block) + 1).groupBy(*keys, "_blk").agg(F.array_sort(F.collect_list(item), lambda x, y: (x["p"] - y["p"]).cast("int")).alias("_rows"))
+    whole = F.aggregate(F.slice("_rows", 2, block), F.col("_rows")[0]["act"], lambda a, x: compose(a, x["act"]))
+    blocks = written(blocks.withColumn("_act", whole))
+    if blocks.filter("_blk > 1").isEmpty():
+        entered = blocks.withColumn("_in", F.lit(None).cast(kind))
+    else:
+        ends = composed(blocks.select(*keys, F.col("_blk").alias("_nth"), "_act"), keys, "_nth", "_act", kind, compose, apply, "_in", block)
+        ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_nth") + 1).alias("_at"), "_in")
+        entered = blocks.join(ends, [*[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_blk") == F.col("_at")], "left")
+    made = F.aggregate("_rows", F.array(F.col("_in")), lambda acc, x: F.concat(acc, F.array(apply(F.element_at(acc, F.lit(-1)), x["act"]))))
+    flat = entered.withColumn("_made", made).select(*keys, F.col("_made").alias("_m"), F.posexplode("_rows").alias("_i", "_r"))
+    return flat.select(*keys, F.col("_r.p").alias(pos), F.col("_r.act").alias(act), *[F.col(f"_r.rest.{c}").alias(c) for c in rest], F.get("_m", F.col("_i")).alias(f"before_{out}"), F.get("_m", F.col("_i") + 1).alias(out))
+
+
 def _clamp(x: Column, lo: Column, hi: Column) -> Column:
     return F.least(hi, F.greatest(lo, x))
 
 
 def clamped(rows: DataFrame, keys: Sequence[str], pos: str, lo: str, hi: str, out: str, block: int = BLOCK) -> DataFrame:
-    """The recurrence ``x[i] = min(hi[i], max(lo[i], x[i-1]))`` over dense positions (from 1) of each key.
+    """The recurrence ``x[i] = min(hi[i], max(lo[i], x[i-1]))``; ``lo <= hi``, and the first row of a key has ``lo == hi``.
 
-    ``lo <= hi``; the first row of a key has ``lo == hi``.  A block of rows acts on the value that comes in like
-    one such clamp, and clamps compose to clamps; so blocks are folded to (lo, hi), the
-    same recurrence runs over the blocks, which are ``block`` times fewer, and rows are
-    replayed from the value that enters their block.
+    Clamps compose to clamps.
     """
-    rest = [c for c in rows.columns if c not in {*keys, pos, lo, hi}]
-    blocks = rows.withColumn("_blk", F.floor((F.col(pos) - 1) / block) + 1).groupBy(*keys, "_blk").agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.struct(F.lit(True).alias("_"), *rest).alias("rest")))).alias("_rows"))
-    whole = F.aggregate(F.slice("_rows", 2, block), F.struct(F.col("_rows")[0]["lo"].alias("lo"), F.col("_rows")[0]["hi"].alias("hi")), lambda a, x: F.struct(_clamp(a["lo"], x["lo"], x["hi"]).alias("lo"), _clamp(a["hi"], x["lo"], x["hi"]).alias("hi")))
-    blocks = written(blocks.withColumn("_w", whole))
-    if blocks.filter("_blk > 1").isEmpty():
-        entered = blocks.withColumn("_in", F.lit(None).cast("double"))
-    else:
-        ends = clamped(blocks.select(*keys, F.col("_blk").alias("_nth"), F.col("_w.lo").alias("lo"), F.col("_w.hi").alias("hi")), keys, "_nth", "lo", "hi", "_in", block)
-        ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_nth") + 1).alias("_at"), "_in")
-        entered = blocks.join(ends, [*[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_blk") == F.col("_at")], "left")
-    # greatest and least skip the NULL that enters the first block, whose first row has lo == hi
-    made = F.aggregate("_rows", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(_clamp(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.col("_in")), x["lo"], x["hi"]))))
-    flat = entered.select(*keys, F.explode(F.arrays_zip(F.col("_rows").alias("r"), made.alias("x"))).alias("_z"))
-    return flat.select(*keys, F.col("_z.r.p").alias(pos), F.col("_z.r.lo").alias(lo), F.col("_z.r.hi").alias(hi), *[F.col(f"_z.r.rest.{c}").alias(c) for c in rest], F.col("_z.x").alias(out))
+    # greatest and least skip the NULL ahead of the first row
+    both = lambda a, x: F.struct(_clamp(a["lo"], x["lo"], x["hi"]).alias("lo"), _clamp(a["hi"], x["lo"], x["hi"]).alias("hi"))
+    acts = rows.withColumn("_clamp", F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi")))
+    return composed(acts, keys, pos, "_clamp", "double", both, lambda v, x: _clamp(v, x["lo"], x["hi"]), out, block).drop("_clamp", f"before_{out}")
+
+
+def lit_masks(rows: DataFrame, keys: Sequence[str], pos: str, terms: str, out: str, block: int = BLOCK) -> DataFrame:
+    """Which items of each row are lit, as a bit mask ``out``, when lit items of the row ahead light others.
+
+    ``terms`` has one (``c``, ``m``) per item: it is lit if ``c``, or if an item of the row ahead whose bit is in
+    ``m`` is lit.  These are matrices over (or, and), which compose; at most 63 items a row.
+    """
+
+    def compose(a: Column, x: Column) -> Column:
+        def one(t: Column) -> Column:
+            asked = F.transform(a, lambda v, k: F.struct(v["c"].alias("c"), v["m"].alias("m"), (F.call_function("shiftright", t["m"], k).bitwiseAND(F.lit(1)) == 1).alias("on")))
+            return F.aggregate(F.filter(asked, lambda v: v["on"]), F.struct(t["c"].alias("c"), F.lit(0).cast("long").alias("m")), lambda acc, v: F.struct((acc["c"] | v["c"]).alias("c"), acc["m"].bitwiseOR(v["m"]).alias("m")))
+
+        return F.transform(x, one)
+
+    def apply(v: Column, x: Column) -> Column:
+        lit = F.transform(x, lambda t, j: F.when(t["c"] | (F.coalesce(v, F.lit(0).cast("long")).bitwiseAND(t["m"]) != 0), F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(lit, F.lit(0).cast("long"), lambda acc, y: acc.bitwiseOR(y))
+
+    return composed(rows, keys, pos, terms, "long", compose, apply, out, block)

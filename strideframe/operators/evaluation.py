@@ -78,6 +78,7 @@ def match_greedy(pairs: DataFrame, most: int = decisions.MOST) -> DataFrame:
     small, large, name = decisions.islands(spans, ["version", "recording_id"], "_s", "_e", tie=["gt_id", "pred_id"], most=most)
     same = lambda k, x: (k["gt_id"] == x["gt_id"]) | (k["pred_id"] == x["pred_id"])
     out = decisions.first_kept(small, name, [-F.col("iou"), F.col("gt_id"), F.col("pred_id")], [*ids, "iou"], same)
+    out = written(out)  # read by every step that judges the pairs
     return out if large is None else out.unionByName(_match_by_rounds(large.select(*ids, "iou")))
 
 

@@ -3,7 +3,7 @@
 A frame row has the keys, ``frame`` (index), ``t`` (seconds), ``hands``, ``equipment`` and
 ``persons`` (arrays of ``(bbox, confidence, label)``, bounded by one picture), ``sharpness``
 and ``motion``.  Arrays are scored with higher-order functions; only choices between
-frames need windows, and those are over fixed time windows or cut into chains.
+frames need windows, and those are over fixed time windows; what one frame hands to the next is composed.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strideframe.functions.mathx import box_area, box_center, box_distance, box_inside, box_iou, clip
-from strideframe.operators.chains import settle_chains
+from strideframe.operators import decisions
 from strideframe.operators.intervals import asof_nearest
 from strideframe.operators.keyed import pick_first, top_k
-from strideframe.operators.sequence import ROWS, index_rows, running
+from strideframe.operators.nearhash import MOST, first_come
+from strideframe.operators.sequence import ROWS, index_rows
 from strideframe.operators.stats import ratio
 from strideframe.session import checkpointed
 
@@ -55,56 +55,43 @@ def hand_score(box: Column, equipment: Column, persons: Column, p: FrameParams =
     return clip(position * 0.25 + size * 0.20 + F.when(nearest.isNull(), 0.0).otherwise(close) * 0.20 + 0.15 * 0.5 + edge * 0.10 + 0.10 * 0.5 - inside * 0.30, 0, 1)
 
 
-def score_hands(frames: DataFrame, keys: Sequence[str], p: FrameParams = FrameParams()) -> DataFrame:
+def score_hands(frames: DataFrame, keys: Sequence[str], p: FrameParams = FrameParams(), block: int = decisions.BLOCK) -> DataFrame:
     """Adds ``hands`` with score and own flag, after the neighbour-frame boost.
 
     A doubtful hand gains ``boost`` when an own hand is close to it in the frame before
-    (already boosted) or after.  Only a frame with a hand that the boost could lift can
-    change, so frames are cut into chains after every other frame, and each chain is
-    settled in order.
+    (already boosted) or after; the first and last frame of a key stay.  Whether a hand becomes own is "yes", or
+    "if one of these hands of the frame before is", so the frames of a key compose (:func:`decisions.lit_masks`) and are never walked in
+    one task.  At most 63 hands a frame.
     """
     scored = F.transform(
         "hands", lambda h: F.struct(h["bbox"].alias("bbox"), h["confidence"].alias("confidence"), hand_score(h["bbox"], F.col("equipment"), F.col("persons"), p).alias("score"))
     )
-    first = frames.withColumn("hands", scored).withColumn(
-        "_open", F.exists("hands", lambda h: (h["score"] <= p.own_hand) & (h["score"] + p.boost > p.own_hand))
-    ).withColumn("_own", F.transform(F.filter("hands", lambda h: h["score"] > p.own_hand), lambda h: h["bbox"]))
-    slim = index_rows(first.select(*keys, "frame", "hands", "_open", "_own"), keys, ["frame"], lag=["_open", "_own"], lead=["_own"], total=True, width=ROWS)
-    cut = (~F.coalesce("lag__open", F.lit(False))).cast("long")
-    marked = slim.withColumn("_cut", cut).drop("lag__open", "_open", "_own")
-    chained = running(marked, keys, ["pos"], {"_chain": ("sum", "_cut")}, width=ROWS)
-
-    def settle(rows: list[dict]) -> list[dict]:
-        before, out = None, []
-        for row in rows:
-            around = [*_boxes(row["lag__own"] if before is None else before), *_boxes(row["lead__own"])]
-            fixed = row["pos"] in (1, row["n_rows"])
-            hands = []
-            for h in row["hands"]:
-                score = h["score"]
-                if not fixed and score <= p.own_hand and any(_apart(h["bbox"], box) < p.height * p.boost_reach for box in around):
-                    score = min(1.0, score + p.boost)
-                hands.append({"bbox": list(h["bbox"]), "confidence": h["confidence"], "score": score})
-            before = [h["bbox"] for h in hands if h["score"] > p.own_hand]
-            out.append({**{k: row[k] for k in keys}, "frame": row["frame"], "hands": hands})
-        return out
-
-    schema = T.StructType([*[frames.schema[k] for k in keys], frames.schema["frame"], first.schema["hands"]])
-    settled = settle_chains(chained.drop("_cut"), [*keys, "_chain"], ["pos"], settle, schema)
-    flagged = settled.withColumn(
-        "hands", F.transform("hands", lambda h: F.struct(h["bbox"].alias("bbox"), h["confidence"].alias("confidence"), h["score"].alias("score"), (h["score"] > p.own_hand).alias("own")))
-    )
+    first = frames.select(*keys, "frame", scored.alias("hands"))
+    slim = index_rows(first, keys, ["frame"], lag=["hands"], lead=["hands"], width=ROWS)
+    inner = F.col("lag_hands").isNotNull() & F.col("lead_hands").isNotNull()
+    near = lambda h, e: box_distance(h["bbox"], e["bbox"]) < p.height * p.boost_reach
+
+    def term(h: Column) -> Column:
+        """Reached from the frame after, the near hands of the frame before as bits, and what that means for being own."""
+        weak = inner & (h["score"] <= p.own_hand)
+        after = weak & F.exists("lead_hands", lambda e: (e["score"] > p.own_hand) & near(h, e))
+        bits = F.transform("lag_hands", lambda e, k: F.when(near(h, e), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+        mask = F.when(weak, F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))).otherwise(F.lit(0).cast("long"))
+        lifted = h["score"] + p.boost > p.own_hand
+        return F.struct(after.alias("after"), mask.alias("mask"), ((h["score"] > p.own_hand) | (after & lifted)).alias("c"), F.when(lifted, mask).otherwise(F.lit(0).cast("long")).alias("m"))
+
+    marked = slim.withColumn("_all", F.transform("hands", term)).select(*keys, "pos", "frame", "hands", "_all", F.transform("_all", lambda t: F.struct(t["c"].alias("c"), t["m"].alias("m"))).alias("_terms"))
+    lit = decisions.lit_masks(marked, keys, "pos", "_terms", "_own", block)
+    ahead = F.coalesce("before__own", F.lit(0).cast("long"))
+
+    def settled(h: Column, t: Column) -> Column:
+        score = F.when(t["after"] | (ahead.bitwiseAND(t["mask"]) != 0), F.least(F.lit(1.0), h["score"] + p.boost)).otherwise(h["score"])
+        return F.struct(h["bbox"].alias("bbox"), h["confidence"].alias("confidence"), score.alias("score"), (score > p.own_hand).alias("own"))
+
+    flagged = lit.select(*keys, "frame", F.zip_with("hands", "_all", settled).alias("hands"))
     return frames.drop("hands").join(flagged, [*keys, "frame"])
 
 
-def _boxes(boxes) -> list:
-    return [] if boxes is None else list(boxes)
-
-
-def _apart(a, b) -> float:
-    return float(np.hypot((a[0] + a[2]) / 2 - (b[0] + b[2]) / 2, (a[1] + a[3]) / 2 - (b[1] + b[3]) / 2))
-
-
 def own_hands() -> Column:
     return F.filter("hands", lambda h: h["own"])
 
@@ -221,32 +208,10 @@ def anchors(frames: DataFrame, keys: Sequence[str], positions: Sequence[float] =
     return asof_nearest(goals, frames.select(*keys, "t", "frame"), keys, "t", "frame", ["frame"]).select(*keys, "frame", F.concat(F.lit("anchor_"), F.round(F.col("position") * 100).cast("int").cast("string"), F.lit("%")).alias("reason"))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def drop_near_duplicates(selected: DataFrame, keys: Sequence[str], min_gap: float = 0.3, min_distance: int = 6) -> DataFrame:
+def drop_near_duplicates(selected: DataFrame, keys: Sequence[str], min_gap: float = 0.3, min_distance: int = 6, most: int = MOST) -> DataFrame:
     """In time order, keep a frame that is ``min_gap`` after and ``min_distance`` bits away
-    from every kept frame.
-
-    The input is a selection (a few frames per time window, :func:`window_top`), so a group
-    is bounded by the length of its segment, not by the number of frames recorded.
-    """
-    names = selected.columns
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "frame"]).reset_index(drop=True)
-        hashes = pdf["phash"].to_numpy(dtype=np.int64).view(np.uint64)
-        times, kept = pdf["t"].to_numpy(), []
-        for i in range(len(pdf)):
-            if kept:
-                bits = np.bitwise_count(hashes[kept] ^ hashes[i])
-                if (np.abs(times[kept] - times[i]) < min_gap).any() or (bits < min_distance).any():
-                    continue
-            kept.append(i)
-        return pdf.iloc[kept][names]
-
-    return selected.groupBy(*keys).applyInPandas(settle, selected.schema)
+    from every kept frame; a segment of more than ``most`` frames is settled by rounds over a Hamming index."""
+    return first_come(selected, keys, "t", "frame", "phash", min_gap, min_distance, most)
 
 
 def assemble(frames: DataFrame, keys: Sequence[str], metrics: Sequence[str], *, size: float = 2.0, k: int = 2, most: int = 36, least: int = 12, min_gap: float = 0.3, min_distance: int = 6) -> DataFrame:

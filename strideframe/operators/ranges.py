@@ -20,7 +20,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -50,6 +49,12 @@ def _since(starts: np.ndarray, values: np.ndarray, carried: int) -> np.ndarray:
     return total - np.where(at >= 0, total[at] - values[at], -carried)
 
 
+def _greatest(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Running maximum of ``values`` in each of the ascending groups, taken over ranks so that one pass does for all."""
+    held, rank = np.unique(values, return_inverse=True)
+    return held[np.maximum.accumulate((group - group[0]) * len(held) + rank) % len(held)]
+
+
 @dataclass(frozen=True)
 class _Walk:
     """What one pass over a sorted range adds to its rows."""
@@ -99,7 +104,7 @@ class _Walk:
             out = out.append_column(f"_{'lag' if shift < 0 else 'lead'}_{c_}", taken)
         if self.span:
             start, end = (out.column(x).cast(pa.float64()).to_numpy() for x in self.span)
-            upto = pd.Series(np.where(np.isnan(end), -np.inf, end)).groupby(run_no).cummax().to_numpy()
+            upto = _greatest(run_no, np.where(np.isnan(end), -np.inf, end))
             upto = np.where(run_no == state["run"], np.maximum(upto, state["reach"]), upto)
             ahead = np.where(run, -np.inf, np.append(state["reach"], upto[:-1]))
             opened = run | (start - ahead > self.gap)

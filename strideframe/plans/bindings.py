@@ -5,11 +5,14 @@ Each binding exists twice, as a DataFrame and as a SQL common table expression.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from strideframe.functions.mathx import magnitude
-from strideframe.operators.ranges import scan_rows
+from strideframe.operators.sequence import index_rows
 from strideframe.plans.registry import Tables
+from strideframe.session import written
 
 DAY = 86_400.0
 HOUR = 3_600.0
@@ -108,10 +111,10 @@ def samples(t: Tables) -> DataFrame:
     return rows.withColumns({"acc": magnitude(F.col("ax"), F.col("ay"), F.col("az")), "gyro": magnitude(F.col("gx"), F.col("gy"), F.col("gz"))})
 
 
-def label_runs(t: Tables) -> DataFrame:
+def label_runs(t: Tables, index: Callable[..., DataFrame] = index_rows) -> DataFrame:
     """Runs of equal labels; a run ends where the next one starts."""
     rows = samples(t).select("recording_id", "row_id", "t_rel", "label", "k")
-    indexed = t.once("_label_rows", lambda: scan_rows(rows, ["recording_id"], ["t_rel", "row_id"], label="label", lead=["t_rel"]))
+    indexed = index(rows, ["recording_id"], ["t_rel", "row_id"], label="label", lead=["t_rel"])
     return indexed.groupBy("recording_id", "run_id", "label").agg(
         F.min("t_rel").alias("start_sec"),
         F.max(F.coalesce("lead_t_rel", "t_rel")).alias("end_sec"),
@@ -121,9 +124,18 @@ def label_runs(t: Tables) -> DataFrame:
     )
 
 
+def settle_runs(t: Tables) -> None:
+    """Write the runs once, for plans that read truth and predictions many times."""
+    t.once("_runs", lambda: written(label_runs(t)))
+
+
+def _runs(t: Tables) -> DataFrame:
+    return t.__dict__["_runs"] if "_runs" in t.__dict__ else label_runs(t)
+
+
 def truth(t: Tables) -> DataFrame:
     """Runs of positive length as ground truth."""
-    return label_runs(t).filter(F.col("end_sec") > F.col("start_sec")).select(
+    return _runs(t).filter(F.col("end_sec") > F.col("start_sec")).select(
         "recording_id", F.col("run_id").alias("gt_id"), F.col("label").alias("gt_action"),
         F.col("start_sec").alias("gt_start"), F.col("end_sec").alias("gt_end"),
         F.col("n").alias("gt_sets"), F.col("reps").alias("gt_reps"),
@@ -138,7 +150,7 @@ def predictions(t: Tables) -> DataFrame:
     version = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.lit(s).alias("shift")) for v, s in SHIFTS.items()]))
     wrong = F.when(F.col("run_id") % 7 == 0, "other").otherwise(F.col("label"))
     return (
-        label_runs(t)
+        _runs(t)
         .filter(F.col("end_sec") > F.col("start_sec"))
         .withColumn("_v", version)
         .select(

@@ -10,7 +10,6 @@ from strideframe.operators.ranges import scan_rows
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, fx, sql
 from strideframe.plans.registry import query
-from strideframe.session import written
 
 _W = DAY / 2
 
@@ -61,8 +60,9 @@ def c08(t):
 
 
 def _inputs(t):
-    """Truth and predictions are read many times below, so they are written once."""
-    return written(b.truth(t)), written(b.predictions(t))
+    """Truth and predictions are read many times below, so the runs behind them are written once."""
+    b.settle_runs(t)
+    return b.truth(t), b.predictions(t)
 
 
 def _judged(t):

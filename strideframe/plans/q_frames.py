@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions.mathx import fix
 from strideframe.operators import frames as fr
-from strideframe.operators import intervals, labels, learn, sensor
+from strideframe.operators import intervals, labels, learn, nearhash, sensor
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, HOUR, fx, sql
 from strideframe.plans.registry import query
@@ -196,6 +196,19 @@ def f10(t):
     return fr.drop_near_duplicates(chosen.select("recording_id", "frame", "t", "phash"), K, HOUR, 6).select("recording_id", "frame")
 
 
+# Hashes near each other: one of the pictures' hashes with one bit turned.
+_NEAR = "SELECT row_id AS frame, xor(CAST('0x' || substring(md5(concat_ws(' ', k % 17, CAST(floor(value) AS INT) % 5)), 1, 15) AS BIGINT), CAST(1 AS BIGINT) << CAST(row_id % 61 AS INT)) AS phash FROM samples"
+
+
+@query("f10_corpus_duplicates", sql("SELECT frame, coalesce(m, phash) AS group_hash, count(*) OVER (PARTITION BY coalesce(m, phash)) AS copies FROM near LEFT JOIN least_hash ON phash = a", "samples", near=_NEAR, h="SELECT DISTINCT phash AS h FROM near",
+    link="SELECT x.h AS a, y.h AS b FROM h x JOIN h y ON bit_count(xor(x.h, y.h)) < 6", closed="SELECT a, b FROM link UNION SELECT c.a, l.b FROM closed c JOIN link l ON l.a = c.b", least_hash="SELECT a, min(b) AS m FROM closed GROUP BY a").replace("WITH ", "WITH RECURSIVE ", 1))
+def f10b(t):
+    k, v, i = F.col("k"), F.floor("value").cast("int"), F.col("row_id")
+    turned = F.call_function("shiftleft", F.lit(1).cast("long"), (i % 61).cast("int"))
+    frames = b.samples(t).select(i.alias("frame"), _hash60(F.concat_ws(" ", k % 17, v % 5)).bitwiseXOR(turned).alias("phash"))
+    return nearhash.duplicate_groups(frames, "phash", 6).drop("phash")
+
+
 @query("o12_key_frames")
 def o12(t):
     return fr.assemble(_useful(t), K, _METRICS, size=DAY, min_gap=HOUR)

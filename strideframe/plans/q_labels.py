@@ -41,7 +41,7 @@ def e03(t):
 
 @query("e04_label_runs", sql("SELECT recording_id, run_id, label, start_sec, end_sec, n, reps, first_row FROM label_runs", "label_runs"))
 def e04(t):
-    return b.label_runs(t)
+    return b.label_runs(t, scan_rows)
 
 
 @query("e05_gap_islands", sql(f"""SELECT recording_id, label, CAST(island AS BIGINT) AS island, min(t_rel) AS start_sec, max(e) AS end_sec, count(*) AS n FROM (
