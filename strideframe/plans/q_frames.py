@@ -209,7 +209,20 @@ def f10b(t):
     return nearhash.duplicate_groups(frames, "phash", 6).drop("phash")
 
 
-@query("o12_key_frames")
+_SPOTS = """SELECT recording_id, frame, 'anchor_' || CAST(round(p * 100) AS INT) || '%' AS reason FROM (SELECT s.recording_id, s.frame, p, row_number() OVER (PARTITION BY s.recording_id, p ORDER BY abs(s.t - (z.a + (z.b - z.a) * p)), s.t, s.frame) AS rn
+    FROM useful s JOIN (SELECT recording_id, min(t) AS a, max(t) AS b FROM useful GROUP BY ALL) z USING (recording_id), (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) v(p)) WHERE rn = 1"""
+_KEYED = dict(
+    top=_TOP.format(DAY), ends=_ENDS, spots=_SPOTS,
+    every_one="SELECT recording_id, frame, 'window_topk' AS reason, 0 AS src FROM top UNION ALL SELECT *, 1 FROM ends UNION ALL SELECT *, 2 FROM spots",
+    named="SELECT recording_id, frame, reason FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, frame ORDER BY src DESC, reason DESC) AS rn FROM every_one) WHERE rn = 1",
+    chosen="SELECT u.*, reason FROM useful u JOIN named USING (recording_id, frame)", greedy=_GREEDY.replace("FROM top", "FROM chosen"),
+    best="SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY recording_id ORDER BY info_score DESC, t, frame) AS rn FROM chosen c JOIN greedy USING (recording_id, frame)) WHERE rn <= 36",
+    rest="SELECT u.*, row_number() OVER (PARTITION BY recording_id ORDER BY info_score DESC, t, frame) AS rn FROM useful u ANTI JOIN best USING (recording_id, frame)",
+)
+
+
+@query("o12_key_frames", sql("""SELECT recording_id, frame, t, info_score, reason FROM best UNION ALL
+    SELECT recording_id, frame, t, info_score, 'fill' FROM rest JOIN (SELECT recording_id, count(*) AS have FROM best GROUP BY ALL) USING (recording_id) WHERE rn <= 12 - have""", "samples", **_ALL, useful=_USE, **_KEYED))
 def o12(t):
     return fr.assemble(_useful(t), K, _METRICS, size=DAY, min_gap=HOUR)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strideframe.functions.mathx import fix
@@ -9,7 +11,9 @@ from strideframe.operators.keyed import prefer
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, fx, sql
 from strideframe.plans.registry import query
-from strideframe.sources import readers
+from strideframe.session import scratch_root
+from strideframe.sources import readers, writers
+from strideframe.sources.versions import Store
 
 
 @query("a01_sensor_lines", f"""SELECT user_id AS recording_id, count(*) AS n, {fx('sum(value)', 4)} AS total, {fx('max(CAST(epoch_us(ts) - t0 AS DOUBLE) / 1e6)')} AS last_sec FROM (SELECT *, min(epoch_us(ts)) FILTER (event_id % 10 <> 0) OVER (PARTITION BY user_id) AS t0 FROM events) WHERE event_id % 10 NOT IN (0, 1, 2) GROUP BY ALL""")
@@ -106,3 +110,34 @@ def a12(t):
     path = F.concat(F.lit("/frames/"), F.col("user_id").cast("string"), F.lit("/frame_"), F.format_string("%08d", F.floor(F.col("event_id") / 2)), F.when(F.col("event_id") % 2 == 0, ".jpg").otherwise("_copy.jpg"))
     names = t.events.select(F.col("user_id").alias("recording_id"), path.alias("path"))
     return readers.numbered_frames(names, ["recording_id"], "path", 3).select("recording_id", "index")
+
+
+@query("a13_written_results", sql(f"SELECT day, count(*) AS sessions, {fx('sum(calories)', 2)} AS calories FROM sessions GROUP BY ALL", "sessions"))
+def a13(t):
+    """Daily totals written as CSV and as Parquet by month, and read back from both."""
+    root = scratch_root(t.spark).rstrip("/") + "/" + uuid.uuid4().hex
+    days = b.sessions(t).groupBy("day").agg(F.count(F.lit(1)).alias("sessions"), fix(F.sum("calories"), 2).alias("calories"))
+    writers.write_result(days, f"{root}/csv", "csv")
+    back = t.spark.read.schema(days.schema).option("header", True).csv(f"{root}/csv")
+    writers.write_result(back.withColumn("month", F.date_format("day", "yyyy-MM")), f"{root}/parquet", "parquet", ["month"])
+    return t.spark.read.parquet(f"{root}/parquet").drop("month")
+
+
+_PULSES = "SELECT user_id, CAST(ts AS DATE) AS day, value FROM events"
+
+
+@query("a14_user_day_replacement", sql(f"""SELECT 'sessions' AS tbl, user_id, count(*) AS n, {fx('sum(minutes)', 2)} AS total FROM (SELECT user_id, minutes FROM sessions WHERE user_id % 7 <> 0 UNION ALL SELECT user_id, arg_min(minutes, session_id) FROM sessions WHERE user_id % 7 = 0 GROUP BY user_id, day) GROUP BY ALL
+    UNION ALL SELECT 'executions', user_id, count(*), {fx('sum(reps)', 2)} FROM executions JOIN sessions USING (session_id) WHERE user_id % 7 <> 0 GROUP BY ALL
+    UNION ALL SELECT 'pulses', user_id, count(*), {fx('sum(CASE WHEN user_id % 7 = 0 THEN value + 1 ELSE value END)', 2)} FROM pulses GROUP BY ALL""", "sessions", "executions", pulses=_PULSES))
+def a14(t):
+    """All three tables of some users replaced in one step and read back."""
+    store = Store(t.spark, scratch_root(t.spark).rstrip("/") + "/" + uuid.uuid4().hex)
+    sessions = b.sessions(t).select("user_id", "day", "session_id", "minutes")
+    executions = b.executions(t).join(sessions.select("session_id", "user_id", "day"), "session_id").select("user_id", "day", "session_id", "reps")
+    pulses = t.events.select("user_id", F.to_date("ts").alias("day"), "value")
+    store.replace({"sessions": sessions, "executions": executions, "pulses": pulses})
+    some = F.col("user_id") % 7 == 0
+    first = sessions.filter(some).groupBy("user_id", "day").agg(F.min_by(F.struct("session_id", "minutes"), "session_id").alias("_s")).select("user_id", "day", "_s.*")
+    store.replace({"sessions": first, "pulses": pulses.filter(some).withColumn("value", F.col("value") + 1)})
+    parts = [store.read(table).groupBy(F.lit(table).alias("tbl"), "user_id").agg(F.count(F.lit(1)).alias("n"), fix(F.sum(c).cast("double"), 2).alias("total")) for table, c in (("sessions", "minutes"), ("executions", "reps"), ("pulses", "value"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
