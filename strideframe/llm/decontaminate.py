@@ -109,7 +109,7 @@ def alignments(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text:
 def decontaminate(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: doc_id, contaminated, and of its best alignment item_id, kind, matched, of; n_items counts its items."""
     best = alignments(docs, bench, doc_id, text, item_id, item_text).groupBy("doc_id", "h_text").agg(
-        F.max_by(F.struct("item_id", "kind", "matched", "of"), F.struct(F.col("matched"), -F.col("item_id"), -F.col("shift"))).alias("best"), F.countDistinct("item_id").alias("n_items")
+        F.min_by(F.struct("item_id", "kind", "matched", "of"), F.struct(-F.col("matched"), "item_id", "shift")).alias("best"), F.countDistinct("item_id").alias("n_items")
     )
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h_text"))
     same = [F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("d.h_text") == F.col("b.h_text")]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from strideframe.llm.components import components, roots
 from strideframe.llm.registry import query, table
-from strideframe.llm.scratch import run_folder, settled, without_keys
+from strideframe.llm.scratch import free_name, run_folder, settled, without_keys
 from strideframe.llm.textkit import U64, mixed, run_hashes, signed, slices, words_of
 
 SHINGLE, BUCKETS, MANTISSA, BANDS, ROWS, SLICE, MARGIN, SMALL, BLOCK = 5, 128, 10, 24, 5, 256, 5.0, 32, 400
@@ -277,7 +277,8 @@ def one_of_each(docs: DataFrame, least_percent: int = 80) -> DataFrame:
     out = without_keys(docs, settled(losers, run_folder(docs.sparkSession), "losers"))
     if judged.groupBy("doc_id", "h_text").count().where("count > 1").isEmpty():
         return out
-    return out.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    digest = free_name(docs, "_hash")
+    return out.withColumn(digest, F.xxhash64("text")).dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 ORACLE = rf"""

@@ -33,6 +33,14 @@ def settled(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column of ``df`` (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Keys up to this number are broadcast (a few tens of MB); more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -42,8 +50,9 @@ def without_keys(docs: DataFrame, keys: DataFrame, doc_id: str = "doc_id", text:
 
     Broadcasting a counted, small table of keys spares the texts a shuffle.
     """
-    few = keys.select(F.col("doc_id").alias("_id"), F.col("h_text").alias("_hash"))
+    key, digest = free_name(docs, "_id"), free_name(docs, "_hash")
+    few = keys.select(F.col("doc_id").alias(key), F.col("h_text").alias(digest))
     if few.count() <= BROADCAST_KEYS:
         few = F.broadcast(few)
-    same = [F.col(doc_id).eqNullSafe(F.col("_id")), F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0)) == F.coalesce("_hash", F.lit(0))]
+    same = [F.col(doc_id).eqNullSafe(F.col(key)), F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0)) == F.coalesce(digest, F.lit(0))]
     return docs.join(few, same, "left_anti")

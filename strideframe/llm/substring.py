@@ -25,7 +25,7 @@ ids may be null; only the named columns are read; empty tables give empty result
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideframe.llm.registry import query, table
-from strideframe.llm.scratch import run_folder, settled
+from strideframe.llm.scratch import free_name, run_folder, settled
 from strideframe.llm.textkit import U64, run_hashes, second_hashes, signed, slices, words_of
 
 WIDTH, PREFIX, GROUP = 35, 8, 2000
@@ -210,12 +210,12 @@ def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return hits.groupBy("doc_id", "h_text").agg(F.collect_list(F.struct("head", "mask")).alias("spots"))
 
 
-def _strip(text: str):
+def _strip(text: str, spots: str, names: Sequence[str]):
     def run(batches: Batches) -> Batches:
         for batch in (part for whole in batches for part in slices(whole, text)):
             words = words_of(batch.column(text))
             change = np.zeros(len(words.code) + 1, np.int64)
-            lists = batch.column("_spots")
+            lists = batch.column(spots)
             flat = lists.flatten()
             owner = np.repeat(np.arange(batch.num_rows), [len(x) if x.is_valid else 0 for x in lists])
             head, mask = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
@@ -226,26 +226,34 @@ def _strip(text: str):
                 np.add.at(change, at + WIDTH, -1)
             keep = np.cumsum(change[:-1]) == 0
             removed = np.bincount(words.owner()[~keep], minlength=batch.num_rows).astype(np.int64)
-            own = [c for c in batch.schema.names if c != "_spots"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(words.joined(keep), pa.binary()).cast(pa.string())], [*own, "_n_words", "_n_removed", "_kept"])
+            own = [c for c in batch.schema.names if c != spots]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(words.counts.astype(np.int64)), pa.array(removed), pa.array(words.joined(keep), pa.binary()).cast(pa.string())], [*own, *names])
 
     return run
 
 
-def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns, and _n_words, _n_removed and _kept, the words that stay joined by one space."""
-    places = repeated_places(docs, doc_id, text)
+MADE = ("_n_words", "_n_removed", "_kept")
+
+
+def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", names: Sequence[str] = MADE) -> DataFrame:
+    """All rows and columns, and (called ``names``) the number of words, how many were removed, and the words that stay joined by one space.
+
+    Columns that have one of these names already are replaced.
+    """
+    docs = docs.drop(*names)
+    places, spots = repeated_places(docs, doc_id, text), free_name(docs, "_spots")
     same = [F.col(f"d.{doc_id}").eqNullSafe(F.col("p.doc_id")), F.xxhash64(F.col(f"d.{text}").cast("string")) == F.col("p.h_text")]
-    joined = docs.alias("d").join(places.alias("p"), same, "left").select("d.*", F.col("p.spots").alias("_spots"))
-    more = [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept", T.StringType())]
-    return joined.mapInArrow(_strip(text), T.StructType([*docs.schema.fields, *more]))
+    joined = docs.alias("d").join(places.alias("p"), same, "left").select("d.*", F.col("p.spots").alias(spots))
+    more = [T.StructField(n, kind) for n, kind in zip(names, (T.LongType(), T.LongType(), T.StringType()))]
+    return joined.mapInArrow(_strip(text, spots, names), T.StructType([*docs.schema.fields, *more]))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut out; a text that loses nothing stays as it is."""
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_n_removed") > 0, F.length("_kept")).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {})
-    return strip_repeats(docs).withColumns(changed).select(docs.columns)
+    names = _, n_removed, kept = [free_name(docs, n) for n in MADE]
+    less = F.col(n_removed) > 0
+    changed = {"text": F.when(less, F.col(kept)).otherwise(F.col("text"))} | ({"n_chars": F.when(less, F.length(kept)).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {})
+    return strip_repeats(docs, names=names).withColumns(changed).select(docs.columns)
 
 
 ORACLE = rf"""

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideframe.llm.registry import query, table
-from strideframe.llm.scratch import run_folder, settled
+from strideframe.llm.scratch import free_name, run_folder, settled
 from strideframe.llm.textkit import slices
 
 SAMPLE, LEAST_Z, LEAST_ODDS, FEATURES, LONGEST, CACHE = 20_000, 3.0, 1.5, 4096, 64, 200_000
@@ -307,7 +307,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below one half, with all their columns."""
-    return Scorer(docs, labels).add(docs, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    score = free_name(docs, "_toxicity")
+    return Scorer(docs, labels).add(docs, score).where(F.col(score) < 0.5).drop(score)
 
 
 @query("op2_toxicity")

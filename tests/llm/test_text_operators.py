@@ -169,3 +169,19 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
     plan = decontaminate.decontaminate(docs, bench)._jdf.queryExecution().toString()
     assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_columns_named_like_the_scratch_columns(spark):
+    """Extra columns may have any name, and repeated rows stay out of their way."""
+    from pyspark.sql import functions as F
+
+    from strideframe.llm import toxicity
+
+    names = ("_id", "_hash", "_spots", "_kept", "_n_words", "_n_removed", "_toxicity", "_KEPT_")
+    docs = documents(spark).withColumns({c: F.lit("mine") for c in names})
+    labels = spark.createDataFrame([(1, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([("one", prose(2, 40)), (None, "x")], "item_id string, text string")
+    for out in (minhash.one_of_each(docs), substring.without_repeats(docs), toxicity.without_toxic(docs, labels), decontaminate.without_leaks(docs, bench)):
+        found = out.collect()
+        assert out.columns == docs.columns and found and all(r[c] == "mine" for r in found for c in names)
+    assert decontaminate.decontaminate(docs, bench).where("item_id = 'one'").count() > 0
