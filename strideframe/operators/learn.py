@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -46,7 +49,7 @@ def forest(trees: int = 200, depth: int = 12, seed: int = 42) -> Estimator:
 
 def boosted(rounds: int = 20, depth: int = 5, seed: int = 42) -> Estimator:
     """One boosted tree ensemble per class."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed), featuresCol="features", labelCol="label_idx")
+    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed), featuresCol="features", labelCol="label_idx", parallelism=4)
 
 
 def training_pipeline(features: Sequence[str], label: str, estimator: Estimator, classes: Sequence[str]) -> Pipeline:
@@ -70,6 +73,18 @@ def score(model: Model, df: DataFrame, features: Sequence[str]) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability", "label_idx", "weight", "prediction")
 
 
+def out_of_fold(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], estimator: Estimator | None = None, k: int = 5) -> DataFrame:
+    """Every row scored by a model that was fitted without its fold; the fits of the folds run side by side."""
+    rows = stratified_folds(df, label, keys, k)
+
+    def one(fold: int) -> DataFrame:
+        model = train(rows.filter(F.col("fold") != fold).drop("fold"), features, label, (estimator or forest()).copy())
+        return score(model, rows.filter(F.col("fold") == fold), features)
+
+    with ThreadPool(k) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(one), range(k)))
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], estimator: Estimator | None = None, most: int = 5) -> float:
     """Mean accuracy over stratified folds; 0 when a class has a single row."""
     k = fold_count(df, label, most)
@@ -79,7 +94,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, keys: Seq
     rows = stratified_folds(balanced_weights(clean_features(df, features), label), label, keys, k)
     pipeline = training_pipeline(features, label, estimator or forest(), classes)
     judge = MulticlassClassificationEvaluator(labelCol="label_idx", metricName="accuracy")
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=k, foldCol="fold")
+    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=k, foldCol="fold", parallelism=k)
     return float(cv.fit(rows).avgMetrics[0])
 
 

@@ -262,15 +262,13 @@ def o08(t):
 
 @query("o07_forest_predictions")
 def o07(t):
-    rows = learn.stratified_folds(_vectors(t), "label", ["vec_id"], 5)
-    model = learn.train(rows.filter("fold <> 0").drop("fold"), _X, "label", learn.forest(trees=100, depth=8))
-    return learn.score(model, rows.filter("fold = 0"), _X).select("vec_id", "label", "predicted", "confidence")
+    return learn.out_of_fold(_vectors(t), _X, "label", ["vec_id"]).select("vec_id", "label", "fold", "predicted", "confidence")
 
 
 @query("o09_scored_segments")
 def o09(t):
     rows = _dataset(t)
-    model = learn.train(rows, _FEATS, "label", learn.forest(trees=10, depth=5))
+    model = learn.train(rows, _FEATS, "label", learn.forest())
     scored = learn.score(model, _windows(t), _FEATS).select("recording_id", "k", "ws", "we", "predicted")
     smooth = labels.smooth_mode(scored, K, ["ws"], "predicted", 2, "posture", width=DAY)
     return labels.chained_segments(smooth, K, ["ws"], "posture", "ws", "we", 1.0, width=DAY)
@@ -278,5 +276,5 @@ def o09(t):
 
 @query("o10_model_comparison")
 def o10(t):
-    models = {"forest": learn.forest(trees=5, depth=4), "forest_deep": learn.forest(trees=5, depth=8)}
-    return learn.compare(_vectors(t), _X, "label", ["vec_id"], models, most=2)
+    models = {"forest": learn.forest(), "boosted": learn.boosted(rounds=5, depth=3)}
+    return learn.compare(_vectors(t), _X, "label", ["vec_id"], models)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from strideframe.functions import text
 from strideframe.functions.ladders import (ACC_STD, AZ_POSTURE, COMPLETION, FLOW, GYRO, PERCENT, SECONDS_RATIO, direction, intensity, ladder)
 from strideframe.functions.mathx import fix
-from strideframe.operators import intervals, keyed, names, stats
+from strideframe.operators import intervals, keyed, names, sketches, stats
 from strideframe.operators.sequence import index_rows
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, HOUR, fx, sql
 from strideframe.plans.registry import query
+from strideframe.session import written
 
 _DAYS = (date(1997, 1, 1), date(1997, 12, 31))
 
@@ -386,3 +387,16 @@ def a16(t):
 def a17(t):
     done = b.predictions(t).filter("version = 'v1' AND pred_action <> 'other'").select("recording_id", F.col("pred_id").alias("run_id"))
     return keyed.resume(done, b.label_runs(t).select("recording_id", "run_id"), ["recording_id", "run_id"])
+
+
+@query("d07_merged_states", sql("""SELECT month, people, true AS people_within, true AS median_within, true AS p95_within FROM (SELECT strftime(day, '%Y-%m') AS month, count(DISTINCT user_id) AS people FROM sessions GROUP BY ALL)""", "sessions"))
+def d07b(t):
+    """Distinct users and load quantiles of each month from stored states of its days, held against the rows."""
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    rows = b.sessions(t).select("day", "user_id", "calories", month)
+    states = written(sketches.daily_states(rows, ["month", "day"], "user_id", "calories"))
+    est = sketches.estimates(sketches.merged_states(states, ["month"]), (0.5, 0.95))
+    share = lambda q, op: F.avg(op(F.col("calories"), F.col(q)).cast("double"))
+    near = lambda q, x: (share(q, lambda a, b: a < b) <= x + 0.03) & (share(q, lambda a, b: a <= b) >= x - 0.03)
+    held = rows.join(est, "month").groupBy("month").agg(F.count_distinct("user_id").alias("people"), F.any_value("distinct").alias("_e"), near("q50", 0.5).alias("median_within"), near("q95", 0.95).alias("p95_within"))
+    return held.select("month", "people", (F.abs(F.col("_e") - F.col("people")) <= 0.08 * F.col("people") + 1).alias("people_within"), "median_within", "p95_within")
