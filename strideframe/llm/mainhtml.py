@@ -56,6 +56,7 @@ SCOPES = frozenset("html body article aside main nav section div ul ol dl table
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Whole class names and ids, and parts of them between signs, that mark what is no article.
 NAMES = frozenset("header footer head foot nav menu topbar bottombar related recommended recommendations share sharing social notice notices notification notifications alert widget widgets tags reply replies respond discussion toolbar pagination pager search login signup popup modal overlay hidden".split())
+STRONG = frozenset("comment comments commentlist comment-list reply replies respond disqus related recommended recommendations ad ads advert advertisement sponsored promo".split())
 PARTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr newsletter subscribe subscription sidebar navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus masthead skyscraper paywall".split())
 
 _TOKEN = re.compile(
@@ -69,23 +70,26 @@ _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _MASK = (1 << 64) - 1
 
 
-def _named(attributes: str) -> bool:
-    """Whether class, id, role or visibility say that an element is no part of an article."""
+def _named(attributes: str) -> int:
+    """Whether class, id, role or visibility say that an element is no part of an article: 2 whatever it holds, 1 unless it holds an article, else 0."""
     if not attributes or not _WORTH.search(attributes):
-        return False
+        return 0
+    found = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), unescape(next((v for v in values if v), ""))
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return 2
         if name == "role" and value.strip().lower() in ROLES:
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return 2
         if name in ("class", "id"):
             for one in value.split():
+                if one.lower() in STRONG:
+                    return 2
                 if one.lower() in NAMES or any(p.lower() in PARTS for p in _PIECES.findall(one)):
-                    return True
-    return False
+                    found = 1  # layouts are named like that, too: "has-sidebar"
+    return found
 
 
 class Page:
@@ -105,7 +109,8 @@ class Page:
     def _read(self, html: str) -> None:
         tag, parent, drop = self.tag, self.parent, self.drop
         stack, opened = [0], Counter({"html": 1})
-        pieces: list[tuple[int, str]] = []  # text with its element; a None text is a block's edge
+        pieces: list[tuple[int, str]] = []  # text with its element; element -1 is a block's edge
+        layout: list[int] = []
         at, n = 0, len(html)
 
         def pop() -> None:
@@ -155,7 +160,10 @@ class Page:
             tag.append(name)
             parent.append(stack[-1])
             inside = opened["article"] or opened["main"]
-            drop.append(name in DROPPED or (name == "header" and not inside) or (name not in ("html", "body", "main") and _named(attributes)))
+            named = 0 if name in ("html", "body", "main") else _named(attributes)
+            drop.append(name in DROPPED or (name == "header" and not inside) or named == 2)
+            if named == 1 and name != "article":
+                layout.append(len(tag) - 1)
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
                 at = end.end() if end else n
@@ -163,6 +171,12 @@ class Page:
             stack.append(len(tag) - 1)
             opened[name] += 1
         self._pieces = pieces
+        if layout:
+            holds = [t in ("article", "main") and not d for t, d in zip(tag, self._down(drop))]
+            for i in range(len(tag) - 1, 0, -1):
+                holds[parent[i]] |= holds[i]
+            for i in layout:
+                drop[i] |= not holds[i]
 
     @staticmethod
     def _close(stack: list[int], names: tuple[str, ...], pop, tag: list[str]) -> None:

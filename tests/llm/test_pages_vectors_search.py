@@ -76,7 +76,8 @@ def test_page_forms(spark):
         "<header>h</header><article><header><h1>H</h1></header>t<aside>s</aside><footer>f</footer></article>": "H\nt",
         "<article>t</article><section class='comments'><article>c</article></section>": "t",
         "<div id=cookie-banner>c</div><div class='ad'>a</div><div class=adAgency>x</div><div class=address>kept</div>": "kept",
-        "<main><p>m</p></main><p>o</p>": "m", "<p hidden>h</p><p style='display: none'>i</p><p aria-hidden=true>j</p><p>k</p>": "k",
+        "<div class='wrap has-sidebar'><article class='post no-comments'>kept<div class=sidebar>s</div></article><div class=sidebar>out</div></div>": "kept",
+        "<div class='related'><article>teaser</article></div><article class=ad>a</article><p>body": "body", "<main><p>m</p></main><p>o</p>": "m", "<p hidden>h</p><p style='display: none'>i</p><p aria-hidden=true>j</p><p>k</p>": "k",
         "<!-- c -- > still -->t": "t", "t<!-- open <p>x": "t", "</div></p>t<b>u": "tu", "<form><p>f</p></form><ul><li>1<li>2</ul><table><tr><td>3<td>4</table>": "1\n2\n3\n4",
         "a < b <c": "a < b <c", "<p title='a>b'>q</p><img alt='x'>": "q", "<a href='1'>l</a> m": "l m", "<article><p>one</article><article><p>two</article>": "one\ntwo",
         "x y": "x y", "<div>" * 3000 + "deep" + "</div>" * 10: "deep", "<article>" + "<p>w</p>" * 20_000 + "</article>": "\n".join(["w"] * 20_000), "<" * 50_000: "<" * 50_000, "<a '" * 3000: "<a '" * 3000,
