@@ -1,12 +1,13 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Numbers, mid-sentence names and units after numbers become typed placeholders.  Every window of
-``WINDOW`` canonical words of a benchmark item that holds at least ``LITERAL`` plain words is hash-joined
+Numbers, names (capitalised words, wherever they stand; names parted by one blank are one) and units after
+numbers become typed placeholders.  Every window of ``WINDOW`` canonical words of a benchmark item that holds at least ``LITERAL`` plain words is hash-joined
 with the windows of all documents.  Matching windows of one document and item on one
 diagonal (document position minus item position) are one alignment.  An alignment counts when it
 holds at least ``SHARE`` of the item's windows or ``RUN`` words' worth of windows, and when its slots are
-consistent: each slot value of the item always stands for the same value in the document, and the other
-way round.  Equal values make an exact leak, other values a re-parameterised question.
+consistent: each slot value of the item stands for one value in the document (two may stand for the same), with
+exceptions at no more than ``EXCEPTIONS`` percent of the slots.  ``RUN`` words' worth of windows whose slots hold the item's own values
+count whatever the other slots hold.  Equal values make an exact leak, other values a re-parameterised question.
 
 Defined cases: a null or empty text has no window and is clean; an item of fewer than
 ``WINDOW`` words, or without a window of ``LITERAL`` plain words, matches nothing; ties between items go to more
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from strideframe.llm.registry import query, table
 from strideframe.llm.scratch import run_folder, settled, without_keys
 
-WINDOW, LITERAL, SHARE, RUN = 5, 3, 0.8, 13
+WINDOW, LITERAL, SHARE, RUN, EXCEPTIONS = 5, 3, 0.8, 13, 20
 #: Benchmark windows up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 # Units that may follow a number.
@@ -32,28 +33,28 @@ UNITS = "kg g mg km m cm mm l ml s ms min h hr hrs hour hours minutes seconds da
 _NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
 _WORD = r"[\p{L}\p{M}\p{N}]+"
 _N, _A, _U = "\x01", "\x02", "\x03"
-_AFTER = r"([\p{Ll}\p{N},;] )(\p{Lu}\p{Ll}+)"
+_NAME = r"(^|[^\p{L}\p{M}\p{N}])(\p{Lu}\p{Ll}+)"
+_NAMES = f"{_A}{_WORD}(?: {_A}{_WORD})*"
 _UNIT = rf"({_NUMBER} ?)({'|'.join(UNITS.split())})([^\p{{L}}\p{{M}}\p{{N}}]|$)"
 
 
 def marked(text: Column) -> Column:
     """The text with a mark before each number, name and unit."""
     t = F.translate(text, _N + _A + _U, "   ")
-    for _ in range(2):  # a name right after a name is found by the second pass
-        t = F.regexp_replace(t, _AFTER, f"$1{_A}$2")
+    t = F.regexp_replace(t, _NAME, f"$1{_A}$2")
     t = F.regexp_replace(t, _UNIT, f"$1 {_U}$2$3")
     return F.regexp_replace(t, f"({_NUMBER})", f"{_N}$1")
 
 
 def surface_words(mark: Column) -> Column:
     """The words of a marked text; a slot keeps its mark and value."""
-    return F.regexp_extract_all(mark, F.lit(f"{_N}{_NUMBER}|[{_A}{_U}]?{_WORD}"), F.lit(0))
+    return F.regexp_extract_all(mark, F.lit(f"{_N}{_NUMBER}|{_NAMES}|{_U}?{_WORD}"), F.lit(0))
 
 
 def template_words(mark: Column) -> Column:
     """The same words in lower case, each slot as its bare mark."""
     t = F.regexp_replace(mark, f"{_N}{_NUMBER}", _N)
-    t = F.lower(F.regexp_replace(t, f"([{_A}{_U}]){_WORD}", "$1"))
+    t = F.lower(F.regexp_replace(F.regexp_replace(t, _NAMES, _A), f"{_U}{_WORD}", _U))
     return F.regexp_extract_all(t, F.lit(f"[{_N}{_A}{_U}]|{_WORD}"), F.lit(0))
 
 
@@ -92,18 +93,18 @@ def alignments(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text:
     of_docs = keyed.alias("d").join(touched.alias("t"), same, "left_semi").select("doc_id", "h_text", surface_words(F.col("mark")).alias("doc_words")).dropDuplicates(["doc_id", "h_text"])
     of_items = bench.select(F.col(item_id).alias("item_id"), surface_words(marked(F.col(item_text))).alias("item_words")).dropDuplicates(["item_id"])
     covered = F.array_distinct(F.flatten(F.transform("item_ats", lambda a: F.sequence(a, a + (WINDOW - 1)))))
-    slots = F.array_distinct(
-        F.filter(
-            F.transform(covered, lambda p: F.struct(F.element_at("item_words", p + 1).alias("i"), F.element_at("doc_words", p + F.col("shift") + 1).alias("d"))),
-            lambda s: F.substring(s["i"], 1, 1).isin(_N, _A, _U),
-        )
-    )
+    pair = lambda p: (F.element_at("item_words", p + 1), F.element_at("doc_words", p + F.col("shift") + 1))
+    slot = lambda word: F.substring(word, 1, 1).isin(_N, _A, _U)
+    slots = F.filter(F.transform(covered, lambda p: F.struct(pair(p)[0].alias("i"), pair(p)[1].alias("d"))), lambda s: slot(s["i"]))
+    verbatim = F.size(F.filter("item_ats", lambda a: ~F.exists(F.sequence(a, a + (WINDOW - 1)), lambda p: slot(pair(p)[0]) & (pair(p)[0] != pair(p)[1]))))
     near = [F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")), F.col("r.h_text") == F.col("d.h_text")]
-    found = runs.alias("r").join(of_docs.alias("d"), near).join(of_items.alias("i"), F.col("r.item_id").eqNullSafe(F.col("i.item_id"))).select("r.*", slots.alias("slots"))
-    n = F.size("slots")
-    one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))) == n) & (F.size(F.array_distinct(F.transform("slots", lambda s: s["d"]))) == n)
-    equal = ~F.exists("slots", lambda s: s["i"] != s["d"])
-    return found.where(one_to_one | equal).select("doc_id", "h_text", "item_id", "shift", "matched", "of", F.when(equal, "exact").otherwise("reparameterised").alias("kind"))
+    found = runs.alias("r").join(of_docs.alias("d"), near).join(of_items.alias("i"), F.col("r.item_id").eqNullSafe(F.col("i.item_id"))).select("r.*", verbatim.alias("verbatim"), slots.alias("slots"))
+    keys = ["doc_id", "h_text", "item_id", "shift", "matched", "of", "verbatim"]
+    pairs = found.select(*keys, F.explode_outer("slots").alias("s")).groupBy(*keys, F.col("s.i").alias("i"), F.col("s.d").alias("d")).agg(F.count("s").alias("n"))
+    values = pairs.groupBy(*keys, "i").agg(F.max("n").alias("agree"), F.sum("n").alias("n"), F.sum(F.when(F.col("i") != F.col("d"), F.col("n")).otherwise(0)).alias("other"))
+    judged = values.groupBy(*keys).agg(F.sum("agree").alias("agree"), F.sum("n").alias("n"), F.sum("other").alias("other"))
+    consistent = 100 * (F.col("n") - F.col("agree")) <= EXCEPTIONS * F.col("n")
+    return judged.where(consistent | (F.col("verbatim") > RUN - WINDOW)).select("doc_id", "h_text", "item_id", "shift", "matched", "of", F.when(F.col("other") == 0, "exact").otherwise("reparameterised").alias("kind"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -125,9 +126,11 @@ def without_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return without_keys(docs, leaks)
 
 
-_SQL_MARK = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(1) || chr(2) || chr(3), '   '), '{after}', '\\1' || chr(2) || '\\2', 'g'), '{after}', '\\1' || chr(2) || '\\2', 'g'), '{unit}', '\\1 ' || chr(3) || '\\2\\3', 'g'), '({number})', chr(1) || '\\1', 'g')".format(after=_AFTER, unit=_UNIT, number=_NUMBER)
-_SQL_TEMPLATE = "regexp_extract_all(lower(regexp_replace(regexp_replace(mark, chr(1) || '{number}', chr(1), 'g'), '([' || chr(2) || chr(3) || ']){word}', '\\1', 'g')), '[' || chr(1) || chr(2) || chr(3) || ']|{word}')".format(number=_NUMBER, word=_WORD)
-_SQL_SURFACE = "regexp_extract_all(mark, chr(1) || '{number}|[' || chr(2) || chr(3) || ']?{word}')".format(number=_NUMBER, word=_WORD)
+_SQL_MARK = "regexp_replace(regexp_replace(regexp_replace(translate(text, chr(1) || chr(2) || chr(3), '   '), '{name}', '\\1' || chr(2) || '\\2', 'g'), '{unit}', '\\1 ' || chr(3) || '\\2\\3', 'g'), '({number})', chr(1) || '\\1', 'g')".format(name=_NAME, unit=_UNIT, number=_NUMBER)
+_SQL_NAMES = "chr(2) || '{word}(?: ' || chr(2) || '{word})*'".format(word=_WORD)
+_SQL_TEMPLATE = "regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(mark, chr(1) || '{number}', chr(1), 'g'), {names}, chr(2), 'g'), chr(3) || '{word}', chr(3), 'g')), '[' || chr(1) || chr(2) || chr(3) || ']|{word}')".format(number=_NUMBER, names=_SQL_NAMES, word=_WORD)
+_SQL_SURFACE = "regexp_extract_all(mark, chr(1) || '{number}|' || {names} || '|' || chr(3) || '?{word}')".format(number=_NUMBER, names=_SQL_NAMES, word=_WORD)
+_SQL_SLOT = "b.surface[p][1] IN (chr(1), chr(2), chr(3))"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, {_SQL_SURFACE} AS surface, {_SQL_TEMPLATE} AS w FROM (SELECT doc_id, {_SQL_MARK} AS mark FROM documents)),
 b AS (SELECT item_id, {_SQL_SURFACE} AS surface, {_SQL_TEMPLATE} AS w FROM (SELECT item_id, {_SQL_MARK} AS mark FROM benchmark)),
@@ -137,9 +140,12 @@ dw AS (SELECT doc_id, k0, w[k0:k0 + {WINDOW - 1}] AS win FROM (SELECT doc_id, w,
 runs AS (SELECT doc_id, item_id, dw.k0 - bw.k0 AS shift, count(DISTINCT bw.k0) AS matched, list(DISTINCT bw.k0) AS ats FROM dw JOIN bw USING (win) GROUP BY ALL),
 big AS (SELECT runs.*, n AS of_ FROM runs JOIN (SELECT item_id, count(*) AS n FROM bw GROUP BY item_id) USING (item_id) WHERE matched >= least(ceil(n * {SHARE}), {RUN - WINDOW + 1})),
 pos AS (SELECT DISTINCT doc_id, item_id, shift, unnest(flatten(list_transform(ats, lambda a: generate_series(a, a + {WINDOW - 1})))) AS p FROM big),
-slot AS (SELECT DISTINCT doc_id, item_id, shift, b.surface[p] AS i, d.surface[p + shift] AS v FROM pos JOIN b USING (item_id) JOIN d USING (doc_id) WHERE b.surface[p][1] IN (chr(1), chr(2), chr(3))),
-judged AS (SELECT big.*, count(i) AS n, count(DISTINCT i) AS ni, count(DISTINCT v) AS nv, count(*) FILTER (i <> v) AS other FROM big LEFT JOIN slot USING (doc_id, item_id, shift) GROUP BY ALL),
-good AS (SELECT *, CASE WHEN other = 0 THEN 'exact' ELSE 'reparameterised' END AS kind FROM judged WHERE other = 0 OR (ni = n AND nv = n)),
+slot AS (SELECT doc_id, item_id, shift, b.surface[p] AS i, d.surface[p + shift] AS v, count(*) AS n FROM pos JOIN b USING (item_id) JOIN d USING (doc_id) WHERE {_SQL_SLOT} GROUP BY ALL),
+vals AS (SELECT doc_id, item_id, shift, i, max(n) AS agree, sum(n) AS n, coalesce(sum(n) FILTER (i <> v), 0) AS other FROM slot GROUP BY doc_id, item_id, shift, i),
+tot AS (SELECT doc_id, item_id, shift, sum(agree) AS agree, sum(n) AS n, sum(other) AS other FROM vals GROUP BY doc_id, item_id, shift),
+verb AS (SELECT doc_id, item_id, shift, len(list_filter(ats, lambda a: len(list_filter(generate_series(a, a + {WINDOW - 1}), lambda p: {_SQL_SLOT} AND b.surface[p] <> d.surface[p + shift])) = 0)) AS verbatim FROM big JOIN b USING (item_id) JOIN d USING (doc_id)),
+good AS (SELECT big.*, CASE WHEN coalesce(other, 0) = 0 THEN 'exact' ELSE 'reparameterised' END AS kind FROM big JOIN verb USING (doc_id, item_id, shift) LEFT JOIN tot USING (doc_id, item_id, shift)
+  WHERE 100 * (coalesce(n, 0) - coalesce(agree, 0)) <= {EXCEPTIONS} * coalesce(n, 0) OR verbatim > {RUN - WINDOW}),
 best AS (SELECT doc_id, item_id, kind, matched, of_, count(DISTINCT item_id) OVER (PARTITION BY doc_id) AS n_items, row_number() OVER (PARTITION BY doc_id ORDER BY matched DESC, item_id, shift) AS k FROM good)
 SELECT documents.doc_id, best.doc_id IS NOT NULL AS contaminated, item_id, kind, coalesce(matched, 0)::BIGINT AS matched, coalesce(of_, 0)::BIGINT AS "of", coalesce(n_items, 0)::BIGINT AS n_items
 FROM documents LEFT JOIN best ON best.doc_id = documents.doc_id AND k = 1

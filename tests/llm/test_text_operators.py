@@ -156,10 +156,33 @@ def test_leaks_exact_and_reparameterised(spark):
     docs = documents(spark, [(*r, None, None, None) for r in LEAKS])
     got = {(r.doc_id, r.contaminated, r.kind, r.item_id) for r in decontaminate.decontaminate(docs, bench).collect()}
     assert got == {
-        (1, True, "exact", 1), (2, True, "reparameterised", 1), (3, False, None, None), (4, False, None, None), (5, True, "exact", 2), (6, True, "exact", 2),
+        (1, True, "exact", 1), (2, True, "reparameterised", 1), (3, True, "reparameterised", 1), (4, False, None, None), (5, True, "exact", 2), (6, True, "exact", 2),
         (7, False, None, None), (8, False, None, None), (9, False, None, None), (None, True, "exact", 2),
     }
-    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).select("doc_id").collect()) == [3, 4, 4, 7, 8, 9]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).select("doc_id").collect()) == [4, 4, 7, 8, 9]
+
+
+SLOTS = [
+    (1, "For the fair, 3 red pens and 5 blue pens cost 20 coins, so how much does each pupil pay for one of them?"),
+    (2, "Tom Smith buys 7 loaves of bread and gives 2 loaves away. Tom keeps the rest for the week ahead."),
+    (3, "each of 7 boats carries 7 crates of salted fish along the whole coast before the long winter storms close every harbour"),
+    (4, "we count 8 cats and 8 dogs and 8 birds that share 8 bowls with the old keepers"),
+]
+REPHRASED = [
+    (1, "For the fair, 4 red pens and 4 blue pens cost 30 coins, so how much does each pupil pay for one of them?"),
+    (2, "Anna buys 9 loaves of bread and gives 4 loaves away. Anna keeps the rest for the week ahead."),
+    (3, "each of 7 boats carries 9 crates of salted fish along the whole coast before the long winter storms close every harbour"),
+    (4, "we count 3 cats and 5 dogs and 9 birds that share 2 bowls with the old keepers"),
+    (5, "\u201cAnna Maria Jones buys 9 loaves of bread and gives 4 loaves away. Anna keeps the rest for the week ahead.\u201d"),
+]
+
+
+def test_slots_that_coincide_names_anywhere_and_single_edits(spark):
+    """Equal new values, renamed people at the start of a sentence, and one edited number are leaks; values that change at every place are not."""
+    docs = documents(spark, [(*r, None, None, None) for r in REPHRASED])
+    got = {r.doc_id: (r.kind, r.item_id) for r in decontaminate.decontaminate(docs, spark.createDataFrame(SLOTS, "item_id long, text string")).collect()}
+    changed = "reparameterised"
+    assert got == {1: (changed, 1), 2: (changed, 2), 3: (changed, 3), 4: (None, None), 5: (changed, 2)}
 
 
 def test_decontamination_of_empty_tables(spark):
