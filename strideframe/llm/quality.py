@@ -4,11 +4,12 @@
   signs, and how much of the text repeats itself.
 * The **metadata view** is what stands beside the text: language, source and length class.
 
-Each view has a logistic regression.  In each of ``ROUNDS`` rounds a view hands its most confident judgements on unlabelled
-rows (at most ``SHARED`` of each class, at calibrated probability ``SURE`` or more) to the *other* view as pseudo-labels,
-and both are fitted again.  Platt scaling on labelled rows that no fit has seen calibrates each view; a last regression on
-the two calibrated log odds combines them.  Fits use at most ``SAMPLE`` labelled and ``POOL`` unlabelled rows, chosen by a
-hash of the id; every document is scored, in one pass without a shuffle.
+Each view has a logistic regression.  In each of ``ROUNDS`` rounds both judge every unlabelled row in the cluster, and a view
+hands its most confident judgements (``SHARED`` of each class, at calibrated probability ``SURE`` or more; ties by a hash) to the
+*other* view as pseudo-labels, and both are fitted again.  Platt scaling on labelled rows that no fit has seen calibrates each view; a last regression on
+the two calibrated log odds combines them.  Fits use about ``SAMPLE`` labelled rows, chosen by a hash of the id; the views of
+all rows that are not held out are computed once and written, each round reads that narrow table and keeps ``SHARED`` rows a task
+and class, and every document is scored in one pass without a shuffle.
 
 Defined cases: null and empty texts have zero statistics and are scored; null metadata is a value of its own;
 rows with crc32(doc_id) mod 5 = 0 are held out of all fits; null labels count as unlabelled; without labels of both classes
@@ -19,7 +20,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.llm.registry import query, table
+from strideframe.llm.scratch import run_folder, settled
 from strideframe.llm.textkit import slices, words_of
 
-SAMPLE, POOL, ROUNDS, SHARED, SURE, META = 20_000, 20_000, 4, 400, 0.95, 64
+SAMPLE, ROUNDS, SHARED, SURE, META = 20_000, 4, 400, 0.95, 64
 Batches = Iterator[pa.RecordBatch]
 
 _CLASS = np.zeros(256, np.int64)  # 0 other signs, 1 small letters, 2 capitals, 3 digits, 4 white space, 5 stops, 6 bytes of other letters
@@ -100,30 +103,65 @@ class Logistic:
         return np.clip(self._z(x) @ self.w, -30, 30)
 
 
+def platt(odds: np.ndarray, y: np.ndarray) -> Logistic:
+    """Platt scaling that never turns a view round: a slope below zero becomes the share of good rows for all."""
+    scale = Logistic(odds[:, None], y, penalty=0.1)
+    if scale.w[0] < 0:
+        scale.w = np.array([0.0, math.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
+    return scale
+
+
+class Judges:
+    """The two calibrated models of a round: log odds of each view."""
+
+    def __init__(self, models: list[Logistic], scales: list[Logistic]):
+        self.models, self.scales = models, scales
+
+    def odds(self, k: int, x: np.ndarray) -> np.ndarray:
+        return self.scales[k].odds(self.models[k].odds(x)[:, None])
+
+
+def surest(judges: Judges, taken: list[set[int]], parts: Iterator[tuple[np.ndarray, list[np.ndarray]]]) -> list[tuple[int, int, int, float, np.ndarray]]:
+    """(view, class, key, -|odds|, row of the other view) of the ``SHARED`` surest new keys of each view and class in ``parts`` of (keys, views)."""
+    best: dict[tuple[int, int], dict[int, tuple[float, np.ndarray]]] = {(k, c): {} for k in (0, 1) for c in (0, 1)}
+    for keys, views in parts:
+        for k in (0, 1):
+            odds = judges.odds(k, views[k])
+            for c, sign in ((0, -1), (1, 1)):
+                held = best[k, c]
+                sure = np.flatnonzero(sign * odds >= math.log(SURE / (1 - SURE)))
+                held.update((int(keys[i]), (-sign * odds[i], views[1 - k][i])) for i in sure if int(keys[i]) not in taken[1 - k])
+                if len(held) > SHARED:
+                    best[k, c] = dict(sorted(held.items(), key=lambda x: (x[1][0], x[0]))[:SHARED])
+    return [(k, c, key, *value) for (k, c), held in best.items() for key, value in held.items()]
+
+
 class CoTrained:
-    """Both views after the exchange of pseudo-labels, their calibration and their combination."""
+    """Both views after the exchange of pseudo-labels, their calibration and their combination.
+
+    ``pool`` gives the rows of :func:`surest` over all unlabelled rows for the judges of a round and the keys that each view holds."""
 
-    def __init__(self, views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray]):
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, pool: Callable[[Judges, list[set[int]]], list[tuple]]):
         fit = np.arange(len(y)) % 4 != 3
         self.views = [Logistic(v[fit], y[fit]) for v in views]
-        taken = [np.zeros(len(pool[0]), bool) for _ in views]
+        taken: list[set[int]] = [set(), set()]
         own = [(v[fit], y[fit], np.ones(fit.sum())) for v in views]
         self.exchanged = [0, 0]
-        for _ in range(ROUNDS if len(pool[0]) and 0 < y.mean() < 1 else 0):
-            scales = [Logistic(m.odds(v[~fit])[:, None], y[~fit], penalty=0.1) for m, v in zip(self.views, views)]
-            odds = [s.odds(m.odds(p)[:, None]) for s, m, p in zip(scales, self.views, pool)]
+        scaled = lambda: [platt(m.odds(v[~fit]), y[~fit]) for m, v in zip(self.views, views)]
+        for _ in range(ROUNDS if 0 < y.mean() < 1 else 0):
+            found = pool(Judges(self.views, scaled()), taken)
             for k in (0, 1):
-                other, sure = 1 - k, math.log(SURE / (1 - SURE))
-                free = ~taken[other]
-                good = [i for i in np.argsort(-odds[k], kind="stable") if free[i] and odds[k][i] >= sure][:SHARED]
-                bad = [i for i in np.argsort(odds[k], kind="stable") if free[i] and odds[k][i] <= -sure][:SHARED]
-                new = np.array(good + bad, np.int64)
-                taken[other][new] = True
-                self.exchanged[other] += len(new)
-                x, label, weight = own[other]
-                own[other] = (np.vstack([x, pool[other][new]]), np.concatenate([label, (odds[k][new] > 0).astype(float)]), np.concatenate([weight, np.full(len(new), 0.5)]))
+                other = 1 - k
+                new = [r for r in found if r[0] == k]
+                if new:
+                    taken[other].update(r[2] for r in new)
+                    self.exchanged[other] += len(new)
+                    x, label, weight = own[other]
+                    own[other] = (np.vstack([x, *(np.asarray(r[4])[None] for r in new)]), np.concatenate([label, [float(r[1]) for r in new]]), np.concatenate([weight, np.full(len(new), 0.5)]))
+            if not found:
+                break
             self.views = [Logistic(*o) for o in own]
-        self.scales = [Logistic(m.odds(v[~fit])[:, None], y[~fit], penalty=0.1) for m, v in zip(self.views, views)]
+        self.scales = scaled()
         self.last = Logistic(self._calibrated([v[~fit] for v in views]), y[~fit], penalty=0.1)
 
     def _calibrated(self, views: list[np.ndarray]) -> np.ndarray:
@@ -139,11 +177,38 @@ def _views(columns: list[str]):
     def run(batches: Batches) -> Batches:
         for batch in (part for whole in batches for part in slices(whole, "text")):
             both = [text_view(batch.column("text")), meta_view(batch, columns)]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(list(v), pa.list_(pa.float64())) for v in both)], ["y", "text_view", "meta_view"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), *(pa.array(list(v), pa.list_(pa.float64())) for v in both)], ["key", "y", "text_view", "meta_view"])
 
     return run
 
 
+_FOUND = "view int, class int, key long, rank double, other array<double>"
+
+
+def _table_pool(rows: DataFrame, folder: str):
+    """The pool of a settled table of views: the surest rows of each task, then of all tasks."""
+    spark, rounds = rows.sparkSession, count()
+
+    def pool(judges: Judges, taken: list[set[int]]) -> list[tuple]:
+        told = spark.sparkContext.broadcast((judges, taken))
+
+        def run(batches: Batches) -> Batches:
+            stacked = lambda b, c, width: b.column(c).flatten().to_numpy().reshape(-1, width)
+            parts = ((b.column("key").to_numpy(), [stacked(b, "text_view", len(TEXT_NAMES)), stacked(b, "meta_view", META)]) for b in batches if b.num_rows)
+            found = list(zip(*surest(*told.value, parts))) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), pa.array(found[1], pa.int32()), pa.array(found[2], pa.int64()), pa.array(found[3], pa.float64()), pa.array(list(found[4]), pa.list_(pa.float64()))], ["view", "class", "key", "rank", "other"])
+
+        some = settled(rows.mapInArrow(run, _FOUND), folder, f"round{next(rounds)}")
+        out: dict[tuple[int, int, int], tuple] = {}
+        for k in (0, 1):
+            for c in (0, 1):  # SHARED rows of each, merged from the tasks' best
+                for r in some.where((F.col("view") == k) & (F.col("class") == c)).orderBy("rank", "key").limit(SHARED).collect():
+                    out.setdefault((k, c, r.key), tuple(r))
+        return list(out.values())
+
+    return pool
+
+
 def _score(model, columns: list[str]):
     def run(batches: Batches) -> Batches:
         for batch in (part for whole in batches for part in slices(whole, "text")):
@@ -163,16 +228,16 @@ def quality(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...] = ("lang",
     drawn = lambda most, of: F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= min(int(most / max(1, of) * 2**63), 2**63 - 1)
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.where(~held & drawn(SAMPLE, known.count()))
-    # at most about SAMPLE narrow rows; documents beside them are drawn by their hash
-    rows = source.join(F.broadcast(chosen), "doc_id", "left").where(~held & (F.col("y").isNotNull() | drawn(POOL, source.count())))
-    found = rows.select("y", "text", *columns).mapInArrow(_views(columns), "y double, text_view array<double>, meta_view array<double>").toPandas()
-    marked = found["y"].notna().to_numpy()
-    stack = lambda c, m, width: np.array(list(found[c][m])).reshape(-1, width)
-    views, pool = ([stack("text_view", m, len(TEXT_NAMES)), stack("meta_view", m, META)] for m in (marked, ~marked))
-    y = found["y"][marked].to_numpy(float)
+    # about SAMPLE narrow rows, whatever the size of the tables; labels beyond them count as none
+    rows = source.join(F.broadcast(chosen), "doc_id", "left").where(~held).select(F.xxhash64("doc_id", "text").alias("key"), "y", "text", *columns)
+    folder = run_folder(spark)
+    rows = settled(rows.mapInArrow(_views(columns), "key long, y double, text_view array<double>, meta_view array<double>"), folder, "views")
+    found = rows.where("y is not null").orderBy("key", "y").toPandas()
+    views = [np.array(list(found[c])).reshape(-1, width) for c, width in (("text_view", len(TEXT_NAMES)), ("meta_view", META))]
+    y = found["y"].to_numpy(float)
     if len(y) < 8:
         views, y = [np.vstack([v, np.zeros((8, v.shape[1]))]) for v in views], np.concatenate([y, np.tile([0.0, 1.0], 4)])
-    model = spark.sparkContext.broadcast(CoTrained(views, y, pool))
+    model = spark.sparkContext.broadcast(CoTrained(views, y, _table_pool(rows.where("y is null"), folder)))
     out = source.mapInArrow(_score(model, columns), f"doc_id {id_kind}, score double, text_score double, meta_score double")
     return out.select("doc_id", held.alias("held_out"), "score", "text_score", "meta_score", (F.col("score") >= 0.5).alias("keep"))
 
