@@ -2,10 +2,12 @@
 
 A paragraph is a line of the text.  Its features are hashed single words and word pairs; a softmax regression over licence
 families and ``none`` is fitted on the templates below, whole, thinned out and set among other words, and on
-paragraphs of at most ``NEGATIVE_DOCS`` documents (chosen by a hash of the text) without a template match as ``none``.
+paragraphs of about ``NEGATIVE_DOCS`` documents (chosen by a hash of the text; about ``NEGATIVE_LINES`` lines, by a hash
+of text and line number) without a template match or a word of ``_NOTICE`` as ``none``.
 A fifth of the rows calibrates the probabilities by a temperature.  A paragraph that is likely no ``none`` is compared with
 the templates of its likeliest family: at least ``CONFIRMED`` of one template's ``SHINGLE``-word runs
-confirm it.  Otherwise, or below the probability ``SURE``, it is ``unknown``; without a single run of any template it is none.
+confirm it.  Otherwise, or below the probability ``SURE``, it is ``unknown``.  A paragraph without
+a single run of any template is ``unknown`` too if it has ``SHINGLE`` words and the calibrated probability of a licence is at least ``UNKNOWN``, else none.
 
 Notices of the listed families are also sought in the words of the whole text, whatever its line breaks and comment
 marks: where a stretch of at most ``STRETCH`` times a template's words holds ``CONFIRMED`` of its runs, it is a notice of
@@ -19,6 +21,7 @@ documents the classifier is fitted on the templates alone; only the named column
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 from strideframe.llm.registry import query, table
 from strideframe.llm.textkit import PLAIN, U64, run_hashes, slices, words_of
 
-SIZE, SHINGLE, CONFIRMED, SURE, STRETCH, NEGATIVE_DOCS, NEGATIVE_LINES = 1 << 15, 5, 0.8, 0.6, 1.5, 500, 4000
+SIZE, SHINGLE, CONFIRMED, SURE, UNKNOWN, STRETCH, NEGATIVE_DOCS, NEGATIVE_LINES = 1 << 15, 5, 0.8, 0.6, 0.9, 1.5, 500, 4000
 Batches = Iterator[pa.RecordBatch]
+#: A line with one of these words may be a notice of another family: no safe example of ``none``.
+_NOTICE = re.compile(r"licen[cs]|copyright|permission|redistribut|warrant", re.IGNORECASE)
 
 # Phrases of public licence notices, by family.
 TEMPLATES = {
@@ -125,7 +130,7 @@ class Model:
             for i, runs in enumerate(all_runs):
                 for h in runs:
                     self.holders.setdefault(h, []).append((f, i))
-        rest = [t for t in none if t.split() and not self._runs(t) & known] + ["filler"]
+        rest = [t for t in none if t.split() and not _NOTICE.search(t) and not self._runs(t) & known] + ["filler"]
         texts += rest
         labels += [len(CLASSES) - 1] * len(rest)
         self._fit(texts, np.array(labels), rng)
@@ -228,7 +233,7 @@ def _judge(model):
                     k = int(p[i, :-1].argmax())
                     words = code[first[i] : ends[i]]
                     alike = m.similarity(words, CLASSES[k])
-                    if alike == 0 and not any(m.similarity(words, f) for f in TEMPLATES):
+                    if (p[i, -1] > 1 - UNKNOWN or len(words) < SHINGLE) and alike == 0 and not any(m.similarity(words, f) for f in TEMPLATES):
                         continue
                     # a family's share among the licence classes; ``none`` has been ruled out
                     sure = float(p[i, k] / (1 - p[i, -1]))
@@ -254,7 +259,9 @@ def licence_notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     id_kind = dict(source.dtypes)["doc_id"]
     share = min(1.0, NEGATIVE_DOCS / max(1, source.count()))
     sample = source.where(F.col("text").isNotNull() & (F.shiftrightunsigned(F.xxhash64("text"), 1) <= min(int(share * 2**63), 2**63 - 1)))
-    lines = [r[0] for r in sample.select(F.explode(F.split("text", "\n")).alias("line")).limit(NEGATIVE_LINES).collect()]
+    lines = sample.select(F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    part = min(1.0, NEGATIVE_LINES / max(1, lines.count()))  # about NEGATIVE_LINES lines, each as likely as any other
+    lines = [r[0] for r in lines.where(F.shiftrightunsigned(F.xxhash64("h", "at"), 1) <= min(int(part * 2**63), 2**63 - 1)).select("line").collect()]
     model = spark.sparkContext.broadcast(Model(lines))
     notices = "array<struct<paragraph:long,family:string,likeliest:string,probability:double,similarity:double>>"
     out = source.mapInArrow(_judge(model), f"doc_id {id_kind}, n_paragraphs long, notices {notices}")
