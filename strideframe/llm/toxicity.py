@@ -5,8 +5,10 @@
 * **Channel.** A token with look-alike signs between letters, three equal letters in a row, letters that are
   parted by blanks, signs or underscores (three letters or more), or a doubled letter in a word that is rare in the
   corpus is a lattice: each sign may stand for some letters, for nothing or for a word end, each
-  run for one or two letters.  Viterbi decoding under the model picks the reading.  Other tokens have one
-  reading, themselves in lower case.  A word is rare below ``LEAST_COUNT`` occurrences or a share of ``1 / COMMON`` of
+  run for one or two letters.  So are tokens with letters of other alphabets that look Latin, with Latin letters beyond
+  U+00FF (wide, styled or accented: their base letter), with several signs that draw one letter, and tokens of look-alike signs alone unless all are
+  digits.  Invisible signs are removed; accents up to U+00FF are spelling and stay.  Viterbi decoding under the model picks the
+  reading.  Other tokens have one reading, themselves in lower case.  A word is rare below ``LEAST_COUNT`` occurrences or a share of ``1 / COMMON`` of
   all words with a doubled letter, so at most ``COMMON`` words count as common.
 * **Classifier.** Features are the restored words and their prefixes of 4 to 6 letters.  Document
   frequencies by label over distinct labelled texts give the candidates (log odds at least ``LEAST_Z`` standard
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,6 +46,9 @@ COMMON, LEAST_COUNT = 50_000, 3
 Batches = Iterator[pa.RecordBatch]
 # The letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+# Cyrillic and Greek letters that look Latin, and signs that draw a letter together.
+ALPHABETS = {"а": "a", "в": "b", "е": "e", "ё": "e", "з": "e", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w"}
+DRAWN = {"|_|": "u", "\\/\\/": "w", "\\/": "v", "/\\": "a", "|-|": "h", "|<": "k", "|)": "d", "()": "o", "[]": "o"}
 SEPARATORS = "-_.,/~'`^:;"
 WILD = "*#%&?"
 
@@ -102,6 +108,20 @@ _JUNK = re.compile(r"([^\w\s])\1+$")
 _SPACED = re.compile(r"(?<![\w@$])[\w@$](?:[ .\-_*/]{1,2}[\w@$]){2,}(?![\w@$])")
 
 
+_INVISIBLE = {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
+#: One private sign stands for each drawing, so that it is one column of the lattice.
+_MARK = {drawing: chr(0xE000 + i) for i, drawing in enumerate(DRAWN)}
+_LETTER_OF = {_MARK[drawing]: letter for drawing, letter in DRAWN.items()}
+_DRAWN = re.compile("|".join(map(re.escape, DRAWN)))
+
+
+@lru_cache(CACHE)
+def latin(c: str) -> str:
+    """The Latin letter that a letter beyond U+00FF looks like, else nothing."""
+    base = unicodedata.normalize("NFKD", c)[:1].lower()
+    return base if base.isascii() and base.isalpha() else ALPHABETS.get(c, "")
+
+
 def bare(token: str) -> str:
     """The token without signs at its ends."""
     return _JUNK.sub("", token.strip(_EDGES)).strip(_EDGES)
@@ -115,8 +135,13 @@ def _readings(c: str, n: int) -> list[tuple[str, float]]:
         options += [(x + x, -1.0) for x in LOOKALIKES[c]] * (n > 1)
     elif c in WILD:
         options = [("", -4.0), (" ", -3.0)] + [(x, -3.0) for x in _LETTERS[:26]] * (n == 1)
+    elif c in _LETTER_OF:
+        options = [(_LETTER_OF[c], -0.3), (" ", -4.0)]
+    elif c > "ÿ" and latin(c):
+        options = [(latin(c) * min(n, 2), -0.2), (c * min(n, 2), -3.0)] + [(latin(c), -0.7)] * (n > 1)
     elif c.isalpha():
         options = [(c, 0.0)] if n == 1 else [(c + c, -0.1), (c, -6.0)] if n == 2 else [(c, -0.7), (c + c, -0.7)]
+        options = options + [("w", -1.0)] * (c == "v" and n > 1)
     elif c in SEPARATORS or c.isspace():
         options = [(" ", -0.7), ("", -1.4)]
     else:
@@ -161,9 +186,13 @@ class Restorer(dict):
         self.model, self.most, self.common = model, most, common
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        core = bare(token)
-        if core.isalpha() and (core in self.common or not _TWICE.search(core)):
-            words: tuple[str, ...] = (core,)
+        drawn = _DRAWN.sub(lambda m: _MARK[m.group()], token) if _DRAWN.search(token) and _LETTER.search(token) else token
+        core = bare(drawn)
+        foreign = [c for c in core if c > "ÿ" and c.isalpha()] if not core.isascii() else []
+        if drawn != token or (foreign and all(map(latin, foreign))) or (len(core) > 2 and not core.isdigit() and all(c in LOOKALIKES for c in core)):
+            words: tuple[str, ...] = tuple(viterbi(lattice(core), self.model).split())
+        elif core.isalpha() and (core in self.common or not _TWICE.search(core)):
+            words = (core,)
         elif core.isalpha():
             words = tuple(viterbi(lattice(core, stretched=True), self.model).split())
         elif " " in core or _SUSPECT.search(core) or (_SIGN.search(core) and _LETTER.search(core)):
@@ -180,7 +209,7 @@ class Restorer(dict):
         """The distinct raw tokens of a text in lower case; letters that stand apart are one token."""
         if not text:
             return set()
-        low = text.lower()
+        low = text.lower() if text.isascii() else text.lower().translate(_INVISIBLE)
         return {*low.split(), *(m.group().strip() for m in _SPACED.finditer(low))}
 
     def words(self, text: str | None) -> set[str]:

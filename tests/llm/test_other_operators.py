@@ -83,6 +83,17 @@ def test_licence_lines(spark):
     assert licences.licence_notices(empty(spark)).count() == 0
 
 
+def test_licences_of_other_families_are_unknown(spark):
+    foreign = [
+        "This software is licensed under the Foo Bar Public Licence, version 2; see the file LICENCE for the full terms.", "Distributed under the Boost Software License, Version 1.0.", "Licensed under the Eclipse Public License 2.0.",
+        "Permission is granted to copy and redistribute this file without restriction provided this notice is preserved.",
+    ]
+    texts = [*foreign, *(prose(i, 30) for i in range(200)), *(prose(i, 2) for i in range(50))]
+    out = {r.doc_id: r for r in licences.licence_notices(documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    assert all(not r.families for r in out.values())
+    assert sum(out[i].n_unknown for i in range(4)) >= 3 and sum(r.n_unknown for i, r in out.items() if i > 3) <= 2
+
+
 def test_quality_separates_and_exchanges(spark):
     data, labels = [], []
     for i in range(400):
@@ -105,7 +116,8 @@ def test_co_training_hands_over_labels():
     views = [y[:, None] * 3 + rng.normal(size=(200, 2)) for _ in range(2)]
     truth = rng.integers(0, 2, 1000).astype(float)
     pool = [truth[:, None] * 3 + rng.normal(size=(1000, 2)) for _ in range(2)]
-    model = quality.CoTrained(views, y, pool)
+    parts = lambda: ((np.arange(i, i + 250), [p[i : i + 250] for p in pool]) for i in range(0, 1000, 250))
+    model = quality.CoTrained(views, y, lambda judges, taken: quality.surest(judges, taken, parts()))
     assert min(model.exchanged) > 100
     assert ((model.scores(pool)[:, 0] >= 0.5) == truth).mean() > 0.97
 
@@ -232,11 +244,16 @@ def test_long_spaced_runs_are_decoded(between):
     assert {"stupid", "worthless"} <= restorer.words("y0u.are.a.stup1d.w0rthless.id1ot." * 20)
 
 
-@pytest.mark.parametrize(("token", "word"), [("i_d_i_o_t", "idiot"), ("stu_pid", "stupid"), ("iiddiioott", "idiot"), ("stuupid", "stupid"), ("d o g", "dog"), ("k.i.d", "kid"), ("hug, h-u-g", "hug")])
+@pytest.mark.parametrize(("token", "word"), [("i_d_i_o_t", "idiot"), ("stu_pid", "stupid"), ("iiddiioott", "idiot"), ("stuupid", "stupid"), ("d o g", "dog"), ("k.i.d", "kid"), ("hug, h-u-g", "hug"), ("id\u200biot", "idiot"), ("stu\u00adpid", "stupid"), ("іdіоt", "idiot"), ("ｉｄｉｏｔ", "idiot"), ("ĭdĩōt", "idiot"), ("st|_|pid", "stupid"), ("h()me", "home"), ("vvill", "will"), ("5+1!|", "still")])
 def test_each_form_of_the_lattice_is_decoded(token, word):
     assert word in toxicity.Restorer(_english()).words(f"now {token} now")
 
 
+def test_other_scripts_and_numbers_stay():
+    restorer = toxicity.Restorer(_english())
+    assert restorer.words("жизнь 455 2024 été 漢字 λόγος") == {"жизнь", "été", "漢字", "λόγος"}
+
+
 def test_common_doubled_words_stay(spark):
     model, common = toxicity.trigram_model(documents(spark, [(i, "a vacuum, a book and a Vacuum!" if i < 5 else "iiddiioott", None, None, None) for i in range(6)]))
     assert common == {"vacuum", "book"} and toxicity.Restorer(model, 0, common).words("vacuum") == {"vacuum"}
