@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strideframe.functions.mathx import fix, magnitude
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, fx, sql
-from strideframe.plans.registry import query
+from strideframe.plans.registry import Tables, query
 from strideframe.session import scratch_root
+from strideframe.sources.snapshots import run_latest
 from strideframe.streaming import monitors as mon
 
 _IDLE = """SELECT recording_id, min(t_rel) AS since, min(t_rel) FILTER (t_rel - s0 > 86400) AS alert_at FROM (SELECT *, min(t_rel) OVER (PARTITION BY recording_id, run) AS s0 FROM (
@@ -47,21 +50,35 @@ _EQ = """SELECT user_id AS equipment_id, ts, occupied, queue_count, NOT occupied
       row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(json_extract_string(props, '$.k') AS INT) % 6 DESC) AS rn FROM events) WHERE rn = 1"""
 
 
-def _equipment(t):
+def _arriving(t, table):
+    """One of the tables as a stream of its files."""
+    return t.spark.readStream.schema(t.read(table).schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", 16).parquet(t.folder)
+
+
+def _latest(t, stream, keys):
+    return run_latest(stream, f"{scratch_root(t.spark).rstrip('/')}/latest-{uuid.uuid4().hex}", keys)
+
+
+def _equipment(events):
     k = F.get_json_object("props", "$.k").cast("int")
-    return t.events.select(F.col("user_id").alias("equipment_id"), "ts", (F.col("value") > 60).alias("occupied"), (k % 6).alias("queue_count"))
+    return events.select(F.col("user_id").alias("equipment_id"), "ts", (F.col("value") > 60).alias("occupied"), (k % 6).alias("queue_count"))
 
 
 @query("p03_equipment_state", _EQ)
 def p03(t):
-    return mon.equipment_latest(_equipment(t))
+    return mon.equipment_latest(_equipment(t.events))
+
+
+@query("p03_equipment_stream", _EQ)
+def p03s(t):
+    return _latest(t, mon.equipment_latest(_equipment(_arriving(t, "events"))), ["equipment_id"])
 
 
 @query("p04_wait_or_switch", f"SELECT equipment_id, NOT (queue_count > 2 AND equipment_id % 3 <> 0) AS should_wait, CASE WHEN queue_count > 2 AND equipment_id % 3 <> 0 THEN equipment_id + 1 END AS suggested FROM ({_EQ})")
 def p04(t):
     two = F.explode(F.array(F.lit(1), F.lit(2)))
     alt = t.events.select(F.col("user_id").alias("equipment_id")).distinct().filter("equipment_id % 3 <> 0").withColumn("priority", two).withColumn("alternative", F.col("equipment_id") + F.col("priority"))
-    return mon.wait_or_switch(mon.equipment_latest(_equipment(t)), alt)
+    return mon.wait_or_switch(mon.equipment_latest(_equipment(t.events)), alt)
 
 
 _P05 = f"""SELECT user_id, CAST(start AS VARCHAR) AS start, n, {fx('acc_std')} AS acc_std, {fx('gyro_mean')} AS gyro_mean, gyro_max, CASE WHEN az > -0.35 THEN '仰卧' WHEN az > -0.78 THEN '俯身' WHEN az > -0.88 THEN '坐姿' ELSE '站姿' END AS posture,
@@ -113,8 +130,22 @@ def p07(t):
     return _start(mon.activity_sessions(t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "12 hours"))
 
 
-@query("p10_live_calories", sql(f"""SELECT session_id, {fx('''sum(coalesce(x.met, 4.0::DOUBLE) * u.weight * (e.duration_sec / 3600) * CASE WHEN u.gender = 'female' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END * greatest(0.75::DOUBLE, 1.0::DOUBLE - greatest(0, u.age - 20) * 0.005::DOUBLE))''', 3)} AS kcal, count(*) AS executions
-    FROM executions e LEFT JOIN exercises x USING (exercise_id) JOIN sessions s USING (session_id) JOIN users u USING (user_id) GROUP BY session_id""", "executions", "exercises", "sessions", "users"))
+_P10 = sql(f"""SELECT session_id, {fx('''sum(coalesce(x.met, 4.0::DOUBLE) * u.weight * (e.duration_sec / 3600) * CASE WHEN u.gender = 'female' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END * greatest(0.75::DOUBLE, 1.0::DOUBLE - greatest(0, u.age - 20) * 0.005::DOUBLE))''', 3)} AS kcal, count(*) AS executions
+    FROM executions e LEFT JOIN exercises x USING (exercise_id) JOIN sessions s USING (session_id) JOIN users u USING (user_id) GROUP BY session_id""", "executions", "exercises", "sessions", "users")
+
+
+def _people(t):
+    return b.sessions(t).select("session_id", "user_id").join(b.users(t).select("user_id", "weight", "gender", "age"), "user_id").drop("user_id")
+
+
+@query("p10_live_calories", _P10)
 def p10(t):
-    people = b.sessions(t).select("session_id", "user_id").join(b.users(t).select("user_id", "weight", "gender", "age"), "user_id").drop("user_id")
-    return mon.live_calories(b.executions(t), b.exercises(t), people).withColumn("kcal", fix(F.col("kcal"), 3))
+    return mon.live_calories(b.executions(t), b.exercises(t), _people(t)).withColumn("kcal", fix(F.col("kcal"), 3))
+
+
+@query("p10_live_calories_stream", _P10)
+def p10s(t):
+    arriving = Tables(t.spark, t.folder)
+    arriving.lineitem = _arriving(t, "lineitem")
+    live = mon.live_calories(b.executions(arriving), b.exercises(t), _people(t))
+    return _latest(t, live, ["session_id"]).withColumn("kcal", fix(F.col("kcal"), 3))

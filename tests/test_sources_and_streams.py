@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideframe.sources import readers, writers
+from strideframe.sources.snapshots import LatestRows, run_latest
 from strideframe.streaming import monitors as mon
 
 
@@ -191,3 +192,27 @@ def test_live_calories_stream(spark, folder):
     query.awaitTermination()
     got = {r.session_id: r.kcal for r in spark.sql("SELECT * FROM live_kcal").collect()}
     assert got[1] == pytest.approx((5 * 60 + 4 * 60 * 0.5) * 0.9 * 0.95) and got[2] == pytest.approx(400.0)
+
+
+def test_latest_rows_replay_fold_and_half_written_batches(spark, folder):
+    frame = lambda *rows: spark.createDataFrame(rows, "k string, v int, note string")
+    kept = LatestRows(spark, str(folder / "latest"), ["k"], frame(("a", 1, "")).schema, every=3)
+    state = lambda: {tuple(r) for r in kept.read().collect()}
+    assert state() == set()
+    handle, batches = kept.handler(), [[("a", 1, "x"), ("b", 1, None)], [("a", 2, "y"), (None, 5, "n")], [("b", 0, "z")], [], [("a", 0, "w")], [("c", 1, "")], [(None, 4, "n")]]
+    want: dict = {}
+    for i, rows in enumerate(batches):
+        want |= {r[0]: r for r in rows}
+        for _ in range(2):  # each batch runs twice
+            handle(frame(*rows) if rows else frame(("a", 1, "")).limit(0), i)
+        assert state() == set(want.values()), i
+    assert kept._whole("base") == [2, 5] and kept._whole("changes") == [3, 4, 5, 6]
+    put(folder / "latest" / "changes" / f"{7:012d}" / "part-0.parquet", "half a file")
+    assert state() == set(want.values())
+
+
+def test_equipment_state_in_update_mode(spark, folder):
+    rows = [(f"e{i % 3}", T0 + timedelta(seconds=i), i % 2 == 0, i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "equipment_id string, ts timestamp, occupied boolean, queue_count int")
+    got = run_latest(mon.equipment_latest(as_stream(df, folder, 6)), str(folder / "run"), ["equipment_id"], every=2)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in mon.equipment_latest(df).collect()}
