@@ -27,8 +27,12 @@ def clip(c: Column, lo: float, hi: float) -> Column:
 
 
 def wrap180(deg: Column) -> Column:
-    """Signed angle in [-180, 180)."""
-    return F.pmod(deg + F.lit(180.0), F.lit(360.0)) - F.lit(180.0)
+    """Signed angle in [-180, 180).
+
+    The turn is added to every remainder, not only to negative ones, so that one within rounding of 360 becomes 0 whatever its sign.
+    """
+    turn = F.lit(360.0)
+    return ((deg + F.lit(180.0)) % turn + turn) % turn - F.lit(180.0)
 
 
 def circular_distance(a: Column, target: Column | float = 180.0) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession, types as T
 from pyspark.sql.functions import udtf
 
 _FUNCTIONS = {
-    "circular_distance": "(a DOUBLE, t DOUBLE) RETURNS DOUBLE RETURN abs(pmod(a - t + 180D, 360D) - 180D)",
+    "circular_distance": "(a DOUBLE, t DOUBLE) RETURNS DOUBLE RETURN abs(((a - t + 180D) % 360D + 360D) % 360D - 180D)",
     "interval_iou": """(s1 DOUBLE, e1 DOUBLE, s2 DOUBLE, e2 DOUBLE) RETURNS DOUBLE RETURN
         CASE WHEN (e1 - s1) + (e2 - s2) - greatest(0D, least(e1, e2) - greatest(s1, s2)) <= 0 THEN 0D
         ELSE greatest(0D, least(e1, e2) - greatest(s1, s2))
