@@ -197,6 +197,16 @@ def split_sets(df: DataFrame, segments: DataFrame, rests: DataFrame, keys: Seque
     return sets.join(reps, [*group, "set_no"], "left").withColumn("reps", F.coalesce("reps", F.lit(0)))
 
 
+def _in_order(at: str, tie: str, **values: Column) -> Column:
+    """The rows of a window, sorted by time: means that meet a threshold exactly depend on the order of their sum."""
+    return F.array_sort(F.collect_list(F.struct(at, tie, *[c.alias(n) for n, c in values.items()]))).alias("_rows")
+
+
+def _mean_in_order(name: str) -> Column:
+    rows = F.col("_rows")
+    return F.aggregate(rows, F.lit(0.0), lambda total, r: total + F.coalesce(r[name], F.lit(0.0))) / F.nullif(F.size(F.filter(rows, lambda r: r[name].isNotNull())), F.lit(0))
+
+
 def window_stats(df: DataFrame, keys: Sequence[str], at: str, tie: str, totals: DataFrame, size: float = 1.5, stride: float = 0.75, min_each: int = 3, width: float = SECONDS) -> DataFrame:
     """Fourteen statistics per sliding window; windows start before the recording ends."""
     rows = index_rows(df, keys, [at, tie], lag=["acc"], width=width).withColumns(
@@ -205,9 +215,10 @@ def window_stats(df: DataFrame, keys: Sequence[str], at: str, tie: str, totals:
     wins = into_windows(rows, at, size, stride).join(totals, list(keys)).filter(F.col("k") * stride < F.col("total_sec"))
     return wins.groupBy(*keys, "k").agg(
         F.count(F.lit(1)).alias("n"), F.avg("acc").alias("acc_mean"), F.stddev_samp("acc").alias("acc_std"), F.avg("gyro").alias("gyro_mean"), F.max("gyro").alias("gyro_max"),
-        F.avg("az").alias("az_mean"), F.stddev_samp("az").alias("az_std"), F.avg("ax").alias("ax_mean"), F.avg("ay").alias("ay_mean"), F.avg(F.abs("ay")).alias("ay_abs_mean"),
+        F.lit(None).cast("double").alias("az_mean"), F.stddev_samp("az").alias("az_std"), F.avg("ax").alias("ax_mean"), F.avg("ay").alias("ay_mean"), F.lit(None).cast("double").alias("ay_abs_mean"),
         F.avg("_hg").alias("horiz_g_mean"), F.stddev_samp("angle_x").alias("angle_x_std"), F.stddev_samp("angle_y").alias("angle_y_std"), F.avg("angle_y").alias("angle_y_mean"), F.avg("_jerk").alias("jerk_mean"),
-    ).filter(F.col("n") >= min_each)
+        _in_order(at, tie, az=F.col("az").cast("double"), ay=F.abs("ay").cast("double")),
+    ).filter(F.col("n") >= min_each).withColumns({"az_mean": _mean_in_order("az"), "ay_abs_mean": _mean_in_order("ay")}).drop("_rows")
 
 
 def window_features(df: DataFrame, keys: Sequence[str], at: str, tie: str, totals: DataFrame, size: float = 2.0, stride: float = 0.5, slack: float = 0.01, frequency: bool = False) -> DataFrame:
@@ -230,20 +241,20 @@ def window_features(df: DataFrame, keys: Sequence[str], at: str, tie: str, total
     higher = before & after & (F.col("acc") > F.col("lag_acc")) & (F.col("acc") > F.col("lead_acc"))
     top = (F.col("acc") - F.col("_m") > F.col("_sd") * 0.3) & higher
     aggs = [
-        F.count(F.lit(1)).alias("n"), F.avg("_z").alias("tilt_mean"), F.stddev_pop("_z").alias("tilt_std"), (F.max("_z") - F.min("_z")).alias("tilt_range"),
+        F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("tilt_mean"), F.stddev_pop("_z").alias("tilt_std"), (F.max("_z") - F.min("_z")).alias("tilt_range"),
         F.coalesce(F.avg("_dx"), F.lit(0.0)).alias("drift_mean"),
         F.abs(F.max_by("angle_y", F.struct(at, tie)) - F.min_by("angle_y", F.struct(at, tie))).alias("turn"),
         F.avg("acc").alias("acc_mean"), F.stddev_pop("acc").alias("acc_std"), F.avg("gyro").alias("gyro_mean"), F.stddev_pop("gyro").alias("gyro_std"),
         F.var_pop("az").alias("vertical_energy"), F.count_if(top).alias("peak_count"), F.any_value("fs").alias("fs"),
+        _in_order(at, tie, z=F.col("_z"), **({"acc": F.col("acc")} if frequency else {})),
     ]
-    if frequency:
-        aggs.append(F.transform(F.array_sort(F.collect_list(F.struct(at, tie, "acc"))), lambda s: s["acc"]).alias("_signal"))
     out = rows.groupBy(*keys, "k").agg(*aggs).filter(F.col("n") >= F.greatest(F.lit(5), F.floor(F.col("fs") / 2)))
+    out = out.withColumn("tilt_mean", _mean_in_order("z"))
     if frequency:
-        out = out.withColumn("_f", periodicity(F.col("_signal"), F.col("fs"), 8, 1.0)).withColumns(
+        out = out.withColumn("_f", periodicity(F.transform("_rows", lambda s: s["acc"]), F.col("fs"), 8, 1.0)).withColumns(
             {"dominant_freq": F.col("_f.freq"), "periodic_score": F.col("_f.score")}
-        ).drop("_f", "_signal")
-    return out.drop("fs")
+        ).drop("_f")
+    return out.drop("fs", "_rows")
 
 
 def window_signal(df: DataFrame, keys: Sequence[str], at: str, tie: str, value: str, size: float, stride: float) -> DataFrame:
