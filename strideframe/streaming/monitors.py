@@ -95,10 +95,15 @@ def wait_or_switch(states: DataFrame, alternatives: DataFrame) -> DataFrame:
 
 
 def tumbling_monitor(df: DataFrame, key: str, size: str = "30 seconds", delay: str = "1 minute") -> DataFrame:
-    """Intensity and posture per user and epoch-aligned window (needs ``acc``, ``gyro``, ``az``)."""
+    """Intensity and posture per user and epoch-aligned window (needs ``acc``, ``gyro``, ``az``).
+
+    ``az`` is summed in time order: a mean on a posture's threshold depends on the order.  Its state is a window's readings, which the sensor's rate bounds.
+    """
     rows = df.withWatermark("ts", delay) if df.isStreaming else df
+    in_order = F.array_sort(F.collect_list(F.when(F.col("az").isNotNull(), F.struct("ts", "az"))))
+    az_mean = F.aggregate(in_order, F.lit(0.0), lambda total, r: total + r["az"]) / F.nullif(F.size(in_order), F.lit(0))
     out = rows.groupBy(key, F.window("ts", size)).agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_pop("acc").alias("acc_std"), F.avg("az").alias("az_mean"), F.avg("gyro").alias("gyro_mean"), F.max("gyro").alias("gyro_max")
+        F.count(F.lit(1)).alias("n"), F.stddev_pop("acc").alias("acc_std"), az_mean.alias("az_mean"), F.avg("gyro").alias("gyro_mean"), F.max("gyro").alias("gyro_max")
     )
     return out.select(key, F.col("window.start").alias("start"), "n", "acc_std", "gyro_mean", "gyro_max", ladder(F.col("az_mean"), AZ_POSTURE).alias("posture"), ladder(F.col("acc_std"), ACC_STD).alias("intensity"))
 
