@@ -84,11 +84,13 @@ def lookup_fuzzy(names: DataFrame, catalogue: DataFrame, name: str, target: str,
     """Exact catalogue row, else the best row whose name holds the (stripped) name.
 
     ``rank`` orders the candidates of the second step.  Unmatched names are dropped.
+    A catalogue name is matched once, by its best row: the rows behind it could only lose to that one.
     """
     left = names.select(name).distinct()
-    exact = pick_first(left.join(catalogue, F.col(name) == F.col(target)), [name], rank)
+    best = pick_first(catalogue.filter(F.col(target).isNotNull()), [target], rank)
+    exact = left.join(best, F.col(name) == F.col(target))
     rest = left.join(exact.select(name), name, "left_anti").withColumn("_core", F.col(name) if core is None else core)
-    pairs = contained(rest.filter(F.length("_core") >= min_core), "_core", catalogue, target).drop("_core")
+    pairs = contained(rest.filter(F.length("_core") >= min_core), "_core", best, target).drop("_core")
     fuzzy = pick_first(pairs, [name], rank)
     return exact.withColumn("exact", F.lit(True)).unionByName(fuzzy.withColumn("exact", F.lit(False)))
 
