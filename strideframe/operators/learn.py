@@ -16,6 +16,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strideframe.operators.sequence import index_rows
+from strideframe.session import written
 
 
 def clean_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -73,15 +74,42 @@ def score(model: Model, df: DataFrame, features: Sequence[str]) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability", "label_idx", "weight", "prediction")
 
 
-def out_of_fold(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], estimator: Estimator | None = None, k: int = 5) -> DataFrame:
-    """Every row scored by a model that was fitted without its fold; the fits of the folds run side by side."""
-    rows = stratified_folds(df, label, keys, k)
+def _parts(estimator: Estimator, rows: int, nodes: int) -> list[Estimator]:
+    """A forest as smaller forests of at most about ``nodes`` tree nodes, which is what the driver holds at once; anything else as it is."""
+    if not isinstance(estimator, RandomForestClassifier):
+        return [estimator]
+    trees, per_tree = estimator.getNumTrees(), max(1, min(2 ** (estimator.getMaxDepth() + 1), rows))
+    size = max(1, min(trees, nodes // per_tree))
+    return [estimator.copy({estimator.numTrees: min(size, trees - at), estimator.seed: estimator.getSeed() + at}) for at in range(0, trees, size)]
 
-    def one(fold: int) -> DataFrame:
-        model = train(rows.filter(F.col("fold") != fold).drop("fold"), features, label, (estimator or forest()).copy())
-        return score(model, rows.filter(F.col("fold") == fold), features)
 
-    with ThreadPool(k) as pool:
+def out_of_fold(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], estimator: Estimator | None = None, k: int = 5, nodes: int = 1_000_000) -> DataFrame:
+    """Every row scored by a model that was fitted without its fold.
+
+    A forest too large for ``nodes`` is fitted in parts, whose trees vote together; only as many folds are fitted side by side
+    as stay within ``nodes``, and each part's votes are written before the next part is fitted, so the driver holds no fitted model longer than that.
+    """
+    rows = written(stratified_folds(df, label, keys, k))
+    n = rows.count()
+    parts = _parts(estimator or forest(), n, nodes)
+    largest = parts[0].getNumTrees() * min(2 ** (parts[0].getMaxDepth() + 1), max(1, n)) if isinstance(parts[0], RandomForestClassifier) else nodes
+
+    def one(fold: int) -> DataFrame:
+        known, asked = rows.filter(F.col("fold") != fold).drop("fold"), rows.filter(F.col("fold") == fold)
+        if len(parts) == 1:
+            return written(score(train(known, features, label, parts[0].copy()), asked, features))
+        votes = clean_features(asked, features).withColumn("_votes", F.array().cast("array<double>"))
+        for part in parts:
+            model = train(known, features, label, part)
+            out = model.transform(votes.withColumn("weight", F.lit(1.0)))
+            voted = F.zip_with("_votes", vector_to_array("rawPrediction"), lambda x, y: F.coalesce(x, F.lit(0.0)) + y)
+            votes = written(out.select(*[c for c in votes.columns if c != "_votes"], voted.alias("_votes")))
+        names = F.array(*[F.lit(c) for c in model.stages[-1].getLabels()])
+        top = F.array_max("_votes")
+        share = top / F.aggregate("_votes", F.lit(0.0), lambda s, x: s + x)
+        return votes.withColumns({"predicted": F.get(names, (F.array_position("_votes", top) - 1).cast("int")), "confidence": share}).drop("_votes")
+
+    with ThreadPool(max(1, min(k, nodes // max(1, largest)))) as pool:
         return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(one), range(k)))
 
 
