@@ -10,6 +10,7 @@ from strideframe.operators import intervals, labels, learn, nearhash, sensor
 from strideframe.plans import bindings as b
 from strideframe.plans.bindings import DAY, HOUR, fx, sql
 from strideframe.plans.registry import query
+from strideframe.session import written
 
 K = ["recording_id"]
 P = fr.FrameParams(height=100.0, width=200.0)
@@ -237,9 +238,9 @@ def _windows(t):
     return w.withColumns({"ws": F.col("k") * DAY, "we": F.col("k") * DAY + 3 * DAY})
 
 
-def _dataset(t):
+def _dataset(t, windows=None):
     truth = b.truth(t).select("recording_id", "gt_id", "gt_start", "gt_end", "gt_action")
-    return intervals.label_by_overlap(_windows(t), truth, K, ("ws", "we"), ("gt_start", "gt_end"), "gt_action", "gt_id", DAY, window_keys=["k"], threshold=0.1, out="label")
+    return intervals.label_by_overlap(windows or _windows(t), truth, K, ("ws", "we"), ("gt_start", "gt_end"), "gt_action", "gt_id", DAY, window_keys=["k"], threshold=0.1, out="label")
 
 
 @query("o11_labelled_windows")
@@ -267,9 +268,10 @@ def o07(t):
 
 @query("o09_scored_segments")
 def o09(t):
-    rows = _dataset(t)
+    windows = written(_windows(t))  # a forest reads its rows dozens of times
+    rows = written(_dataset(t, windows).select("label", *_FEATS))
     model = learn.train(rows, _FEATS, "label", learn.forest())
-    scored = learn.score(model, _windows(t), _FEATS).select("recording_id", "k", "ws", "we", "predicted")
+    scored = learn.score(model, windows, _FEATS).select("recording_id", "k", "ws", "we", "predicted")
     smooth = labels.smooth_mode(scored, K, ["ws"], "predicted", 2, "posture", width=DAY)
     return labels.chained_segments(smooth, K, ["ws"], "posture", "ws", "we", 1.0, width=DAY)
 
