@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Sensor axis names.
@@ -14,6 +16,11 @@ def fix(c: Column, digits: int = 6) -> Column:
     return F.floor(c * m + 0.5) / F.lit(m)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: an expression that is named several times is copied, and evaluated, as often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def magnitude(*xs: Column) -> Column:
     total = None
     for x in xs:
@@ -93,8 +100,13 @@ def box_iou(a: Column, b: Column) -> Column:
 
 
 def box_distance(a: Column, b: Column) -> Column:
-    (ax, ay), (bx, by) = box_center(a), box_center(b)
-    return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+    return center_distance(*box_center(a), b)
+
+
+def center_distance(x: Column, y: Column, b: Column) -> Column:
+    """Distance of a point from the centre of a box; each difference is computed once."""
+    bx, by = box_center(b)
+    return F.sqrt(F.aggregate(F.array(x - bx, y - by), F.lit(0.0), lambda s, d: s + d * d))
 
 
 def box_inside(inner: Column, outer: Column, threshold: float = 0.6) -> Column:

@@ -46,10 +46,19 @@ def fold_list(rows: Column, step: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate(rows, F.slice(rows, 1, 0), step)
 
 
+def unfolded(lists: DataFrame, kept: Column, columns: Sequence[str], at: str = "_k") -> DataFrame:
+    """The structs of the array ``kept`` as rows.
+
+    ``F.explode`` would filter by the size of the array first, and Spark would fold it once more for that.
+    """
+    rows = lists.select(F.explode_outer(kept).alias("_k")).filter(F.col("_k").isNotNull())
+    return rows.select(*[F.col(f"{at}.{c}").alias(c) for c in columns])
+
+
 def first_kept(small: DataFrame, name: Sequence[str], order: Sequence[Column], columns: Sequence[str], conflict: Callable[[Column, Column], Column]) -> DataFrame:
     """The rows of small islands that conflict with no kept row ahead of them in ``order``."""
     kept = fold_list(F.col("_rows"), lambda acc, x: F.when(F.exists(acc, lambda k: conflict(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return gathered(small, name, order, columns).select(F.explode(kept).alias("_k")).select(*[F.col(f"_k.{c}").alias(c) for c in columns])
+    return unfolded(gathered(small, name, order, columns), kept, columns)
 
 
 def first_kept_by_rounds(ids: DataFrame, conflicts: DataFrame) -> DataFrame:

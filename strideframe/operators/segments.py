@@ -13,13 +13,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strideframe.functions.mathx import let
 from strideframe.functions.timex import sec_to_clock
 from strideframe.operators import decisions
 from strideframe.operators.chains import settle_chains
 from strideframe.operators.intervals import overlap_join, points_in
 from strideframe.operators.ranges import scan_rows
 from strideframe.operators.sequence import ROWS, index_rows, running
-from strideframe.session import checkpointed
+from strideframe.session import written
 
 
 def _clash(kept: Column, row: Column, share: float) -> Column:
@@ -31,8 +32,13 @@ def _swap_weaker(share: float):
     """Add a row that clashes with none; a more confident one takes the place of the first kept one that it clashes with."""
 
     def step(acc: Column, x: Column) -> Column:
-        at = F.coalesce(F.array_position(F.transform(acc, lambda k: _clash(k, x, share)), True), F.lit(0))
-        return F.when(at == 0, F.concat(acc, F.array(x))).otherwise(F.transform(acc, lambda k, i: F.when((i + 1 == at) & (x["confidence"] > k["confidence"]), x).otherwise(k)))
+        first = F.coalesce(F.array_position(F.transform(acc, lambda k: _clash(k, x, share)), True), F.lit(0))
+
+        def placed(at: Column) -> Column:
+            return F.when(at == 0, F.concat(acc, F.array(x))).otherwise(F.transform(acc, lambda k, i: F.when((i + 1 == at) & (x["confidence"] > k["confidence"]), x).otherwise(k)))
+
+        # searched once a row; named in the inner lambda, it would be searched once for every kept row
+        return let(first, placed)
 
     return step
 
@@ -49,7 +55,7 @@ def keep_first_overlaps(segments: DataFrame, keys: Sequence[str], order: Sequenc
     arrival, columns = [F.col(c) for c in order], segments.columns
     if prefer_confident:
         kept = decisions.fold_list(F.col("_rows"), _swap_weaker(share))
-        out = decisions.gathered(small, name, arrival, columns).select(F.explode(kept).alias("_k")).select(*[F.col(f"_k.{c}").alias(c) for c in columns])
+        out = decisions.unfolded(decisions.gathered(small, name, arrival, columns), kept, columns)
     else:
         out = decisions.first_kept(small, name, arrival, columns, lambda k, x: _clash(k, x, share))
     if large is None:
@@ -93,8 +99,8 @@ def merge_chunks(segments: DataFrame, keys: Sequence[str], order: Sequence[str],
 def merge_windows(segments: DataFrame, keys: Sequence[str], order: Sequence[str], tie: str, max_gap: float = 5.0) -> DataFrame:
     """Join window results: the more confident wins, then neighbours of equal state and
     equipment at most ``max_gap`` apart become one (lowest confidence), then gaps are snapped."""
-    # Written once here: the three ordered steps that follow would triple the plan before it.
-    kept = checkpointed(keep_first_overlaps(segments, keys, order, prefer_confident=True)).withColumn("_same", F.struct(F.upper("state").alias("s"), F.coalesce("equipment", F.lit("")).alias("e")))
+    # Written once here (a checkpoint would compute it twice): the three ordered steps that follow would triple the plan before it.
+    kept = written(keep_first_overlaps(segments, keys, order, prefer_confident=True)).withColumn("_same", F.struct(F.upper("state").alias("s"), F.coalesce("equipment", F.lit("")).alias("e")))
     rows = index_rows(kept, keys, ["start_sec", tie], lag=["_same", "end_sec"])
     opens = ~F.coalesce((F.col("_same") == F.col("lag__same")) & (F.col("start_sec") - F.col("lag_end_sec") <= max_gap), F.lit(False))
     marked = rows.select(*segments.columns, "pos", opens.cast("long").alias("_open"))
@@ -156,7 +162,7 @@ def merge_steps(hits: DataFrame, keys: Sequence[str], at: str, kind: str, size:
 
     kept = decisions.fold_list(F.col("_rows"), step)
     order, columns = [F.col(at), F.col(kind), F.col(size)], hits.columns
-    out = decisions.gathered(small, name, order, columns).select(F.explode(kept).alias("_k")).select(*[F.col(f"_k.{c}").alias(c) for c in columns])
+    out = decisions.unfolded(decisions.gathered(small, name, order, columns), kept, columns)
     if large is None:
         return out
     rows = scan_rows(large, name, [at, size])
