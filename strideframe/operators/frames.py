@@ -14,14 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strideframe.functions.mathx import box_area, box_center, box_distance, box_inside, box_iou, clip
+from strideframe.functions.mathx import box_area, box_center, box_distance, box_inside, box_iou, center_distance, clip, let
 from strideframe.operators import decisions
 from strideframe.operators.intervals import asof_nearest
 from strideframe.operators.keyed import pick_first, top_k
 from strideframe.operators.nearhash import MOST, first_come
 from strideframe.operators.sequence import ROWS, index_rows
 from strideframe.operators.stats import ratio
-from strideframe.session import checkpointed
+from strideframe.session import written
 
 
 @dataclass(frozen=True)
@@ -45,14 +45,19 @@ def _diagonal(p: FrameParams) -> float:
 
 def hand_score(box: Column, equipment: Column, persons: Column, p: FrameParams = FrameParams()) -> Column:
     """How likely a hand belongs to the camera wearer, from one picture."""
-    cx, cy = box_center(box)
-    position = clip((cy / p.height - 0.3) / 0.5, 0, 1)
-    size = F.least(F.lit(1.0), box_area(box) / (p.height * p.width) / 0.05)
-    nearest = F.array_min(F.transform(equipment, lambda e: box_distance(box, e["bbox"])))
-    close = F.coalesce(F.greatest(F.lit(0.0), F.lit(1.0) - nearest / (_diagonal(p) * 0.3)), F.lit(0.0))
-    edge = F.when((cx / p.width < 0.1) | (cx / p.width > 0.9) | (cy / p.height > 0.9), 0.8).otherwise(0.3)
+    x, y = box_center(box)
     inside = F.when(F.exists(persons, lambda q: box_inside(box, q["bbox"], 0.5)), 1.0).otherwise(0.0)
-    return clip(position * 0.25 + size * 0.20 + F.when(nearest.isNull(), 0.0).otherwise(close) * 0.20 + 0.15 * 0.5 + edge * 0.10 + 0.10 * 0.5 - inside * 0.30, 0, 1)
+    size = F.least(F.lit(1.0), box_area(box) / (p.height * p.width) / 0.05)
+
+    def raw(c: Column, nearest: Column) -> Column:
+        cx, cy = c["x"], c["y"]
+        position = let((cy / p.height - 0.3) / 0.5, lambda v: clip(v, 0, 1))
+        close = F.coalesce(F.greatest(F.lit(0.0), F.lit(1.0) - nearest / (_diagonal(p) * 0.3)), F.lit(0.0))
+        edge = F.when((cx / p.width < 0.1) | (cx / p.width > 0.9) | (cy / p.height > 0.9), 0.8).otherwise(0.3)
+        return position * 0.25 + size * 0.20 + F.when(nearest.isNull(), 0.0).otherwise(close) * 0.20 + 0.15 * 0.5 + edge * 0.10 + 0.10 * 0.5 - inside * 0.30
+
+    gap = lambda c: F.array_min(F.transform(equipment, lambda e: center_distance(c["x"], c["y"], e["bbox"])))
+    return let(let(F.struct(x.alias("x"), y.alias("y")), lambda c: let(gap(c), lambda n: raw(c, n))), lambda v: clip(v, 0, 1))
 
 
 def score_hands(frames: DataFrame, keys: Sequence[str], p: FrameParams = FrameParams(), block: int = decisions.BLOCK) -> DataFrame:
@@ -78,7 +83,10 @@ def score_hands(frames: DataFrame, keys: Sequence[str], p: FrameParams = FramePa
         bits = F.transform("lag_hands", lambda e, k: F.when(near(h, e), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
         mask = F.when(weak, F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))).otherwise(F.lit(0).cast("long"))
         lifted = h["score"] + p.boost > p.own_hand
-        return F.struct(after.alias("after"), mask.alias("mask"), ((h["score"] > p.own_hand) | (after & lifted)).alias("c"), F.when(lifted, mask).otherwise(F.lit(0).cast("long")).alias("m"))
+        return let(
+            F.struct(after.alias("after"), mask.alias("mask")),
+            lambda v: F.struct(v["after"].alias("after"), v["mask"].alias("mask"), ((h["score"] > p.own_hand) | (v["after"] & lifted)).alias("c"), F.when(lifted, v["mask"]).otherwise(F.lit(0).cast("long")).alias("m")),
+        )
 
     marked = slim.withColumn("_all", F.transform("hands", term)).select(*keys, "pos", "frame", "hands", "_all", F.transform("_all", lambda t: F.struct(t["c"].alias("c"), t["m"].alias("m"))).alias("_terms"))
     lit = decisions.lit_masks(marked, keys, "pos", "_terms", "_own", block)
@@ -86,7 +94,7 @@ def score_hands(frames: DataFrame, keys: Sequence[str], p: FrameParams = FramePa
 
     def settled(h: Column, t: Column) -> Column:
         score = F.when(t["after"] | (ahead.bitwiseAND(t["mask"]) != 0), F.least(F.lit(1.0), h["score"] + p.boost)).otherwise(h["score"])
-        return F.struct(h["bbox"].alias("bbox"), h["confidence"].alias("confidence"), score.alias("score"), (score > p.own_hand).alias("own"))
+        return let(score, lambda v: F.struct(h["bbox"].alias("bbox"), h["confidence"].alias("confidence"), v.alias("score"), (v > p.own_hand).alias("own")))
 
     flagged = lit.select(*keys, "frame", F.zip_with("hands", "_all", settled).alias("hands"))
     return frames.drop("hands").join(flagged, [*keys, "frame"])
@@ -98,21 +106,29 @@ def own_hands() -> Column:
 
 def equipment_score(e: Column, own: Column, p: FrameParams = FrameParams()) -> Column:
     """How likely a piece of equipment is in use, before the frequency bonus."""
-    cx, cy = box_center(e["bbox"])
-    nearest = F.array_min(F.transform(own, lambda h: box_distance(e["bbox"], h["bbox"])))
-    close = F.when(nearest.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - nearest / (_diagonal(p) * 0.25)))
-    center = F.greatest(F.lit(0.0), F.lit(1.0) - (F.abs(cx / p.width - 0.5) * 2 + F.abs(cy / p.height - 0.5) * 2) / 2)
+    x, y = box_center(e["bbox"])
     share = box_area(e["bbox"]) / (p.height * p.width)
-    far = F.when(share < 0.02, F.greatest(F.lit(0.0), F.lit(1.0) - share / 0.02)).otherwise(0.0)
-    return clip(e["confidence"] * 0.30 + close * 0.25 + 0.20 * 0.5 + 0.15 * 0.5 + center * 0.10 - far * 0.20, 0, 1)
+
+    def raw(c: Column, nearest: Column) -> Column:
+        cx, cy = c["x"], c["y"]
+        close = F.when(nearest.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - nearest / (_diagonal(p) * 0.25)))
+        center = F.greatest(F.lit(0.0), F.lit(1.0) - (F.abs(cx / p.width - 0.5) * 2 + F.abs(cy / p.height - 0.5) * 2) / 2)
+        far = F.when(c["share"] < 0.02, F.greatest(F.lit(0.0), F.lit(1.0) - c["share"] / 0.02)).otherwise(0.0)
+        return e["confidence"] * 0.30 + close * 0.25 + 0.20 * 0.5 + 0.15 * 0.5 + center * 0.10 - far * 0.20
+
+    gap = lambda c: F.array_min(F.transform(own, lambda h: center_distance(c["x"], c["y"], h["bbox"])))
+    return let(let(F.struct(x.alias("x"), y.alias("y"), share.alias("share")), lambda c: let(gap(c), lambda n: raw(c, n))), lambda v: clip(v, 0, 1))
 
 
 def score_equipment(frames: DataFrame, keys: Sequence[str], p: FrameParams = FrameParams()) -> DataFrame:
     """Adds score and active flag to ``equipment``: the picture score plus a bonus for labels
     seen often in the segment (0.2 times the share of frames, at most 0.15)."""
-    seen = frames.select(*keys, F.explode("equipment").alias("e")).groupBy(*keys, F.col("e.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    totals = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    freq = seen.join(totals, list(keys)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("label", (F.col("n") / F.col("_total")).alias("f")))).alias("_freq"))
+    # one pass for labels and frames: a frame is counted at its first piece of equipment, or at the row that stands for none
+    seen = frames.select(*keys, F.posexplode_outer("equipment").alias("_i", "e")).groupBy(*keys, F.col("e.label").alias("label")).agg(
+        F.count("_i").alias("n"), F.count_if(F.coalesce("_i", F.lit(0)) == 0).alias("_frames")
+    )
+    counts = seen.groupBy(*keys).agg(F.collect_list(F.when(F.col("n") > 0, F.struct("label", "n"))).alias("_n"), F.sum("_frames").alias("_total"))
+    freq = counts.select(*keys, F.map_from_entries(F.transform("_n", lambda x: F.struct(x["label"].alias("label"), (x["n"] / F.col("_total")).alias("f")))).alias("_freq"))
     joined = frames.join(freq, list(keys), "left").withColumn("_hands", own_hands())
     bonus = lambda e: F.least(F.lit(0.15), F.try_element_at("_freq", e["label"]) * 0.2)
     made = F.transform(
@@ -127,10 +143,14 @@ def score_equipment(frames: DataFrame, keys: Sequence[str], p: FrameParams = Fra
 
 def interaction(own: Column, active: Column, p: FrameParams = FrameParams()) -> Column:
     """1 when a hand touches active equipment, else how near they are."""
-    touch = F.exists(own, lambda h: F.exists(active, lambda e: box_iou(h["bbox"], e["bbox"]) > 0.01))
-    gaps = F.flatten(F.transform(own, lambda h: F.transform(active, lambda e: box_distance(h["bbox"], e["bbox"]))))
-    near = F.greatest(F.lit(0.0), F.lit(1.0) - F.array_min(gaps) / (_diagonal(p) * 0.2))
-    return F.when((F.size(own) == 0) | (F.size(active) == 0), 0.0).when(touch, 1.0).otherwise(near)
+
+    def met(own: Column, active: Column) -> Column:
+        touch = F.exists(own, lambda h: F.exists(active, lambda e: box_iou(h["bbox"], e["bbox"]) > 0.01))
+        gaps = F.flatten(F.transform(own, lambda h: F.transform(active, lambda e: box_distance(h["bbox"], e["bbox"]))))
+        near = F.greatest(F.lit(0.0), F.lit(1.0) - F.array_min(gaps) / (_diagonal(p) * 0.2))
+        return F.when((F.size(own) == 0) | (F.size(active) == 0), 0.0).when(touch, 1.0).otherwise(near)
+
+    return let(F.struct(own.alias("own"), active.alias("active")), lambda v: met(v["own"], v["active"]))
 
 
 def score_frames(frames: DataFrame, p: FrameParams = FrameParams()) -> DataFrame:
@@ -160,13 +180,18 @@ def score_frames(frames: DataFrame, p: FrameParams = FrameParams()) -> DataFrame
 
 def filter_reason(p: FrameParams = FrameParams()) -> Column:
     """Why a scored frame is of low value; NULL for a useful one.  The first rule wins."""
-    area, hand, eq = F.col("person_area"), F.col("hand_score"), F.col("equipment_score")
-    return (
-        F.when((area > p.person_area_hard) & (hand < 0.20), "person_dominant_hard")
-        .when((area > p.person_area) & (hand < p.min_hand) & (eq < p.min_equipment), "person_dominant_soft")
-        .when((area > p.person_area) & (hand < 0.1) & (eq < 0.1), "coach_demo")
-        .when(F.col("sharpness") < p.min_sharpness, "blur")
-    )
+
+
+    def rules(v: Column) -> Column:
+        area, hand, eq = v["person_area"], v["hand_score"], v["equipment_score"]
+        return (
+            F.when((area > p.person_area_hard) & (hand < 0.20), "person_dominant_hard")
+            .when((area > p.person_area) & (hand < p.min_hand) & (eq < p.min_equipment), "person_dominant_soft")
+            .when((area > p.person_area) & (hand < 0.1) & (eq < 0.1), "coach_demo")
+            .when(v["sharpness"] < p.min_sharpness, "blur")
+        )
+
+    return let(F.struct("person_area", "hand_score", "equipment_score", "sharpness"), rules)
 
 
 def window_top(frames: DataFrame, keys: Sequence[str], size: float = 2.0, k: int = 2) -> DataFrame:
@@ -219,8 +244,8 @@ def assemble(frames: DataFrame, keys: Sequence[str], metrics: Sequence[str], *,
     keeps the last reason), near-duplicates dropped, the best ``most`` kept, and filled up
     with the best other unfiltered frames when fewer than ``least``."""
     useful = frames.filter(F.col("filter_reason").isNull())
-    # read by every step below, and it stands for the whole scoring: settled once
-    slim = checkpointed(useful.select(*keys, "frame", "t", "phash", "info_score", *metrics))
+    # read by every step below, and it stands for the whole scoring: settled once (a checkpoint would compute it twice)
+    slim = written(useful.select(*keys, "frame", "t", "phash", "info_score", *metrics))
     won = window_top(slim, keys, size, k).select(*keys, "frame", F.lit("window_topk").alias("reason"), F.lit(0).alias("_src"))
     ends = extremes(slim, keys, metrics).withColumn("_src", F.lit(1))
     spots = anchors(slim, keys).withColumn("_src", F.lit(2))
@@ -252,7 +277,9 @@ def summarize(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
 def equipment_summary(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per label: share of frames, mean score and whether it was ever active."""
     totals = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    seen = frames.select(*keys, F.explode("equipment").alias("e")).groupBy(*keys, F.col("e.label").alias("label")).agg(
+    # not F.explode: its inner form filters by the size of the array, below which Spark scores everything once more
+    pieces = frames.select(*keys, F.explode_outer("equipment").alias("e")).filter(F.col("e").isNotNull())
+    seen = pieces.groupBy(*keys, F.col("e.label").alias("label")).agg(
         F.count(F.lit(1)).alias("_c"), F.avg("e.score").alias("mean_score"), F.max(F.col("e.active").cast("int")).cast("boolean").alias("active")
     )
     return seen.join(totals, list(keys)).withColumn("visible_share", F.col("_c") / F.col("_n")).drop("_c", "_n")

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strideframe.operators.decisions import unfolded
 from strideframe.session import written
 
 HOT, MOST = 2_000, 512
@@ -114,7 +115,7 @@ def first_come(selected: DataFrame, keys: Sequence[str], at: str, tie: str, phas
     small = selected if large.isEmpty() else selected.join(large, keys, "left_anti")
     lists = small.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
     kept = F.aggregate("_rows", F.slice("_rows", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: clash(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    out = lists.select(F.explode(kept).alias("_k")).select(*[F.col(f"_k._row.{c}").alias(c) for c in selected.columns])
+    out = unfolded(lists, kept, selected.columns, "_k._row")
     if large.isEmpty():
         return out
     rows = selected.join(large, keys, "left_semi")

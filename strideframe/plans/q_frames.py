@@ -84,13 +84,13 @@ _HANDS = dict(fr=_FR, hr0=_HROW, boost=_BOOST, hr=_HR)
 
 @query("o01_hand_scores", sql(f"SELECT recording_id, frame, i - 1 AS i, {fx('score')} AS score, score > 0.55 AS own FROM hr", "samples", **_HANDS))
 def o01(t):
-    rows = _hand(t).select("recording_id", "frame", F.posexplode("hands").alias("i", "h"))
+    rows = _hand(t).select("recording_id", "frame", F.posexplode_outer("hands").alias("i", "h")).filter(F.col("h").isNotNull())
     return rows.select("recording_id", "frame", F.col("i").cast("long").alias("i"), fix(F.col("h.score")).alias("score"), "h.own")
 
 
 @query("o01_single_frame_scores", sql(f"SELECT recording_id, frame, count(*) AS hands, {fx('max(score)')} AS best, count(*) FILTER (score > 0.55) AS own FROM hr GROUP BY ALL", "samples", fr=_FR, hr=_HROW))
 def o01b(t):
-    h = _plain_hands(t).select("recording_id", "frame", F.explode("hands").alias("h"))
+    h = _plain_hands(t).select("recording_id", "frame", F.explode_outer("hands").alias("h")).filter(F.col("h").isNotNull())
     return h.groupBy("recording_id", "frame").agg(F.count(F.lit(1)).alias("hands"), fix(F.max("h.score")).alias("best"), F.count_if(F.col("h.own")).alias("own"))
 
 
@@ -105,7 +105,7 @@ _EROW = f"""SELECT recording_id, frame, e, least(1.0::DOUBLE, base + least(0.15:
 
 @query("o02_equipment_scores", sql(f"SELECT recording_id, frame, e.l AS label, {fx('score')} AS score, score > 0.55 AS active FROM er", "samples", **_HANDS, own=_OWN, er=_EROW))
 def o02(t):
-    e = fr.score_equipment(_hand(t), K, P).select("recording_id", "frame", F.explode("equipment").alias("e"))
+    e = fr.score_equipment(_hand(t), K, P).select("recording_id", "frame", F.explode_outer("equipment").alias("e")).filter(F.col("e").isNotNull())
     return e.select("recording_id", "frame", "e.label", fix(F.col("e.score")).alias("score"), "e.active")
 
 

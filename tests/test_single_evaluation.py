@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from strideframe.operators import segments
+from pyspark.sql import functions as F
+
+from strideframe.operators import frames as fr, segments
 
 
 def optimized(df) -> str:
@@ -16,3 +18,29 @@ def test_clashes_of_a_row_are_searched_once(spark):
     assert optimized(kept).count("array_position") == 1
     assert sorted(r.seq for r in kept.collect()) == list(range(6))
 
+
+def _pictures(spark):
+    box = "struct<bbox:array<int>,confidence:double,label:string>"
+    hand, gear, person = ([20, 60, 50, 78], 0.9, "hand"), ([40, 50, 80, 80], 0.5, "bar"), ([0, 0, 90, 50], 0.7, "person")
+    rows = [(1, 1, 0.0, [hand], [gear, gear], [person], 0.5, 0.5), (1, 2, 1.0, [], [], [], 0.5, 0.5), (1, 3, 2.0, [hand], [gear], [], 0.5, 0.5)]
+    return spark.createDataFrame(rows, f"k long, frame long, t double, hands array<{box}>, equipment array<{box}>, persons array<{box}>, sharpness double, motion double")
+
+
+def test_a_hand_is_scored_once(spark):
+    p = fr.FrameParams(height=100.0, width=200.0)
+    scored = _pictures(spark).select(F.transform("hands", lambda h: fr.hand_score(h["bbox"], F.col("equipment"), F.col("persons"), p)).alias("s"))
+    assert str(scored._jdf.queryExecution().analyzed().toString()).count("array_min") == 1
+    assert [len(r.s) for r in scored.collect()] == [1, 0, 1]
+
+
+def test_equipment_bonus_counts_every_frame(spark):
+    """The frame without equipment counts in the total, and the one with two pieces of a label once."""
+    p = fr.FrameParams(height=100.0, width=200.0)
+    frames = _pictures(spark).withColumn("hands", F.transform("hands", lambda h: F.struct(h["bbox"].alias("bbox"), h["confidence"].alias("confidence"), F.lit(0.9).alias("score"), F.lit(True).alias("own"))))
+    own = F.array(F.struct(F.array(*[F.lit(x) for x in (20, 60, 50, 78)]).alias("bbox")))
+    plain = frames.filter("frame = 3").select(fr.equipment_score(F.col("equipment")[0], own, p)).first()[0]
+    got = {r.frame: [e.score for e in r.equipment] for r in fr.score_equipment(frames, ["k"], p).collect()}
+    want = min(1.0, plain + min(0.15, 3 / 3 * 0.2))
+    assert got == {1: [want, want], 2: [], 3: [want]}
+    table = {r.label: r.visible_share for r in fr.equipment_summary(fr.score_equipment(frames, ["k"], p), ["k"]).collect()}
+    assert table == {"bar": 1.0}
