@@ -220,3 +220,22 @@ def test_key_frames_fill_up_to_the_minimum(spark):
     df = spark.createDataFrame(rows, "rec int, frame int, t double, info_score double, phash long, y double, filter_reason string")
     got = fr.assemble(df, ["rec"], ["y"], least=12).collect()
     assert len(got) == len({r.frame for r in got}) == 12 and all(rows[r.frame][6] is None for r in got) and "fill" in {r.reason for r in got}
+
+
+def test_hashed_search_in_small_blocks(spark):
+    """Blocks of 20 rows find what all pairs find among shared buckets; a zero vector is near nothing."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(120, 6))
+    v[5] = 0.0
+    v[9] = v[10]
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(120)], "id long, v array<double>")
+    got = {}
+    for r in vec.approximate_nearest(df.filter("id % 4 = 1").withColumnRenamed("id", "q"), df, 4, "q", "id", "v", 1.2, tables=12, bucket=50.0, block=20).collect():
+        got.setdefault(r.q, {})[r["rank"]] = r.id
+    unit = v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    score = unit @ unit.T
+    assert 5 not in got
+    for q in range(1, 120, 4):
+        if q != 5:
+            best = [i for i in np.argsort(-np.round(score[q], 12), kind="stable")[:4] if score[q, i] > 1 - 1.2**2 / 2]
+            assert [got[q][n + 1] for n in range(len(best))] == best
