@@ -30,6 +30,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,7 @@ def trigram_model(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, froz
 
 
 _SUSPECT = re.compile(r"(.)\1\1|\w[^\w\s]+\w|[^\W_]_+[^\W_]")
+_LETTERS_ONLY = re.compile(r"[^\W\d_]+")
 _TWICE, _THRICE = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1\1")
 _SIGN, _LETTER = re.compile(r"[0-9@$!|+(€£]"), re.compile(r"[^\W\d_]")
 _EDGES = "\"'()[]{}<>«»“”„.,;:?…"
@@ -108,11 +110,12 @@ _JUNK = re.compile(r"([^\w\s])\1+$")
 _SPACED = re.compile(r"(?<![\w@$])[\w@$](?:[ .\-_*/]{1,2}[\w@$]){2,}(?![\w@$])")
 
 
-_INVISIBLE = {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
+_INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
 #: One private sign stands for each drawing, so that it is one column of the lattice.
 _MARK = {drawing: chr(0xE000 + i) for i, drawing in enumerate(DRAWN)}
 _LETTER_OF = {_MARK[drawing]: letter for drawing, letter in DRAWN.items()}
 _DRAWN = re.compile("|".join(map(re.escape, DRAWN)))
+_RUN, _REPEATED = re.compile(r"(.)\1*"), re.compile(r"(.)\1|\n")
 
 
 @lru_cache(CACHE)
@@ -124,7 +127,8 @@ def latin(c: str) -> str:
 
 def bare(token: str) -> str:
     """The token without signs at its ends."""
-    return _JUNK.sub("", token.strip(_EDGES)).strip(_EDGES)
+    core = token.strip(_EDGES)
+    return core if core.isalnum() else _JUNK.sub("", core).strip(_EDGES)
 
 
 @lru_cache(CACHE)
@@ -151,25 +155,45 @@ def _readings(c: str, n: int) -> list[tuple[str, float]]:
 
 def lattice(token: str, stretched: bool = False) -> list[list[tuple[str, float]]]:
     """For each run of equal characters its readings and their log probabilities in the channel; in a stretched token two are like more."""
-    return [_readings(m.group(1), 3 if stretched and m.group(1).isalpha() and m.end() - m.start() == 2 else min(m.end() - m.start(), 3)) for m in re.finditer(r"(.)\1*", token)]
+    if not _REPEATED.search(token):
+        return [_readings(c, 1) for c in token]
+    return [_readings(m.group(1), 3 if stretched and m.group(1).isalpha() and m.end() - m.start() == 2 else min(m.end() - m.start(), 3)) for m in _RUN.finditer(token)]
 
 
-def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray) -> str:
-    """The likeliest reading of a lattice between two word boundaries."""
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+@lru_cache(CACHE)
+def _codes(piece: str) -> tuple[int, ...]:
+    """The numbers of the characters of a reading in the trigram table."""
+    return tuple(_INDEX.get(c, OTHER if c.isalpha() else 0) for c in piece)
+
+
+def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray | list[float]) -> str:
+    """The likeliest reading of a lattice between two word boundaries; a flat list as ``model`` is looked up faster than an array."""
+    flat = model if isinstance(model, list) else model.ravel().tolist()
+    # a state is the pair of the last two characters, as one number
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for options in [*columns, [(" ", 0.0)]]:
-        ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (score, path) in states.items():
-            for piece, cost in options:
-                x, y, s = a, b, score + cost
-                for c in piece:
-                    z = _INDEX.get(c, OTHER if c.isalpha() else 0)
-                    if not (z == 0 and y == 0):
-                        s += float(model[x, y, z])
-                        x, y = y, z
-                held = ahead.get((x, y))
+        if len(states) == 1 and len(options) == 1:  # one way on: nothing to choose
+            ((pair, (score, path)),) = states.items()
+            ((piece, cost),) = options
+            y, s = pair % SIZE, score + cost
+            for z in _codes(piece):
+                if z or y:
+                    s += flat[pair * SIZE + z]
+                    pair, y = y * SIZE + z, z
+            states = {pair: (s, (path, piece) if piece else path)}
+            continue
+        ahead: dict[int, tuple[float, tuple | None]] = {}
+        coded = [(piece, cost, _codes(piece)) for piece, cost in options]
+        for pair, (score, path) in states.items():
+            for piece, cost, codes in coded:
+                k, y, s = pair, pair % SIZE, score + cost
+                for z in codes:
+                    if z or y:
+                        s += flat[k * SIZE + z]
+                        k, y = y * SIZE + z, z
+                held = ahead.get(k)
                 if held is None or s > held[0]:
-                    ahead[x, y] = (s, (path, piece) if piece else path)
+                    ahead[k] = (s, (path, piece) if piece else path)
         states = ahead
     # shared path cells keep time and memory linear in the length
     pieces, path = [], max(states.values(), key=lambda v: v[0])[1]
@@ -183,33 +207,37 @@ class Restorer(dict):
     """raw token -> restored words; remembers up to ``most`` tokens."""
 
     def __init__(self, model: np.ndarray, most: int = 0, common: frozenset[str] = frozenset()):
-        self.model, self.most, self.common = model, most, common
+        self.model, self.most, self.common = model.ravel().tolist(), most, common
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        drawn = _DRAWN.sub(lambda m: _MARK[m.group()], token) if _DRAWN.search(token) and _LETTER.search(token) else token
-        core = bare(drawn)
-        foreign = [c for c in core if c > "ÿ" and c.isalpha()] if not core.isascii() else []
-        if drawn != token or (foreign and all(map(latin, foreign))) or (len(core) > 2 and not core.isdigit() and all(c in LOOKALIKES for c in core)):
-            words: tuple[str, ...] = tuple(viterbi(lattice(core), self.model).split())
-        elif core.isalpha() and (core in self.common or not _TWICE.search(core)):
-            words = (core,)
-        elif core.isalpha():
-            words = tuple(viterbi(lattice(core, stretched=True), self.model).split())
-        elif " " in core or _SUSPECT.search(core) or (_SIGN.search(core) and _LETTER.search(core)):
-            words = tuple(viterbi(lattice(core), self.model).split())
-        else:
-            words = tuple(re.findall(r"[^\W\d_]+", core))
+        words = self.read(token)
         if len(self) > self.most:
             self.clear()
         if self.most and len(token) <= LONGEST:
             self[token] = words
         return words
 
+    def read(self, token: str) -> tuple[str, ...]:
+        """The restored words of a token."""
+        core = token if token.isalpha() else token.strip(_EDGES)
+        if core.isalpha() and (core.isascii() or max(core) <= "ÿ") and "()" not in token and "[]" not in token:  # most tokens: letters between quotes and stops
+            return (core,) if not _TWICE.search(core) or core in self.common else tuple(viterbi(lattice(core, stretched=True), self.model).split())
+        drawn = _DRAWN.sub(lambda m: _MARK[m.group()], token) if _DRAWN.search(token) and _LETTER.search(token) else token
+        core = bare(drawn)
+        foreign = [c for c in core if c > "ÿ" and c.isalpha()] if not core.isascii() else []
+        if drawn != token or (foreign and all(map(latin, foreign))) or (len(core) > 2 and not core.isdigit() and all(c in LOOKALIKES for c in core)):
+            return tuple(viterbi(lattice(core), self.model).split())
+        if core.isalpha():
+            return (core,) if core in self.common or not _TWICE.search(core) else tuple(viterbi(lattice(core, stretched=True), self.model).split())
+        if " " in core or _SUSPECT.search(core) or (_SIGN.search(core) and _LETTER.search(core)):
+            return tuple(viterbi(lattice(core), self.model).split())
+        return tuple(_LETTERS_ONLY.findall(core))
+
     def tokens(self, text: str | None) -> set[str]:
         """The distinct raw tokens of a text in lower case; letters that stand apart are one token."""
         if not text:
             return set()
-        low = text.lower() if text.isascii() else text.lower().translate(_INVISIBLE)
+        low = text.lower() if text.isascii() else _INVISIBLE.sub("", text.lower())
         return {*low.split(), *(m.group().strip() for m in _SPACED.finditer(low))}
 
     def words(self, text: str | None) -> set[str]:
@@ -236,16 +264,24 @@ def _gather(model):
 
 def _hits(restorer: Restorer, index: dict[str, int], known: dict[str, tuple], texts: list[str | None]) -> list[list[int]]:
     """The indexes of the features in each text."""
+    starts = {f[:4] for f in index}
+    stems = [(k, {f[:k]: i for f, i in index.items() if len(f) == k + 1 and f[k] == "*"}) for k in (4, 5, 6)]  # as `features` writes them
     rows = []
     for text in texts:
-        found: set[int] = set()
-        for t in restorer.tokens(text):
-            ids = known.get(t)
-            if ids is None:
-                ids = tuple({index[f]: None for w in restorer[t] for f in features(w) if f in index})
-                if len(t) <= LONGEST:
-                    known[t] = ids
-            found.update(ids)
+        tokens, found = restorer.tokens(text), set()
+        for t in tokens.difference(known):
+            ids = []
+            for w in restorer.read(t):
+                if w[:4] not in starts:
+                    continue
+                if w in index:
+                    ids.append(index[w])
+                ids += [held[w[:k]] for k, held in stems if len(w) > k and w[:k] in held]
+            if len(t) <= LONGEST:
+                known[t] = tuple(ids)
+            elif ids:
+                found.update(ids)
+        found.update(chain.from_iterable(filter(None, map(known.get, tokens))))
         rows.append(sorted(found))
         if len(known) > CACHE:
             known.clear()

@@ -75,6 +75,18 @@ def test_viterbi_equals_all_readings():
         assert toxicity.viterbi(columns, model) == every(columns)
 
 
+def test_plain_letters_skip_the_lattice_and_flat_models_agree(monkeypatch):
+    """Tokens of letters without a doubled one are read as they are; a model as a flat list reads a lattice as the array does."""
+    rng = np.random.default_rng(2)
+    model = np.log(rng.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE))).astype(np.float32)
+    for token in ("1d10t", "a-b.c", "ssso", "l0$er", "stuupid"):
+        columns = toxicity.lattice(token, stretched=True)
+        assert toxicity.viterbi(columns, model.ravel().tolist()) == toxicity.viterbi(columns, model)
+    restorer, index = toxicity.Restorer(model), {"word": 0, "wo": 1, "wordi*": 2, "ßtraß*": 3, "wordin*": 4}
+    monkeypatch.setattr(toxicity, "bare", None)  # not reached
+    assert toxicity._hits(restorer, index, {}, ["(word), wo wordings ßtraßen", None, "x"]) == [[0, 1, 2, 3, 4], [], []]
+
+
 def test_licence_lines(spark):
     texts = [f"{prose(1, 30)}\nReleased under the MIT License.\n{prose(2, 20)}", "Licensed under CC BY-NC 4.0.", prose(3, 200), None, "", "This work is licensed under the Foo Bar Baz Public Terms, version 9.", "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.", prose(4, 30_000)]
     out = {r.doc_id: r for r in licences.licence_notices(documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
