@@ -119,7 +119,8 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, keys: Seq
     if k < 2:
         return 0.0
     classes = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
-    rows = stratified_folds(balanced_weights(clean_features(df, features), label), label, keys, k)
+    # every tree level of every fold is a job of its own: all read one narrow table in as many parts as its size asks for
+    rows = written(stratified_folds(balanced_weights(clean_features(df, features), label), label, keys, k).select(*features, label, "weight", "fold"))
     pipeline = training_pipeline(features, label, estimator or forest(), classes)
     judge = MulticlassClassificationEvaluator(labelCol="label_idx", metricName="accuracy")
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=k, foldCol="fold", parallelism=k)
@@ -128,5 +129,6 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, keys: Seq
 
 def compare(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], estimators: dict[str, Estimator], most: int = 5) -> DataFrame:
     """One row per estimator with its cross-validated accuracy."""
+    df = written(df.select(*features, label, *keys))
     found = [(name, cross_validate(df, features, label, keys, est, most)) for name, est in estimators.items()]
     return df.sparkSession.createDataFrame(found, "model string, accuracy double")
