@@ -71,7 +71,9 @@ def score_hands(frames: DataFrame, keys: Sequence[str], p: FrameParams = FramePa
     scored = F.transform(
         "hands", lambda h: F.struct(h["bbox"].alias("bbox"), h["confidence"].alias("confidence"), hand_score(h["bbox"], F.col("equipment"), F.col("persons"), p).alias("score"))
     )
-    first = frames.select(*keys, "frame", scored.alias("hands"))
+    # the other columns go along: the table of blocks keeps them, and nothing is computed a second time to be joined back
+    rest = [c for c in frames.columns if c not in {*keys, "frame", "hands"}]
+    first = frames.select(*keys, "frame", scored.alias("hands"), *rest)
     slim = index_rows(first, keys, ["frame"], lag=["hands"], lead=["hands"], width=ROWS)
     inner = F.col("lag_hands").isNotNull() & F.col("lead_hands").isNotNull()
     near = lambda h, e: box_distance(h["bbox"], e["bbox"]) < p.height * p.boost_reach
@@ -88,7 +90,7 @@ def score_hands(frames: DataFrame, keys: Sequence[str], p: FrameParams = FramePa
             lambda v: F.struct(v["after"].alias("after"), v["mask"].alias("mask"), ((h["score"] > p.own_hand) | (v["after"] & lifted)).alias("c"), F.when(lifted, v["mask"]).otherwise(F.lit(0).cast("long")).alias("m")),
         )
 
-    marked = slim.withColumn("_all", F.transform("hands", term)).select(*keys, "pos", "frame", "hands", "_all", F.transform("_all", lambda t: F.struct(t["c"].alias("c"), t["m"].alias("m"))).alias("_terms"))
+    marked = slim.withColumn("_all", F.transform("hands", term)).select(*keys, "pos", "frame", "hands", *rest, "_all", F.transform("_all", lambda t: F.struct(t["c"].alias("c"), t["m"].alias("m"))).alias("_terms"))
     lit = decisions.lit_masks(marked, keys, "pos", "_terms", "_own", block)
     ahead = F.coalesce("before__own", F.lit(0).cast("long"))
 
@@ -96,8 +98,7 @@ def score_hands(frames: DataFrame, keys: Sequence[str], p: FrameParams = FramePa
         score = F.when(t["after"] | (ahead.bitwiseAND(t["mask"]) != 0), F.least(F.lit(1.0), h["score"] + p.boost)).otherwise(h["score"])
         return let(score, lambda v: F.struct(h["bbox"].alias("bbox"), h["confidence"].alias("confidence"), v.alias("score"), (v > p.own_hand).alias("own")))
 
-    flagged = lit.select(*keys, "frame", F.zip_with("hands", "_all", settled).alias("hands"))
-    return frames.drop("hands").join(flagged, [*keys, "frame"])
+    return lit.select(*keys, "frame", *rest, F.zip_with("hands", "_all", settled).alias("hands"))
 
 
 def own_hands() -> Column:

@@ -154,8 +154,10 @@ _METRICS = ["hand_y", "equipment_y", "hand_distance"]
 
 def _useful(t):
     """Scored frames that no filter drops; scores are fixed, so that both engines order them alike."""
-    rows = fr.endpoint_metrics(_scored(t)).filter("filter_reason IS NULL")
-    return rows.select("recording_id", "frame", "t", "phash", "filter_reason", *[fix(F.col(c)).alias(c) for c in ("info_score", *_METRICS)])
+    rows = fr.endpoint_metrics(_scored(t))
+    rows = rows.select("recording_id", "frame", "t", "phash", "filter_reason", *[fix(F.col(c)).alias(c) for c in ("info_score", *_METRICS)])
+    # written before the filter, which would be pushed below the scores and compute them once more, and read by every step after it
+    return written(rows).filter("filter_reason IS NULL")
 
 
 _USE = f"""SELECT recording_id, frame, t, {fx('info_score')} AS info_score, CAST('0x' || substring(md5(concat_ws(' ', k % 17, v % 5)), 1, 15) AS BIGINT) AS phash,

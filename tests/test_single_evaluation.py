@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strideframe.operators import frames as fr, segments
+from strideframe.plans import q_frames
+from strideframe.plans.registry import Tables
 
 
 def optimized(df) -> str:
@@ -44,3 +46,19 @@ def test_equipment_bonus_counts_every_frame(spark):
     assert got == {1: [want, want], 2: [], 3: [want]}
     table = {r.label: r.visible_share for r in fr.equipment_summary(fr.score_equipment(frames, ["k"], p), ["k"]).collect()}
     assert table == {"bar": 1.0}
+
+
+def test_frames_go_along_with_their_scored_hands(spark):
+    """Other columns are carried through the blocks: the frames are not computed once more to be joined back."""
+    scored = fr.score_hands(_pictures(spark), ["k"], fr.FrameParams(height=100.0, width=200.0))
+    assert "Join" not in optimized(scored)
+    rows = {r.frame: r for r in scored.collect()}
+    assert sorted(rows) == [1, 2, 3]
+    assert [len(rows[i].hands) for i in (1, 2, 3)] == [1, 0, 1]
+    assert [len(rows[i].equipment) for i in (1, 2, 3)] == [2, 0, 1] and rows[3].t == 2.0
+
+
+def test_useful_frames_are_scored_before_they_are_filtered(spark):
+    """The steps that choose frames read their scores from a table; the filter would else repeat every score below it."""
+    chosen = optimized(q_frames._useful(Tables(spark, "/root/testdata/sf0.001")))
+    assert "lambdafunction" not in chosen and "isnull(filter_reason" in chosen
