@@ -75,6 +75,7 @@ def match_greedy(pairs: DataFrame, most: int = decisions.MOST) -> DataFrame:
     if not {"pred_start", "pred_end", "gt_start", "gt_end"} <= set(pairs.columns):
         return _match_by_rounds(pairs.select(*ids, "iou"))
     spans = pairs.select(*ids, "iou", F.least("pred_start", "gt_start").alias("_s"), F.greatest("pred_end", "gt_end").alias("_e"))
+    spans = written(spans)  # the ranges of the islands are sampled first, which would run the join behind the pairs twice
     small, large, name = decisions.islands(spans, ["version", "recording_id"], "_s", "_e", tie=["gt_id", "pred_id"], most=most)
     same = lambda k, x: (k["gt_id"] == x["gt_id"]) | (k["pred_id"] == x["pred_id"])
     out = decisions.first_kept(small, name, [-F.col("iou"), F.col("gt_id"), F.col("pred_id")], [*ids, "iou"], same)

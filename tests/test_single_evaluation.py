@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.operators import frames as fr, segments
+from strideframe.operators import evaluation, frames as fr, segments
 from strideframe.plans import q_frames
 from strideframe.plans.registry import Tables
 
@@ -62,3 +62,14 @@ def test_useful_frames_are_scored_before_they_are_filtered(spark):
     """The steps that choose frames read their scores from a table; the filter would else repeat every score below it."""
     chosen = optimized(q_frames._useful(Tables(spark, "/root/testdata/sf0.001")))
     assert "lambdafunction" not in chosen and "isnull(filter_reason" in chosen
+
+
+def test_pairs_are_joined_before_their_islands_are_sampled(spark, monkeypatch):
+    """The range shuffle samples its input first, so the pairs are read from a table, not joined twice."""
+    plans, islands = [], evaluation.decisions.islands
+    monkeypatch.setattr(evaluation.decisions, "islands", lambda spans, *a, **k: plans.append(optimized(spans)) or islands(spans, *a, **k))
+    truth = spark.createDataFrame([(1, 1, 0.0, 10.0), (1, 2, 10.0, 20.0)], "recording_id long, gt_id long, gt_start double, gt_end double")
+    pred = spark.createDataFrame([("v", 1, 7, 1.0, 11.0)], "version string, recording_id long, pred_id long, pred_start double, pred_end double")
+    got = evaluation.match_greedy(evaluation.candidates(truth, pred, 10.0)).collect()
+    assert [(r.gt_id, r.pred_id) for r in got] == [(1, 7)]
+    assert len(plans) == 1 and "Join" not in plans[0]
