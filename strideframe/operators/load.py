@@ -136,7 +136,8 @@ def muscle_seconds(executions: DataFrame, exercises: DataFrame, groups: DataFram
     """Seconds (1 primary, 0.5 secondary); a group takes its busiest muscle, in percent of the top group."""
     work = muscle_work(executions, exercises, keys, F.col("duration_sec"), 1.0, 0.5)
     muscles = work.groupBy(*keys, "muscle").agg(F.sum("score").alias("seconds"))
-    grouped = muscles.join(groups, "muscle").groupBy(*keys, "muscle_group").agg(F.max("seconds").alias("seconds"))
+    # the list of muscles is short; dealt out by muscle, all sessions' rows of a muscle would meet in one task
+    grouped = muscles.join(F.broadcast(groups), "muscle").groupBy(*keys, "muscle_group").agg(F.max("seconds").alias("seconds"))
     top = F.max("seconds").over(Window.partitionBy(*keys))
     rel = ratio(F.col("seconds"), top)
     return grouped.filter(F.col("seconds") > 0).withColumns({"pct": rel * 100, "level": ladder(rel, SECONDS_RATIO)})

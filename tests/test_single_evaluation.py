@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideframe.operators import evaluation, frames as fr, segments
+from strideframe.operators import evaluation, frames as fr, load, segments
 from strideframe.plans import q_frames
 from strideframe.plans.registry import Tables
 
@@ -73,3 +73,13 @@ def test_pairs_are_joined_before_their_islands_are_sampled(spark, monkeypatch):
     got = evaluation.match_greedy(evaluation.candidates(truth, pred, 10.0)).collect()
     assert [(r.gt_id, r.pred_id) for r in got] == [(1, 7)]
     assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_rows_are_not_dealt_out_by_muscle(spark):
+    """A handful of muscles would put a sixth of all sessions into one task."""
+    done = spark.createDataFrame([(1, 1, 60.0), (1, 2, 30.0)], "session_id long, exercise_id long, duration_sec double")
+    moves = spark.createDataFrame([(1, "a", "b", ""), (2, "b", None, "")], "exercise_id long, primary_muscle string, secondary_muscle string, side string")
+    groups = spark.createDataFrame([("a", "x"), ("b", "y")], "muscle string, muscle_group string")
+    out = load.muscle_seconds(done, moves, groups, ["session_id"])
+    assert "hashpartitioning(muscle#" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.muscle_group: r.seconds for r in out.collect()} == {"x": 60.0, "y": 60.0}
