@@ -8,14 +8,15 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strideframe.operators.sequence import index_rows
+from strideframe.operators.trees import Boosted, Forest
 from strideframe.session import written
 
 
@@ -45,12 +46,12 @@ def fold_count(df: DataFrame, label: str, most: int = 5) -> int:
 
 
 def forest(trees: int = 200, depth: int = 12, seed: int = 42) -> Estimator:
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featuresCol="features", labelCol="label_idx", weightCol="weight", seed=seed)
+    return Forest(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featuresCol="features", labelCol="label_idx", weightCol="weight", seed=seed)
 
 
-def boosted(rounds: int = 20, depth: int = 5, seed: int = 42) -> Estimator:
+def boosted(rounds: int = 200, depth: int = 8, seed: int = 42) -> Estimator:
     """One boosted tree ensemble per class."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed), featuresCol="features", labelCol="label_idx", parallelism=4)
+    return Boosted(rounds, depth, seed)
 
 
 def training_pipeline(features: Sequence[str], label: str, estimator: Estimator, classes: Sequence[str]) -> Pipeline:
@@ -113,6 +114,20 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, keys: Sequen
         return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(one), range(k)))
 
 
+class _Folds(CrossValidator):
+    """Cross-validation for its figures only: no model is fitted to all rows at the end."""
+
+    def _fit(self, dataset: DataFrame) -> CrossValidatorModel:
+        fold, estimator, judge = F.col(self.getFoldCol()), self.getEstimator(), self.getEvaluator()
+
+        def one(i: int) -> float:
+            return judge.evaluate(estimator.copy().fit(dataset.filter(fold != i)).transform(dataset.filter(fold == i)))
+
+        with ThreadPool(min(self.getParallelism(), self.getNumFolds())) as pool:
+            found = pool.map(inheritable_thread_target(dataset.sparkSession)(one), range(self.getNumFolds()))
+        return CrossValidatorModel(None, avgMetrics=[sum(found) / len(found)])
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], estimator: Estimator | None = None, most: int = 5) -> float:
     """Mean accuracy over stratified folds; 0 when a class has a single row."""
     k = fold_count(df, label, most)
@@ -123,7 +138,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, keys: Seq
     rows = written(stratified_folds(balanced_weights(clean_features(df, features), label), label, keys, k).select(*features, label, "weight", "fold"))
     pipeline = training_pipeline(features, label, estimator or forest(), classes)
     judge = MulticlassClassificationEvaluator(labelCol="label_idx", metricName="accuracy")
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=k, foldCol="fold", parallelism=k)
+    cv = _Folds(estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=k, foldCol="fold", parallelism=k)
     return float(cv.fit(rows).avgMetrics[0])
 
 
