@@ -280,5 +280,5 @@ def o09(t):
 
 @query("o10_model_comparison")
 def o10(t):
-    models = {"forest": learn.forest(), "boosted": learn.boosted(rounds=3, depth=3)}
+    models = {"forest": learn.forest(), "boosted": learn.boosted()}
     return learn.compare(_vectors(t), _X, "label", ["vec_id"], models)
